@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm import mixing, sharding
+from symgrid.llm import mixing, quality, sharding, simhash
 from symgrid.llm.common import table
 
 
@@ -23,9 +23,59 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), key=["doc_id"])
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_quality": op3_quality,
+    "op7_simhash": op7_simhash,
+    "op9_mixing": op9_mixing,
+}
+
+_OP3 = r"""
+WITH d AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+lines AS (
+  SELECT doc_id, host, text, trim(unnest(string_split(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))), ' ') AS line
+  FROM d),
+frequent AS (
+  SELECT host, line FROM lines WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT text) > 100),
+removed AS (
+  SELECT doc_id, sum(len(string_split(line, ' '))) AS n
+  FROM lines JOIN frequent USING (host, line) GROUP BY doc_id),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, x FROM windows GROUP BY doc_id, x HAVING count(*) > 1),
+starts AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM windows JOIN twice USING (doc_id, x)),
+repeated AS (SELECT doc_id, sum(least(8, i - coalesce(p, i - 8))) AS n FROM starts GROUP BY doc_id),
+f AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+         - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, CAST(removed.n AS BIGINT) AS removed
+  FROM d LEFT JOIN repeated USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+       AND (removed IS NULL OR (n_words - removed >= 20 AND n_words - removed >= 0.5 * n_words)) AS kept,
+       n_words - coalesce(removed, 0) AS words_left
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3}
