@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm import mixing, quality, sharding, simhash
+from symgrid.llm import embeddings, mixing, quality, sharding, simhash
 from symgrid.llm.common import table
 
 
@@ -36,11 +36,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), key=["doc_id"])
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
+    "op10_embeddings": op10_embeddings,
 }
 
 _OP3 = r"""
