@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm import embeddings, mixing, quality, sharding, simhash, toxicity
+from symgrid.llm import embeddings, mixing, pii, quality, sharding, simhash, toxicity
 from symgrid.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), key=["doc_id"])
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
 }
