@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm import embeddings, mixing, pii, quality, sharding, simhash, toxicity
+from symgrid.llm import embeddings, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity
 from symgrid.llm.common import table
 
 
@@ -23,6 +23,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A public SentencePiece model; a parameter of op6 and of the pipeline.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
@@ -34,6 +42,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pieces.encoded_and_checked(docs, pieces.load(model))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,8 +67,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
@@ -96,4 +112,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3}
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{wording.replace(chr(39), chr(39) * 2)}')" for i, (name, wording) in enumerate(licenses.TEMPLATES))
+_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_OP2 = f"""
+WITH t AS (
+  SELECT template, license, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(template, license, text)),
+tw AS (SELECT DISTINCT template, license, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM t)),
+size AS (SELECT template, count(*) AS s, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS stride FROM tw GROUP BY template),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d)),
+hit AS (
+  SELECT doc_id, template, license, s, x, unnest([p // stride, p // stride - 1]) AS k
+  FROM dw JOIN tw USING (x) JOIN size USING (template)),
+share AS (
+  SELECT doc_id, template, license, k, count(DISTINCT x) / any_value(s) AS c
+  FROM hit WHERE k >= 0 GROUP BY doc_id, template, license, k)
+SELECT doc_id, CAST(template AS INTEGER) AS template, license, max(c) AS containment
+FROM share WHERE c >= 0.8 GROUP BY doc_id, template, license
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_licenses": _OP2, "op3_quality": _OP3}
