@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm import embeddings, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity
+from symgrid.llm import embeddings, katz, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity
 from symgrid.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
 #: A public SentencePiece model; a parameter of op6 and of the pipeline.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_katz": op5_katz,
     "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
