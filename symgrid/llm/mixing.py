@@ -93,3 +93,13 @@ def mix(df: DataFrame, key: list[str], source: str = "source", text: str = "text
         F.sort_array(F.collect_list("slot")).alias("slots"),
     )
     return out.select(*[F.col(k).alias(name) for k, name in zip(keys, key, strict=True)], "size", "source_size", "target", "taken", "slots")
+
+
+def remix(df: DataFrame, source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mix itself, with df's columns: every row as often as the words that the mix takes of it
+    amount to its size, rounded (so 0, 1 or 2 times). Rows without words are never taken."""
+    named = df.withColumn("__row", F.xxhash64(*[quoted(c) for c in df.columns]))
+    taken = mix(named, ["__row"], source, text, **options).groupBy("__row").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
+    times = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
+    taken = taken.select("__row", times.alias("__times")).filter("__times > 0")
+    return named.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[quoted(c) for c in df.columns])
