@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,21 +60,24 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: list
         chosen.append((i, name, 1 << math.ceil(math.log2(len(shingles))), shingles))
     # One row per template, each a few hundred bytes.
     known = spark.createDataFrame(chosen, "template int, license string, stride int, shingles array<string>")
-    any_ = F.transform(F.array(*[F.lit(s) for s in sorted({x for t in chosen for x in t[3]})]), lambda s: F.xxhash64(s))
+    every = sorted({xxhash.xxh64_intdigest(x, 42) for t in chosen for x in t[3]})
+    any_ = F.array(*[F.lit(h - (1 << 64) if h >> 63 else h) for h in every])
     strides = sorted({t[2] for t in chosen})
     least_hash = lambda shingles, j: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, j)))
     bands = lambda hashes: F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda j: least_hash(hashes, j))
     signs = known.select("template", "license", "stride", "shingles", F.posexplode(bands(F.transform("shingles", lambda s: F.xxhash64(s)))).alias("band", "sign"))
 
-    own = df.select(quoted(key).alias("key"), F.split(F.trim(F.regexp_replace(F.lower(quoted(text)), SPLIT, " ")), " ").alias("words"))
+    # A generator keeps the optimizer from copying a costly column into what uses it.
+    once = lambda c: F.explode(F.array(c))
+    own = df.select(quoted(key).alias("key"), once(F.split(F.trim(F.regexp_replace(F.lower(quoted(text)), SPLIT, " ")), " ")).alias("words"))
     joined = lambda i: F.concat_ws(" ", F.slice("words", i, SHINGLE))
     hashed = F.transform(F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1)), lambda i: F.xxhash64(joined(i)))
-    own = own.filter(F.size("words") >= SHINGLE).select("key", "words", hashed.alias("hashes"))
+    own = own.filter(F.size("words") >= SHINGLE).select("key", "words", once(hashed).alias("hashes"))
     own = own.filter(F.arrays_overlap("hashes", any_))
     own = own.withColumn("stride", F.explode(F.array(*[F.lit(s) for s in strides])))
     starts = F.sequence(F.lit(0), F.expr("(size(hashes) - 1) div stride"))
     windows = own.select("key", "words", "hashes", "stride", F.explode(starts).alias("at")).withColumn("first", F.expr("cast(at * stride + 1 as int)"))
-    windows = windows.select("key", "stride", "first", "words", F.slice("hashes", F.col("first"), 2 * F.col("stride")).alias("hashes"))
+    windows = windows.select("key", "stride", "first", "words", once(F.slice("hashes", F.col("first"), 2 * F.col("stride"))).alias("hashes"))
     windows = windows.filter(F.arrays_overlap("hashes", any_))
     windows = windows.select("key", "stride", "first", F.slice("words", F.col("first"), 2 * F.col("stride") + (SHINGLE - 1)).alias("words"), bands(F.col("hashes")).alias("signs"))
     found = windows.select("key", "stride", "first", "words", F.posexplode("signs").alias("band", "sign")).join(F.broadcast(signs), ["stride", "band", "sign"])
