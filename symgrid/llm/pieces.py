@@ -15,8 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symgrid.llm.common import quoted
@@ -26,7 +26,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SLOTS = 1 << 18
 BIG = np.int32(1 << 30)
 #: Longer units are folded one by one; the memo of units starts anew beyond its size.
-LONG, MEMO, GROUP = 40, 400_000, 8_192
+LONG, MEMO, GROUP = 40, 200_000, 4_096
 
 
 class Pieces:
@@ -299,32 +299,39 @@ def decode_ids(own: Pieces, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
-def encode(df: DataFrame, own: Pieces, text: str = "text", to: str = "ids") -> DataFrame:
-    """df with the column `to`, an array of piece ids (a column of that name is replaced).
+def encode(df: DataFrame, own: Pieces, text: str = "text", to: str = "ids", check: str | None = None) -> DataFrame:
+    """df with the column `to`, an array of piece ids, and with `check` a boolean of that name: whether
+    the ids decode to the text, in which U+2581 and a space are one character to the model. Columns
+    of these names are replaced.
 
     Null texts give null, empty texts an empty array; characters that no piece holds become their
     UTF-8 bytes' pieces; units of any length are folded whole; repeated rows get equal results.
     """
     shared = df.sparkSession.sparkContext.broadcast(own)
-    names = [c for c in df.columns if c != to]
+    names = [c for c in df.columns if c not in (to, check)]
     base = df.select(*[quoted(c) for c in names], quoted(text).alias("__text"))
     schema = base.drop("__text").schema.add(to, T.ArrayType(T.IntegerType()))
+    if check:
+        schema = schema.add(check, "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(shared.value)
+        own = shared.value
+        coder = Encoder(own)
         for batch in batches:
             texts = batch.column(len(names))
-            weight = np.cumsum(np.fromiter((len(t) + 1 if t else 1 for t in texts.to_pylist()), np.int64, len(texts))) // CHUNK_CHARS
+            weight = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // CHUNK_CHARS
             cuts = [0, *(np.flatnonzero(np.diff(weight)) + 1).tolist(), len(texts)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 some = texts.slice(a, b - a).to_pylist()
                 ids, counts = coder.encode([t or "" for t in some])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in some]))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(names)]), lists], [*names, to])
+                edge = np.concatenate([[0], np.cumsum(counts)])
+                out = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in some]))]
+                if check:
+                    out.append(pa.array([None if t is None else decode_ids(own, ids[s:e].tolist()) == t.replace(SPACE, " ") for t, s, e in zip(some, edge[:-1], edge[1:], strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(names)]), *out], schema.names)
 
     return base.mapInArrow(run, schema)
 
@@ -344,10 +351,3 @@ def decode(df: DataFrame, own: Pieces, ids: str = "ids", to: str = "decoded") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], [*names, to])
 
     return base.mapInArrow(run, schema)
-
-
-def encoded_and_checked(df: DataFrame, own: Pieces, text: str = "text") -> DataFrame:
-    """df with ids and round_trip: whether the ids decode to the text, in which U+2581 and a space
-    are one character to the model."""
-    both = decode(encode(df, own, text), own)
-    return both.withColumn("round_trip", F.col("decoded") == F.translate(quoted(text), SPACE, " ")).drop("decoded")

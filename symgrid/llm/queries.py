@@ -48,7 +48,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = pieces.encoded_and_checked(docs, pieces.load(model))
+    done = pieces.encode(docs, pieces.load(model), check="round_trip")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
