@@ -42,6 +42,14 @@ def plain_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def chained(words: list[str]) -> int:
+    """Spark's xxhash64 of several strings: each is hashed with the hash so far as its seed."""
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
     """Rows key, template (its number), license, containment: the highest share of a template's
     shingles that a window of the key's texts holds, where that is `least` or more.
@@ -57,29 +65,33 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: list
         shingles = sorted({" ".join(w[j : j + SHINGLE]) for j in range(len(w) - SHINGLE + 1)})
         if not shingles:
             raise ValueError(f"template {i} has fewer than {SHINGLE} words")
-        chosen.append((i, name, 1 << math.ceil(math.log2(len(shingles))), shingles))
+        chosen.append((i, name, 1 << math.ceil(math.log2(len(shingles))), shingles, [chained(x.split(" ")) for x in shingles]))
     # One row per template, each a few hundred bytes.
-    known = spark.createDataFrame(chosen, "template int, license string, stride int, shingles array<string>")
-    every = sorted({xxhash.xxh64_intdigest(x, 42) for t in chosen for x in t[3]})
-    any_ = F.array(*[F.lit(h - (1 << 64) if h >> 63 else h) for h in every])
+    known = spark.createDataFrame(chosen, "template int, license string, stride int, shingles array<string>, hashes array<long>")
+    every = sorted({chained(x.split(" ")) for t in chosen for x in t[3]})
     strides = sorted({t[2] for t in chosen})
     least_hash = lambda shingles, j: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, j)))
     bands = lambda hashes: F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda j: least_hash(hashes, j))
-    signs = known.select("template", "license", "stride", "shingles", F.posexplode(bands(F.transform("shingles", lambda s: F.xxhash64(s)))).alias("band", "sign"))
+    signs = known.select("template", "license", "stride", "shingles", F.posexplode(bands(F.col("hashes"))).alias("band", "sign"))
 
     # A generator keeps the optimizer from copying a costly column into what uses it.
     once = lambda c: F.explode(F.array(c))
     own = df.select(quoted(key).alias("key"), once(F.split(F.trim(F.regexp_replace(F.lower(quoted(text)), SPLIT, " ")), " ")).alias("words"))
     joined = lambda i: F.concat_ws(" ", F.slice("words", i, SHINGLE))
-    hashed = F.transform(F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1)), lambda i: F.xxhash64(joined(i)))
+    # One hash per place, each over the words from there on; the last places have too few.
+    hashed = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + j) for j in range(1, SHINGLE)]))
+    hashed = F.slice(hashed, F.lit(1), F.size("words") - (SHINGLE - 1))
     own = own.filter(F.size("words") >= SHINGLE).select("key", "words", once(hashed).alias("hashes"))
-    own = own.filter(F.arrays_overlap("hashes", any_))
+    # Places of any template's shingle, and from them the windows that hold one.
+    places = F.filter(F.transform("hashes", lambda h, i: F.when(h.isin(every), i)), lambda i: i.isNotNull())
+    own = own.select("key", "words", "hashes", once(places).alias("places")).filter(F.size("places") > 0)
     own = own.withColumn("stride", F.explode(F.array(*[F.lit(s) for s in strides])))
-    starts = F.sequence(F.lit(0), F.expr("(size(hashes) - 1) div stride"))
-    windows = own.select("key", "words", "hashes", "stride", F.explode(starts).alias("at")).withColumn("first", F.expr("cast(at * stride + 1 as int)"))
-    windows = windows.select("key", "stride", "first", "words", once(F.slice("hashes", F.col("first"), 2 * F.col("stride"))).alias("hashes"))
-    windows = windows.filter(F.arrays_overlap("hashes", any_))
-    windows = windows.select("key", "stride", "first", F.slice("words", F.col("first"), 2 * F.col("stride") + (SHINGLE - 1)).alias("words"), bands(F.col("hashes")).alias("signs"))
+    near = lambda back: F.transform("places", lambda i: (F.floor(i / F.col("stride")) - back).cast("int"))
+    numbers = F.array_distinct(F.filter(F.concat(near(0), near(1)), lambda k: k >= 0))
+    first = lambda k: k * F.col("stride") + 1
+    cut = lambda k: F.struct(first(k).alias("first"), F.slice("words", first(k), 2 * F.col("stride") + (SHINGLE - 1)).alias("words"), F.slice("hashes", first(k), 2 * F.col("stride")).alias("hashes"))
+    windows = own.select("key", "stride", F.explode(F.transform(numbers, cut)).alias("w"))
+    windows = windows.select("key", "stride", "w.first", "w.words", bands(F.col("w.hashes")).alias("signs"))
     found = windows.select("key", "stride", "first", "words", F.posexplode("signs").alias("band", "sign")).join(F.broadcast(signs), ["stride", "band", "sign"])
     inside = F.transform(F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1)), joined)
     share: Column = F.size(F.array_intersect("shingles", inside)) / F.size("shingles")
