@@ -121,7 +121,7 @@ def features(s: tuple) -> list[str]:
 SYLLABLES = "an be co de el fi go hu in jo ka le mi no or pa qu re st ti un ve wi xa yo za thing ment tion".split()
 
 
-def labelled(rows: int = 1_200, seed: int = 1) -> list[tuple[list[str], list[int]]]:
+def labelled(rows: int = 1_500, seed: int = 1) -> list[tuple[list[str], list[int]]]:
     """Invented sentences: their words, and each word's index in LABELS."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -155,7 +155,7 @@ def labelled(rows: int = 1_200, seed: int = 1) -> list[tuple[list[str], list[int
     for _ in range(rows):
         words, marks = [], []
         for _ in range(r.randint(4, 18)):
-            kind = r.choices(["word", "number", "entity"], [82, 14, 4])[0]
+            kind = r.choices(["word", "number", "entity"], [80, 14, 6])[0]
             if kind == "entity":
                 label, parts = entity()
                 if r.random() < 0.3:
