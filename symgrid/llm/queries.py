@@ -136,4 +136,16 @@ SELECT doc_id, CAST(template AS INTEGER) AS template, license, max(c) AS contain
 FROM share WHERE c >= 0.8 GROUP BY doc_id, template, license
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": _OP2, "op3_quality": _OP3}
+_OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT n, b FROM r JOIN l ON a = m),
+c AS (SELECT n AS vec_id, min(m) AS component_id FROM r GROUP BY n)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_embeddings": _OP10, "op2_licenses": _OP2, "op3_quality": _OP3}
