@@ -181,7 +181,7 @@ def doc_summary(xml: Column) -> Column:
 
 def member_name(c: Column) -> Column:
     """The simple name of a member from its documentation id."""
-    return F.regexp_extract(c, "^.:(?:.*\\.)?([^.(`]+)", 1)
+    return F.regexp_extract(c, "^.:(?:[^(]*\\.)?([^.(`]+)", 1)
 
 
 # Estimated tokens saved and prices per thousand tokens.
