@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work in Python: one of fewer files than cores, which a scan can hardly
+    split, is dealt out first."""
+    df = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder that the session names in
     spark.checkpoint.dir. Only a session without that setting (a test) gets a folder here."""

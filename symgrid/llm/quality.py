@@ -84,3 +84,22 @@ def rules(df: DataFrame, key: str = "doc_id", host: str = "source", text: str =
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     ok = F.col("removed").isNull() | ((left >= min_words) & (left >= min_left * F.col("n_words")))
     return out.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), left.alias("words_left"), (~failed & ok).alias("kept"))
+
+
+def cleaned(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = 100, **limits) -> DataFrame:
+    """The rows that `rules` keeps, with df's columns and without the lines that it counts as frequent.
+
+    Only texts that hold such lines are changed; a row's fate follows from its own host and text,
+    so equal rows share it.
+    """
+    frequent = durable(frequent_lines(df, host, text, max_docs)).select(F.col("host").alias("fhost"), "line")
+    named = df.withColumn("__host", quoted(host)).withColumn("__doc", F.xxhash64(quoted(text)))
+    lines = named.select("__host", "__doc", F.explode(_lines(quoted(text))).alias("x")).select("__host", "__doc", "x.line").distinct()
+    hit = lines.join(frequent, lines["__host"].eqNullSafe(frequent.fhost) & (lines.line == frequent.line), "left_semi")
+    hit = hit.groupBy(F.col("__host").alias("h"), F.col("__doc").alias("d")).agg(F.collect_set("line").alias("__drop"))
+    judged = rules(df, key, host, text, max_docs, **limits)
+    good = judged.filter("kept").select(F.col(key).alias("k")).distinct()
+    out = named.join(hit, named["__host"].eqNullSafe(hit.h) & (named["__doc"] == hit.d), "left").join(good, quoted(key).eqNullSafe(F.col("k")), "left_semi")
+    flat = lambda x: F.trim(F.regexp_replace(F.lower(x), "[\\x20\\x09\\x0B-\\x0D]+", " "))
+    left = F.array_join(F.filter(F.split(quoted(text), "\n"), lambda x: ~F.array_contains("__drop", F.xxhash64(flat(x)))), "\n")
+    return out.withColumn(text, F.when(F.col("__drop").isNull(), quoted(text)).otherwise(left)).select(df.columns)

@@ -154,3 +154,11 @@ def test_embeddings(spark):
     assert (1, 3, 1, True) in got and (2, 3, 1, False) in got and (3, 3, 1, False) in got
     assert {g for g in got if g[0] > 3} == {(i, 0, i, True) for i in range(4, 12)}
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_cleaned_texts(spark, odd, empty):
+    body = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    rows = [(i, f"{body(i)}\nShare  THIS page\nend {i}", "h" if i % 2 else None) for i in range(60)]
+    got = quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=20)
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(i, f"{body(i)}\nend {i}") for i in range(60)}
+    assert quality.cleaned(odd).columns == odd.columns and quality.cleaned(empty).count() == 0
