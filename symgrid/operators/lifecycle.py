@@ -109,3 +109,20 @@ def one_target(projects: DataFrame) -> DataFrame:
     """One row per project file: its highest target framework."""
     w = Window.partitionBy("project").orderBy(F.desc("tfm_rank"), "tfm")
     return projects.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def status(heads: DataFrame, manifests: DataFrame, registry: DataFrame) -> DataFrame:
+    """repo_id, head, indexed (is the head published), n_snapshots, n_workspaces, n_stale."""
+    have = manifests.groupBy("repo_id").agg(F.count_distinct("commit_sha").alias("n_snapshots"))
+    at_head = heads.join(manifests.select("repo_id", F.col("commit_sha").alias("head")).distinct(), ["repo_id", "head"], "left_semi").select("repo_id", F.lit(True).alias("indexed"))
+    spaces = workspaces(registry, heads).groupBy("repo_id").agg(F.count("*").alias("n_workspaces"), F.count_if("is_stale").alias("n_stale"))
+    out = heads.join(have, "repo_id", "left").join(at_head, "repo_id", "left").join(spaces, "repo_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("repo_id", "head", F.coalesce("indexed", F.lit(False)).alias("indexed"), zero("n_snapshots"), zero("n_workspaces"), zero("n_stale"))
+
+
+def seed_candidates(generations: DataFrame, target_compatibility: str, newest: int = 10) -> DataFrame:
+    """generations: target, candidate, compatibility, published_at. The newest compatible ones of a target."""
+    w = Window.partitionBy("target").orderBy(F.desc("published_at"), "candidate")
+    own = generations.filter(F.col("compatibility") == target_compatibility)
+    return own.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= newest).drop("__n")

@@ -262,3 +262,36 @@ def m20_visible(spark, d):
 @register("x21_ids", "SELECT page_id, substr(sha256(regexp_replace(lower(regexp_replace(url, '^[a-z]+://', '')), '(.git)?/*$', '')), 1, 16) AS id, CASE WHEN ends_with(url, '.cs') THEN 'csharp' ELSE 'other' END AS language FROM pages")
 def x21_ids(spark, d):
     return frame(spark, d, "pages").select("page_id", X.repo_id(F.col("url")).alias("id"), X.language(F.col("url")).alias("language"))
+
+
+@register("s1_publish", """SELECT 'files' AS relation, count(*) AS n FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'refs', count(*) FROM refs UNION ALL SELECT 'facts', count(*) FROM facts
+  UNION ALL SELECT 'type_relations', count(*) FROM type_relations""")
+def s1_publish(spark, d):
+    """Checks, writes and reads back a whole snapshot; the manifest makes it visible."""
+    import uuid
+
+    from symgrid.session import shared_folder
+
+    own = index(spark, d)
+    typed = store.Index(own.files, own.symbols.withColumn("name_tokens", F.lit(None).cast("array<string>")), own.refs, own.facts, own.type_relations)
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    store.publish(store.check(typed), root, "repo", "sln", "a" * 40)
+    back = store.read(spark, root, "repo", "sln", "a" * 40)
+    out = None
+    for name in ("files", "symbols", "refs", "facts", "type_relations"):
+        n = getattr(back, name).agg(F.lit(name).alias("relation"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@register("s6_lookups", """SELECT 'by_path' AS lookup, count(*) AS n FROM files WHERE path = 'src1/en/1.txt' UNION ALL SELECT 'by_file', count(*) FROM symbols WHERE file_id = 'd7' UNION ALL SELECT 'by_symbol', count(*) FROM facts WHERE symbol_id = 'M:Shop.Customers.C7'
+  UNION ALL SELECT 'by_kind', count(*) FROM facts WHERE fact_kind = 'Config' UNION ALL SELECT 'unresolved', count(*) FROM refs WHERE resolution_state = 'Unresolved' AND file_id IN ('d1', 'd2')""")
+def s6_lookups(spark, d):
+    own = index(spark, d)
+    n = lambda df, name: df.agg(F.lit(name).alias("lookup"), F.count("*").alias("n"))
+    two = own.files.filter(F.col("file_id").isin("d1", "d2")).select("file_id")
+    parts = [n(own.files.filter("path = 'src1/en/1.txt'"), "by_path"), n(own.symbols.filter("file_id = 'd7'"), "by_file"), n(own.facts.filter("symbol_id = 'M:Shop.Customers.C7'"), "by_symbol"), n(own.facts.filter("fact_kind = 'Config'"), "by_kind"), n(own.refs.filter("resolution_state = 'Unresolved'").join(two, "file_id", "left_semi"), "unresolved")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -12,7 +12,7 @@ from symgrid.operators import spans as P
 from symgrid.operators import surfaces as S
 from symgrid.plans.bridge import frame
 from symgrid.plans.queries import register
-from symgrid.session import durable
+from symgrid.session import durable, shared_folder
 from symgrid.streaming import feed
 
 _LAST = "last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY workspace_id, key ORDER BY revision DESC) = 1)"
@@ -140,7 +140,7 @@ def m14_delta(spark, d):
 def r2_stream_fold(spark, d):
     """The log as a stream of several files, folded batch by batch; equal to folding it at once."""
     log = durable(frame(spark, d, "log"))
-    home = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     log.repartitionByRange(3, "revision").write.parquet(f"{home}/log")
     query = feed.start(feed.read_log(spark, f"{home}/log", files_per_trigger=1), f"{home}/state", f"{home}/progress")
     query.awaitTermination()

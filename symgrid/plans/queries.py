@@ -25,4 +25,4 @@ def register(name: str, sql: str | None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Registers everything, once."""
-    from symgrid.plans import graph_queries, index_queries, overlay_queries, search_queries  # noqa: F401
+    from symgrid.plans import graph_queries, identity_queries, index_queries, overlay_queries, search_queries  # noqa: F401

@@ -85,3 +85,46 @@ def add_stubs(symbols: DataFrame, stubs: DataFrame, level: int) -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def exists(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> bool:
+    """Whether a snapshot is published under a root, through Spark's own file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/repo_id={repo}/solution_id={solution}/commit_sha={commit}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+TABLES = ["files", "symbols", "refs_by_to", "refs_by_from", "facts", "type_relations", "postings", "manifest"]
+
+
+def copy(spark: SparkSession, source: str, target: str, repo: str, solution: str, commit: str) -> bool:
+    """Takes a snapshot from one root to another (a shared cache), the manifest last. False if the
+    source has none; True, and nothing done, if the target has it."""
+    if exists(spark, target, repo, solution, commit):
+        return True
+    if not exists(spark, source, repo, solution, commit):
+        return False
+    where = f"repo_id={repo}/solution_id={solution}/commit_sha={commit}"
+    for name in TABLES:
+        spark.read.parquet(f"{source}/{name}/{where}").write.mode("overwrite").parquet(f"{target}/{name}/{where}")
+    return True
+
+
+def ensure(spark: SparkSession, root: str, cache: str | None, repo: str, solution: str, commit: str, build) -> str:
+    """A snapshot at root: there already, pulled from the cache, or built (build() gives an Index) and
+    pushed there. Says which."""
+    if exists(spark, root, repo, solution, commit):
+        return "present"
+    if cache and copy(spark, cache, root, repo, solution, commit):
+        return "pulled"
+    publish(check(build()), root, repo, solution, commit)
+    if cache:
+        copy(spark, root, cache, repo, solution, commit)
+    return "built"
+
+
+def remove(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> None:
+    """Deletes a snapshot, its manifest first, so that readers never see a part."""
+    where = f"repo_id={repo}/solution_id={solution}/commit_sha={commit}"
+    for name in reversed(TABLES):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{where}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
