@@ -76,16 +76,36 @@ def linked(values: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
             left = left[~near]
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
+def bucketed(fps: DataFrame, radius: int, hot: int) -> DataFrame:
+    """Columns fp, k: every pair within the radius shares a bucket k. A bucket of more than `hot`
+    fingerprints is dealt once more: its bits outside the mask fall into radius + 1 parts, of which
+    such a pair agrees on one at least."""
+    found = masks(radius)
+    tables = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in found])).alias("t", "part"))
+    keyed = tables.select("fp", "t", F.xxhash64("t", "part").alias("k"))
+    large = durable(keyed.groupBy("k").count().filter(F.col("count") > hot).select("k"))
+    if large.isEmpty():
+        return keyed.select("fp", "k")
+    parts = []
+    for m in found:
+        free = [b for b in range(64) if not m >> b & 1]
+        for j in range(radius + 1):
+            own = sum(1 << b for b in free[j :: radius + 1])
+            parts.append(own - (1 << 64) if own >> 63 else own)
+    finer = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.xxhash64("k", j, F.col("fp").bitwiseAND(F.get(F.lit(parts), F.col("t") * (radius + 1) + j))))
+    split = keyed.join(large, "k", "left_semi").select("fp", F.explode(finer).alias("k"))
+    return keyed.join(large, "k", "left_anti").select("fp", "k").unionByName(split)
+
+
+def links(fps: DataFrame, radius: int, hot: int = 20_000) -> DataFrame:
     """Edges a, b that connect the distinct fingerprints (column fp) exactly as all links do."""
-    tables = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "part"))
-    sorted_ = tables.repartition("t", "part").sortWithinPartitions("t", "part")
+    sorted_ = bucketed(fps, radius, hot).repartition("k").sortWithinPartitions("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-        def edges(t, part, fp) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (part[1:] != part[:-1]), [True]]))
+        def edges(k: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             size = np.diff(cut)
             out = []
             for s, n in zip(cut[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
@@ -94,12 +114,11 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            now = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("t", "part", "fp")]
-            t, part, fp = (np.concatenate(x) for x in zip(held, now, strict=True))
-            last = int(np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (part[1:] != part[:-1])]))[-1]) if len(t) else 0
-            held = (t[last:], part[last:], fp[last:])
+            k, fp = (np.concatenate([h, batch.column(n).to_numpy(zero_copy_only=False)]) for h, n in zip(held, ("k", "fp"), strict=True))
+            last = int(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))[-1]) if len(k) else 0
+            held = (k[last:], fp[last:])
             if last:
-                yield edges(t[:last], part[:last], fp[:last])
+                yield edges(k[:last], fp[:last])
         if len(held[0]):
             yield edges(*held)
 

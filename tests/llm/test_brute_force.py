@@ -63,6 +63,18 @@ def test_forest_connects_as_links_do():
     assert unite(len(fps), [(at[a], at[b]) for a, b in edges]) == want
 
 
+def test_large_buckets_are_split(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    fps = np.unique(np.array([int(base[i % 4]) ^ sum(1 << int(b) for b in bits) for i, bits in enumerate(rng.integers(0, 64, (600, 3)))], np.uint64))
+    at = {int(f): i for i, f in enumerate(fps.view(np.int64))}
+    want = unite(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4])
+    frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    for hot in (10, 100_000):
+        edges = [(at[r["a"]], at[r["b"]]) for r in simhash.links(frame, 4, hot).collect()]
+        assert unite(len(fps), edges) == want
+
+
 def test_components(spark):
     r = random.Random(5)
     pairs = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)]
