@@ -134,7 +134,8 @@ def trace(roots: DataFrame, refs: DataFrame, facts: DataFrame, depth: int = 3, p
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node: everything reachable from the starts (node) along edges (node, next), themselves
-    included. Rounds double the reach, so their number is logarithmic in the longest path."""
+    included. Rounds double the reach, so their number is logarithmic in the longest path; all pairs
+    that reach each other are kept, so this is for graphs of projects, not of symbols (use bfs)."""
     reach = durable(edges.select("node", "next").distinct())
     n = reach.count()
     while True:

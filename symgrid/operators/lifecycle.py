@@ -75,11 +75,11 @@ def similarity(target: DataFrame, candidates: DataFrame) -> DataFrame:
     t = target.select(F.lower("path").alias("k"), F.col("hash").alias("th"), F.col("weight").alias("tw"))
     c = candidates.select("candidate", F.lower("path").alias("k"), F.col("hash").alias("ch"), F.col("weight").alias("cw"))
     both = c.join(t, "k").select("candidate", F.greatest("tw", "cw").alias("w"), "tw", "cw", (F.col("th") == F.col("ch")).alias("same"))
-    whole = t.agg(F.coalesce(F.sum("tw"), F.lit(0)).alias("all_t"))
-    mine = c.groupBy("candidate").agg(F.sum("cw").alias("all_c"))
+    whole = t.agg(F.coalesce(F.sum("tw"), F.lit(0)).alias("all_t")).withColumn("one", F.lit(1))
+    mine = c.groupBy("candidate").agg(F.sum("cw").alias("all_c")).withColumn("one", F.lit(1))
     # The union's weight is both sides' weights less, on shared paths, the smaller of the two.
     shared = both.groupBy("candidate").agg(F.sum(F.col("tw") + F.col("cw") - F.col("w")).alias("twice"), F.sum(F.when(F.col("same"), F.col("w")).otherwise(0)).alias("equal"))
-    out = mine.join(shared, "candidate", "left").crossJoin(F.broadcast(whole))  # one row
+    out = mine.join(shared, "candidate", "left").join(F.broadcast(whole), "one")  # a single row
     total = F.col("all_t") + F.col("all_c") - F.coalesce("twice", F.lit(0))
     return out.select("candidate", F.when(total == 0, 0.0).otherwise(F.coalesce("equal", F.lit(0)) / total).alias("similarity"))
 

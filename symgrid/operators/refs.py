@@ -26,8 +26,11 @@ def find(anchors: DataFrame, refs: DataFrame, files: DataFrame, kind: str | None
     order = Window.partitionBy("to_symbol_id").orderBy("path", "loc_start", "loc_end", "from_symbol_id", "ref_kind")
     own = own.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= limit)
     if with_excerpt:
-        lines = own.select("file_id", "loc_start").distinct().join(files.select("file_id", "content"), "file_id")
-        said = lines.select("file_id", "loc_start", X.excerpt(F.get(X.lines_of(F.col("content")), F.col("loc_start") - 1)).alias("excerpt"))
+        # A file is cut into lines once, whatever the number of references into it.
+        wanted = own.groupBy("file_id").agg(F.collect_set("loc_start").alias("at")).join(files.select("file_id", "content"), "file_id")
+        cut = wanted.select("file_id", "at", F.explode(F.array(X.lines_of(F.col("content")))).alias("lines"))
+        said = cut.select("file_id", F.explode(F.transform("at", lambda n: F.struct(n.alias("loc_start"), F.get("lines", n - 1).alias("line")))).alias("x"))
+        said = said.select("file_id", "x.loc_start", X.excerpt(F.col("x.line")).alias("excerpt"))
         own = own.join(said, ["file_id", "loc_start"], "left")
     return own
 
