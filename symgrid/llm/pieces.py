@@ -19,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from symgrid.llm.common import quoted
+from symgrid.llm.common import quoted, tidied
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SLOTS = 1 << 18
 BIG = np.int32(1 << 30)
 #: Longer units are folded one by one; the memo of units starts anew beyond its size.
-LONG, MEMO, GROUP = 40, 200_000, 4_096
+LONG, MEMO, GROUP = 40, 100_000, 4_096
 
 
 class Pieces:
@@ -299,7 +299,7 @@ def decode_ids(own: Pieces, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 
 def encode(df: DataFrame, own: Pieces, text: str = "text", to: str = "ids", check: str | None = None) -> DataFrame:
@@ -333,7 +333,7 @@ def encode(df: DataFrame, own: Pieces, text: str = "text", to: str = "ids", chec
                     out.append(pa.array([None if t is None else decode_ids(own, ids[s:e].tolist()) == t.replace(SPACE, " ") for t, s, e in zip(some, edge[:-1], edge[1:], strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(names)]), *out], schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidied(run), schema)
 
 
 def decode(df: DataFrame, own: Pieces, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -350,4 +350,4 @@ def decode(df: DataFrame, own: Pieces, ids: str = "ids", to: str = "decoded") ->
             texts = [decode_ids(shared.value, flat[edge[i] : edge[i + 1]].tolist()) if lists[i].is_valid else None for i in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], [*names, to])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidied(run), schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from symgrid.llm.common import quoted
+from symgrid.llm.common import quoted, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", *KINDS, "secret")
@@ -412,7 +412,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers_[:, i]) for i in range(4)), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(quoted(key).alias("key"), quoted(text).alias("text")).mapInArrow(run, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    out = df.select(quoted(key).alias("key"), quoted(text).alias("text")).mapInArrow(tidied(run), f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     return out.withColumnRenamed("key", key)
 
 
@@ -439,4 +439,4 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)

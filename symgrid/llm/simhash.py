@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import durable, quoted
+from symgrid.llm.common import durable, quoted, tidied
 from symgrid.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -51,7 +51,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int = 4) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["key", "fp"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(quoted(key).alias("key"), quoted(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return df.select(quoted(key).alias("key"), quoted(text).cast("binary").alias("text")).mapInArrow(tidied(run), f"key {kind}, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -122,7 +122,7 @@ def links(fps: DataFrame, radius: int, hot: int = 20_000) -> DataFrame:
         if len(held[0]):
             yield edges(*held)
 
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    return sorted_.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:

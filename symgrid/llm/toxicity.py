@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import durable, quoted
+from symgrid.llm.common import durable, quoted, tidied
 
 START = "\n"
 EDGE = ".,;:!?\"'()[]{}"
@@ -55,7 +55,7 @@ def counts(sample: DataFrame) -> DataFrame:
                 found.update((toxic, v, w) for v, w in zip(words, words[1:], strict=False))
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["toxic", "v", "w", "n"])
 
-    return sample.mapInPandas(run, "toxic int, v string, w string, n long").groupBy("toxic", "v", "w").agg(F.sum("n").alias("n"))
+    return sample.mapInPandas(tidied(run), "toxic int, v string, w string, n long").groupBy("toxic", "v", "w").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -165,7 +165,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for part in parts:
             yield pd.DataFrame({"toxic": part["toxic"], "ratio": [model.ratio(t, ids) for t in part["text"]]})
 
-    held = texts.filter("part = 0").select("toxic", "text").mapInPandas(ratios, "toxic int, ratio double").toPandas()
+    held = texts.filter("part = 0").select("toxic", "text").mapInPandas(tidied(ratios), "toxic int, ratio double").toPandas()
     model.calibrate(held["ratio"].to_numpy(), held["toxic"].to_numpy())
     return model
 
@@ -187,4 +187,4 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = np.array([own.ratio(t, ids) for t in batch.column(len(names)).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(own.score(found))], [*names, "score"])
 
-    return df.select(*[quoted(c) for c in names], quoted(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[quoted(c) for c in names], quoted(text).alias("__text")).mapInArrow(tidied(run), schema)
