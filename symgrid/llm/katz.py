@@ -1,18 +1,23 @@
 """Language-model scores by a Katz back-off bigram model with Good-Turing discounts.
 
-Counts. Words are counted over all training texts. The `vocabulary` most frequent words (a fixed
-bound, so their counts can be broadcast) have bigrams; every other word keeps its exact unigram
-count. Bigrams seen once are left to the back-off weight, as Katz (1987) proposes.
+Counts. All words and all their bigrams are counted over all training texts. The FREQUENT most
+frequent words have 16-bit numbers, and their weights are broadcast, which only makes them cheap; the
+other words, called rare, are known by 64-bit hashes and weighed where their bigrams meet. A caller may
+leave out bigrams seen fewer than `least` times (Katz, 1987, does so with those seen once) and bigrams
+beyond the `vocabulary` most frequent words.
 
 Bigrams within the `core` most frequent words (and a text's start and end), a fixed table, are counted
 where the texts are and broadcast; so a pair that most texts hold meets in no bucket.
 
-Layout. Texts are read in blocks. A block sends its rare words and its vocabulary bigrams, each with
-the texts that hold it, to buckets by hash: one row of packed bytes per block and bucket. A bucket
-counts its keys over all blocks, once, and the counted occurrences are kept as a table partitioned by
-bucket. Scores are sums over a text's tokens, and a token backs off from its bigram to its word:
-log P(w|v) if (v, w) was seen, else log a(v) + log P(w). So a text's score is the sum of log a(v) +
-log P(w) over its tokens, plus a difference for those tokens whose bigram was seen.
+Layout. Texts are read in blocks. A block sends its bigrams, each with the texts that hold it, to
+buckets by hash: one row of packed bytes per block and bucket. A bigram of two frequent words goes by
+both, one of a rare context by the context, any other by its rare word; so a bucket has all uses of its
+rare words and all that follows them. A bucket counts its keys over all blocks, once, and the counted
+occurrences are kept as a table partitioned by bucket. Scores are sums over a text's tokens, and a
+token backs off from its bigram to its word: log P(w|v) if (v, w) was seen, else log a(v) + log P(w).
+So a text's score is the sum of log a(v) + log P(w) over its tokens, plus a difference for those tokens
+whose bigram was seen. For rare contexts a(v) needs the counts of the rare words that follow; these
+come by a join of words to buckets.
 """
 
 from __future__ import annotations
@@ -32,8 +37,9 @@ from symgrid.llm.common import durable, quoted
 from symgrid.llm.simhash import LOWER
 
 START, END = 65_534, 65_535
-VOCABULARY, CORE = 65_534, 1_024
-RARE = np.uint64(1 << 63)
+#: Words with broadcast weights; words that have bigrams (None: all).
+FREQUENT, VOCABULARY, CORE = 65_534, None, 1_024
+RARE, WIDE = np.uint64(1 << 63), np.uint64(1 << 16)
 #: Tokens of a block; bytes of text per bucket; words remembered by a task.
 BLOCK_TOKENS, BUCKET_BYTES, MEMO = 1_500_000, 8 << 20, 250_000
 #: Counts up to this one are discounted.
@@ -45,14 +51,14 @@ def split(text: bytes | None) -> list[bytes]:
 
 
 class Coded(dict):
-    """Word to its vocabulary id, or to its hash with the top bit set."""
+    """Word to its id if it is frequent, or to its hash with the top bit set."""
 
     def __init__(self, known: dict[int, int]):
         self.known = known
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
-            # The vocabulary's words stay; they come again.
+            # The frequent words stay; they come again.
             often = [(w, i) for w, i in self.items() if i < (1 << 63)]
             self.clear()
             self.update(often)
@@ -95,6 +101,15 @@ def deltas(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=np.uint64(0))
 
 
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted columns differs from the one before it."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -156,10 +171,12 @@ def core_counts(docs: DataFrame, known, core: int) -> DataFrame:
     return docs.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
 
-def spread(docs: DataFrame, known, buckets: int, core: int) -> DataFrame:
-    """docs: key, text, train. Rows block, bucket, data, without the core's bigrams: keys (ascending), texts per key, and for each
-    of these the text's number in the block (doubled, plus one in training) and the uses. A row with
-    bucket -1 holds the names of the block's texts."""
+def spread(docs: DataFrame, known, buckets: int, core: int, whole: bool) -> DataFrame:
+    """docs: key, text, train. Rows block, bucket, data, without the core's bigrams: two parts of a key (the first ascending), texts
+    per key, and for each of these the text's number in the block (doubled, plus one in training) and
+    the uses. The parts are both frequent words and 0; or a rare context and its successor; or a rare
+    word and its frequent context plus WIDE. If not `whole`, rare words have no bigrams, and every
+    successor of one is written 0. A row with bucket -1 holds the names of the block's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = Coded(known.value)
@@ -171,7 +188,6 @@ def spread(docs: DataFrame, known, buckets: int, core: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             lengths = np.array([len(t) for t in tokens])
-            doc = np.repeat(np.arange(len(tokens), dtype=np.uint64), lengths)
             flat = np.concatenate(tokens)
             edge = np.cumsum(lengths) - lengths
             # Contexts and successors with a start before and an end after every text.
@@ -186,25 +202,25 @@ def spread(docs: DataFrame, known, buckets: int, core: int) -> DataFrame:
             inner[first + lengths] = False
             nxt[first + lengths], nxt[inner] = END, flat
             both = (ctx < RARE) & (nxt < RARE) & ~(((ctx < core) | (ctx == START)) & ((nxt < core) | (nxt == END)))
-            lone = flat >= RARE
-            keys = np.concatenate([(ctx[both] << np.uint64(16)) | nxt[both], flat[lone]])
-            docs_ = np.concatenate([doc2[both], doc[lone]])
-            order = np.argsort(keys, kind="stable")
-            keys, docs_ = keys[order], docs_[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs_[1:] != docs_[:-1])]) if len(keys) else np.zeros(0, bool)
-            start = np.flatnonzero(new)
+            after = ctx >= RARE
+            before = (nxt >= RARE) & ~after if whole else np.zeros(len(ctx), bool)
+            keys = np.concatenate([(ctx[both] << np.uint64(16)) | nxt[both], ctx[after], nxt[before]])
+            others = np.concatenate([np.zeros(int(both.sum()), np.uint64), nxt[after] if whole else np.zeros(int(after.sum()), np.uint64), ctx[before] + WIDE])
+            docs_ = np.concatenate([doc2[both], doc2[after], doc2[before]])
+            order = np.lexsort((others, keys))
+            keys, others, docs_ = keys[order], others[order], docs_[order]
+            start = np.flatnonzero(starts(keys, others, docs_))
             uses = np.diff(np.append(start, len(keys)))
-            keys, docs_ = keys[start], docs_[start]
+            keys, others, docs_ = keys[start], others[start], docs_[start]
             place = bucket_of(keys, buckets)
             order = np.argsort(place.astype(np.uint16), kind="stable") if buckets <= 65_536 else np.argsort(place, kind="stable")
-            keys, docs_, uses, place = keys[order], docs_[order], uses[order], place[order]
+            keys, others, docs_, uses, place = keys[order], others[order], docs_[order], uses[order], place[order]
             mark = docs_ * np.uint64(2) + np.array(trains, np.uint64)[docs_.astype(np.int64)]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]]) if len(place) else np.zeros(1, int)
             rows = [(-1, pack(np.array(names, np.int64).view(np.uint64)))]
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                k = keys[s:e]
-                own = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                rows.append((int(place[s]), pack(deltas(k[own]), np.diff(np.append(own, e - s)), mark[s:e], uses[s:e])))
+                own = np.flatnonzero(starts(keys[s:e], others[s:e]))
+                rows.append((int(place[s]), pack(deltas(keys[s:e][own]), others[s:e][own], np.diff(np.append(own, e - s)), mark[s:e], uses[s:e])))
             block = (task << 24) + number
             return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "data"])
 
@@ -223,10 +239,13 @@ def spread(docs: DataFrame, known, buckets: int, core: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, bucket int, data binary")
 
 
-def counted(group: pa.Table) -> pa.Table:
-    """Of one bucket's rows: its occurrences with counts, by block. Kind 0 rows hold rare words (counts,
-    texts per word, text, uses), then seen bigrams (the same, keys first); a row of kind 1 the
-    bucket's seen bigrams and their counts, and its numbers of bigrams with counts 1 to K + 1."""
+def counted(group: pa.Table, least: int, whole: bool) -> pa.Table:
+    """Of one bucket's rows: its occurrences with counts. By block, kind 0 rows hold seen bigrams of
+    frequent words (keys, counts, texts per key, text, uses), kind 3 rows the others (places in the
+    bucket's table of them, texts per place, text, uses). A row of kind 1 holds the bucket's seen
+    bigrams of frequent words and their counts, its numbers of bigrams with counts 1 to K + 1, and the
+    frequent contexts of its rare words, the bigrams' counts, the words' counts; one of kind 4 the table
+    of all its other bigrams (two parts of a key, count)."""
     bucket = group.column("bucket")[0].as_py()
     blocks, datas = group.column("block").to_pylist(), group.column("data").to_pylist()
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -234,28 +253,100 @@ def counted(group: pa.Table) -> pa.Table:
         return pa.table([pa.array(blocks, pa.int64()), pa.array([bucket] * len(blocks), pa.int32()), pa.array([2] * len(blocks), pa.int32()), pa.array(datas, pa.binary())], schema=schema)
     parts = []
     for data in datas:
-        d, many, mark, uses = unpack(data)
-        parts.append((np.cumsum(d, dtype=np.uint64), many.astype(np.int64), mark, uses))
-    per = [np.add.reduceat((p[2] & np.uint64(1)) * p[3], np.cumsum(p[1]) - p[1]) for p in parts]
-    keys, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    count = np.bincount(which, np.concatenate(per).astype(float), len(keys)).astype(np.int64)
-    pair = keys < RARE
+        d, other, many, mark, uses = unpack(data)
+        parts.append((np.cumsum(d, dtype=np.uint64), other, many.astype(np.int64), mark, uses))
+    per = np.concatenate([np.add.reduceat((p[3] & np.uint64(1)) * p[4], np.cumsum(p[2]) - p[2]) for p in parts])
+    keys, others = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((others, keys))
+    new = starts(keys[order], others[order])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    keys, others = keys[order][new], others[order][new]
+    count = np.bincount(which, per.astype(float), len(keys)).astype(np.int64)
+    # Keys ascend, so that those of rare words are the last ones.
+    n = int(np.searchsorted(keys, RARE))
     out = []
     at = 0
-    for block, (k, many, mark, uses) in zip(blocks, parts, strict=True):
-        c = count[which[at : at + len(k)]]
-        at += len(k)
+    for block, (_, _, many, mark, uses) in zip(blocks, parts, strict=True):
+        w = which[at : at + len(many)]
+        at += len(many)
         doc = mark >> np.uint64(1)
-        rare = k >= RARE
-        seen = ~rare & (c >= 2)
-        wide_rare, wide_seen = np.repeat(rare, many), np.repeat(seen, many)
-        out.append((block, 0, pack(c[rare], many[rare], doc[wide_rare], uses[wide_rare], k[seen], c[seen], many[seen], doc[wide_seen], uses[wide_seen])))
-    seen = pair & (count >= 2)
-    tally = np.bincount(np.minimum(count[pair], K + 2), minlength=K + 3)[1 : K + 2]
-    out.append((-1, 1, pack(deltas(keys[seen]), count[seen], tally)))
+        plain, rare = (w < n) & (count[w] >= least), w >= n
+        wide_plain, wide_rare = np.repeat(plain, many), np.repeat(rare, many)
+        out.append((block, 0, pack(keys[w[plain]], count[w[plain]], many[plain], doc[wide_plain], uses[wide_plain])))
+        if rare.any():
+            out.append((block, 3, pack(deltas((w[rare] - n).astype(np.uint64)), many[rare], doc[wide_rare], uses[wide_rare])))
+    tally = np.bincount(np.minimum(count if whole else count[:n], K + 2), minlength=K + 3)[1 : K + 2]
+    seen = np.flatnonzero(count[:n] >= least)
+    keys, others, count, plain = keys[n:], others[n:], count[n:], (keys[seen], count[seen])
+    _, _, used = owners(keys, others, count)
+    led = (others >= WIDE) & (others < RARE) & (count >= least)
+    out.append((-1, 1, pack(deltas(plain[0]), plain[1], tally, others[led] - WIDE, count[led], used[led])))
+    out.append((-1, 4, pack(deltas(keys), others, count)))
     return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], schema=schema)
 
 
+def owners(keys: np.ndarray, others: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's table: which rare word each row has, whether as context, and that word's count."""
+    own = np.cumsum(starts(keys)) - 1
+    context = (others < WIDE) | (others >= RARE)
+    used = np.bincount(own, count * context, int(own[-1]) + 1 if len(own) else 0).astype(np.int64)
+    return own, context, used[own]
+
+
+def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, data of kind 4 rows. Columns deal, h: the rare words that follow a rare word in a bucket."""
+    for batch in batches:
+        for bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            others = unpack(data)[1]
+            h = np.unique(others[others >= RARE])
+            for at in range(0, len(h), 100_000):
+                part = h[at : at + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), pa.array(part)], ["deal", "h"])
+
+
+def weighed(model: Model, rows: pa.Table, found: pa.Table, least: int, whole: bool) -> pa.Table:
+    """rows: of kinds 3 and 4 of a bucket; found: counts n of words h. Rows of kind 5, by block: one
+    more than the context's count (0 for a frequent context), what the bigram adds to the score but for
+    the words' own weights, texts per bigram, text, uses."""
+    data = list(zip(rows.column("block").to_pylist(), rows.column("kind").to_pylist(), rows.column("data").to_pylist(), strict=True))
+    d, others, count = unpack(next(x for _, kind, x in data if kind == 4))
+    keys, count = np.cumsum(d, dtype=np.uint64), count.astype(np.int64)
+    own, context, used = owners(keys, others, count)
+    value = np.zeros(len(keys))
+    if whole:
+        h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+        order = np.argsort(h)
+        h, n = np.append(h[order], ~np.uint64(0)), np.append(n[order], 0)
+        rare = others >= RARE
+        known = np.where(context, 0, used)
+        at = np.searchsorted(h, others[rare])
+        known[rare] = np.where(h[at] == others[rare], n[at], 0)
+        frequent = context & ~rare
+        word = model.log_word(known)
+        word[frequent] = model.word[others[frequent].astype(np.int64)]
+        seen = count >= least
+        mine = seen & context
+        size = int(own[-1]) + 1 if len(own) else 0
+        disc = model.discounted(count, model.pair_ratio)
+        mass, lower = np.bincount(own, disc * mine, size)[own], np.bincount(own, 10**word * mine, size)[own]
+        full = (mass > 0) & (mass >= used * (1 - 1e-9))
+        back = np.log10((1 - mass / np.maximum(used + full, 1)) / np.maximum(1 - lower, 1e-12))
+        value[mine] = np.log10(disc[mine] / (used + full)[mine]) - word[mine]
+        value[context & ~seen] = back[context & ~seen]
+        led = np.flatnonzero(seen & ~context)
+        v = (others[led] - WIDE).astype(np.int64)
+        value[led] = np.log10(disc[led] / (model.uses[v] + model.short[v])) - model.back[v] - word[led]
+    out = []
+    for block, kind, x in data:
+        if kind == 3:
+            w, many, doc, uses = unpack(x)
+            w = np.cumsum(w, dtype=np.uint64).astype(np.int64)
+            out.append((block, pack(np.where(context, used + 1, 0)[w], value[w].view(np.uint64), many, doc, uses)))
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([5] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary())], schema=schema)
+
+
 def discounts(n: list[int], least: int = 1) -> np.ndarray:
     """Katz's discount ratio for counts 0 to K (0 for counts below `least`), from the numbers n[r - 1]
     of kinds seen r times; where Good-Turing gives no ratio between 0 and 1, an absolute discount."""
@@ -269,10 +360,10 @@ def discounts(n: list[int], least: int = 1) -> np.ndarray:
 
 
 class Model:
-    """Unigram and back-off weights of the vocabulary, and the statistics for all other words."""
+    """Unigram and back-off weights of the frequent words, and the statistics for all other words."""
 
     def __init__(self, counts: np.ndarray, n_train: int, total: int, kinds: int, ones: list[int], rest: float):
-        """counts: of the vocabulary by id. total, kinds: all training tokens, distinct ones. ones:
+        """counts: of the frequent words by id. total, kinds: all training tokens, distinct ones. ones:
         numbers of tokens seen 1 to K + 1 times. rest: sum of discounted counts of all tokens."""
         self.total, self.kinds = total, kinds
         self.ratio = discounts(ones)
@@ -305,6 +396,11 @@ class Model:
         add = lambda x: np.bincount(mass, x, len(own)).astype(float)
         return own, add(self.discounted(c, self.pair_ratio)), add(10 ** self.word[w])
 
+    def led(self, v: np.ndarray, c: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of frequent contexts before rare words, which are used `used` times."""
+        own, mass = np.unique(v.astype(np.int64), return_inverse=True)
+        return own, np.bincount(mass, self.discounted(c, self.pair_ratio), len(own)).astype(float), np.bincount(mass, 10 ** self.log_word(used), len(own)).astype(float)
+
     def close(self, v: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> None:
         """Back-off weights that make every context's distribution sum to one. A context whose seen
         bigrams would take all of it counts one use more."""
@@ -324,16 +420,22 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column | None = None, core: int = CORE) -> DataFrame:
+def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column | None = None, core: int = CORE, vocabulary: int | None = None, least: int = 2) -> DataFrame:
     """One row per row of df: key (cast to long), held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    `test` marks the rows that are scored but not learnt from. Tokens are the words, lower-cased A-Z,
+    `test` marks the rows that are scored but not learnt from. Bigrams seen fewer than `least` times are
+    left to the back-off weight. All words have bigrams; with `vocabulary` (FREQUENT at most) only that
+    many, the most frequent. Tokens are the words, lower-cased A-Z,
     and one end. Null texts count as empty (their end is a token); repeated rows are learnt as often
     as they occur and get equal scores; without training rows every token is unknown; an empty table
-    gives an empty result; other columns are ignored. Only the vocabulary's counts, the core's
+    gives an empty result; other columns are ignored. Only the frequent words' counts, the core's
     bigrams ((core + 2)^2 at most), a row of statistics per count up to K + 1 and one weight per
-    vocabulary word reach the driver.
+    frequent word reach the driver.
     """
+    vocabulary = VOCABULARY if vocabulary is None else vocabulary
+    whole = vocabulary is None
+    if not whole and vocabulary > FREQUENT:
+        raise ValueError(f"a vocabulary is {FREQUENT} words at most, or None for all")
     spark = df.sparkSession
     test = held_out(quoted(key)) if test is None else test
     docs = df.select(quoted(key).cast("long").alias("key"), quoted(text).cast("binary").alias("text"), (~test).alias("train"))
@@ -349,7 +451,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column
     ones = [(tally[r]["kinds"] if r in tally else 0) + (n_train == r) for r in range(1, K + 2)]
     ratio = np.append(discounts(ones), [1.0])
     rest = sum((tally[r]["tokens"] if r in tally else 0) * (ratio[r] if 0 < r <= K else 1.0) for r in range(K + 2)) + n_train * (ratio[n_train] if n_train <= K else 1.0)
-    top = words.orderBy(F.desc("n"), "h").limit(VOCABULARY).toArrow()
+    top = words.orderBy(F.desc("n"), "h").limit(FREQUENT if whole else vocabulary).toArrow()
     hashes, counts = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     known = spark.sparkContext.broadcast(dict(zip(hashes.tolist(), range(len(hashes)), strict=True)))
     model = Model(counts, n_train, total, kinds, ones, rest)
@@ -358,10 +460,10 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column
     place, core_n = table.column("place").to_numpy().astype(np.int64), table.column("n").to_numpy()
     real = np.concatenate([np.arange(core), [START, END]]).astype(np.uint64)
     core_keys = (real[place // (core + 2)] << np.uint64(16)) | real[place % (core + 2)]
-    rows = spread(docs, known, buckets, core)
+    rows = spread(docs, known, buckets, core, whole)
     # Rows of names are dealt by block, occurrences by bucket.
     dealt = rows.withColumn("deal", F.when(F.col("bucket") < 0, -1 - F.pmod(F.col("block"), F.lit(997))).otherwise(F.col("bucket")))
-    store = durable(dealt.groupBy("deal").applyInArrow(counted, "block long, bucket int, kind int, data binary"))
+    store = durable(dealt.groupBy("deal").applyInArrow(lambda group: counted(group, least, whole), "block long, bucket int, kind int, data binary"))
 
     def pair_tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,23 +472,23 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column
 
     seen = store.filter("kind = 1").select("data")
     pairs = {r["r"]: r["n"] for r in seen.mapInArrow(pair_tally, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()}
-    model.pair_ratio = discounts([pairs.get(r, 0) + int((core_n == r + 1).sum()) for r in range(K + 1)], least=2)
+    model.pair_ratio = discounts([pairs.get(r, 0) + int((core_n == r + 1).sum()) for r in range(K + 1)], least=least)
     first = spark.sparkContext.broadcast(model)
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                d, c, _ = unpack(data)
-                v, mass, lower = first.value.masses(np.cumsum(d, dtype=np.uint64), c.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)), pa.array(mass), pa.array(lower)], ["v", "mass", "lower"])
+                d, c, _, led, led_c, used = unpack(data)
+                for v, mass, lower in (first.value.masses(np.cumsum(d, dtype=np.uint64), c.astype(np.int64)), first.value.led(led, led_c.astype(np.int64), used.astype(np.int64))):
+                    yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)), pa.array(mass), pa.array(lower)], ["v", "mass", "lower"])
 
     sums = seen.mapInArrow(weights, "v int, mass double, lower double").groupBy("v").agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower")).toArrow()
-    twice = core_n >= 2
-    parts = [[sums.column(i).to_numpy() for i in range(3)], model.masses(core_keys[twice], core_n[twice])]
+    seen_core = core_n >= least
+    parts = [[sums.column(i).to_numpy() for i in range(3)], model.masses(core_keys[seen_core], core_n[seen_core])]
     v, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     model.close(v.astype(np.int64), *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(v)) for i in (1, 2)))
     model.core_gain = np.zeros((core + 2) ** 2)
-    model.core_gain[place[twice]] = model.gain(core_keys[twice], core_n[twice])
+    model.core_gain[place[seen_core]] = model.gain(core_keys[seen_core], core_n[seen_core])
     full = spark.sparkContext.broadcast(model)
 
     def own_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,26 +513,31 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column
     def other_part(group: pa.Table) -> pa.Table:
         m = full.value
         names = np.zeros(0, np.int64)
-        found = []
+        plain, other = [], []
         for kind, data in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True):
             if kind == 2:
                 names = unpack(data)[0].view(np.int64)
             else:
-                found.append(unpack(data))
+                (plain if kind == 0 else other).append(unpack(data))
         n = len(names)
         known_, base, score = np.zeros(n), np.zeros(n), np.zeros(n)
-        for c, many, doc, uses, k, kc, kmany, kdoc, kuses in found:
-            c, uses, doc = np.repeat(c.astype(np.int64), many.astype(np.int64)), uses.astype(np.int64), doc.astype(np.int64)
-            known_ += np.bincount(doc, uses * (c > 0), n)
-            base += np.bincount(doc, uses * m.log_base(c), n)
-            score += np.bincount(doc, uses * m.log_word(c), n)
+        for k, kc, kmany, kdoc, kuses in plain:
             gain = np.repeat(m.gain(k, kc.astype(np.int64)), kmany.astype(np.int64))
             score += np.bincount(kdoc.astype(np.int64), kuses.astype(np.int64) * gain, n)
+        for used, value, many, doc, uses in other:
+            context, c = used > 0, np.maximum(used.astype(np.int64) - 1, 0)
+            wide = lambda x: np.repeat(x, many.astype(np.int64)) * uses.astype(np.int64)  # noqa: B023, E731
+            doc = doc.astype(np.int64)
+            known_ += np.bincount(doc, wide(context & (c > 0)), n)
+            base += np.bincount(doc, wide(context * m.log_base(c)), n)
+            score += np.bincount(doc, wide(context * m.log_word(c) + value.view(np.float64)), n)
         return pa.table([pa.array(names), pa.array(np.zeros(n, np.int64)), pa.array(known_.astype(np.int64)), pa.array(base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=["name", "n_tokens", "n_known", "base", "score", "key", "train"])
 
     schema = "name long, n_tokens long, n_known long, base double, score double, key long, train boolean"
     mine = docs.select("key", "text", "train").mapInArrow(own_part, schema)
-    theirs = store.filter("kind <> 1").groupBy("block").applyInArrow(other_part, schema)
+    asked = store.filter("kind = 4").select("bucket", "data").mapInArrow(needed, "deal int, h long").join(words, "h")
+    rest_ = store.filter("kind in (3, 4)").groupBy("bucket").cogroup(asked.groupBy("deal")).applyInArrow(lambda rows, found: weighed(full.value, rows, found, least, whole), "block long, kind int, data binary")
+    theirs = store.filter("kind in (0, 2)").select("block", "kind", "data").unionByName(rest_).groupBy("block").applyInArrow(other_part, schema)
     # Equal rows have one name: their sums are taken together and shared out again.
     both = mine.unionByName(theirs).groupBy("name").agg(
         *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.max("key").alias("key"), F.max("train").alias("train"), F.count("train").alias("rows")

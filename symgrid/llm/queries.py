@@ -24,7 +24,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.scores(spread_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return katz.scores(spread_table(spark, sf_dir, "documents", "doc_id", "text"), least=1)
 
 
 #: A public SentencePiece model; a parameter of op6 and of the pipeline.
