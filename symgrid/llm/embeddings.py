@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from symgrid.llm.common import durable, quoted
 from symgrid.llm.components import components
 
-#: Rows on which centroids are fitted, at most; vectors per cell aimed at; rows of a block.
-FIT_ROWS, CELL_ROWS, BLOCK = 20_000, 4_096, 2_048
-#: Cells beside its own in which a vector near the border is compared too.
-SPILL = 3
+#: Rows on which centroids are fitted, at most; vectors per cell aimed at; rows of a block; rows placed at once.
+FIT_ROWS, CELL_ROWS, BLOCK, PLACED = 20_000, 4_096, 2_048, 1_024
 
 
 def fit(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -38,8 +36,8 @@ def units(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cells_of(x: np.ndarray, centres: np.ndarray, least: float, spill: int) -> list[list[int]]:
-    """For each unit vector its own cell, then the nearest cells that may hold a partner.
+def cells_of(x: np.ndarray, centres: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each unit vector its own cell, then all cells of lower number that may hold a partner.
 
     A partner of cosine `least` or more in cell c lies beyond the plane between the two centres,
     which it can only if the vector's own distance to that plane is at most the sine of the angle.
@@ -48,9 +46,9 @@ def cells_of(x: np.ndarray, centres: np.ndarray, least: float, spill: int) -> li
     own = np.argmax(near, axis=1)
     gap = np.linalg.norm(centres[own][:, None, :] - centres[None], axis=2) if len(centres) <= 64 else np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[own]
     lead = near[np.arange(len(x)), own][:, None] - near
-    reach = lead <= np.sqrt(1 - least * least) * gap + 1e-9
-    order = np.argsort(-near, axis=1, kind="stable")[:, : spill + 1]
-    return [[int(own[i])] + [int(c) for c in order[i] if c != own[i] and reach[i, c]] for i in range(len(x))]
+    # The slack is above the error of a gap, which is the root of a difference.
+    reach = lead <= np.sqrt(1 - least * least) * gap + 1e-7
+    return [np.append(o, np.flatnonzero(r[:o])).astype(np.int32) for o, r in zip(own.tolist(), reach, strict=True)]
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -78,22 +76,13 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 def compare(part: pd.DataFrame, least: float) -> pd.DataFrame:
     """Of one pair of blocks of a cell: rows (a, b, n): b null, n partners of a; or an edge a, b."""
-    cell, (bi, bj) = int(part["cell"].iloc[0]), part[["bi", "bj"]].iloc[0]
+    bi, bj = part[["bi", "bj"]].iloc[0]
     part = part.sort_values("id", ignore_index=True)
     x, ids, copies = units(part["vec"].tolist()), part["id"].to_numpy(), part["copies"].to_numpy()
-    mine = np.full((len(part), SPILL + 1), -1)
-    for r, cs in enumerate(part["cells"]):
-        mine[r, : len(cs)] = cs
-    theirs = np.where((mine >= 0) & (mine < cell), mine, -2)
-    mine = np.where((mine >= 0) & (mine < cell), mine, -1)
     block = part["block"].to_numpy()
     left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
     near = x[left] @ x[right].T >= least
     near &= left[:, None] != right[None, :]
-    i, j = np.nonzero(near)
-    # A pair that meets in several cells counts in the lowest of them only.
-    again = (mine[left[i]][:, :, None] == theirs[right[j]][:, None, :]).any(axis=(1, 2))
-    near[i[again], j[again]] = False
     n = np.zeros(len(part), np.int64)
     n[left] += near @ copies[right]
     if bi != bj:
@@ -115,8 +104,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     in double precision is `least` or more. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing; such rows, and repeated rows, stay. Equal vectors of a
     label are one node, linked among themselves. Cells are fitted on a sample of at most FIT_ROWS
-    rows; every row is placed in its own cell and in up to SPILL others that the geometry allows.
-    A cell's rows of one label are compared in blocks, so no task holds more than two of them.
+    rows; every row lives in its own cell and visits all cells of lower number that may hold a partner,
+    so every link is found, and once. A cell's own rows of one label are compared with each other and
+    with its visitors in blocks, so no task holds more than two of them. Where vectors have no clusters
+    they reach most cells; that is a blocked comparison of all pairs.
     """
     v = F.transform(quoted(vector), lambda e: e.cast("double"))
     fine = F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0), F.lit(False)) & quoted(label).isNotNull()
@@ -131,25 +122,29 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             centres[dim] = fit(units([r["vec"] for r in rows]), max(1, min(4_096, -(-n // cell_rows))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vecs = batch.column(0).to_pylist()
-            out: list = [None] * len(vecs)
-            for dim in {len(x) for x in vecs}:
-                at = [i for i, x in enumerate(vecs) if len(x) == dim]
-                found = cells_of(units([vecs[i] for i in at]), centres[dim], least, SPILL) if dim in centres else [[0]] * len(at)
-                for i, c in zip(at, found, strict=True):
-                    out[i] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, PLACED):
+                batch = whole.slice(start, PLACED)
+                vecs = batch.column(0).to_pylist()
+                out: list = [None] * len(vecs)
+                for dim in {len(x) for x in vecs}:
+                    at = [i for i, x in enumerate(vecs) if len(x) == dim]
+                    found = cells_of(units([vecs[i] for i in at]), centres[dim], least) if dim in centres else [[0]] * len(at)
+                    for i, c in zip(at, found, strict=True):
+                        out[i] = c
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
     kind = nodes.schema["label"].dataType.simpleString()
     vec_kind = nodes.schema["vec"].dataType.simpleString()
     placed = nodes.select("vec", "id", "copies", "label", "h").mapInArrow(place, f"vec {vec_kind}, id long, copies long, label {kind}, h long, cells array<int>")
     placed = durable(placed.select("*", F.size("vec").alias("dim")))
-    spread = placed.select("*", F.explode("cells").alias("cell"))
-    sizes = spread.groupBy("label", "dim", "cell").count().select("label", "dim", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    blocked = spread.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
-    pairs = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    spread = placed.select("id", "copies", "vec", "label", "h", "dim", F.posexplode("cells").alias("nth", "cell")).withColumn("guest", F.col("nth") > 0)
+    blocks = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / BLOCK).cast("int")
+    sizes = spread.groupBy("label", "dim", "cell").agg(blocks(False).alias("own_blocks"), blocks(True).alias("guest_blocks")).filter("own_blocks > 0")
+    # A cell's own blocks meet each other and all blocks of guests; guests do not meet.
+    blocked = spread.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.expr("if(guest, own_blocks + pmod(h, guest_blocks), pmod(h, own_blocks))").cast("int"))
+    pairs = blocked.select("*", F.explode(F.expr("sequence(0, if(guest, own_blocks, own_blocks + guest_blocks) - 1)")).alias("other"))
+    pairs = pairs.select("id", "copies", "vec", "label", "dim", "cell", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     found = pairs.groupBy("label", "dim", "cell", "bi", "bj").applyInPandas(lambda part: compare(part, least), "a long, b long, n long")
     found = durable(found)
     links = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("links"))
