@@ -43,15 +43,15 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, shingle: int = 4) -> DataFrame:
-    """Columns key, fp (the fingerprint's bits as a signed long); null texts count as empty."""
+    """Columns key, h (the text's hash), fp (the fingerprint's bits as a signed long); null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t or b"", shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["key", "fp"])
+            values = [fingerprint(t or b"", shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(values, np.uint64).view(np.int64))], ["key", "h", "fp"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(quoted(key).alias("key"), quoted(text).cast("binary").alias("text")).mapInArrow(tidied(run), f"key {kind}, fp long")
+    return df.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("h"), quoted(text).cast("binary").alias("text")).mapInArrow(tidied(run), f"key {kind}, h long, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -133,17 +133,28 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int =
     other. Repeated rows stay; an empty table gives an empty result; other columns are ignored.
     Short texts (fewer words than a shingle) have one shingle, the whole text.
     """
-    prints = durable(fingerprints(df, key, text, shingle))
-    nodes = durable(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(links(nodes.select("fp"), radius))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = durable(named)
+    prints, named = _rooted(df, key, text, radius, shingle)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(ids, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """The rows of df whose key is the smallest of its group, with df's columns."""
-    kept = groups(df, key, text, radius).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key")).distinct()
-    return df.join(kept, quoted(key) == F.col("__key"), "left_semi")
+def _rooted(df: DataFrame, key: str, text: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of df, and columns fp, least (smallest key of it), root (one of the group's fingerprints)."""
+    prints = durable(fingerprints(df, key, text, shingle))
+    nodes = durable(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    roots = components(links(nodes.select("fp"), radius))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, durable(named)
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
+    """One row of df for each group, with df's columns: of those with the smallest key, null keys last,
+    the first by hashes of the text and of the row. So a group whose keys are all null keeps a row, and
+    of repeated rows one stays."""
+    prints, named = _rooted(df, key, text, radius, shingle)
+    first = prints.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("first"))
+    first = first.select(F.col("first.key").alias("__key"), F.col("first.h").alias("__h"), F.col("root").alias("__root"))
+    rows = df.select(F.struct("*").alias("row"), quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("h"))
+    rows = rows.join(first, F.col("key").eqNullSafe(F.col("__key")) & (F.col("h") == F.col("__h")))
+    return rows.groupBy("__root").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
