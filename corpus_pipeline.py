@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgrid.llm import mixing, pieces, pii, simhash, toxicity
-from symgrid.llm.common import durable, table
+from symgrid.llm.common import stored, table
 from symgrid.llm.queries import PIECE_MODEL
 
 
@@ -46,8 +46,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = durable(docs)
+            docs = stored(docs, name)
     return docs
