@@ -6,18 +6,23 @@ other words, called rare, are known by 64-bit hashes and weighed where their big
 leave out bigrams seen fewer than `least` times (Katz, 1987, does so with those seen once) and bigrams
 beyond the `vocabulary` most frequent words.
 
-Bigrams within the `core` most frequent words (and a text's start and end), a fixed table, are counted
-where the texts are and broadcast; so a pair that most texts hold meets in no bucket.
-
-Layout. Texts are read in blocks. A block sends its bigrams, each with the texts that hold it, to
-buckets by hash: one row of packed bytes per block and bucket. A bigram of two frequent words goes by
-both, one of a rare context by the context, any other by its rare word; so a bucket has all uses of its
-rare words and all that follows them. A bucket counts its keys over all blocks, once, and the counted
-occurrences are kept as a table partitioned by bucket. Scores are sums over a text's tokens, and a
-token backs off from its bigram to its word: log P(w|v) if (v, w) was seen, else log a(v) + log P(w).
-So a text's score is the sum of log a(v) + log P(w) over its tokens, plus a difference for those tokens
-whose bigram was seen. For rare contexts a(v) needs the counts of the rare words that follow; these
-come by a join of words to buckets.
+Bigrams within the `core` most frequent words (and a text's start and end), a fixed table, are
+broadcast, which again is a matter of cost only.
+
+Layout. Texts are read in blocks. A block keeps, per bigram, the list of its texts that hold it, and
+sends each bigram once, with its uses in training, to a bucket by hash: one row of packed bytes per
+block and bucket. So a bigram that every text holds costs a bucket one entry per block. A bigram of two
+frequent words goes by both, one of a rare context by the context, any other by its rare word; so a
+bucket has all uses of its rare words and all that follows them. A bucket adds up its bigrams over all
+blocks and answers each block in the order in which the block asked. Scores are sums over a text's
+tokens, and a token backs off from its bigram to its word: log P(w|v) if (v, w) was seen, else
+log a(v) + log P(w). So a text's score is the sum of log a(v) + log P(w) over its tokens, plus a
+difference for those tokens whose bigram was seen. For rare contexts a(v) needs the counts of the rare
+words that follow; these come by a join of words to buckets.
+
+A block numbers its texts in an order by hash, not in that of arrival, so a task that is run again after
+a lost executor sends the same rows. There are as many packed rows as blocks times buckets: the
+parameters block_tokens and bucket_bytes should grow with the executors' memory.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ START, END = 65_534, 65_535
 FREQUENT, VOCABULARY, CORE = 65_534, None, 1_024
 RARE, WIDE = np.uint64(1 << 63), np.uint64(1 << 16)
 #: Tokens of a block; bytes of text per bucket; words remembered by a task.
-BLOCK_TOKENS, BUCKET_BYTES, MEMO = 1_500_000, 8 << 20, 250_000
+BLOCK_TOKENS, BUCKET_BYTES, MEMO = 1_500_000, 16 << 20, 250_000
 #: Counts up to this one are discounted.
 K = 5
 
@@ -71,9 +76,10 @@ class Coded(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def identity(key: int | None, text: bytes | None) -> int:
-    """A row's 64-bit name, equal for equal rows only (but for chance)."""
-    return xxhash.xxh64_intdigest(struct.pack("<q?", key or 0, key is None) + (text or b""), 7) - (1 << 63)
+def identity(key: int | None, text: bytes | None) -> tuple[int, int]:
+    """A row's 128-bit name in two signed halves, equal for equal rows only."""
+    h = xxhash.xxh3_128_intdigest(struct.pack("<q?", key or 0, key is None) + (text or b""))
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -81,8 +87,8 @@ def pack(*arrays: np.ndarray) -> bytes:
     parts = [struct.pack("<I", len(arrays))]
     for a in arrays:
         a = np.ascontiguousarray(a, np.uint64)
-        planes = a.view(np.uint8).reshape(len(a), 8).T
-        parts += [struct.pack("<Q", len(a)), planes.tobytes()]
+        width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        parts += [struct.pack("<QB", len(a), width), a.view(np.uint8).reshape(len(a), 8)[:, :width].T.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -90,10 +96,12 @@ def unpack(data: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n, at, out = struct.unpack_from("<I", raw)[0], 4, []
     for _ in range(n):
-        size = struct.unpack_from("<Q", raw, at)[0]
-        at += 8
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T).view(np.uint64).reshape(size))
-        at += 8 * size
+        size, width = struct.unpack_from("<QB", raw, at)
+        at += 9
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size).T
+        out.append(wide.reshape(-1).view(np.uint64))
+        at += width * size
     return out
 
 
@@ -156,33 +164,20 @@ def core_pairs(texts: list[np.ndarray], core: int) -> tuple[np.ndarray, np.ndarr
     return place, np.searchsorted(last, both)
 
 
-def core_counts(docs: DataFrame, known, core: int) -> DataFrame:
-    """docs: text (binary). Columns place, n: uses of the core's bigrams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded, total = Coded(known.value), np.zeros((core + 2) ** 2, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 2_000):
-                total += np.bincount(core_pairs([coded.text(t) for t in texts[at : at + 2_000]], core)[0], minlength=len(total))
-        place = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(total[place])], ["place", "n"])
-
-    return docs.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
-
-
-def spread(docs: DataFrame, known, buckets: int, core: int, whole: bool) -> DataFrame:
-    """docs: key, text, train. Rows block, bucket, data, without the core's bigrams: two parts of a key (the first ascending), texts
-    per key, and for each of these the text's number in the block (doubled, plus one in training) and
-    the uses. The parts are both frequent words and 0; or a rare context and its successor; or a rare
-    word and its frequent context plus WIDE. If not `whole`, rare words have no bigrams, and every
-    successor of one is written 0. A row with bucket -1 holds the names of the block's texts."""
+def spread(docs: DataFrame, known, buckets: int, core: int, whole: bool, block_tokens: int) -> DataFrame:
+    """docs: key, text, train, in a defined order. Rows block, bucket, data, without the core's bigrams:
+    two parts of a key (the first ascending) and its uses in training. The parts are both frequent words
+    and 0; or a rare context and its successor; or a rare word and its frequent context plus WIDE. If
+    not `whole`, rare words have no bigrams, and every successor of one is written 0. A row with bucket
+    -1 holds the names of the block's texts (two halves), the bucket of each key in order of keys, the
+    texts per key, and for each of these the text's number in the block and the uses; one with bucket
+    -2 places in the core's table and their uses in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = Coded(known.value)
         task = TaskContext.get().partitionId()
         tokens: list[np.ndarray] = []
-        names: list[int] = []
+        names: list[tuple[int, int]] = []
         trains: list[bool] = []
         size, number = 0, 0
 
@@ -193,7 +188,8 @@ def spread(docs: DataFrame, known, buckets: int, core: int, whole: bool) -> Data
             # Contexts and successors with a start before and an end after every text.
             ctx = np.empty(len(flat) + len(tokens), np.uint64)
             nxt = np.empty(len(flat) + len(tokens), np.uint64)
-            doc2 = np.repeat(np.arange(len(tokens), dtype=np.uint64), lengths + 1)
+            doc = np.repeat(np.arange(len(tokens), dtype=np.uint64), lengths + 1)
+            learnt = np.array(trains)
             first = edge + np.arange(len(tokens))
             inner = np.ones(len(ctx), bool)
             inner[first] = False
@@ -201,26 +197,34 @@ def spread(docs: DataFrame, known, buckets: int, core: int, whole: bool) -> Data
             inner[:] = True
             inner[first + lengths] = False
             nxt[first + lengths], nxt[inner] = END, flat
-            both = (ctx < RARE) & (nxt < RARE) & ~(((ctx < core) | (ctx == START)) & ((nxt < core) | (nxt == END)))
+            fit = ((ctx < core) | (ctx == START)) & ((nxt < core) | (nxt == END))
+            mine = fit & np.repeat(learnt, lengths + 1)
+            v, w = np.minimum(ctx[mine], core).astype(np.int64), np.minimum(nxt[mine], core + 1).astype(np.int64)
+            table = np.bincount(v * (core + 2) + w, minlength=(core + 2) ** 2)
+            used = np.flatnonzero(table)
+            both = (ctx < RARE) & (nxt < RARE) & ~fit
             after = ctx >= RARE
             before = (nxt >= RARE) & ~after if whole else np.zeros(len(ctx), bool)
             keys = np.concatenate([(ctx[both] << np.uint64(16)) | nxt[both], ctx[after], nxt[before]])
             others = np.concatenate([np.zeros(int(both.sum()), np.uint64), nxt[after] if whole else np.zeros(int(after.sum()), np.uint64), ctx[before] + WIDE])
-            docs_ = np.concatenate([doc2[both], doc2[after], doc2[before]])
+            docs_ = np.concatenate([doc[both], doc[after], doc[before]])
             order = np.lexsort((others, keys))
             keys, others, docs_ = keys[order], others[order], docs_[order]
             start = np.flatnonzero(starts(keys, others, docs_))
             uses = np.diff(np.append(start, len(keys)))
             keys, others, docs_ = keys[start], others[start], docs_[start]
+            own = np.flatnonzero(starts(keys, others))
+            many = np.diff(np.append(own, len(keys)))
+            n = np.add.reduceat(uses * learnt[docs_.astype(np.int64)], own) if len(own) else own
+            keys, others = keys[own], others[own]
             place = bucket_of(keys, buckets)
-            order = np.argsort(place.astype(np.uint16), kind="stable") if buckets <= 65_536 else np.argsort(place, kind="stable")
-            keys, others, docs_, uses, place = keys[order], others[order], docs_[order], uses[order], place[order]
-            mark = docs_ * np.uint64(2) + np.array(trains, np.uint64)[docs_.astype(np.int64)]
+            halves = np.array(names, np.int64).view(np.uint64).reshape(-1, 2)
+            rows = [(-1, pack(halves[:, 0], halves[:, 1], place, many, docs_, uses)), (-2, pack(deltas(used.astype(np.uint64)), table[used]))]
+            order = np.argsort(place.astype(np.uint16) if buckets <= 65_536 else place, kind="stable")
+            keys, others, n, place = keys[order], others[order], n[order], place[order]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]]) if len(place) else np.zeros(1, int)
-            rows = [(-1, pack(np.array(names, np.int64).view(np.uint64)))]
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                own = np.flatnonzero(starts(keys[s:e], others[s:e]))
-                rows.append((int(place[s]), pack(deltas(keys[s:e][own]), others[s:e][own], np.diff(np.append(own, e - s)), mark[s:e], uses[s:e])))
+                rows.append((int(place[s]), pack(deltas(keys[s:e]), others[s:e], n[s:e])))
             block = (task << 24) + number
             return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "data"])
 
@@ -230,7 +234,7 @@ def spread(docs: DataFrame, known, buckets: int, core: int, whole: bool) -> Data
                 names.append(identity(key, text))
                 trains.append(bool(train))
                 size += len(tokens[-1]) + 1
-                if size > BLOCK_TOKENS:
+                if size > block_tokens:
                     yield out()
                     tokens, names, trains, size, number = [], [], [], 0, number + 1
         if tokens:
@@ -240,42 +244,39 @@ def spread(docs: DataFrame, known, buckets: int, core: int, whole: bool) -> Data
 
 
 def counted(group: pa.Table, least: int, whole: bool) -> pa.Table:
-    """Of one bucket's rows: its occurrences with counts. By block, kind 0 rows hold seen bigrams of
-    frequent words (keys, counts, texts per key, text, uses), kind 3 rows the others (places in the
-    bucket's table of them, texts per place, text, uses). A row of kind 1 holds the bucket's seen
-    bigrams of frequent words and their counts, its numbers of bigrams with counts 1 to K + 1, and the
-    frequent contexts of its rare words, the bigrams' counts, the words' counts; one of kind 4 the table
-    of all its other bigrams (two parts of a key, count)."""
-    bucket = group.column("bucket")[0].as_py()
+    """Of one bucket's rows: for each block, in its order, a row of kind 0 with its bigrams of frequent
+    words and their counts, and one of kind 3 with the places of its others in the bucket's table of
+    them. A row of kind 1 holds the bucket's seen bigrams of frequent words and their counts, its
+    numbers of bigrams with counts 1 to K + 1, and the frequent contexts of its rare words, the
+    bigrams' counts, the words' counts; one of kind 4 the table of all its other bigrams (two parts of
+    a key, count). What a block keeps stays as it is, as kinds 2 (lists) and 6 (the core's bigrams)."""
+    bucket = group.column("bucket").to_pylist()
     blocks, datas = group.column("block").to_pylist(), group.column("data").to_pylist()
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-    if bucket < 0:
-        return pa.table([pa.array(blocks, pa.int64()), pa.array([bucket] * len(blocks), pa.int32()), pa.array([2] * len(blocks), pa.int32()), pa.array(datas, pa.binary())], schema=schema)
+    if bucket[0] < 0:
+        return pa.table([pa.array(blocks, pa.int64()), pa.array(bucket, pa.int32()), pa.array([2 if b == -1 else 6 for b in bucket], pa.int32()), pa.array(datas, pa.binary())], schema=schema)
     parts = []
     for data in datas:
-        d, other, many, mark, uses = unpack(data)
-        parts.append((np.cumsum(d, dtype=np.uint64), other, many.astype(np.int64), mark, uses))
-    per = np.concatenate([np.add.reduceat((p[3] & np.uint64(1)) * p[4], np.cumsum(p[2]) - p[2]) for p in parts])
-    keys, others = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        d, other, n = unpack(data)
+        parts.append((np.cumsum(d, dtype=np.uint64), other, n))
+    keys, others, uses = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.lexsort((others, keys))
     new = starts(keys[order], others[order])
     which = np.empty(len(keys), np.int64)
     which[order] = np.cumsum(new) - 1
     keys, others = keys[order][new], others[order][new]
-    count = np.bincount(which, per.astype(float), len(keys)).astype(np.int64)
-    # Keys ascend, so that those of rare words are the last ones.
+    count = np.bincount(which, uses.astype(float), len(keys)).astype(np.int64)
+    # Keys ascend, so that those of rare words are the last ones, here and in a block's row.
     n = int(np.searchsorted(keys, RARE))
     out = []
     at = 0
-    for block, (_, _, many, mark, uses) in zip(blocks, parts, strict=True):
-        w = which[at : at + len(many)]
-        at += len(many)
-        doc = mark >> np.uint64(1)
-        plain, rare = (w < n) & (count[w] >= least), w >= n
-        wide_plain, wide_rare = np.repeat(plain, many), np.repeat(rare, many)
-        out.append((block, 0, pack(keys[w[plain]], count[w[plain]], many[plain], doc[wide_plain], uses[wide_plain])))
-        if rare.any():
-            out.append((block, 3, pack(deltas((w[rare] - n).astype(np.uint64)), many[rare], doc[wide_rare], uses[wide_rare])))
+    for block, (own, _, _) in zip(blocks, parts, strict=True):
+        w = which[at : at + len(own)]
+        at += len(own)
+        plain = w[: int(np.searchsorted(own, RARE))]
+        out.append((block, 0, pack(deltas(keys[plain]), count[plain])))
+        if len(plain) < len(w):
+            out.append((block, 3, pack((w[len(plain) :] - n).astype(np.uint64))))
     tally = np.bincount(np.minimum(count if whole else count[:n], K + 2), minlength=K + 3)[1 : K + 2]
     seen = np.flatnonzero(count[:n] >= least)
     keys, others, count, plain = keys[n:], others[n:], count[n:], (keys[seen], count[seen])
@@ -283,7 +284,7 @@ def counted(group: pa.Table, least: int, whole: bool) -> pa.Table:
     led = (others >= WIDE) & (others < RARE) & (count >= least)
     out.append((-1, 1, pack(deltas(plain[0]), plain[1], tally, others[led] - WIDE, count[led], used[led])))
     out.append((-1, 4, pack(deltas(keys), others, count)))
-    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], schema=schema)
+    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array(bucket[:1] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], schema=schema)
 
 
 def owners(keys: np.ndarray, others: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,8 +308,8 @@ def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def weighed(model: Model, rows: pa.Table, found: pa.Table, least: int, whole: bool) -> pa.Table:
     """rows: of kinds 3 and 4 of a bucket; found: counts n of words h. Rows of kind 5, by block: one
-    more than the context's count (0 for a frequent context), what the bigram adds to the score but for
-    the words' own weights, texts per bigram, text, uses."""
+    more than the context's count (0 for a frequent context), and what the bigram adds to the score but
+    for the words' own weights."""
     data = list(zip(rows.column("block").to_pylist(), rows.column("kind").to_pylist(), rows.column("data").to_pylist(), strict=True))
     d, others, count = unpack(next(x for _, kind, x in data if kind == 4))
     keys, count = np.cumsum(d, dtype=np.uint64), count.astype(np.int64)
@@ -337,14 +338,15 @@ def weighed(model: Model, rows: pa.Table, found: pa.Table, least: int, whole: bo
         led = np.flatnonzero(seen & ~context)
         v = (others[led] - WIDE).astype(np.int64)
         value[led] = np.log10(disc[led] / (model.uses[v] + model.short[v])) - model.back[v] - word[led]
+    led_by = np.where(context, used + 1, 0)
     out = []
     for block, kind, x in data:
         if kind == 3:
-            w, many, doc, uses = unpack(x)
-            w = np.cumsum(w, dtype=np.uint64).astype(np.int64)
-            out.append((block, pack(np.where(context, used + 1, 0)[w], value[w].view(np.uint64), many, doc, uses)))
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([5] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary())], schema=schema)
+            w = unpack(x)[0].astype(np.int64)
+            out.append((block, pack(led_by[w], value[w].view(np.uint64))))
+    bucket = rows.column("bucket")[0].as_py()
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([5] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary())], schema=schema)
 
 
 def discounts(n: list[int], least: int = 1) -> np.ndarray:
@@ -420,12 +422,13 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column | None = None, core: int = CORE, vocabulary: int | None = None, least: int = 2) -> DataFrame:
+def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column | None = None, core: int = CORE, vocabulary: int | None = None, least: int = 1, block_tokens: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """One row per row of df: key (cast to long), held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    `test` marks the rows that are scored but not learnt from. Bigrams seen fewer than `least` times are
-    left to the back-off weight. All words have bigrams; with `vocabulary` (FREQUENT at most) only that
-    many, the most frequent. Tokens are the words, lower-cased A-Z,
+    `test` marks the rows that are scored but not learnt from. All words have bigrams, and bigrams seen
+    once count too, unless a caller asks for less: bigrams seen fewer than `least` times are left to the
+    back-off weight, and with `vocabulary` (FREQUENT at most) only that many words, the most frequent,
+    have bigrams. block_tokens and bucket_bytes set a task's memory. Tokens are the words, lower-cased A-Z,
     and one end. Null texts count as empty (their end is a token); repeated rows are learnt as often
     as they occur and get equal scores; without training rows every token is unknown; an empty table
     gives an empty result; other columns are ignored. Only the frequent words' counts, the core's
@@ -441,7 +444,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column
     docs = df.select(quoted(key).cast("long").alias("key"), quoted(text).cast("binary").alias("text"), (~test).alias("train"))
     sizes = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("train").alias("n")).first()
     n_train = sizes["n"] or 0
-    buckets = max(96, -(-(sizes["bytes"] or 0) // BUCKET_BYTES))
+    buckets = max(96, -(-(sizes["bytes"] or 0) // (bucket_bytes or BUCKET_BYTES)))
 
     words = durable(word_counts(docs.filter("train").select("text")))
     few = F.when(F.col("n") <= K + 1, F.col("n")).otherwise(0)
@@ -456,14 +459,25 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column
     known = spark.sparkContext.broadcast(dict(zip(hashes.tolist(), range(len(hashes)), strict=True)))
     model = Model(counts, n_train, total, kinds, ones, rest)
 
-    table = core_counts(docs.filter("train").select("text"), known, core).toArrow()
+    ordered = docs.sortWithinPartitions(F.xxhash64("key", "text"), "key")
+    rows = spread(ordered, known, buckets, core, whole, block_tokens or BLOCK_TOKENS)
+    # What a block keeps is dealt by block, its bigrams by bucket.
+    dealt = rows.withColumn("deal", F.when(F.col("bucket") < 0, -1 - F.col("block")).otherwise(F.col("bucket").cast("long")))
+    store = durable(dealt.groupBy("deal").applyInArrow(lambda group: counted(group, least, whole), "block long, bucket int, kind int, data binary"))
+
+    def core_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((core + 2) ** 2, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                place, n = unpack(data)
+                total[np.cumsum(place, dtype=np.uint64).astype(np.int64)] += n.astype(np.int64)
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(total[place])], ["place", "n"])
+
+    table = store.filter("kind = 6").select("data").mapInArrow(core_sums, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     place, core_n = table.column("place").to_numpy().astype(np.int64), table.column("n").to_numpy()
     real = np.concatenate([np.arange(core), [START, END]]).astype(np.uint64)
     core_keys = (real[place // (core + 2)] << np.uint64(16)) | real[place % (core + 2)]
-    rows = spread(docs, known, buckets, core, whole)
-    # Rows of names are dealt by block, occurrences by bucket.
-    dealt = rows.withColumn("deal", F.when(F.col("bucket") < 0, -1 - F.pmod(F.col("block"), F.lit(997))).otherwise(F.col("bucket")))
-    store = durable(dealt.groupBy("deal").applyInArrow(lambda group: counted(group, least, whole), "block long, bucket int, kind int, data binary"))
 
     def pair_tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -507,39 +521,46 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", test: Column
                 known_ = np.bincount(doc, minlength=n) + int(m.count[END] > 0)
                 score = add(m.word[ids] + m.back[ids]) + m.word[END] + m.back[START] + np.bincount(at_doc, m.core_gain[place], n)
                 names = [identity(k, t) for k, t in zip(keys[at : at + 1_000], texts[at : at + 1_000], strict=True)]
-                cols = [np.array(names, np.int64), np.array([len(t) + 1 for t in part], np.int64), known_.astype(np.int64), add(base[ids]) + base[END], score]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), batch.column(0).slice(at, n), batch.column(2).slice(at, n)], ["name", "n_tokens", "n_known", "base", "score", "key", "train"])
+                cols = [*np.array(names, np.int64).T.copy(), np.array([len(t) + 1 for t in part], np.int64), known_.astype(np.int64), add(base[ids]) + base[END], score]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), batch.column(0).slice(at, n), batch.column(2).slice(at, n)], ["name", "half", "n_tokens", "n_known", "base", "score", "key", "train"])
 
     def other_part(group: pa.Table) -> pa.Table:
         m = full.value
-        names = np.zeros(0, np.int64)
-        plain, other = [], []
-        for kind, data in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True):
-            if kind == 2:
-                names = unpack(data)[0].view(np.int64)
+        # By bucket; within one, bigrams of frequent words come first, as in the block's order.
+        answers = sorted(zip(group.column("bucket").to_pylist(), group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True), key=lambda r: r[:2])
+        high, low, place, many, doc, uses = unpack(answers[0][2])
+        gained, based, met = [], [], []
+        for _, kind, data in answers[1:]:
+            a, b = unpack(data)
+            if kind == 0:
+                k, c = np.cumsum(a, dtype=np.uint64), b.astype(np.int64)
+                gained.append(np.zeros(len(k)))
+                gained[-1][c >= least] = m.gain(k[c >= least], c[c >= least])
+                based.append(np.zeros(len(k)))
+                met.append(np.zeros(len(k), bool))
             else:
-                (plain if kind == 0 else other).append(unpack(data))
-        n = len(names)
-        known_, base, score = np.zeros(n), np.zeros(n), np.zeros(n)
-        for k, kc, kmany, kdoc, kuses in plain:
-            gain = np.repeat(m.gain(k, kc.astype(np.int64)), kmany.astype(np.int64))
-            score += np.bincount(kdoc.astype(np.int64), kuses.astype(np.int64) * gain, n)
-        for used, value, many, doc, uses in other:
-            context, c = used > 0, np.maximum(used.astype(np.int64) - 1, 0)
-            wide = lambda x: np.repeat(x, many.astype(np.int64)) * uses.astype(np.int64)  # noqa: B023, E731
-            doc = doc.astype(np.int64)
-            known_ += np.bincount(doc, wide(context & (c > 0)), n)
-            base += np.bincount(doc, wide(context * m.log_base(c)), n)
-            score += np.bincount(doc, wide(context * m.log_word(c) + value.view(np.float64)), n)
-        return pa.table([pa.array(names), pa.array(np.zeros(n, np.int64)), pa.array(known_.astype(np.int64)), pa.array(base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=["name", "n_tokens", "n_known", "base", "score", "key", "train"])
-
-    schema = "name long, n_tokens long, n_known long, base double, score double, key long, train boolean"
+                context, c = a > 0, np.maximum(a.astype(np.int64) - 1, 0)
+                gained.append(context * m.log_word(c) + b.view(np.float64))
+                based.append(context * m.log_base(c))
+                met.append(context & (c > 0))
+        n = len(high)
+        at, wide, doc = np.argsort(place, kind="stable"), many.astype(np.int64), doc.astype(np.int64)
+
+        def total(parts: list[np.ndarray]) -> np.ndarray:
+            value = np.zeros(len(place))
+            value[at] = np.concatenate(parts) if parts else value
+            return np.bincount(doc, np.repeat(value, wide) * uses, n).astype(float)
+
+        cols = [high.view(np.int64), low.view(np.int64), np.zeros(n, np.int64), total(met).astype(np.int64), total(based), total(gained)]
+        return pa.table([*map(pa.array, cols), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=["name", "half", "n_tokens", "n_known", "base", "score", "key", "train"])
+
+    schema = "name long, half long, n_tokens long, n_known long, base double, score double, key long, train boolean"
     mine = docs.select("key", "text", "train").mapInArrow(own_part, schema)
     asked = store.filter("kind = 4").select("bucket", "data").mapInArrow(needed, "deal int, h long").join(words, "h")
-    rest_ = store.filter("kind in (3, 4)").groupBy("bucket").cogroup(asked.groupBy("deal")).applyInArrow(lambda rows, found: weighed(full.value, rows, found, least, whole), "block long, kind int, data binary")
-    theirs = store.filter("kind in (0, 2)").select("block", "kind", "data").unionByName(rest_).groupBy("block").applyInArrow(other_part, schema)
+    rest_ = store.filter("kind in (3, 4)").groupBy("bucket").cogroup(asked.groupBy("deal")).applyInArrow(lambda rows, found: weighed(full.value, rows, found, least, whole), "block long, bucket int, kind int, data binary")
+    theirs = store.filter("kind in (0, 2)").unionByName(rest_).groupBy("block").applyInArrow(other_part, schema)
     # Equal rows have one name: their sums are taken together and shared out again.
-    both = mine.unionByName(theirs).groupBy("name").agg(
+    both = mine.unionByName(theirs).groupBy("name", "half").agg(
         *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.max("key").alias("key"), F.max("train").alias("train"), F.count("train").alias("rows")
     )
     each = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))

@@ -49,7 +49,7 @@ def brute(rows, vocabulary):
 def compare(df, vocabulary, monkeypatch, core=katz.CORE):
     monkeypatch.setattr(katz, "VOCABULARY", vocabulary)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 5_000)
-    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in katz.scores(df, core=core).collect()]
+    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in katz.scores(df, core=core, least=2).collect()]
     want = brute([(r["doc_id"], r["text"]) for r in df.collect()], vocabulary)
     order = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert len(got) == len(want)
