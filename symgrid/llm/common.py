@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symgrid.session import durable, shared_folder
+
+__all__ = ["BLANK", "WORD", "durable", "hot_join", "quoted", "running_total", "spread_table", "stored", "table", "tidied", "words"]
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANK = "[\\x20\\x09-\\x0D]+"
 
@@ -25,30 +28,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table for work in Python: one of fewer files than cores, which a scan can hardly
-    split, is dealt out first."""
+    """Columns of a table for costly work per row: one that a scan reads in fewer tasks than there are
+    cores is dealt out first."""
     df = table(spark, sf_dir, name).select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder that the session names in
-    spark.checkpoint.dir. Only a session without that setting (a test) gets a folder here."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if tasks < cores else df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read back, in a new folder of the shared folder that durable() uses."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stages-")
-    path = f"{root}/{uuid.uuid4().hex}/{name}.parquet"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, n: int, least: int = 1_000, most: int = 20_000) -> DataFrame:
+    """left joined with right by the column key, of which right has one row per value, with left's
+    number of rows for it, at most, in the column rows (which goes); n: left's rows, at most.
+
+    Keys with more than both `least` and n / `most` rows are fewer than `most`, so these come by
+    broadcast, and no task gets all rows of a hot key; the others are joined as usual. left is read
+    twice.
+    """
+    hot = max(least, -(-n // most))
+    if n <= hot:
+        return left.join(right.drop(rows), key)
+    big = right.filter(F.col(rows) > hot).drop(rows)
+    cold = left.join(F.broadcast(big.select(key)), key, "left_anti").join(right.filter(F.col(rows) <= hot).drop(rows), key)
+    return cold.unionByName(left.join(F.broadcast(big), key))
 
 
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

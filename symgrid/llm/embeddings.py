@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from symgrid.llm.common import durable, quoted
 from symgrid.llm.components import components
 
-#: Rows on which centroids are fitted, at most; vectors per cell aimed at; rows of a block; rows placed at once.
-FIT_ROWS, CELL_ROWS, BLOCK, PLACED = 20_000, 4_096, 2_048, 1_024
+#: Rows on which centroids are fitted, at most; vectors per cell aimed at; rows placed at once; rows and
+#: columns of a product; bytes of a block's vectors.
+FIT_ROWS, CELL_ROWS, PLACED, TILE, BLOCK_BYTES = 20_000, 4_096, 1_024, 2_048, 8 << 20
+#: Cells of a dimension, at least (where it has some 32 vectors each) and at most; dimensions with centroids.
+LEAST_CELLS, MOST_CELLS, MOST_DIMS = 8, 4_096, 100
 
 
 def fit(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -30,7 +33,7 @@ def fit(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarra
     return centres
 
 
-def units(vectors: list) -> np.ndarray:
+def units(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -44,7 +47,7 @@ def cells_of(x: np.ndarray, centres: np.ndarray, least: float) -> list[np.ndarra
     """
     near = x @ centres.T
     own = np.argmax(near, axis=1)
-    gap = np.linalg.norm(centres[own][:, None, :] - centres[None], axis=2) if len(centres) <= 64 else np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[own]
+    gap = np.sqrt(np.maximum(0, 2 - 2 * (centres[own] @ centres.T)))
     lead = near[np.arange(len(x)), own][:, None] - near
     # The slack is above the error of a gap, which is the root of a difference.
     reach = lead <= np.sqrt(1 - least * least) * gap + 1e-7
@@ -81,14 +84,19 @@ def compare(part: pd.DataFrame, least: float) -> pd.DataFrame:
     x, ids, copies = units(part["vec"].tolist()), part["id"].to_numpy(), part["copies"].to_numpy()
     block = part["block"].to_numpy()
     left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-    near = x[left] @ x[right].T >= least
-    near &= left[:, None] != right[None, :]
     n = np.zeros(len(part), np.int64)
-    n[left] += near @ copies[right]
-    if bi != bj:
-        n[right] += near.T @ copies[left]
+    edges = []
+    for i in range(0, len(left), TILE):
+        # A block with itself: every two of its tiles once.
+        for j in range(i if bi == bj else 0, len(right), TILE):
+            a, b = left[i : i + TILE], right[j : j + TILE]
+            near = x[a] @ x[b].T >= least
+            near &= a[:, None] != b[None, :]
+            n[a] += near @ copies[b]
+            if bi != bj or i != j:
+                n[b] += near.T @ copies[a]
+            edges += [(int(ids[a[r]]), int(ids[b[c]])) for r, c in _forest(near)]
     hit = np.flatnonzero(n)
-    edges = [(int(ids[left[a]]), int(ids[right[b]])) for a, b in _forest(near)]
     return pd.DataFrame({
         "a": np.concatenate([ids[hit], np.array([e[0] for e in edges], np.int64)]),
         "b": pd.array([pd.NA] * len(hit) + [e[1] for e in edges], "Int64"),
@@ -107,21 +115,26 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows; every row lives in its own cell and visits all cells of lower number that may hold a partner,
     so every link is found, and once. A cell's own rows of one label are compared with each other and
     with its visitors in blocks, so no task holds more than two of them. Where vectors have no clusters
-    they reach most cells; that is a blocked comparison of all pairs.
+    they reach most cells; that is a blocked comparison of all pairs. An empty table gives an empty
+    result; other columns are ignored; of the MOST_DIMS commonest lengths of vector, each has cells of
+    its own, and vectors of any other length form one cell.
     """
     v = F.transform(quoted(vector), lambda e: e.cast("double"))
     fine = F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0), F.lit(False)) & quoted(label).isNotNull()
     base = df.select(quoted(key).cast("long").alias("id"), quoted(label).alias("label"), F.when(fine, quoted(vector)).alias("vec"), F.when(fine, F.xxhash64(quoted(label), v)).alias("h"))
     nodes = durable(base.filter("vec is not null").groupBy("label", "h", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    n = nodes.count()
-    dims = [r[0] for r in nodes.select(F.size("vec").alias("dim")).distinct().limit(1_000).collect()]
+    # A dimension without centroids is one cell, of blocks as any other.
+    dims = nodes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(MOST_DIMS).collect()
     centres = {}
-    for dim in dims:
-        rows = nodes.filter(F.size("vec") == dim).select("vec", F.xxhash64("h").alias("o")).orderBy("o").limit(FIT_ROWS).collect()
-        if rows:
-            centres[dim] = fit(units([r["vec"] for r in rows]), max(1, min(4_096, -(-n // cell_rows))))
+    for dim, n in dims:
+        k = min(MOST_CELLS, max(-(-n // cell_rows), min(LEAST_CELLS, n // 32)))
+        if k > 1:
+            rows = nodes.filter(F.size("vec") == dim).select("vec", F.xxhash64("h").alias("o")).orderBy("o").limit(FIT_ROWS).select("vec").toArrow()
+            centres[dim] = fit(units(rows.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dim)), k)
+    shared = df.sparkSession.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, PLACED):
                 batch = whole.slice(start, PLACED)
@@ -139,7 +152,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     placed = nodes.select("vec", "id", "copies", "label", "h").mapInArrow(place, f"vec {vec_kind}, id long, copies long, label {kind}, h long, cells array<int>")
     placed = durable(placed.select("*", F.size("vec").alias("dim")))
     spread = placed.select("id", "copies", "vec", "label", "h", "dim", F.posexplode("cells").alias("nth", "cell")).withColumn("guest", F.col("nth") > 0)
-    blocks = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / BLOCK).cast("int")
+    # Blocks of equal bytes, so that a row meets few of them: 16,384 rows of 64 components, 1,024 of 1,024.
+    blocks = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) * F.first("dim") / F.lit(BLOCK_BYTES // 8)).cast("int")
     sizes = spread.groupBy("label", "dim", "cell").agg(blocks(False).alias("own_blocks"), blocks(True).alias("guest_blocks")).filter("own_blocks > 0")
     # A cell's own blocks meet each other and all blocks of guests; guests do not meet.
     blocked = spread.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.expr("if(guest, own_blocks + pmod(h, guest_blocks), pmod(h, own_blocks))").cast("int"))

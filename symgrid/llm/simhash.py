@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgrid.llm.common import durable, quoted, tidied
+from symgrid.llm.common import durable, hot_join, quoted, tidied
 from symgrid.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -76,15 +76,27 @@ def linked(values: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
             left = left[~near]
 
 
+#: Buckets that are joined by broadcast, at most (8 bytes each).
+BROADCAST_BUCKETS = 500_000
+
+
+def _large(keyed: DataFrame, hot: int) -> tuple[DataFrame, int]:
+    """Columns k, parts: the buckets of more than `hot` rows, and the halves of `hot` that they fill; their number."""
+    found = durable(keyed.groupBy("k").agg(F.count("*").alias("rows")).filter(F.col("rows") > hot).select("k", F.ceil(F.col("rows") * 2 / hot).cast("int").alias("parts")))
+    n = found.count()
+    return (F.broadcast(found) if n <= BROADCAST_BUCKETS else found), n
+
+
 def bucketed(fps: DataFrame, radius: int, hot: int) -> DataFrame:
     """Columns fp, k: every pair within the radius shares a bucket k. A bucket of more than `hot`
     fingerprints is dealt once more: its bits outside the mask fall into radius + 1 parts, of which
-    such a pair agrees on one at least."""
+    such a pair agrees on one at least. A bucket that is still larger (one of many near copies) is cut
+    into blocks of some hot / 2, and every two blocks meet, so that no task holds a larger one."""
     found = masks(radius)
     tables = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in found])).alias("t", "part"))
     keyed = tables.select("fp", "t", F.xxhash64("t", "part").alias("k"))
-    large = durable(keyed.groupBy("k").count().filter(F.col("count") > hot).select("k"))
-    if large.isEmpty():
+    large, n = _large(keyed, hot)
+    if not n:
         return keyed.select("fp", "k")
     parts = []
     for m in found:
@@ -94,7 +106,14 @@ def bucketed(fps: DataFrame, radius: int, hot: int) -> DataFrame:
             parts.append(own - (1 << 64) if own >> 63 else own)
     finer = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.xxhash64("k", j, F.col("fp").bitwiseAND(F.get(F.lit(parts), F.col("t") * (radius + 1) + j))))
     split = keyed.join(large, "k", "left_semi").select("fp", F.explode(finer).alias("k"))
-    return keyed.join(large, "k", "left_anti").select("fp", "k").unionByName(split)
+    out = keyed.join(large, "k", "left_anti").select("fp", "k")
+    larger, n = _large(split, hot)
+    if not n:
+        return out.unionByName(split)
+    block = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("parts")).cast("int")
+    blocks = split.join(larger, "k").select("fp", "k", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    met = blocks.select("fp", F.xxhash64("k", F.least("i", "j"), F.greatest("i", "j")).alias("k"))
+    return out.unionByName(split.join(larger, "k", "left_anti")).unionByName(met)
 
 
 def links(fps: DataFrame, radius: int, hot: int = 20_000) -> DataFrame:
@@ -133,27 +152,29 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int =
     other. Repeated rows stay; an empty table gives an empty result; other columns are ignored.
     Short texts (fewer words than a shingle) have one shingle, the whole text.
     """
-    prints, named = _rooted(df, key, text, radius, shingle)
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    prints, named, n = _rooted(df, key, text, radius, shingle)
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    labels = hot_join(named, ids, "root", "members", n).select("fp", "component_id", "rows")
+    return hot_join(prints, labels, "fp", "rows", n).select(F.col("key").alias(key), "fp", "component_id")
 
 
-def _rooted(df: DataFrame, key: str, text: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of df, and columns fp, least (smallest key of it), root (one of the group's fingerprints)."""
+def _rooted(df: DataFrame, key: str, text: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame, int]:
+    """The fingerprints of df; columns fp, least (smallest key of it), rows (their number), root (one of
+    the group's fingerprints); df's number of rows."""
     prints = durable(fingerprints(df, key, text, shingle))
-    nodes = durable(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    nodes = durable(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("rows")))
     roots = components(links(nodes.select("fp"), radius))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return prints, durable(named)
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+    return prints, durable(named), nodes.agg(F.sum("rows")).first()[0] or 0
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
-    """One row of df for each group, with df's columns: of those with the smallest key, null keys last,
-    the first by hashes of the text and of the row. So a group whose keys are all null keeps a row, and
-    of repeated rows one stays."""
-    prints, named = _rooted(df, key, text, radius, shingle)
-    first = prints.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("first"))
+    """One row of df for each group of `groups`, with df's columns: of those with the smallest key, null
+    keys last, the first by hashes of the text and of the row. So a group whose keys are all null keeps
+    a row, and of repeated rows one stays. Null and empty texts are one group; an empty table stays
+    empty; columns of map type are not supported."""
+    prints, named, n = _rooted(df, key, text, radius, shingle)
+    first = hot_join(prints, named, "fp", "rows", n).groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("first"))
     first = first.select(F.col("first.key").alias("__key"), F.col("first.h").alias("__h"), F.col("root").alias("__root"))
     rows = df.select(F.struct("*").alias("row"), quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("h"))
     rows = rows.join(first, F.col("key").eqNullSafe(F.col("__key")) & (F.col("h") == F.col("__h")))

@@ -101,7 +101,8 @@ def links_of(x, label):
 
 @pytest.mark.parametrize("cell_rows,recall", [(4096, 1.0), (100, 0.99)])
 def test_embeddings(spark, cell_rows, recall, monkeypatch):
-    monkeypatch.setattr(embeddings, "BLOCK", 256)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 256 * 8 * 64)
+    monkeypatch.setattr(embeddings, "TILE", 100)
     x, label = clusters()
     near = links_of(x, label)
     rows = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int")

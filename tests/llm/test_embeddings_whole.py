@@ -8,7 +8,8 @@ from tests.llm.test_brute_force import links_of, unite
 @pytest.mark.parametrize("cell_rows", [10, 300])
 def test_no_link_is_lost_with_many_cells(spark, monkeypatch, cell_rows):
     """Vectors without clusters, each with a partner at a cosine little above the least one."""
-    monkeypatch.setattr(embeddings, "BLOCK", 512)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 512 * 8 * 64)
+    monkeypatch.setattr(embeddings, "TILE", 100)
     monkeypatch.setattr(embeddings, "FIT_ROWS", 600)
     rng = np.random.default_rng(3)
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 1_500, 64)))
