@@ -11,6 +11,8 @@ from symgrid.llm.common import BLANK, WORD, durable, quoted, words
 #: A larger table of frequent lines is joined by a shuffle, not broadcast (about 16 bytes a row).
 BROADCAST_LINES = 200_000
 WINDOW = 8
+#: Parts over which the copies of a text are dealt.
+PARTS = 16
 
 
 def _lines(text: Column) -> Column:
@@ -55,31 +57,36 @@ def features(df: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
 
 
 def frequent_lines(df: DataFrame, host: str, text: str, max_docs: int) -> DataFrame:
-    """host, line: lines in more than max_docs different texts of a host."""
-    lines = df.select(quoted(host).alias("host"), F.xxhash64(quoted(text)).alias("doc"), F.explode(_lines(quoted(text))).alias("x"))
-    return lines.groupBy("host", "x.line").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") > max_docs).select("host", "line")
+    """host, line: lines in more than max_docs documents (rows) of a host. A document counts a line once,
+    so that the numbers of documents add up before the shuffle."""
+    own = F.array_distinct(F.transform(_lines(quoted(text)), lambda x: x["line"]))
+    lines = df.select(quoted(host).alias("host"), F.explode(own).alias("line"))
+    return lines.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs).select("host", "line")
 
 
 def rules(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = 100, min_words: int = 20, min_left: float = 0.5, max_repeat: int = 30) -> DataFrame:
     """One row per row of df: key, the features, base_failed, words_left, kept.
 
     base_failed: fewer than min_words words, or over max_repeat percent of them in repeated
-    windows. words_left: words outside the lines that more than max_docs different texts of the
-    same host hold. kept: not base_failed, and either nothing was removed or at least min_words
-    words and min_left of all words are left. Equal texts count as one document of their host, so
-    copies alone make no line frequent. Null texts have no words and fail; a null host is a host;
-    repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
+    windows. words_left: words outside the lines that more than max_docs documents of the same host
+    hold. kept: not base_failed, and either nothing was removed or at least min_words words and
+    min_left of all words are left. Every row is a document, copies and repeated rows too, so the lines
+    of a text that a host serves more than max_docs times are removed from all its copies. Null texts
+    have no words and fail; a null host is a host; equal rows get equal results; an empty table gives
+    an empty result; other columns are ignored.
     """
     frequent = durable(frequent_lines(df, host, text, max_docs))
     n = frequent.count()
     lines = df.select(quoted(host).alias("host"), F.xxhash64(quoted(text)).alias("doc"), F.posexplode(_lines(quoted(text))).alias("pos", "x")).select("host", "doc", "pos", "x.line", "x.n")
     f = (F.broadcast(frequent) if n <= BROADCAST_LINES else frequent).select(F.col("host").alias("fhost"), F.col("line").alias("fline"))
     hit = lines.join(f, lines.host.eqNullSafe(f.fhost) & (lines.line == f.fline), "left_semi")
-    # Copies hold the same lines at the same places, which count once.
+    # Copies hold the same lines at the same places, so these are looked at once for all of them.
     removed = hit.groupBy("host", "doc", "pos").agg(F.max("n").alias("n")).groupBy("host", "doc").agg(F.sum("n").alias("removed"))
     own = features(df, quoted(text), [quoted(key).alias("k"), quoted(host).alias("host"), F.xxhash64(quoted(text)).alias("doc")])
-    r = removed.withColumnRenamed("host", "rhost").withColumnRenamed("doc", "rdoc")
-    out = own.join(r, own.host.eqNullSafe(r.rhost) & (own.doc == r.rdoc), "left")
+    # Copies are dealt over parts, in each of which their text has a row.
+    own = own.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(PARTS)).cast("int"))
+    r = removed.select(F.col("host").alias("rhost"), F.col("doc").alias("rdoc"), "removed", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("rpart"))
+    out = own.join(r, own.host.eqNullSafe(r.rhost) & (own.doc == r.rdoc) & (own.part == r.rpart), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     ok = F.col("removed").isNull() | ((left >= min_words) & (left >= min_left * F.col("n_words")))
@@ -90,7 +97,8 @@ def cleaned(df: DataFrame, key: str = "doc_id", host: str = "source", text: str
     """The rows that `rules` keeps, with df's columns and without the lines that it counts as frequent.
 
     Only texts that hold such lines are changed; a row's fate follows from its own host and text,
-    so equal rows share it.
+    so equal rows share it, and all rows of a key stay if one does. Null and empty texts go, as they
+    have too few words; a null host is a host; an empty table stays empty.
     """
     frequent = durable(frequent_lines(df, host, text, max_docs)).select(F.col("host").alias("fhost"), "line")
     named = df.withColumn("__host", quoted(host)).withColumn("__doc", F.xxhash64(quoted(text)))

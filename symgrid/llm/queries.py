@@ -84,14 +84,14 @@ QUERIES = {
 
 _OP3 = r"""
 WITH d AS (
-  SELECT doc_id, source AS host, coalesce(text, '') AS text,
+  SELECT doc_id, row_number() OVER () AS row, source AS host, coalesce(text, '') AS text,
          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 lines AS (
-  SELECT doc_id, host, text, trim(unnest(string_split(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))), ' ') AS line
+  SELECT doc_id, row, host, trim(unnest(string_split(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))), ' ') AS line
   FROM d),
 frequent AS (
-  SELECT host, line FROM lines WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT text) > 100),
+  SELECT host, line FROM lines WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT row) > 100),
 removed AS (
   SELECT doc_id, sum(len(string_split(line, ' '))) AS n
   FROM lines JOIN frequent USING (host, line) GROUP BY doc_id),

@@ -1,10 +1,12 @@
 """Toxicity from class-conditional Kneser-Ney bigram models.
 
-Toxic and ordinary training texts give one interpolated model each. Both rest on one distribution of
-continuation counts over all training texts, so an expression that is rare in both classes says
-nothing; words below a count share one entry. Toxic text is ordinary text with a few toxic
-expressions, so its likelihood is a mixture of both models at a fixed rate. The score is the
-logistic of the two log-likelihoods' difference per word.
+Toxic and ordinary training texts give one interpolated model each, by absolute discounting of bigrams
+and of continuation counts. Both rest on one distribution of continuation counts over all training
+texts, so an expression that is rare in both classes says nothing; words seen fewer than min_count
+times form one class of rare words, and such pairs have their words' probabilities. The score is the
+logistic of the difference of two length-normalised log-likelihoods. Toxic text is ordinary text with
+a few toxic expressions, so the likelihood of the toxic class is a mixture of both models at a fixed
+rate; against the toxic model alone, the ordinary words' noise outweighs the expressions.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ START = "\n"
 EDGE = ".,;:!?\"'()[]{}"
 MEMO = 300_000
 #: Share of a toxic text's words that its own model gives.
-RATE = 0.05
+RATE = 0.02
 
 
 def tokens(text: str | None) -> list[str]:
@@ -69,27 +71,34 @@ class Model:
         cont = np.array([w[1:3] for w in words], float).reshape(n, 2)
         uses = np.array([w[3:5] for w in words], float).reshape(n, 2)
         all_ = np.maximum(np.array(totals, float), 1)
-        # The last entry stands for all other words together.
+        # The last entry stands for all rare words together.
         cont = np.vstack([cont, np.maximum(all_ - cont.sum(axis=0), 0)])
         own = np.maximum(cont - discount, 0) / all_
         rest = np.maximum(1 - own.sum(axis=0), 1e-9)
         shared = (cont.sum(axis=1) + 0.5) / (all_.sum() + 0.5 * (n + 1))
         p = own + rest * shared[:, None]
-        self.word = p[:, 1] / p[:, 0]
+        self.p, self.word = p, p[:, 1] / p[:, 0]
         pv = np.array([self.known[v] for v, *_ in pairs], np.int64)
         pw = np.array([self.known[w] for _, w, *_ in pairs], np.int64)
         c = np.maximum(np.array([x[2:4] for x in pairs], float).reshape(len(pairs), 2) - discount, 0)
         taken = np.zeros((n, 2))
         np.add.at(taken, pv, c)
         base = np.maximum(uses, 1)
-        left = 1 - taken / base
+        self.left = left = 1 - taken / base
         self.context = np.append(left[:, 1] / left[:, 0], 1.0)
         q = c / base[pv] + left[pv] * p[pw]
         keys = pv * (n + 1) + pw
         order = np.argsort(keys)
-        self.keys, self.pair = keys[order], (q[:, 1] / q[:, 0])[order]
+        self.keys, self.q, self.pair = keys[order], q[order], (q[:, 1] / q[:, 0])[order]
         self.a, self.b = 1.0, 0.0
 
+    def after(self, v: int) -> np.ndarray:
+        """The distributions of ordinary and toxic words after a listed word."""
+        out = self.left[v] * self.p
+        own = self.keys // len(self.p) == v
+        out[self.keys[own] % len(self.p)] = self.q[own]
+        return out
+
     def ratio(self, text: str | None, ids: Ids) -> float:
         """Difference of the log-likelihoods per word."""
         words = tokens(text)
@@ -126,24 +135,27 @@ class Model:
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % 3 == 1
+    """A null key is not held out."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
 
+def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 5_000, min_count: int = 5) -> Model:
+    """Fits the models on the labelled rows that are not held out, of each class on its own max_rows at
+    most, chosen by a hash of the key; every fourth of them serves to calibrate. Words seen fewer than
+    min_count times form the class of rare words, and pairs seen so few times have no count of their own.
 
-def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 5_000, min_count: int = 8) -> Model:
-    """Fits the models on equally many labelled rows of either class, max_rows of each at most, chosen
-    by a hash of the key among rows that are not held out; every fourth of them serves to calibrate.
-    Words and pairs seen fewer than min_count times are left to the shared distribution."""
+    A key with several labels counts as toxic if one says so; labels that are null or neither 0 nor 1,
+    and null keys, are ignored; of a key with several texts the first in order is learnt from; null
+    texts count as empty. Without labelled rows of both classes all scores are equal.
+    """
     marks = labels.select(quoted(key).alias("key"), quoted("toxic").cast("int").alias("toxic")).filter("key is not null and toxic in (0, 1)")
-    marks = marks.groupBy("key").agg(F.max("toxic").alias("toxic")).filter(~F.coalesce(held_out(F.col("key")), F.lit(False)))
+    marks = marks.groupBy("key").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("key")))
     marks = durable(marks)
-    have = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n = min(max_rows, have.get(0, 0), have.get(1, 0))
-    chosen = None
-    for c in (0, 1):
-        part = marks.filter(F.col("toxic") == c).orderBy(F.xxhash64("key"), "key").limit(n)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * max_rows small rows.
+    parts = [marks.filter(F.col("toxic") == c).orderBy(F.xxhash64("key"), "key").limit(max_rows) for c in (0, 1)]
+    chosen = parts[0].unionByName(parts[1])
+    # At most 2 * max_rows small rows, and as many texts.
     texts = df.select(quoted(key).alias("key"), quoted(text).alias("text")).join(F.broadcast(chosen), "key")
+    texts = texts.groupBy("key", "toxic").agg(F.min("text").alias("text"))
     texts = durable(texts.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(4))))
     pairs = durable(counts(texts.filter("part > 0").select("toxic", "text")))
     side = lambda c, x: F.sum(F.when(F.col("toxic") == c, F.col(x)).otherwise(0))
