@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
 A text is cut where no piece can reach across. Every distinct unit's substrings up to the longest
-piece are enumerated and equi-joined to the piece table by hash, which gives the unit's edges; the
-edges of all units of a length are folded together, position by position, in numpy batches. A
-unigram model is folded by Viterbi (highest sum of scores). A BPE model defines its result by the
-order of merges, which no sum of scores reproduces, so there the same edges are folded by merging.
+piece are enumerated and equi-joined to the piece table, which gives the unit's edges; these are
+folded position by position. `relational` does so with Spark rows, joins and higher-order functions
+and folds by Viterbi (highest sum of scores), which is what a unigram model means. A BPE model
+defines its result by the order of merges, which no sum of scores reproduces; so `encode` enumerates
+and joins by hash in numpy batches, and folds a unigram model's edges by Viterbi, a BPE model's by
+merging.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symgrid.llm.common import quoted, tidied
+from symgrid.llm.common import durable, quoted, tidied
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -44,6 +47,7 @@ class Pieces:
         for i in own:
             self.priority[i] = order[scores[i]]
         self.longest = max((len(pieces[i]) for i in own), default=1)
+        self.unknown_score = float(min((scores[i] for i in own), default=0.0)) - 10.0
         crossing = any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.units = re.compile("(?s:.+)" if crossing else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
         self.raw = [bytes([int(p[3:5], 16)]) if b else b"" if s and i != unknown else " ⁇ ".encode() if i == unknown else p.encode() for i, (p, b, s) in enumerate(zip(pieces, byte, special, strict=True))]
@@ -219,8 +223,7 @@ class Encoder:
 
     def __init__(self, own: Pieces):
         self.own = own
-        real = [own.scores[i] for i in own.ids.values()]
-        self.unknown_score = float(min(real, default=0.0)) - 10.0
+        self.unknown_score = own.unknown_score
         self._reset()
 
     def _reset(self) -> None:
@@ -336,6 +339,63 @@ def encode(df: DataFrame, own: Pieces, text: str = "text", to: str = "ids", chec
     return base.mapInArrow(tidied(run), schema)
 
 
+def _folded(edges: Column) -> Column:
+    """Ids of the best path. edges: for each end from 1 on, the pieces that end there (size, score, ids),
+    shortest first; of equal sums the one with the shorter last piece counts."""
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("came"), F.array().cast("array<int>").alias("ids")))
+
+    def step(best: Column, here: Column) -> Column:
+        none = F.struct(F.lit(float("-inf")).alias("score"), F.lit(0).alias("came"), F.array().cast("array<int>").alias("ids"))
+        reach = lambda e: F.struct((F.get(best, F.size(best) - e["size"])["score"] + e["score"]).alias("score"), (F.size(best) - e["size"]).alias("came"), e["ids"].alias("ids"))
+        found = F.aggregate(here, none, lambda top, e: F.when(reach(e)["score"] > top["score"], reach(e)).otherwise(top))
+        return F.concat(best, F.array(found))
+
+    best = F.aggregate(edges, start, step)
+    ends = F.transform(best, lambda b, i: F.struct(b["came"].alias("came"), b["ids"].alias("ids"), i.alias("end")))
+    last = F.struct(F.size(edges).alias("at"), F.array().cast("array<int>").alias("ids"))
+    back = lambda acc, b: F.when(b["end"] == acc["at"], F.struct(b["came"].alias("at"), F.concat(b["ids"], acc["ids"]).alias("ids"))).otherwise(acc)
+    # The place before the first character has no piece.
+    return F.aggregate(F.slice(F.reverse(ends), F.lit(1), F.size(edges)), last, back, lambda acc: acc["ids"])
+
+
+def relational(df: DataFrame, own: Pieces, text: str = "text", to: str = "ids") -> DataFrame:
+    """df with the column `to`, as `encode` gives it, for unigram models: distinct units' substrings are
+    exploded and joined to the piece table, edges grouped by unit and folded by Viterbi with Spark's
+    aggregate, and the units' ids joined back to their places in the texts.
+
+    Null texts give null, empty texts an empty array; repeated rows get equal results. A unit's edges
+    are one row, so for models whose pieces reach across spaces (a text is one unit) use `encode`.
+    Columns of map type are not supported.
+    """
+    if own.bpe:
+        raise ValueError("a BPE model's result is defined by merges, not by a sum of scores")
+    spark = df.sparkSession
+    names = [c for c in df.columns if c != to]
+    base = durable(df.select(F.struct(*[quoted(c) for c in names]).alias("row"), quoted(text).alias("text"), F.monotonically_increasing_id().alias("id")))
+    units = F.when(F.col("text") != "", F.regexp_extract_all(F.concat(F.lit(SPACE), F.translate("text", " ", SPACE)), F.lit(f"({own.units.pattern})"), 1))
+    placed = base.select("id", F.posexplode(units).alias("pos", "unit"))
+    each = placed.select("unit").distinct()
+    starts_ = each.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("first"))
+    longest = F.least(F.lit(own.longest), F.length("unit") - F.col("first") + 1)
+    parts = starts_.select("unit", "first", F.explode(F.sequence(F.lit(1), longest)).alias("size")).select("unit", "size", (F.col("first") + F.col("size") - 1).alias("end"), F.expr("substring(unit, first, size)").alias("piece"))
+    # One row per piece of the model.
+    table = spark.createDataFrame([(p, float(own.scores[i]), i) for p, i in own.ids.items()], "piece string, score double, piece_id int")
+    spelt = F.regexp_extract_all(F.hex(F.encode("piece", "utf-8")), F.lit("(..)"), 1)
+    if own.byte:
+        strange = F.transform(spelt, lambda h: F.get(F.lit([own.byte[i] for i in range(256)]), F.conv(h, 16, 10).cast("int")))
+    else:
+        strange = F.array(F.lit(own.unknown))
+    ids = F.when(F.col("piece_id").isNull(), strange).otherwise(F.array("piece_id"))
+    edge = F.struct("size", F.coalesce("score", F.lit(own.unknown_score)).alias("score"), ids.alias("ids"))
+    edges = parts.join(table, "piece", "left").filter("piece_id is not null or size = 1")
+    ended = edges.groupBy("unit", "end").agg(F.sort_array(F.collect_list(edge)).alias("here"))
+    lattices = ended.groupBy("unit").agg(F.transform(F.sort_array(F.collect_list(F.struct("end", "here"))), lambda x: x["here"]).alias("edges"))
+    folded = lattices.select("unit", _folded(F.col("edges")).alias("ids"))
+    texts = placed.join(folded, "unit").groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
+    none = F.when(F.col("text").isNotNull(), F.array().cast("array<int>"))
+    return base.join(texts, "id", "left").select("row.*", F.coalesce("ids", none).alias(to))
+
+
 def decode(df: DataFrame, own: Pieces, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """df with the column `to`, the text of the ids (a column of that name is replaced); null for null."""
     shared = df.sparkSession.sparkContext.broadcast(own)

@@ -81,6 +81,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 EDGE = ".,;:!?\"'()[]{}<>"
 HINTS = frozenset("password passwd pwd secret token key api_key apikey".split())
 RUN = re.compile(r"A+|a+|9+|(.)\1*", re.S)
+#: Longer unbroken words are cut after these marks, so that each part has a shape of its own.
+LONG, PART = 64, re.compile(r'[^=&",:;]*[=&",:;]+|[^=&",:;]+')
+#: Words decoded together, at most (one line's words at least); shapes kept; words remembered.
+CELLS, MOST_SHAPES, MEMO = 400_000, 100_000, 300_000
 
 
 def _bucket(n: int, edges: tuple[int, ...]) -> int:
@@ -100,10 +104,10 @@ def shape(word: str) -> tuple:
     if core.isalpha():
         low = core.lower()
         return ("word", "A" if core.isupper() else "a", low if low in HINTS else "", word[0] if word[0] in "([" else "", "." if word[-1] in ".,;:!?" else word[-1] if word[-1] in ")]" else "")
-    text = "".join(map(_class, word[:64]))
+    text = "".join(map(_class, word))
     runs = [m.group() for m in RUN.finditer(text)]
     digits = text.count("9")
-    outline = "".join(r[0] + (str(_bucket(len(r), (1, 2, 3, 4, 5, 8, 11, 16, 20))) if r[0] == "9" else "") for r in runs[:9])
+    outline = "".join(r[0] + (str(_bucket(len(r), (1, 2, 3, 4, 5, 8, 11, 16, 20))) if r[0] == "9" else "") for r in runs) if len(runs) <= 12 else "many"
     swaps = sum(a in "Aa9" and b in "Aa9" and (a == "9") != (b == "9") for a, b in zip(text, text[1:], strict=False))
     name = re.split(r"[=:]", core, maxsplit=1)[0].lower()
     flags = tuple(c for c in "@=:/+(-_\"" if c in word) + (("[at]",) if re.search(r"[\[(]at[\])]", word) else ())
@@ -212,8 +216,12 @@ class Field:
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 self.weights[k] -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
         self.trans = self.weights[3]
-        self.tables = [np.zeros((0, y)) for _ in range(3)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts the table of shapes anew; numbers given before are void."""
         self.shapes = {}
+        self.tables = [np.zeros((1_024, len(LABELS))) for _ in range(3)]
 
     def _phi(self, shapes: list[tuple]) -> np.ndarray:
         out = np.zeros((len(shapes), len(self.names)))
@@ -246,26 +254,42 @@ class Field:
         at = self.shapes.get(s)
         if at is None:
             at = self.shapes[s] = len(self.shapes)
-            row = self._phi([s])
-            self.tables = [np.vstack([tab, row @ w]) for tab, w in zip(self.tables, self.weights[:3], strict=True)]
+            if at == len(self.tables[0]):
+                self.tables = [np.vstack([tab, np.zeros_like(tab)]) for tab in self.tables]
+            row = self._phi([s])[0]
+            for tab, w in zip(self.tables, self.weights[:3], strict=True):
+                tab[at] = row @ w
         return at
 
     def margins(self) -> tuple[list[np.ndarray], float]:
         """By shape, the least lead of "o" over another label from a word itself, its left and its
         right neighbour; and the lead at which no run of other labels can win by its transitions."""
-        lead = [(tab[:, :1] - tab[:, 1:]).min(axis=1) for tab in self.tables]
+        n = len(self.shapes)
+        lead = [(tab[:n, :1] - tab[:n, 1:]).min(axis=1) for tab in self.tables]
         t = self.trans - self.trans[0, 0]
         return lead, max(0.0, t[0, 1:].max()) + max(0.0, t[1:, 0].max()) + max(0.0, t[1:, 1:].max())
 
     def decode(self, rows: list[list[int]]) -> list[np.ndarray]:
-        """Viterbi labels of sequences of shape numbers, all sequences step by step at once."""
+        """Viterbi labels of sequences of shape numbers. Sequences of like length are decoded together,
+        some CELLS numbers at once, so one long sequence does not widen the others' arrays."""
+        order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+        out: list = [None] * len(rows)
+        while order:
+            many = max(1, CELLS // max(1, len(rows[order[0]])))
+            for i, marks in zip(order[:many], self._together([rows[i] for i in order[:many]]), strict=True):
+                out[i] = marks
+            order = order[many:]
+        return out
+
+    def _together(self, rows: list[list[int]]) -> list[np.ndarray]:
         order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
         lengths = np.array([len(rows[i]) for i in order])
         n, top, y = len(rows), int(lengths[0]) if rows else 0, len(LABELS)
         ids = np.full((n, top + 2), -1)
         for k, i in enumerate(order):
             ids[k, 1 : 1 + len(rows[i])] = rows[i]
-        tables = [np.vstack([tab, np.zeros(y)]) for tab in self.tables]
+        # The last row stands for no word.
+        tables = [np.vstack([tab[: len(self.shapes)], np.zeros(y)]) for tab in self.tables]
         back = np.zeros((top, n, y), np.int8)
         score = np.zeros((n, y))
         for t in range(top):
@@ -294,17 +318,25 @@ def field() -> Field:
 
 
 class Numbers(dict):
-    """Word to shape number."""
+    """Word to shape number; long words are not remembered."""
 
     def __init__(self, own: Field):
         self.own = own
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        found = self[word] = self.own.number(word)
+        found = self.own.number(word)
+        if len(word) <= LONG:
+            if len(self) > MEMO:
+                self.clear()
+            self[word] = found
         return found
 
+    def trim(self) -> None:
+        """Forgets shapes when there are too many; to be called where no numbers are held."""
+        if len(self.own.shapes) > MOST_SHAPES:
+            self.own.forget()
+            self.clear()
+
 
 def suspect(rows: list[np.ndarray], own: Field) -> list[bool]:
     """Which of the sequences may hold a label other than "o"; False is certain."""
@@ -322,6 +354,23 @@ def suspect(rows: list[np.ndarray], own: Field) -> list[bool]:
 SPACED = re.compile(r"\S+")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, long ones cut into their parts."""
+    found = text.split()
+    if found and max(map(len, found)) > LONG:
+        found = [p for w in found for p in (PART.findall(w) if len(w) > LONG else (w,))]
+    return found
+
+
+def places_of(line: str) -> list[tuple[int, int]]:
+    """Where words_of a line are."""
+    out = []
+    for m in SPACED.finditer(line):
+        s, e = m.span()
+        out += [(s, e)] if e - s <= LONG else [p.span() for p in PART.finditer(line, s, e)]
+    return out
+
+
 def added_spans(texts: list[str], own: Field, numbers: Numbers) -> list[list[tuple[str, int, int]]]:
     """The field's spans per text. Texts and lines in which "o" leads everywhere by more than any
     transition can give are not decoded; their labels are known."""
@@ -333,7 +382,7 @@ def added_spans(texts: list[str], own: Field, numbers: Numbers) -> list[list[tup
         for (i, offset, line, _), marks in zip(queue, own.decode([q[3] for q in queue]), strict=True):
             if not marks.any():
                 continue
-            places = [m.span() for m in SPACED.finditer(line)]
+            places = places_of(line)
             at = 0
             while at < len(marks):
                 end = at + 1
@@ -353,7 +402,7 @@ def added_spans(texts: list[str], own: Field, numbers: Numbers) -> list[list[tup
     def lines(i: int) -> None:
         offset, parts = 0, []
         for line in texts[i].split("\n"):
-            words = line.split()
+            words = words_of(line)
             if words:
                 parts.append((i, offset, line, code(words)))
             offset += len(line) + 1
@@ -362,7 +411,7 @@ def added_spans(texts: list[str], own: Field, numbers: Numbers) -> list[list[tup
     batch: list[tuple[int, np.ndarray]] = []
     held = 0
     for i, text in enumerate(texts):
-        words = text.split()
+        words = words_of(text)
         if words:
             batch.append((i, code(words)))
             held += len(words)
@@ -372,6 +421,7 @@ def added_spans(texts: list[str], own: Field, numbers: Numbers) -> list[list[tup
                     lines(k)
             flush()
             batch, held = [], 0
+            numbers.trim()
     return found
 
 
@@ -392,8 +442,10 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: key, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256 (of
     the patterns' spans), spans (all of them, kind:start:end in code points, end exclusive).
 
-    Null texts count as empty and have no spans; very long texts are read whole, in time linear in
-    their length; repeated rows get equal results; other columns are ignored.
+    Null texts count as empty and have no spans; very long texts are read whole, in time and memory
+    linear in their own length; of an unbroken word of more than LONG characters each part has a shape
+    of its own; repeated rows get equal results, whatever their neighbours; an empty table gives an
+    empty result; other columns are ignored.
     """
 
     shared = df.sparkSession.sparkContext.broadcast(field())
@@ -417,7 +469,9 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with every span of its text replaced by the kind in square brackets; null stays null."""
+    """df with every span of its text replaced by the kind in square brackets; of spans that meet, the
+    first, and from one place the longest. Null stays null, a text without spans stays as it is, and
+    equal texts give equal texts; an empty table stays empty."""
     at = df.columns.index(text)
 
     shared = df.sparkSession.sparkContext.broadcast(field())
