@@ -41,14 +41,20 @@ def schedule(spark, targets: list[float], block_words: int) -> DataFrame:
     """Slots of the mix: slot long, idx int (source), rank long (of the slot among its source's)."""
     total = sum(targets)
     n_slots = math.ceil(total / block_words) if total else 0
+    last = max((i for i, t in enumerate(targets) if t > 0), default=-1)
     bounds, at = [], 0.0
-    for t in targets:
-        at += t
-        bounds.append(at / total if total else 1.0)
-    edges = F.array(*[F.lit(b) for b in bounds[:-1]]).cast("array<double>")
-    point = F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), F.size(F.filter(edges, lambda b: b <= point)).alias("idx"))
-    slots = slots.withColumn("chunk", F.expr("slot div 65536")).withColumn("one", F.lit(1))
+    for i, t in enumerate(targets):
+        low, at = at, at + t
+        if t > 0:
+            bounds.append((i, low / total, at / total if i < last else 2.0))
+    # A source's interval is found through the cells of a grid that it meets: few more than there are sources.
+    cells = 1 << (4 * len(bounds) + 1).bit_length()
+    grid = spark.createDataFrame(bounds, "idx int, low double, high double")
+    cell = lambda x: F.floor(F.least(x, F.lit(1.0)) * cells)
+    grid = grid.select("*", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
+    slots = slots.withColumn("cell", cell(F.col("point"))).join(grid, "cell").filter("low <= point and point < high")
+    slots = slots.select("slot", "idx", F.expr("slot div 65536").alias("chunk"), F.lit(1).alias("one"))
     return running_total(slots, ["idx"], "chunk", ["slot"], "one", "rank").select("slot", "idx", "rank")
 
 
@@ -97,9 +103,13 @@ def mix(df: DataFrame, key: list[str], source: str = "source", text: str = "text
 
 def remix(df: DataFrame, source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself, with df's columns: every row as often as the words that the mix takes of it
-    amount to its size, rounded (so 0, 1 or 2 times). Rows without words are never taken."""
-    named = df.withColumn("__row", F.xxhash64(*[quoted(c) for c in df.columns]))
-    taken = mix(named, ["__row"], source, text, **options).groupBy("__row").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
+    amount to its size, rounded (so 0, 1 or 2 times). Rows without words (null and empty texts) are
+    never taken; equal rows share what is taken of them; a null source is a source; an empty table
+    stays empty. Columns of map type are not supported."""
+    columns = [quoted(c) for c in df.columns]
+    name = ["__row", "__half"]
+    named = df.withColumns({"__row": F.xxhash64(*columns), "__half": F.xxhash64(F.lit(1), *columns)})
+    taken = mix(named, name, source, text, **options).groupBy(*name).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
     times = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
-    taken = taken.select("__row", times.alias("__times")).filter("__times > 0")
-    return named.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[quoted(c) for c in df.columns])
+    taken = taken.select(*name, times.alias("__times")).filter("__times > 0")
+    return named.join(taken, name).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)

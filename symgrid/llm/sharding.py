@@ -58,6 +58,10 @@ def shard(df: DataFrame, n_shards: int, seed: int = 7, bucket_bytes: int = 64 <<
     return rows.select("record", "shard", (F.col("place") - first).alias("slot"))
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """Writes the records under path/shard=N; a shard's rows follow `slot` within a file."""
-    sharded.select("record.*", F.col("shard").alias("__shard"), F.col("slot").alias("__slot")).sortWithinPartitions("__shard", "__slot").withColumnRenamed("__shard", "shard").drop("__slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str) -> str:
+    """Writes the records under path/shard=N; a shard's rows follow `slot` within a file. Returns the name
+    of the partition column: shard, or shard_1 and so on where the records have a column of that name."""
+    taken = {f.name.lower() for f in sharded.schema["record"].dataType}
+    name = next(n for n in ("shard", *(f"shard_{i}" for i in range(1, len(taken) + 2))) if n not in taken)
+    sharded.sortWithinPartitions("shard", "slot").select("record.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name

@@ -182,21 +182,22 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with a column score (0 to 1); a column of that name is replaced.
+def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
+    """df with a column `to` (0 to 1); a column of that name is replaced.
 
-    Null and empty texts get the score of no evidence; repeated rows get equal scores. Without
-    labelled rows of both classes every row has the same score.
+    Null and empty texts get the score of no evidence; very long texts are read whole; repeated rows
+    get equal scores; an empty table stays empty. Without labelled rows of both classes every row has
+    the same score.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in df.columns if c != "score"]
-    schema = df.select(*[quoted(c) for c in names]).schema.add("score", "double")
+    names = [c for c in df.columns if c != to]
+    schema = df.select(*[quoted(c) for c in names]).schema.add(to, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         ids = Ids(own.known)
         for batch in batches:
             found = np.array([own.ratio(t, ids) for t in batch.column(len(names)).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(own.score(found))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(own.score(found))], [*names, to])
 
     return df.select(*[quoted(c) for c in names], quoted(text).alias("__text")).mapInArrow(tidied(run), schema)
