@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
+from symgrid.schema import CAPS
 from symgrid.session import durable
 
 Expand = Callable[[DataFrame], DataFrame]
@@ -25,37 +26,43 @@ def call_edges(refs: DataFrame, incoming: bool = False) -> DataFrame:
     return own.groupBy(F.col(a).alias("node"), F.col(b).alias("next")).agg(F.min(F.struct("file_id", "loc_start", b)).alias("ord"))
 
 
-def bfs(roots: DataFrame, edges: DataFrame, depth: int = 3, per_level: int | None = None) -> tuple[DataFrame, DataFrame]:
+def bfs(roots: DataFrame, edges: DataFrame, depth: int = 3, per_level: int | None = None, first: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """roots: root, node (one row per start). Returns nodes (root, node, depth, truncated) and edges
-    (root, parent, child, depth of the parent).
+    (root, parent, child, depth of the parent). `first`: edges of the first level only.
 
     Every edge of an expanded node is kept, also to visited ones. With per_level, a level takes its
     new nodes in the order of parents and edges and stops at that many; later ones are cut and the
     level says so (truncated on its nodes' rows).
     """
-    depth = min(max(depth, 1), 6)
-    # order: a node's place in its level, which orders its children.
-    front = roots.select("root", "node").distinct().withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("node"))).withColumn("depth", F.lit(0)).withColumn("truncated", F.lit(False))
-    visited = durable(front)
-    front, walked = visited, None
+    depth = clamped(depth)
+    # place: a node's place in its level, which orders its children under a limit.
+    place = F.lit(0) if per_level is None else F.row_number().over(Window.partitionBy("root").orderBy("node"))
+    visited = durable(roots.select("root", "node").distinct().select("root", "node", place.alias("place"), F.lit(0).alias("depth"), F.lit(False).alias("truncated")))
+    front = visited
     for level in range(1, depth + 1):
-        step = front.join(edges, "node").select("root", F.col("node").alias("parent"), F.col("next").alias("child"), "place", "ord").withColumn("depth", F.lit(level - 1))
-        step = durable(step)
-        part = step.select("root", "parent", "child", "depth")
-        walked = part if walked is None else walked.unionByName(part)
+        out = edges if level > 1 or first is None else edges.unionByName(first)
+        step = front.join(out, "node").select("root", F.col("next").alias("child"), "place", "ord")
         fresh = step.join(visited.select("root", F.col("node").alias("child")), ["root", "child"], "left_anti")
-        first = fresh.groupBy("root", "child").agg(F.min(F.struct("place", "ord")).alias("at"))
-        placed = first.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("at", "child")))
-        new = placed.select("root", F.col("child").alias("node"), "place", F.lit(level).alias("depth"))
         if per_level is None:
-            new = new.withColumn("truncated", F.lit(False))
+            new = fresh.select("root", F.col("child").alias("node")).distinct().select("root", "node", F.lit(0).alias("place"), F.lit(level).alias("depth"), F.lit(False).alias("truncated"))
         else:
-            new = new.withColumn("truncated", F.count("*").over(Window.partitionBy("root")) > per_level).filter(F.col("place") <= per_level)
+            at = fresh.groupBy("root", "child").agg(F.min(F.struct("place", "ord")).alias("at"))
+            at = at.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("at", "child")))
+            more = F.count("*").over(Window.partitionBy("root")) > per_level
+            new = at.select("root", F.col("child").alias("node"), "place", F.lit(level).alias("depth"), more.alias("truncated")).filter(F.col("place") <= per_level)
         front = durable(new)
         if front.isEmpty():
             break
         visited = visited.unionByName(front)
-    return visited.drop("place"), walked
+    expanded = visited.filter(F.col("depth") < depth).select("root", "node", "depth")
+    walked = expanded.join(edges, "node")
+    if first is not None:
+        walked = walked.unionByName(expanded.filter("depth = 0").join(first, "node"))
+    return visited.drop("place"), walked.select("root", F.col("node").alias("parent"), F.col("next").alias("child"), "depth")
+
+
+def clamped(depth: int) -> int:
+    return min(max(depth, 1), CAPS.max_depth)
 
 
 def windowed_edges(refs: DataFrame, files: DataFrame, incoming: bool, limit: int, compat: bool = False) -> DataFrame:
@@ -102,48 +109,66 @@ def interface_hint(anchors: DataFrame, type_relations: DataFrame, symbols: DataF
 
 
 def callers(roots: DataFrame, refs: DataFrame, type_relations: DataFrame | None = None, symbols: DataFrame | None = None, depth: int = 2, per_level: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Breadth-first callers of roots (root). With relations and symbols, the root's level also takes
-    the callers of the interface members it implements."""
-    edges = call_edges(refs, incoming=True)
+    """Breadth-first callers of roots (root). With relations and symbols, the first level (no other) also
+    takes the callers of the interface members that a root implements."""
+    edges, first = call_edges(refs, incoming=True), None
     if type_relations is not None and symbols is not None:
         more = callers_by_interface(roots.select(F.col("root").alias("symbol_id")), type_relations, symbols, refs)
-        extra = more.select(F.col("symbol_id").alias("node"), F.col("caller").alias("next"))
-        extra = extra.join(edges, ["node", "next"], "left_anti").withColumn("ord", F.struct(F.lit("~").alias("file_id"), F.lit(0).alias("loc_start"), F.col("next").alias("from_symbol_id")))
-        edges = edges.unionByName(extra)
-    return bfs(roots.select("root", F.col("root").alias("node")), edges, depth, per_level)
+        first = more.select(F.col("symbol_id").alias("node"), F.col("caller").alias("next")).join(edges, ["node", "next"], "left_anti")
+        first = first.withColumn("ord", F.struct(F.lit("~").alias("file_id"), F.lit(0).alias("loc_start"), F.col("next").alias("from_symbol_id")))
+    return bfs(roots.select("root", F.col("root").alias("node")), edges, depth, per_level, first)
 
 
 def callees(roots: DataFrame, refs: DataFrame, depth: int = 2, per_level: int | None = None) -> tuple[DataFrame, DataFrame]:
     return bfs(roots.select("root", F.col("root").alias("node")), call_edges(refs), depth, per_level)
 
 
-def trace(roots: DataFrame, refs: DataFrame, facts: DataFrame, depth: int = 3, per_level: int | None = None) -> DataFrame:
-    """Paths from each root along the edges that the search walked, cycles unrolled to the depth:
-    root, node, depth, path, and facts (kind:text before the first pipe, sorted, comma-joined)."""
+def trace(roots: DataFrame, refs: DataFrame, facts: DataFrame, depth: int = 3, per_level: int | None = None, symbols: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
+    """Paths from each root along the edges that the search walked, cycles unrolled to the depth (1 to 6):
+    root, node, depth, path, and facts (kind:text before the first pipe, sorted, comma-joined). With
+    symbols, also name (the signature, else the id), stable_id and is_decompiled. With max_rows, a
+    level keeps the first so many paths of a root in their order, and `truncated` says that it had more.
+    """
+    depth = clamped(depth)
     _, walked = callees(roots, refs, depth, per_level)
     edge = walked.select("root", F.col("parent").alias("node"), "child").distinct()
-    level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"))
+    level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("truncated"))
     out = level
     for n in range(1, depth + 1):
-        level = level.join(edge, ["root", "node"]).select("root", F.col("child").alias("node"), F.lit(n).alias("depth"), F.concat("path", F.array("child")).alias("path"))
+        level = level.join(edge, ["root", "node"]).select("root", F.col("child").alias("node"), F.lit(n).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.lit(False).alias("truncated"))
+        if max_rows is not None:
+            w = Window.partitionBy("root")
+            level = level.withColumn("truncated", F.count("*").over(w) > max_rows).withColumn("__n", F.row_number().over(w.orderBy("path"))).filter(F.col("__n") <= max_rows).drop("__n")
         out = out.unionByName(level)
-    said = facts.select(F.col("symbol_id").alias("node"), F.concat_ws(":", "fact_kind", X.before_pipe(F.col("value"))).alias("f")).distinct()
+    said = facts.select(F.col("symbol_id").alias("node"), F.concat_ws(":", "fact_kind", F.trim(X.before_pipe(F.col("value")))).alias("f")).distinct()
     said = said.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("f")), ",").alias("facts"))
-    return out.join(said, "node", "left").select("root", "node", "depth", "path", F.coalesce("facts", F.lit("")).alias("facts"))
+    columns = ["root", "node", "depth", "path", F.coalesce("facts", F.lit("")).alias("facts"), "truncated"]
+    out = out.join(said, "node", "left")
+    if symbols is not None:
+        card = symbols.select(F.col("symbol_id").alias("node"), "signature", "stable_id", "is_decompiled")
+        out = out.join(card, "node", "left")
+        columns += [F.coalesce("signature", "node").alias("name"), "stable_id", (F.coalesce("is_decompiled", F.lit(1)) != 0).alias("is_decompiled")]
+    return out.select(*columns)
 
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node: everything reachable from the starts (node) along edges (node, next), themselves
-    included. Rounds double the reach, so their number is logarithmic in the longest path; all pairs
-    that reach each other are kept, so this is for graphs of projects, not of symbols (use bfs)."""
-    reach = durable(edges.select("node", "next").distinct())
-    n = reach.count()
-    while True:
-        twice = reach.select("node", F.col("next").alias("mid")).join(reach.select(F.col("node").alias("mid"), "next"), "mid").select("node", "next")
-        reach = durable(reach.unionByName(twice).distinct())
-        now = reach.count()
-        if now == n:
-            break
-        n = now
-    own = starts.select(F.col("node").alias("start"), "node").distinct()
-    return own.unionByName(own.join(reach, "node").select("start", F.col("next").alias("node"))).distinct()
+    included. The frontier of all starts advances together, so only what they reach is kept; rounds are
+    as many as the longest path. For graphs of projects; of symbols, use bfs."""
+    edges = durable(edges.select("node", "next").distinct())
+    front = durable(starts.select(F.col("node").alias("start"), "node").distinct())
+    parts = [front]
+    while not front.isEmpty():
+        seen = parts[0]
+        for p in parts[1:]:
+            seen = seen.unionByName(p)
+        if len(parts) > 20:
+            # Few, long plans rather than ever longer ones.
+            seen = durable(seen)
+            parts = [seen]
+        front = durable(front.join(edges, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti"))
+        parts.append(front)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

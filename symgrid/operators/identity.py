@@ -7,14 +7,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
+from symgrid.schema import TYPE_KINDS
+
+
+# Words before a type in a declaration.
+MODIFIERS = "public private protected internal static virtual override abstract sealed async readonly partial extern new unsafe".split()
 
 
 def structure(symbols: DataFrame) -> Column:
-    """A symbol's fingerprint without its name: kind, container, visibility and what is left of its
-    signature when its own name is taken out."""
-    name = X.display_name(F.col("fqname"))
-    shape = F.when(F.length(name) > 0, F.replace("signature", name, F.lit(""))).otherwise(F.col("signature"))
-    return X.fingerprint(F.col("kind"), F.col("containing_type"), F.col("visibility"), shape)
+    """A symbol's fingerprint without its name: kind, container, namespace, static or not, and of members
+    the type, arity and parameter types, of types the arity. All come from the signature's text: the
+    name is the last word before the parameters, a parameter's name the last of its words."""
+    has = lambda c: F.col(c) if c in symbols.columns else F.lit("")
+    said = F.coalesce("signature", F.lit(""))
+    head = F.substring_index(said, "(", 1)
+    bare = F.regexp_replace(head, f"\\b({'|'.join(MODIFIERS)}) +", "")
+    type_ = F.regexp_replace(bare, " *[^ ]+ *$", "")
+    parameters = F.regexp_replace(F.regexp_extract(said, "\\((.*)\\)", 1), " +\\w+( *= *[^,]*)?(,|$)", "$2")
+    member = ~F.col("kind").isin(TYPE_KINDS)
+    mode = F.when(head.rlike("\\bstatic\\b"), "static").otherwise("instance")
+    return X.fingerprint(F.col("kind"), F.col("containing_type"), has("namespace"), mode, F.when(member, type_), F.regexp_extract("fqname", "`+([0-9]+)", 1), F.when(member, parameters))
+
+
+def versioned_id(kind: Column, name: Column, container: Column, namespace: Column, project: Column, static: Column, type_: Column, arity: Column, parameters: Column) -> Column:
+    """The name-dependent id of the second version: parts joined by zero bytes. kind is NamedType, Method,
+    Property, Field or Event; parameters an array of types. Types have no type of their own, only types
+    and methods an arity, only methods and properties parameters."""
+    mode = F.when(static, "static").otherwise("instance")
+    start = [kind, name, F.coalesce(container, F.lit("")), F.coalesce(namespace, F.lit("")), F.coalesce(project, F.lit("")), mode]
+    none = F.array().cast("array<string>")
+    parts = F.concat(
+        F.array(*start),
+        F.when(kind != "NamedType", F.array(type_)).otherwise(none),
+        F.when(kind.isin("NamedType", "Method"), F.array(arity.cast("string"))).otherwise(none),
+        F.when(kind.isin("Method", "Property"), F.coalesce(parameters, none)).otherwise(none),
+    )
+    return F.concat(F.lit("sym_"), F.substring(F.sha2(F.array_join(parts, "\0"), 256), 1, 16))
 
 
 def with_ordinals(symbols: DataFrame) -> DataFrame:
@@ -32,17 +60,26 @@ def with_structural_ids(symbols: DataFrame) -> DataFrame:
     return own.withColumn("stable_id", F.coalesce("stable_id", made)).select(symbols.columns)
 
 
+#: Comments and white space before the first code.
+LEADING = r"(?s)^\ufeff?(?:\s+|//[^\n]*|/\*.*?\*/|'[^\n]*|<!--.*?-->)*+"
+
+
 def is_generated(path: Column, content: Column | None = None) -> Column:
-    """Whether a file is a tool's output, which extraction skips."""
+    """Whether a file is a tool's output, which extraction skips: by its path, or a mark in the comments
+    before its first code, however long they are."""
     p = F.lower(path)
     out = p.endswith(".g.cs") | p.endswith(".g.vb") | p.endswith(".designer.cs") | p.endswith(".designer.vb") | p.rlike("(^|[/\\\\])obj[/\\\\]")
-    return out if content is None else out | F.coalesce(F.substring(content, 1, 2_000).contains("<auto-generated"), F.lit(False))
+    return out if content is None else out | F.coalesce(F.regexp_extract(content, LEADING, 0).contains("<auto-generated"), F.lit(False))
+
+
+def is_test(path: Column) -> Column:
+    """Whether a file belongs to a project of tests or benchmarks, which stays out of exports."""
+    return F.coalesce(path, F.lit("")).rlike("\\.(Tests|Benchmarks|TestUtilities)[/\\\\]")
 
 
-def is_test(path: Column, fqname: Column) -> Column:
-    """Whether a symbol belongs to tests or was made by the compiler, and so stays out of exports."""
-    p = F.lower(F.coalesce(path, F.lit("")))
-    return p.contains("/tests/") | p.contains("/test/") | p.contains(".tests/") | p.startswith("tests/") | p.startswith("test/") | fqname.contains("<") | fqname.contains("__")
+def is_made(fqname: Column) -> Column:
+    """Whether the compiler made a type, for a program without one."""
+    return F.coalesce(fqname.endswith("AutoGeneratedProgram") | fqname.endswith("<Program>$"), F.lit(False))
 
 
 def classify_changes(before: DataFrame, after: DataFrame, bases_before: DataFrame, bases_after: DataFrame) -> DataFrame:

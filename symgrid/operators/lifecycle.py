@@ -55,8 +55,16 @@ def touched_projects(changes: DataFrame, projects: DataFrame) -> DataFrame:
     return dirs.join(projects.select("project", F.lower("dir").alias("dir")), "dir").select("project", "path").distinct()
 
 
+# Files that the build of every project reads.
+GLOBAL_INPUTS = ["directory.build.props", "directory.build.targets", "directory.packages.props", "nuget.config", "global.json", ".editorconfig"]
+
+
 def impact(changes: DataFrame, projects: DataFrame, depends: DataFrame, members: DataFrame) -> DataFrame:
-    """solution: those with a project that changed, or that depends on one (depends: project, on)."""
+    """solution: those with a project that changed, or that depends on one (depends: project, on); all if
+    a file changed that every build reads."""
+    whole = changes.filter(F.lower(F.element_at(F.split(F.translate("path", "\\", "/"), "/"), -1)).isin(GLOBAL_INPUTS))
+    if not whole.isEmpty():
+        return members.select("solution").distinct()
     hit = touched_projects(changes, projects).select(F.col("project").alias("node")).distinct()
     reach = closure(depends.select(F.col("on").alias("node"), F.col("project").alias("next")), hit)
     return members.join(reach.select(F.col("node").alias("project")).distinct(), "project", "left_semi").select("solution").distinct()
@@ -126,3 +134,55 @@ def seed_candidates(generations: DataFrame, target_compatibility: str, newest: i
     w = Window.partitionBy("target").orderBy(F.desc("published_at"), "candidate")
     own = generations.filter(F.col("compatibility") == target_compatibility)
     return own.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= newest).drop("__n")
+
+
+def select_seed(generations: DataFrame, inputs: DataFrame, target_inputs: DataFrame, target_commit: str, compatibility: str, newest: int = 10, least: float = 0.6) -> DataFrame:
+    """The snapshot from which a branch's first one starts: at most one row candidate, similarity, exact.
+
+    generations: candidate, target, commit_sha, compatibility, published_at, relationship, changed_projects;
+    inputs: candidate, path, hash, weight. A compatible generation of the same commit wins, the newest;
+    else, of the `newest` compatible ones, the best of `best_seed`."""
+    same = generations.filter((F.col("commit_sha") == target_commit) & (F.col("compatibility") == compatibility))
+    exact = same.orderBy(F.desc("published_at"), "candidate").limit(1).select("candidate", F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
+    if not exact.isEmpty():
+        return exact
+    few = seed_candidates(generations, compatibility, newest)
+    scored = few.join(similarity(target_inputs, inputs.join(few.select("candidate"), "candidate", "left_semi")), "candidate")
+    return best_seed(scored, least).select("candidate", "similarity", F.lit(False).alias("exact"))
+
+
+def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
+    """start, node: each head (commit_sha) and all commits that it descends from. parents: commit_sha, parent."""
+    edges = parents.select(F.col("commit_sha").alias("node"), F.col("parent").alias("next"))
+    return closure(edges, heads.select(F.col("commit_sha").alias("node")))
+
+
+def merge_bases(parents: DataFrame, one: str, two: str) -> DataFrame:
+    """commit_sha: the common ancestors of two commits that are no ancestors of another common one."""
+    spark = parents.sparkSession
+    found = ancestors(parents, spark.createDataFrame([(one,), (two,)], "commit_sha string").distinct())
+    common = found.filter(F.col("start") == one).select("node").join(found.filter(F.col("start") == two).select("node"), "node", "left_semi")
+    above = parents.join(common.select(F.col("node").alias("commit_sha")), "commit_sha", "left_semi").select(F.col("parent").alias("node"))
+    return common.join(above, "node", "left_anti").select(F.col("node").alias("commit_sha"))
+
+
+def relationship(parents: DataFrame, candidate: str, head: str) -> str:
+    """How a candidate commit lies to a head: Identical, Ancestor, MergeBase (they share one) or Divergent."""
+    if candidate == head:
+        return "Identical"
+    shared = [r["commit_sha"] for r in merge_bases(parents, candidate, head).limit(2).collect()]
+    return "Divergent" if not shared else "Ancestor" if candidate in shared else "MergeBase"
+
+
+def running_savings(calls: DataFrame) -> DataFrame:
+    """calls: session, seq, tokens_saved, cost. Adds running totals of both by session."""
+    w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return calls.withColumn("total_tokens", F.sum("tokens_saved").over(w)).withColumn("total_cost", F.sum("cost").over(w))
+
+
+def create_workspace(registry: DataFrame, workspace_id: str, repo_id: str, base_commit: str) -> DataFrame:
+    """The registry with a workspace at revision 0; one of that name and repository is an error."""
+    if not registry.filter((F.col("workspace_id") == workspace_id) & (F.col("repo_id") == repo_id)).isEmpty():
+        raise ValueError(f"INVALID_ARGUMENT: workspace {workspace_id} exists")
+    row = registry.sparkSession.createDataFrame([(workspace_id, repo_id, base_commit, 0)], "workspace_id string, repo_id string, base_commit string, revision int")
+    return registry.select("workspace_id", "repo_id", "base_commit", "revision").unionByName(row)

@@ -33,9 +33,14 @@ def latest_files(rows: DataFrame, file: str = "file_id") -> DataFrame:
 
 
 def symbols(baseline: DataFrame, overlay: DataFrame, gone: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Snapshot symbols that are neither deleted (symbol_id), replaced, nor in a file that the overlay
-    read again (file_id); then the overlay's. `origin` says which."""
-    own = baseline.join(gone.select("symbol_id").distinct(), "symbol_id", "left_anti").join(overlay.select("symbol_id").distinct(), "symbol_id", "left_anti")
+    """Snapshot symbols that are neither deleted nor replaced, by symbol_id or by stable_id (a renamed
+    symbol keeps the latter), nor in a file that the overlay read again (file_id); then the overlay's.
+    `origin` says which. Null stable ids equal none."""
+    own = baseline
+    for hidden in (gone, overlay):
+        for key in ("symbol_id", "stable_id"):
+            if key in hidden.columns and key in baseline.columns:
+                own = own.join(hidden.filter(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
     if files is not None:
         own = own.join(files.select("file_id").distinct(), "file_id", "left_anti")
     return own.select(*baseline.columns).withColumn("origin", F.lit("baseline")).unionByName(overlay.select(*baseline.columns).withColumn("origin", F.lit("overlay")))

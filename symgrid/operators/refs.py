@@ -39,13 +39,20 @@ def outgoing(anchors: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.join(anchors.select(F.col("symbol_id").alias("from_symbol_id")).distinct(), "from_symbol_id", "left_semi")
 
 
-def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """refs with unresolved names bound to the one symbol of that simple name whose full name holds the
-    container hint; a name with none or several stays unresolved."""
+def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """refs with unresolved names bound: to the one symbol of that member name (the end of its full name
+    before the parameters), or of several to the one whose full name or file's path holds the container
+    hint in any case; this and base are no hints. A name with none or several stays unresolved."""
     open_ = refs.filter("resolution_state = 'Unresolved' and to_name is not null").select("to_name", F.coalesce("to_container_hint", F.lit("")).alias("hint")).distinct()
-    known = symbols.select("symbol_id", X.strip_doc_id(F.col("fqname")).alias("full"), X.member_name(F.col("symbol_id")).alias("to_name"))
-    hits = open_.join(known, "to_name").filter("hint = '' or contains(full, hint)")
-    one = hits.groupBy("to_name", "hint").agg(F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("bound")).filter("n = 1").drop("n")
+    known = symbols if files is None else symbols.join(files.select("file_id", "path"), "file_id", "left")
+    path = F.lower(F.coalesce("path", F.lit(""))) if "path" in known.columns else F.lit("")
+    known = known.select("symbol_id", F.lower("fqname").alias("full"), path.alias("path"), F.regexp_extract(F.substring_index("fqname", "(", 1), "([^.:]*)$", 1).alias("to_name"))
+    hint = F.lower("hint")
+    fit = ~F.col("hint").isin("", "this", "base") & (F.contains("full", hint) | F.contains("path", hint))
+    hits = open_.join(known, "to_name").groupBy("to_name", "hint").agg(
+        F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("any"), F.count_distinct(F.when(fit, F.col("symbol_id"))).alias("n_fit"), F.min(F.when(fit, F.col("symbol_id"))).alias("fit")
+    )
+    one = hits.select("to_name", "hint", F.when(F.col("n") == 1, F.col("any")).when(F.col("n_fit") == 1, F.col("fit")).alias("bound")).filter("bound is not null")
     out = refs.withColumn("hint", F.coalesce("to_container_hint", F.lit(""))).join(one, ["to_name", "hint"], "left")
     late = (F.col("resolution_state") == "Unresolved") & F.col("bound").isNotNull()
     return out.withColumn("to_symbol_id", F.when(late, F.col("bound")).otherwise(F.col("to_symbol_id"))).withColumn("resolution_state", F.when(late, "Resolved").otherwise(F.col("resolution_state"))).select(refs.columns)

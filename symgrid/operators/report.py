@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
+from symgrid.operators.identity import is_made, is_test
+from symgrid.schema import TYPE_KINDS
 
 SERVICE = "(Service|Controller|Handler|Repository|Manager|Processor)$"
 
@@ -50,10 +52,10 @@ def statistics(facts: DataFrame, symbols: DataFrame, projects: DataFrame | None
     return out
 
 
-def semantic_level(projects: DataFrame) -> DataFrame:
-    """Full if all projects compiled, SyntaxOnly if none, else Partial."""
+def semantic_level(projects: DataFrame, *by: str) -> DataFrame:
+    """Full if all projects compiled, SyntaxOnly if none, else Partial; of each group `by`, if any."""
     n, ok = F.count("*"), F.count_if("compiled")
-    return projects.agg(F.when(ok == n, "Full").when(ok == 0, "SyntaxOnly").otherwise("Partial").alias("level"))
+    return projects.groupBy(*by).agg(F.when(ok == n, "Full").when(ok == 0, "SyntaxOnly").otherwise("Partial").alias("level"))
 
 
 def members(symbols: DataFrame, per_type: int = 20, per_interface: int = 15) -> DataFrame:
@@ -66,9 +68,9 @@ def members(symbols: DataFrame, per_type: int = 20, per_interface: int = 15) ->
 
 
 def services(symbols: DataFrame) -> DataFrame:
-    """Types by role suffix, without tests and generated code."""
-    path_ok = ~F.lower("fqname").rlike("tests?(\\.|$)") & ~F.col("fqname").contains("<")
-    return symbols.filter(F.col("kind").isin("Class", "Interface")).filter(path_ok & X.display_name(F.col("fqname")).rlike("(?i)" + SERVICE))
+    """Types by the end of their full name, without projects of tests and what the compiler made."""
+    path = F.col("path") if "path" in symbols.columns else F.lit(None).cast("string")
+    return symbols.filter(F.col("kind").isin(TYPE_KINDS) & ~is_test(path) & ~is_made(F.col("fqname")) & F.col("fqname").rlike("(?i)" + SERVICE))
 
 
 def within_budget(lines: DataFrame, budget: int, order: list[str], text: str = "line") -> DataFrame:

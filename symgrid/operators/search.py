@@ -88,10 +88,12 @@ def by_stable_id(symbols: DataFrame, facts: DataFrame, anchors: DataFrame) -> Da
 
 def resolve_names(symbols: DataFrame, names: DataFrame, limit: int = 21) -> DataFrame:
     """names: name. For each the outcome ok, AMBIGUOUS or NOT_FOUND of a lookup by simple or full name,
-    the number of different symbols (counted up to limit) and up to five of them, sorted."""
+    the number of different symbols (counted up to limit) and up to five of them, sorted; a name that is
+    a symbol's id means that symbol. `resolve` takes one name through ranked search."""
     asked = names.select("name").distinct().withColumn("__k", F.lower("name"))
     keyed = symbols.select("symbol_id", F.explode(F.array_distinct(F.array(F.lower(X.display_name(F.col("fqname"))), F.lower(X.strip_doc_id(F.col("fqname")))))).alias("__k"))
-    hits = asked.join(keyed, "__k").select("name", "symbol_id").distinct()
+    named = asked.join(symbols.select(F.col("symbol_id").alias("name")), "name", "left_semi").select("name", F.col("name").alias("symbol_id"))
+    hits = asked.join(named, "name", "left_anti").join(keyed, "__k").select("name", "symbol_id").distinct().unionByName(named)
     hits = hits.withColumn("__n", F.row_number().over(Window.partitionBy("name").orderBy("symbol_id"))).filter(F.col("__n") <= limit)
     found = hits.groupBy("name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("__n") <= 5, F.col("symbol_id")))).alias("candidates"))
     out = asked.select("name").join(found, "name", "left")
@@ -99,6 +101,19 @@ def resolve_names(symbols: DataFrame, names: DataFrame, limit: int = 21) -> Data
     return out.select("name", status.alias("outcome"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
+def resolve(symbols: DataFrame, index: DataFrame, query: str, explicit: str | None = None, limit: int = 21) -> DataFrame:
+    """One row: outcome (ok, AMBIGUOUS, NOT_FOUND), the number of different symbols found (counted up to
+    limit) and up to five of them in order of rank. An explicit id is taken as it is, found or not;
+    otherwise a name is resolved through search, so a part of a name finds its symbol too."""
+    if explicit:
+        return symbols.sparkSession.range(1).select(F.lit("ok").alias("outcome"), F.lit(1).cast("long").alias("n"), F.array(F.lit(explicit)).alias("candidates"))
+    hits = search(symbols, index, query, limit).select("symbol_id", "score")
+    hits = hits.groupBy("symbol_id").agg(F.max("score").alias("score"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("r"), "symbol_id")))
+    found = hits.agg(F.count("*").alias("n"), F.transform(F.slice(ranked, 1, 5), lambda x: x["symbol_id"]).alias("candidates"))
+    return found.select(F.when(F.col("n") == 0, "NOT_FOUND").when(F.col("n") == 1, "ok").otherwise("AMBIGUOUS").alias("outcome"), "n", "candidates")
+
+
 def did_you_mean(asked: DataFrame, known: DataFrame, distance: int = 3) -> DataFrame:
     """asked: name. The closest known name within the edit distance, ties by name. Candidates are
     found by equal length classes: an edit distance of d changes the length by d at most."""

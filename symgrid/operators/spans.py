@@ -33,18 +33,35 @@ def definitions(symbols: DataFrame, files: DataFrame, context: int = 2, max_line
     return read_spans(asked, files, context, max_lines)
 
 
-def contexts(anchors: DataFrame, edges: DataFrame, symbols: DataFrame, files: DataFrame, max_callees: int = 10, own_lines: int = 200, callee_lines: int = 50) -> DataFrame:
-    """For each anchor symbol one row of its own code (role self) and one per direct callee, the first
-    max_callees by id. Callees without a symbol are left out."""
+def contexts(anchors: DataFrame, edges: DataFrame, symbols: DataFrame, files: DataFrame, facts: DataFrame | None = None, callee_depth: int = 1, max_callees: int = 10, own_lines: int = 200, callee_lines: int = 50) -> DataFrame:
+    """For each anchor symbol one row of its own card and code (role self) and one per callee, the first
+    max_callees (25 at most) by depth (callee_depth, 0 to 2) and id. Callees without a symbol are left
+    out; a symbol without a span has no code. With facts, a card holds its symbol's, sorted."""
     from pyspark.sql.window import Window
 
-    me = symbols.join(anchors.select("symbol_id").distinct(), "symbol_id", "left_semi")
-    called = edges.filter("ref_kind in ('Call', 'Instantiate') and to_symbol_id <> ''").select(F.col("from_symbol_id").alias("root"), F.col("to_symbol_id").alias("symbol_id")).distinct()
-    called = called.join(anchors.select(F.col("symbol_id").alias("root")).distinct(), "root", "left_semi")
-    called = called.withColumn("__n", F.row_number().over(Window.partitionBy("root").orderBy("symbol_id"))).filter(F.col("__n") <= max_callees).drop("__n")
-    mine = definitions(me, files, 0, own_lines).withColumn("root", F.col("symbol_id")).withColumn("role", F.lit("self"))
-    theirs = definitions(symbols.join(called.select("symbol_id").distinct(), "symbol_id", "left_semi"), files, 0, callee_lines)
-    return mine.unionByName(called.join(theirs, "symbol_id").withColumn("role", F.lit("callee"))).select("root", "role", "symbol_id", "path", "start", "stop", "code", "clamped")
+    from symgrid.operators.graph import callees
+
+    depth, most = min(max(callee_depth, 0), 2), min(max(max_callees, 0), 25)
+    asked = anchors.select(F.col("symbol_id").alias("root")).distinct()
+    chosen = asked.select("root", F.col("root").alias("symbol_id"), F.lit(0).alias("depth"))
+    if depth and most:
+        found = callees(asked, edges, depth)[0].filter("depth > 0").withColumn("__n", F.row_number().over(Window.partitionBy("root").orderBy("depth", "node")))
+        chosen = chosen.unionByName(found.filter(F.col("__n") <= most).select("root", F.col("node").alias("symbol_id"), "depth"))
+    card = symbols.join(chosen.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    spans = card.filter("span_start > 0 and span_end > 0")
+    code = definitions(spans, files, 0, own_lines).withColumn("lines", F.lit(own_lines)).unionByName(definitions(spans, files, 0, callee_lines).withColumn("lines", F.lit(callee_lines)))
+    out = chosen.withColumn("role", F.when(F.col("depth") == 0, "self").otherwise("callee")).withColumn("lines", F.when(F.col("depth") == 0, own_lines).otherwise(callee_lines))
+    out = out.join(card.select("symbol_id", "fqname", "kind", "signature", "visibility"), "symbol_id").join(code, ["symbol_id", "lines"], "left")
+    columns = ["root", "role", "depth", "symbol_id", "fqname", "kind", "signature", "visibility", "path", "start", "stop", "code", "clamped"]
+    if facts is not None:
+        said = facts.groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("fact_kind", "value"))).alias("facts"))
+        out, columns = out.join(said, "symbol_id", "left"), [*columns, "facts"]
+    return out.select(*columns)
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """All contents in order of path, any case."""
+    return files.filter("content is not null").select("path", "content").orderBy(F.lower("path"), "path")
 
 
 def search_text(files: DataFrame, pattern: str, path_prefix: str | None = None, glob: str | None = None, ignore_case: bool = False, limit: int = 100) -> DataFrame:

@@ -41,16 +41,21 @@ def worst(confidence: Column) -> Column:
     return F.element_at(F.lit(CONFIDENCES), F.max(rank).cast("int"))
 
 
-def db_tables(facts: DataFrame, prefix: str | None = None) -> DataFrame:
-    """One row per table name (any case): table (first spelling), schema_name, n_refs, symbols (distinct,
+def db_tables(facts: DataFrame, prefix: str | None = None, limit: int | None = None, compat: bool = False) -> DataFrame:
+    """Tables whose name, with or without its schema, begins with the prefix in any case; the first
+    `limit` by name. compat reads as many facts as the surveyed engine does, max(10 * limit, 500).
+    One row per table name (any case): table (first spelling), schema_name, n_refs, symbols (distinct,
     sorted), confidence (the worst), entity (the first symbol if the first fact is a DbSet)."""
     own = facts.filter("fact_kind = 'DbTable'").select("*", X.before_pipe(F.col("value")).alias("full"), X.after_pipe(F.col("value")).alias("origin"))
+    if limit is not None and compat:
+        own = own.orderBy("value", "file_id", "loc_start", "symbol_id").limit(max(10 * limit, 500))
     if prefix:
-        own = own.filter(X.starts_with(F.col("full"), prefix))
+        own = own.filter(X.starts_with(F.col("full"), prefix) | X.starts_with(F.regexp_replace("full", "^[^.]*\\.", ""), prefix))
     first = F.struct("value", "file_id", "loc_start", "symbol_id")
     out = own.groupBy(F.lower("full").alias("k")).agg(
         F.min_by("full", first).alias("full"), F.count("*").alias("n_refs"), F.array_sort(F.collect_set("symbol_id")).alias("symbols"), worst(F.col("confidence")).alias("confidence"),
         F.min_by(F.when(F.col("origin").startswith("DbSet"), F.col("symbol_id")), first).alias("entity"),
     )
     dotted = F.instr("full", ".") > 0
-    return out.select(F.when(dotted, F.regexp_replace("full", "^[^.]*\\.", "")).otherwise(F.col("full")).alias("table"), F.when(dotted, F.substring_index("full", ".", 1)).alias("schema_name"), "n_refs", "symbols", "confidence", "entity")
+    out = out.select(F.when(dotted, F.regexp_replace("full", "^[^.]*\\.", "")).otherwise(F.col("full")).alias("table"), F.when(dotted, F.substring_index("full", ".", 1)).alias("schema_name"), "n_refs", "symbols", "confidence", "entity")
+    return out if limit is None else out.orderBy("table", "schema_name").limit(limit)

@@ -9,7 +9,7 @@ from symgrid.operators import hierarchy as H
 from symgrid.plans.bridge import frame
 from symgrid.plans.queries import register
 
-_ROOTS = "roots AS (SELECT DISTINCT from_symbol_id AS root FROM calls WHERE ref_kind = 'Call' AND loc_start % 24 = 0)"
+_ROOTS = "roots AS (SELECT DISTINCT from_symbol_id AS root FROM calls WHERE ref_kind = 'Call')"
 _EDGES = "e AS (SELECT DISTINCT from_symbol_id AS a, to_symbol_id AS b FROM calls WHERE ref_kind = 'Call')"
 _REACH = """reach AS (
   SELECT root, root AS node, 0 AS depth FROM roots
@@ -19,7 +19,7 @@ _REACH = """reach AS (
 
 
 def _roots(spark, d):
-    return frame(spark, d, "calls").filter("ref_kind = 'Call' and loc_start % 24 = 0").select(F.col("from_symbol_id").alias("root")).distinct()
+    return frame(spark, d, "calls").filter("ref_kind = 'Call'").select(F.col("from_symbol_id").alias("root")).distinct()
 
 
 @register("q13_callees", f"WITH RECURSIVE {_ROOTS}, {_EDGES}, {_REACH.format(next='b', this='a', depth=4)} SELECT root, node, CAST(depth AS INTEGER) AS depth FROM best")
@@ -68,15 +68,23 @@ def q14_hydrate(spark, d):
     return G.hydrate(nodes, frame(spark, d, "symbols"), frame(spark, d, "files"))
 
 
-@register("q15_trace", f"""WITH RECURSIVE {_ROOTS}, {_EDGES}, {_REACH.format(next='b', this='a', depth=3)},
-  walked AS (SELECT DISTINCT root, node, b AS child FROM best JOIN e ON a = node WHERE depth < 3),
-  tree AS (SELECT root, root AS node, 0 AS depth, root AS path FROM roots UNION ALL SELECT t.root, w.child, t.depth + 1, t.path || '>' || w.child FROM tree t JOIN walked w ON w.root = t.root AND w.node = t.node WHERE t.depth < 3)
-  SELECT root, node, CAST(depth AS INTEGER) AS depth, path, 'DbTable:' || node AS facts FROM tree""")
+@register("q15_trace", f"""WITH RECURSIVE {_ROOTS}, {_EDGES}, {_REACH.format(next='b', this='a', depth=2)},
+  walked AS (SELECT DISTINCT root, node, b AS child FROM best JOIN e ON a = node WHERE depth < 2),
+  tree AS (SELECT root, root AS node, 0 AS depth, root AS path FROM roots UNION ALL SELECT t.root, w.child, t.depth + 1, t.path || '>' || w.child FROM tree t JOIN walked w ON w.root = t.root AND w.node = t.node WHERE t.depth < 2),
+  said AS (SELECT replace(symbol_id, 'M:Shop.Customers.C', 'P:Parts.P') AS node, string_agg(DISTINCT fact_kind || ':' || trim(split_part(value, '|', 1)), ',' ORDER BY fact_kind || ':' || trim(split_part(value, '|', 1))) AS facts FROM facts GROUP BY 1)
+  SELECT root, node, CAST(depth AS INTEGER) AS depth, path, coalesce(said.facts, '') AS facts, signature AS name, stable_id, is_decompiled <> 0 AS is_decompiled FROM tree LEFT JOIN said USING (node) JOIN (SELECT symbol_id AS node, signature, stable_id, is_decompiled FROM symbols) s USING (node)""")
 def q15_trace(spark, d):
-    calls = frame(spark, d, "calls")
-    # Parts have no facts of their own in these tables: each gets one named after it.
-    facts = calls.select(F.explode(F.array("from_symbol_id", "to_symbol_id")).alias("symbol_id")).distinct().select("symbol_id", F.lit("DbTable").alias("fact_kind"), F.concat("symbol_id", F.lit("|x|y")).alias("value"))
-    return G.trace(_roots(spark, d), calls, facts, 3).withColumn("path", F.array_join("path", ">"))
+    """From every calling part; the customers' facts stand for the parts' of the same number."""
+    facts = frame(spark, d, "facts").withColumn("symbol_id", F.replace("symbol_id", F.lit("M:Shop.Customers.C"), F.lit("P:Parts.P")))
+    found = G.trace(_roots(spark, d), frame(spark, d, "calls"), facts, 2, symbols=frame(spark, d, "symbols"))
+    return found.select("root", "node", "depth", F.array_join("path", ">").alias("path"), "facts", "name", "stable_id", "is_decompiled")
+
+
+@register("q15_trace_capped", f"""WITH {_ROOTS}, {_EDGES}, l AS (SELECT root, b AS node, row_number() OVER (PARTITION BY root ORDER BY b) AS n, count(*) OVER (PARTITION BY root) > 3 AS truncated FROM roots JOIN e ON a = root)
+  SELECT root, node, truncated FROM l WHERE n <= 3""")
+def q15_trace_capped(spark, d):
+    none = frame(spark, d, "facts").limit(0)
+    return G.trace(_roots(spark, d), frame(spark, d, "calls"), none, 1, max_rows=3).filter("depth = 1").select("root", "node", "truncated")
 
 
 _MEMBERS = """iface AS (SELECT 'Suppliers' AS c, 'IParts' || CAST(n_nationkey % 3 AS VARCHAR) AS i FROM nation),
@@ -134,3 +142,21 @@ def g10_closure(spark, d):
 def q16_hierarchy(spark, d):
     symbols = frame(spark, d, "symbols")
     return H.hierarchy(symbols.filter("kind in ('Class', 'Interface', 'Method')"), frame(spark, d, "type_relations"), symbols)
+
+
+_TWO_LEVELS = """level1 AS (SELECT symbol_id AS root, caller AS node FROM pairs JOIN into_ USING (member) UNION SELECT to_symbol_id, from_symbol_id FROM e2),
+  level2 AS (SELECT DISTINCT root, from_symbol_id AS node FROM level1 JOIN e2 ON to_symbol_id = node)
+  SELECT root, node, 1 AS depth FROM level1 WHERE node <> root AND root IN (SELECT symbol_id FROM symbols WHERE starts_with(symbol_id, 'M:Shop.Suppliers.'))
+  UNION ALL SELECT root, node, 2 FROM level2 WHERE node <> root AND (root, node) NOT IN (SELECT root, node FROM level1) AND root IN (SELECT symbol_id FROM symbols WHERE starts_with(symbol_id, 'M:Shop.Suppliers.'))"""
+
+
+@register("q11_follow_interface_deep", f"""WITH {_MEMBERS},
+  e2 AS (SELECT DISTINCT member AS to_symbol_id, caller AS from_symbol_id FROM into_ UNION SELECT 'M:Shop.Customers.C' || CAST(s_suppkey AS VARCHAR), 'M:Shop.Suppliers.S' || CAST(s_suppkey % 50 + 1 AS VARCHAR) FROM supplier), {_TWO_LEVELS}""")
+def q11_follow_interface_deep(spark, d):
+    """Every supplier's callers through its interfaces, and their callers; customers are called by
+    suppliers, whose own interface callers must not join below the first level."""
+    anchors, relations, known, refs = _by_interface(spark, d)
+    back = frame(spark, d, "supplier").select(F.concat(F.lit("M:Shop.Suppliers.S"), (F.col("s_suppkey") % 50 + 1).cast("string")).alias("from_symbol_id"), F.concat(F.lit("M:Shop.Customers.C"), F.col("s_suppkey").cast("string")).alias("to_symbol_id"), F.lit("Call").alias("ref_kind"), F.lit("d0").alias("file_id"), F.lit(0).alias("loc_start"))
+    refs = refs.select("from_symbol_id", "to_symbol_id", "ref_kind", "file_id", "loc_start").unionByName(back)
+    nodes = G.callers(anchors.select(F.col("symbol_id").alias("root")), refs, relations, known, depth=2)[0]
+    return nodes.filter("depth > 0").select("root", "node", "depth")

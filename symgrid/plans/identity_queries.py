@@ -10,8 +10,10 @@ from symgrid.operators import lifecycle as L
 from symgrid.plans.bridge import frame
 from symgrid.plans.queries import register
 
-_NAME = r"list_extract(string_split(regexp_replace(regexp_replace(fqname, '^.:', ''), '[(`].*$', ''), '.'), -1)"
-_FP = f"substr(sha256(kind || '|' || coalesce(containing_type, '') || '|' || visibility || '|' || replace(signature, {_NAME}, '')), 1, 16)"
+_TYPE = r"regexp_replace(regexp_replace(split_part(signature, '(', 1), '\b(public|private|protected|internal|static|virtual|override|abstract|sealed|async|readonly|partial|extern|new|unsafe) +', '', 'g'), ' *[^ ]+ *$', '')"
+_PARAMS = r"regexp_replace(regexp_extract(signature, '\((.*)\)', 1), ' +\w+( *= *[^,]*)?(,|$)', '\2', 'g')"
+_IS_TYPE = "kind IN ('Class', 'Struct', 'Interface', 'Enum', 'Delegate', 'Record')"
+_FP = f"substr(sha256(kind || '|' || coalesce(containing_type, '') || '|' || coalesce(namespace, '') || '|' || CASE WHEN regexp_matches(split_part(signature, '(', 1), '\\bstatic\\b') THEN 'static' ELSE 'instance' END || '|' || CASE WHEN {_IS_TYPE} THEN '' ELSE {_TYPE} END || '|' || regexp_extract(fqname, '`+([0-9]+)', 1) || '|' || CASE WHEN {_IS_TYPE} THEN '' ELSE {_PARAMS} END), 1, 16)"
 
 
 @register("a12_ordinals", f"""SELECT symbol_id, {_FP} AS fingerprint, CAST(row_number() OVER (PARTITION BY containing_type, {_FP} ORDER BY file_id, span_start, symbol_id) - 1 AS INTEGER) AS ordinal,
@@ -26,9 +28,30 @@ def x10_structural_ids(spark, d):
     return I.with_structural_ids(frame(spark, d, "symbols")).select("symbol_id", "stable_id")
 
 
-@register("f9_exclusions", """SELECT page_id, contains(lower(url), '/test/') OR contains(lower(url), '/tests/') OR starts_with(lower(url), 'test') AS test, contains(substr(html, 1, 2000), '<auto-generated') OR ends_with(lower(url), '.g.cs') AS generated FROM pages""")
+@register("x10_rename", "SELECT symbol_id, true AS same FROM symbols WHERE kind = 'Method'")
+def x10_rename(spark, d):
+    """Every method gets another name, in its full name and its signature; its structural id stays."""
+    own = frame(spark, d, "symbols").filter("kind = 'Method'").withColumn("stable_id", F.lit(None).cast("string"))
+    renamed = own.withColumns({"fqname": F.regexp_replace("fqname", "[^.]*\\(", "Other("), "signature": F.regexp_replace("signature", "[^ ]*\\(", "Other(")})
+    before, after = (I.with_structural_ids(s).select("symbol_id", F.col("stable_id").alias(n)) for s, n in ((own, "a"), (renamed, "b")))
+    return before.join(after, "symbol_id").select("symbol_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+@register("x11_versioned_ids", """SELECT symbol_id, 'sym_' || substr(sha256(concat_ws(chr(0), 'Method', symbol_id, coalesce(containing_type, ''), coalesce(namespace, ''), coalesce(project_name, ''), 'instance', 'void', '0', 'Order')), 1, 16) AS id FROM symbols""")
+def x11_versioned_ids(spark, d):
+    one = lambda v: F.lit(v)
+    return frame(spark, d, "symbols").select("symbol_id", I.versioned_id(one("Method"), F.col("symbol_id"), F.col("containing_type"), F.col("namespace"), F.col("project_name"), one(False), one("void"), one(0), F.array(one("Order"))).alias("id"))
+
+
+@register("f9_exclusions", """WITH p AS (SELECT page_id, html, url, CASE page_id % 6 WHEN 0 THEN 'src/Api.Tests/' WHEN 1 THEN 'src/Api.Benchmarks/' WHEN 2 THEN 'x/Y.TestUtilities/' WHEN 3 THEN 'src/test/' WHEN 4 THEN 'src/api.tests/' ELSE 'src/' END AS folder, page_id % 4 AS k FROM pages)
+  SELECT page_id, page_id % 6 < 3 AS test, k = 1 AS generated, page_id % 5 = 0 AS made FROM p""")
 def f9_exclusions(spark, d):
-    return frame(spark, d, "pages").select("page_id", I.is_test(F.col("url"), F.lit("N.C")).alias("test"), I.is_generated(F.col("url"), F.col("html")).alias("generated"))
+    n = F.col("page_id")
+    folder = F.get(F.lit(["src/Api.Tests/", "src/Api.Benchmarks/", "x/Y.TestUtilities/", "src/test/", "src/api.tests/", "src/"]), (n % 6).cast("int"))
+    # A mark in the leading comment, in the code, and none.
+    content = F.when(n % 4 == 1, F.concat(F.lit("/* "), F.replace("html", F.lit("*/"), F.lit("")), F.lit(" */ // <auto-generated/>"))).when(n % 4 == 2, F.lit("class A { string s = \"<auto-generated\"; }")).otherwise(F.lit("class A {}"))
+    name = F.when(n % 5 == 0, "N.AutoGeneratedProgram").otherwise("N.Program__1<T>")
+    return frame(spark, d, "pages").select("page_id", I.is_test(F.concat(folder, F.lit("a.cs"))).alias("test"), I.is_generated(F.concat(folder, F.lit("a.cs")), content).alias("generated"), I.is_made(name).alias("made"))
 
 
 _AFTER = "SELECT symbol_id, file_id, CASE WHEN span_start = 3 THEN signature || '!' ELSE signature END AS signature, visibility, span_start, CASE WHEN span_end = 9 THEN 10 ELSE span_end END AS span_end FROM symbols WHERE symbol_id <> 'P:Parts.P77'"

@@ -8,7 +8,9 @@ from symgrid.functions import text as X
 from symgrid.operators import diff as D
 from symgrid.operators import lifecycle as L
 from symgrid.operators import report as R
+from symgrid.operators import summary as Y
 from symgrid.operators import surfaces as S
+from symgrid.operators import workspace as W
 from symgrid.plans.bridge import frame, index
 from symgrid.plans.queries import register
 from symgrid.sources import store
@@ -44,6 +46,13 @@ def q19_db_tables(spark, d):
     return S.db_tables(frame(spark, d, "facts")).withColumn("symbols", F.array_join("symbols", ","))
 
 
+@register("q19_db_tables_prefix", f"""WITH own AS (SELECT *, {_KEY} AS full_name, row_number() OVER (PARTITION BY lower({_KEY}) ORDER BY {_ORDER}) AS n FROM facts WHERE fact_kind = 'DbTable' AND (starts_with(lower({_KEY}), 't1') OR starts_with(lower(regexp_replace({_KEY}, '^[^.]*[.]', '')), 't1')))
+  SELECT max(CASE WHEN n = 1 THEN regexp_replace(full_name, '^[^.]*[.]', '') END) AS "table", count(*) AS n_refs FROM own GROUP BY lower(full_name) ORDER BY 1 LIMIT 7""")
+def q19_db_tables_prefix(spark, d):
+    """A prefix without the schema, and a limit."""
+    return S.db_tables(frame(spark, d, "facts"), "T1", 7).select("table", "n_refs")
+
+
 @register("q20_sections", f"""SELECT fact_kind, value, symbol_id, loc_start, CAST(ord AS INTEGER) AS ord, total, total > 50 AS truncated
   FROM (SELECT *, row_number() OVER (PARTITION BY fact_kind ORDER BY {_ORDER}) AS ord, count(*) OVER (PARTITION BY fact_kind) AS total FROM facts) x WHERE ord <= 50""")
 def q20_sections(spark, d):
@@ -71,10 +80,24 @@ def a2_config_groups(spark, d):
     return R.config_groups(frame(spark, d, "facts"))
 
 
-@register("a6_semantic_level", "SELECT p_brand, CASE WHEN count(*) FILTER (WHERE p_size > 25) = count(*) THEN 'Full' WHEN count(*) FILTER (WHERE p_size > 25) = 0 THEN 'SyntaxOnly' ELSE 'Partial' END AS level FROM part WHERE p_brand = 'Brand#1' GROUP BY p_brand")
+@register("a6_semantic_level", "SELECT p_brand, CASE WHEN count(*) FILTER (WHERE p_size > 1) = count(*) THEN 'Full' WHEN count(*) FILTER (WHERE p_size > 1) = 0 THEN 'SyntaxOnly' ELSE 'Partial' END AS level FROM part GROUP BY p_brand")
 def a6_semantic_level(spark, d):
-    own = frame(spark, d, "part").filter("p_brand = 'Brand#1'").select((F.col("p_size") > 25).alias("compiled"))
-    return R.semantic_level(own).select(F.lit("Brand#1").alias("p_brand"), "level")
+    return R.semantic_level(frame(spark, d, "part").select("p_brand", (F.col("p_size") > 1).alias("compiled")), "p_brand")
+
+
+@register("a7_merged_levels", """WITH b AS (SELECT p_brand AS repo_id, CASE WHEN max(p_size) > 48 THEN 'Full' ELSE 'Partial' END AS level FROM part GROUP BY 1), o AS (SELECT p_brand AS repo_id, CASE WHEN min(p_size) > 1 THEN 'SyntaxOnly' ELSE 'Full' END AS level FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+  SELECT repo_id, CASE WHEN o.level = 'SyntaxOnly' THEN 'SyntaxOnly' ELSE b.level END AS level FROM b LEFT JOIN o USING (repo_id)""")
+def a7_merged_levels(spark, d):
+    part = frame(spark, d, "part")
+    b = part.groupBy(F.col("p_brand").alias("repo_id")).agg(F.when(F.max("p_size") > 48, "Full").otherwise("Partial").alias("level"))
+    o = part.filter("p_partkey % 3 = 0").groupBy(F.col("p_brand").alias("repo_id")).agg(F.when(F.min("p_size") > 1, "SyntaxOnly").otherwise("Full").alias("level"))
+    return W.merge_levels(b, o)
+
+
+@register("a11_running_savings", "SELECT user_id AS session, event_id AS seq, sum(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total_tokens FROM events")
+def a11_running_savings(spark, d):
+    calls = frame(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 7).alias("tokens_saved"), F.lit(0.0).alias("cost"))
+    return L.running_savings(calls).select("session", "seq", "total_tokens")
 
 
 @register("t7_members", r"""WITH f AS (SELECT *, regexp_replace(regexp_replace(fqname, '^.:', ''), '[(`].*$', '') AS full_name FROM symbols),
@@ -95,10 +118,56 @@ def q21_export_budget(spark, d):
     return R.within_budget(lines, 20_000, ["symbol_id"]).select("section", "symbol_id", "tokens", "running", "has_room")
 
 
-@register("q21_services", """SELECT symbol_id, kind FROM symbols WHERE kind IN ('Class', 'Interface') AND regexp_matches(fqname, 'NATION_1|EUROPE')""")
+@register("q21_services", r"""WITH s AS (SELECT symbol_id, kind, CASE WHEN regexp_matches(fqname, 'NATION_1|EUROPE') THEN fqname || 'Service' WHEN contains(fqname, 'NATION_2') THEN fqname || 'service' ELSE fqname END AS f, CASE CAST(substr(file_id, 2) AS BIGINT) % 4 WHEN 0 THEN 'src/Api.Benchmarks/a.cs' WHEN 1 THEN 'src/test/a.cs' WHEN 2 THEN 'src/api.tests/a.cs' ELSE 'src/a.cs' END AS path FROM symbols)
+  SELECT symbol_id, kind FROM s WHERE kind IN ('Class', 'Struct', 'Interface', 'Enum', 'Delegate', 'Record') AND regexp_matches(lower(f), '(service|controller|handler|repository|manager|processor)$') AND NOT regexp_matches(path, '\.(Tests|Benchmarks|TestUtilities)[/\\]')""")
 def q21_services(spark, d):
-    own = frame(spark, d, "symbols").withColumn("fqname", F.regexp_replace("fqname", "(NATION_1.*|EUROPE)$", "$1Service"))
-    return R.services(own).select("symbol_id", "kind")
+    n = F.substring("file_id", 2, 20).cast("long") % 4
+    path = F.when(n == 0, "src/Api.Benchmarks/a.cs").when(n == 1, "src/test/a.cs").when(n == 2, "src/api.tests/a.cs").otherwise("src/a.cs")
+    end = F.when(F.col("fqname").rlike("NATION_1|EUROPE"), "Service").when(F.col("fqname").contains("NATION_2"), "service").otherwise("")
+    return R.services(frame(spark, d, "symbols").withColumns({"fqname": F.concat("fqname", end), "path": path})).select("symbol_id", "kind")
+
+
+_SHORT = r"regexp_extract(regexp_replace(regexp_replace(symbol_id, '^.:', ''), '[(`].*$', ''), '([^.]*[.])?[^.]*$', 0)"
+_SUMMARY = f"""c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fact_kind ORDER BY {_ORDER}) AS n FROM facts) x WHERE n <= 50),
+  p AS (SELECT project_name, count(*) AS s FROM symbols GROUP BY 1),
+  u AS (
+    SELECT 1 AS sec, '' AS a, 0 AS b, n AS c, '| ' || split_part(value, ' ', 1) || ' | ' || substr(value, strpos(value, ' ') + 1) || ' | ' || {_SHORT} || ' |' AS line, 1 AS items FROM c WHERE fact_kind = 'Route' AND contains(value, ' ')
+    UNION ALL SELECT 2, '', 0, n, '| ' || {_KEY} || ' | ' || coalesce({_TAIL}, '') || ' |', 1 FROM (SELECT * FROM c WHERE fact_kind = 'DbTable' QUALIFY row_number() OVER (PARTITION BY lower({_KEY}) ORDER BY n) = 1) t
+    UNION ALL SELECT DISTINCT 3, split_part({_KEY}, ':', 1), 0, 0, '### ' || split_part({_KEY}, ':', 1), 0 FROM c WHERE fact_kind = 'Config'
+    UNION ALL SELECT 3, split_part({_KEY}, ':', 1), 1, n, '- `' || {_KEY} || '` — ' || coalesce({_TAIL}, ''), 1 FROM c WHERE fact_kind = 'Config'
+    UNION ALL SELECT 8, '', 0, n, '| ' || {_KEY} || ' | ' || coalesce({_TAIL}, '') || ' | ' || {_SHORT} || ' |', 1 FROM c WHERE fact_kind = 'Exception'
+    UNION ALL SELECT 0, '', 0, 0, count(*) || ' projects, ' || CAST(sum(s) AS BIGINT) || ' symbols, 0 references', 0 FROM p UNION ALL SELECT 0, '', 1, 0, 'Semantic level: Full', 0
+    UNION ALL SELECT 0, '~' || project_name, 0, 0, '| ' || project_name || ' | ✓ | ' || s || ' |', 1 FROM p
+    UNION ALL SELECT 10, '', 0, 0, '- Projects: ' || count(*) || ', symbols: ' || CAST(sum(s) AS BIGINT) || ', references: 0', 0 FROM p UNION ALL SELECT 10, '~', 0, 0, '- Index quality: Full', 0
+    UNION ALL SELECT 10, '', 1, list_position(['Route','DbTable','Config','Exception'], fact_kind), '- ' || fact_kind || ': ' || count(*), count(*) FROM c GROUP BY fact_kind)"""
+
+
+def _projects(spark, d):
+    return frame(spark, d, "symbols").groupBy("project_name").agg(F.count("*").cast("int").alias("symbol_count")).select("project_name", F.lit(True).alias("compiled"), "symbol_count", F.lit(0).alias("reference_count"), F.lit(False).alias("is_test"))
+
+
+@register("q20_summary", f"WITH {_SUMMARY} SELECT CAST(sec AS INTEGER) AS sec, CAST(row_number() OVER (PARTITION BY sec ORDER BY a, b, c, line) AS INTEGER) AS ord, line, CAST(sum(items) OVER (PARTITION BY sec) AS BIGINT) AS items FROM u")
+def q20_summary(spark, d):
+    return Y.summary(frame(spark, d, "facts"), _projects(spark, d)).select("sec", "ord", "line", "items")
+
+
+@register("q21_export", f"""WITH {_SUMMARY},
+  n AS (SELECT sec, row_number() OVER (PARTITION BY sec ORDER BY a, b, c, line) AS ord, line, sum(length(line) + 1) OVER (PARTITION BY sec ORDER BY a, b, c, line) AS run FROM u),
+  cost AS (SELECT sec, floor(max(run) / 4) AS cost FROM n GROUP BY sec), spent AS (SELECT sec, cost, coalesce(sum(cost) OVER (ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM cost)
+  SELECT CAST(sec AS INTEGER) AS sec, CAST(ord AS INTEGER) AS ord, line, spent + cost > 1800 AS truncated FROM n JOIN spent USING (sec) WHERE spent < 1800 AND (spent + cost <= 1800 OR run <= (1800 - spent) * 4)""")
+def q21_export(spark, d):
+    own = index(spark, d)
+    return Y.export(own, _projects(spark, d), "summary", 1_800).select("sec", "ord", "line", "truncated")
+
+
+@register("q21_export_full", f"""WITH f AS (SELECT s.*, path, regexp_replace(regexp_replace(fqname, '^.:', ''), '[(`].*$', '') AS fl FROM symbols s LEFT JOIN files USING (file_id)),
+  t AS (SELECT * FROM f WHERE kind IN ('Class', 'Interface', 'Record', 'Struct') ORDER BY fqname, symbol_id LIMIT 100),
+  few AS (SELECT * FROM f ORDER BY fqname, symbol_id LIMIT 500)
+  SELECT 11 AS sec, '### ' || kind || ' `' || fl || '`' AS line FROM t UNION ALL SELECT 13, '#### `' || fl || '`' FROM t WHERE kind = 'Interface'
+  UNION ALL SELECT 14, '| ' || kind || ' | `' || {_SHORT.replace('symbol_id', 'fqname')} || '` | ' || coalesce(path, '') || ' | ' || span_start || ' |' FROM few""")
+def q21_export_full(spark, d):
+    own = index(spark, d)
+    return Y.export(own, _projects(spark, d), "full", 1_000_000).filter("sec >= 11").select("sec", "line")
 
 
 _DIFF = """a1 AS (SELECT * FROM before WHERE stable_id IS NOT NULL), b1 AS (SELECT * FROM after WHERE stable_id IS NOT NULL),
@@ -264,8 +333,9 @@ def x21_ids(spark, d):
     return frame(spark, d, "pages").select("page_id", X.repo_id(F.col("url")).alias("id"), X.language(F.col("url")).alias("language"))
 
 
-@register("s1_publish", """SELECT 'files' AS relation, count(*) AS n FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'refs', count(*) FROM refs UNION ALL SELECT 'facts', count(*) FROM facts
-  UNION ALL SELECT 'type_relations', count(*) FROM type_relations""")
+@register("s1_publish", """SELECT 'files' AS relation, count(*) AS n, count(DISTINCT path) AS keys, max(path) AS last FROM files UNION ALL SELECT 'symbols', count(*), count(DISTINCT fqname), max(signature) FROM symbols
+  UNION ALL SELECT 'refs_by_to', count(*), count(DISTINCT to_symbol_id), max(from_symbol_id) FROM refs UNION ALL SELECT 'refs_by_from', count(*), count(DISTINCT to_symbol_id), max(from_symbol_id) FROM refs
+  UNION ALL SELECT 'facts', count(*), count(DISTINCT value), max(symbol_id) FROM facts UNION ALL SELECT 'type_relations', count(*), count(DISTINCT related_symbol_id), max(type_symbol_id) FROM type_relations""")
 def s1_publish(spark, d):
     """Checks, writes and reads back a whole snapshot; the manifest makes it visible."""
     import uuid
@@ -276,10 +346,11 @@ def s1_publish(spark, d):
     typed = store.Index(own.files, own.symbols.withColumn("name_tokens", F.lit(None).cast("array<string>")), own.refs, own.facts, own.type_relations)
     root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     store.publish(store.check(typed), root, "repo", "sln", "a" * 40)
-    back = store.read(spark, root, "repo", "sln", "a" * 40)
+    told = {"files": ("path", "path"), "symbols": ("fqname", "signature"), "refs_by_to": ("to_symbol_id", "from_symbol_id"), "refs_by_from": ("to_symbol_id", "from_symbol_id"), "facts": ("value", "symbol_id"), "type_relations": ("related_symbol_id", "type_symbol_id")}
     out = None
-    for name in ("files", "symbols", "refs", "facts", "type_relations"):
-        n = getattr(back, name).agg(F.lit(name).alias("relation"), F.count("*").alias("n"))
+    for name, (key, last) in told.items():
+        back = store.open_table(spark, root, name, "repo", "sln", "a" * 40)
+        n = back.agg(F.lit(name).alias("relation"), F.count("*").alias("n"), F.count_distinct(key).alias("keys"), F.max(last).alias("last"))
         out = n if out is None else out.unionByName(n)
     return out
 

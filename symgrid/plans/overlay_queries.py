@@ -10,9 +10,11 @@ from symgrid.operators import hierarchy as H
 from symgrid.operators import overlay as O
 from symgrid.operators import spans as P
 from symgrid.operators import surfaces as S
-from symgrid.plans.bridge import frame
+from symgrid.operators import workspace as W
+from symgrid.plans.bridge import frame, index
 from symgrid.plans.queries import register
 from symgrid.session import durable, shared_folder
+from symgrid.sources import store
 from symgrid.streaming import feed
 
 _LAST = "last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY workspace_id, key ORDER BY revision DESC) = 1)"
@@ -63,16 +65,73 @@ _MERGED = f"""f AS (SELECT file_id FROM files WHERE {_N} % 9 = 4), fresh AS (SEL
     UNION ALL SELECT symbol_id, signature, 'overlay' FROM fresh)"""
 
 
-@register("m1_symbols", f"WITH {_MERGED} SELECT symbol_id, signature, origin FROM merged")
+@register("m1_symbols", f"""WITH f AS (SELECT file_id FROM files WHERE {_N} % 9 = 4), fresh AS (SELECT symbol_id, signature || ' v2' AS signature, stable_id FROM symbols WHERE {_N} % 18 = 4
+    UNION ALL SELECT replace(symbol_id, 'Suppliers', 'Renamed'), signature, stable_id FROM symbols WHERE starts_with(symbol_id, 'M:Shop.Suppliers.') AND {_N} % 18 = 5)
+  SELECT symbol_id, signature, 'baseline' AS origin FROM symbols WHERE NOT starts_with(symbol_id, 'M:Shop.Customers.C7') AND symbol_id NOT IN (SELECT symbol_id FROM fresh) AND (stable_id IS NULL OR stable_id NOT IN (SELECT stable_id FROM fresh WHERE stable_id IS NOT NULL)) AND file_id NOT IN (SELECT file_id FROM f)
+    UNION ALL SELECT symbol_id, signature, 'overlay' FROM fresh""")
 def m1_symbols(spark, d):
-    return O.symbols(*_parts(spark, d)).select("symbol_id", "signature", "origin")
+    """Some suppliers have another id and their old stable id; they show once."""
+    symbols, fresh, gone, files = _parts(spark, d)
+    renamed = symbols.filter("startswith(symbol_id, 'M:Shop.Suppliers.') and cast(substring(file_id, 2) as bigint) % 18 = 5").withColumn("symbol_id", F.replace("symbol_id", F.lit("Suppliers"), F.lit("Renamed")))
+    return O.symbols(symbols, fresh.unionByName(renamed), gone, files).select("symbol_id", "signature", "origin")
+
+
+def _workspace(spark, d):
+    """A baseline of symbols and calls among parts, and an overlay that read every ninth file again and lost some parts."""
+    own = index(spark, d)
+    calls = frame(spark, d, "calls")
+    base = store.Index(own.files, own.symbols, calls, own.facts, own.type_relations)
+    n = F.substring("file_id", 2, 20).cast("long")
+    seen = lambda df: df.filter(n % 9 == 4)
+    symbols = seen(own.symbols).withColumn("signature", F.concat("signature", F.lit(" v2")))
+    # The files read again call the other way round.
+    turned = seen(calls).withColumns({"from_symbol_id": F.col("to_symbol_id"), "to_symbol_id": F.col("from_symbol_id")})
+    gone = own.symbols.filter("startswith(symbol_id, 'P:Parts.P1')").select("symbol_id", "stable_id")
+    none = W.empty(base)
+    return base, W.Overlay(seen(own.files), symbols.filter("not startswith(symbol_id, 'P:Parts.P1')"), turned, none.facts, none.type_relations, gone)
+
+
+_VIEW = f"""ok AS (SELECT * FROM (SELECT from_symbol_id AS a, to_symbol_id AS b, ref_kind FROM calls WHERE {_N} % 9 <> 4 UNION ALL SELECT to_symbol_id, from_symbol_id, ref_kind FROM calls WHERE {_N} % 9 = 4) x WHERE NOT starts_with(a, 'P:Parts.P1') AND NOT starts_with(b, 'P:Parts.P1')),
+  e AS (SELECT DISTINCT a, b FROM ok WHERE ref_kind = 'Call'), roots AS (SELECT symbol_id AS root FROM symbols WHERE kind = 'Property' AND NOT starts_with(symbol_id, 'P:Parts.P1')),
+  reach AS (SELECT root, root AS node, 0 AS depth FROM roots UNION SELECT root, {{next}}, depth + 1 FROM reach JOIN e ON {{this}} = node WHERE depth < 2)
+  SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY root, node"""
+
+
+@register("g9_workspace_callers", "WITH RECURSIVE " + _VIEW.format(next="a", this="b"))
+def g9_workspace_callers(spark, d):
+    base, own = _workspace(spark, d)
+    roots = base.symbols.filter("kind = 'Property'").select(F.col("symbol_id").alias("root"))
+    return W.callers(roots, base, own, 2)[0].select("root", "node", "depth")
+
+
+@register("g9_workspace_callees", "WITH RECURSIVE " + _VIEW.format(next="b", this="a"))
+def g9_workspace_callees(spark, d):
+    base, own = _workspace(spark, d)
+    roots = base.symbols.filter("kind = 'Property'").select(F.col("symbol_id").alias("root"))
+    return W.callees(roots, base, own, 2)[0].select("root", "node", "depth")
+
+
+@register("m2_search_merged", f"""WITH view AS (SELECT symbol_id, fqname, namespace, signature || CASE WHEN {_N} % 9 = 4 THEN ' v2' ELSE '' END AS signature, documentation, {_N} % 9 = 4 AS o FROM symbols WHERE NOT starts_with(symbol_id, 'P:Parts.P1')),
+  hit AS (SELECT *, lower(list_extract(string_split(regexp_replace(regexp_replace(fqname, '^.:', ''), '[(`].*$', ''), '.'), -1)) AS dn FROM view
+    WHERE len(list_filter(string_split_regex(lower(coalesce(signature, '')), '[^a-zA-Z0-9]+'), lambda x: starts_with(x, 'ring'))) > 0 OR contains(lower(fqname), '.ring')),
+  s AS (SELECT symbol_id, CASE WHEN o THEN 'overlay' ELSE 'baseline' END AS origin, CASE WHEN starts_with(dn, 'ring') THEN 60 ELSE 10 END + CASE WHEN length(dn) < 30 THEN 5 ELSE 0 END AS score, o FROM hit)
+  SELECT symbol_id, origin, CAST(score AS INTEGER) AS score, count(*) OVER () > 100 AS truncated FROM s ORDER BY o DESC, score DESC, symbol_id LIMIT 100""")
+def m2_search_merged(spark, d):
+    base, own = _workspace(spark, d)
+    return W.search_merged(base, own, "ring", 100).select("symbol_id", "origin", "score", "truncated")
 
 
-@register("m2_search_merged", f"WITH {_MERGED} SELECT symbol_id, origin FROM merged WHERE contains(lower(signature), 'building') ORDER BY origin DESC, symbol_id LIMIT 100")
-def m2_search_merged(spark, d):
-    own = O.symbols(*_parts(spark, d)).filter("contains(lower(signature), 'building')")
-    parts = [own.filter(F.col("origin") == o).select("symbol_id", "origin") for o in ("overlay", "baseline")]
-    return O.ordered_union(parts, ["symbol_id"], 100).select("symbol_id", "origin")
+@register("m11_refresh", f"""WITH fresh AS (SELECT * FROM symbols WHERE {_N} % 18 = 4), again AS (SELECT file_id FROM files WHERE {_N} % 9 = 4)
+  SELECT symbol_id, 'baseline' AS state FROM symbols WHERE file_id NOT IN (SELECT file_id FROM again) UNION ALL SELECT symbol_id, 'overlay' FROM fresh
+  UNION ALL SELECT symbol_id, 'deleted' FROM symbols SEMI JOIN again USING (file_id) WHERE symbol_id NOT IN (SELECT symbol_id FROM fresh)""")
+def m11_refresh(spark, d):
+    """A whole refresh: every ninth file is read again, half of them without symbols."""
+    own = index(spark, d)
+    symbols, fresh, _, files = _parts(spark, d)
+    made = store.Index(own.files.join(files, "file_id", "left_semi"), fresh, own.refs.limit(0), own.facts.limit(0), own.type_relations.limit(0))
+    done = W.refresh(own, W.empty(own), made, level="SyntaxOnly")
+    view = W.merged(own, done).symbols.select("symbol_id", F.col("origin").alias("state"))
+    return view.unionByName(done.deleted.select("symbol_id", F.lit("deleted").alias("state")))
 
 
 @register("m3_scoped_distinct", """WITH r AS (SELECT o_custkey AS symbol_id, o_orderkey AS ord, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE lower(o_orderstatus) END AS s FROM orders),
@@ -122,12 +181,12 @@ def m8_hierarchy(spark, d):
     return H.derived_merged(relations, new, files, symbols, gone).select("type_symbol_id", "related_symbol_id")
 
 
-@register("m10_overlay_content", f"SELECT path, substr(CASE WHEN {_N} % 4 = 0 THEN 'virtual' WHEN {_N} % 6 = 0 THEN 'changed' ELSE content END, 1, 40) AS head FROM files")
+@register("m10_overlay_content", f"SELECT path, sha256(CASE WHEN {_N} % 4 = 0 THEN 'virtual' WHEN {_N} % 6 = 0 THEN 'changed' ELSE content END) AS hash FROM files")
 def m10_overlay_content(spark, d):
     files = frame(spark, d, "files").withColumn("n", F.substring("file_id", 2, 20).cast("long"))
     over = files.filter("n % 6 = 0").select(F.upper("path").alias("path"), F.lit("changed").alias("content"))
     virtual = files.filter("n % 4 = 0").select("path", F.lit("virtual").alias("content"))
-    return P.overlay_content(files, over, virtual).select("path", F.substring("content", 1, 40).alias("head"))
+    return P.overlay_content(files, over, virtual).select("path", F.sha2("content", 256).alias("hash"))
 
 
 @register("m14_delta", f"WITH f AS (SELECT file_id FROM files WHERE {_N} % 9 = 4), fresh AS (SELECT symbol_id FROM symbols WHERE {_N} % 18 = 4) SELECT symbol_id AS key, 'Tombstone' AS op, 2 AS op_ord FROM symbols SEMI JOIN f USING (file_id) WHERE symbol_id NOT IN (SELECT symbol_id FROM fresh) UNION ALL SELECT symbol_id, 'Symbol', 4 FROM fresh")

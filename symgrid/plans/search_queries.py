@@ -88,16 +88,16 @@ def _flat(cards):
     return cards.select("symbol_id", "stable_id", "fqname", "kind", "visibility", "confidence", said.alias("facts"))
 
 
-@register("q3_cards", f"WITH f AS ({_FACTS_OF}) SELECT symbol_id, stable_id, fqname, kind, visibility, confidence, f.facts FROM symbols LEFT JOIN f USING (symbol_id) WHERE starts_with(symbol_id, 'M:Shop.Customers.C1')")
+@register("q3_cards", f"WITH f AS ({_FACTS_OF}) SELECT symbol_id, stable_id, fqname, kind, visibility, confidence, f.facts FROM symbols LEFT JOIN f USING (symbol_id)")
 def q3_cards(spark, d):
     symbols = frame(spark, d, "symbols")
-    return _flat(S.cards(symbols, frame(spark, d, "facts"), symbols.filter("startswith(symbol_id, 'M:Shop.Customers.C1')")))
+    return _flat(S.cards(symbols, frame(spark, d, "facts"), symbols))
 
 
-@register("q4_by_stable_id", f"WITH f AS ({_FACTS_OF}) SELECT symbol_id, stable_id, fqname, kind, visibility, confidence, f.facts FROM symbols LEFT JOIN f USING (symbol_id) WHERE starts_with(stable_id, 'sym_c2')")
+@register("q4_by_stable_id", f"WITH f AS ({_FACTS_OF}) SELECT symbol_id, stable_id, fqname, kind, visibility, confidence, f.facts FROM symbols LEFT JOIN f USING (symbol_id) WHERE stable_id IS NOT NULL")
 def q4_by_stable_id(spark, d):
     symbols = frame(spark, d, "symbols")
-    return _flat(S.by_stable_id(symbols, frame(spark, d, "facts"), symbols.filter("startswith(stable_id, 'sym_c2')")))
+    return _flat(S.by_stable_id(symbols, frame(spark, d, "facts"), symbols.filter("stable_id is not null")))
 
 
 @register("q31_resolve", f"""WITH asked AS (SELECT DISTINCT to_name AS name FROM refs UNION SELECT DISTINCT p_name FROM part UNION SELECT r_name FROM region UNION SELECT DISTINCT 'parts.' || lower(replace(p_brand, '#', '')) || '.' || replace(p_name, ' ', '') || CAST(p_partkey AS VARCHAR) FROM part),
@@ -112,6 +112,35 @@ def q31_resolve(spark, d):
     return S.resolve_names(frame(spark, d, "symbols"), names).select("name", "outcome", "n", F.coalesce(F.get("candidates", F.lit(0)), F.lit("")).alias("first"))
 
 
+@register("q31_resolve_search", f"""WITH {_TOKENS}, hit AS (SELECT DISTINCT symbol_id FROM postings WHERE starts_with(token, 'nation')),
+  ranked AS (SELECT symbol_id, CASE WHEN lower({_DISPLAY}) = 'nation' THEN 100 WHEN ends_with(lower({_FULL}), '.nation') THEN 80 WHEN starts_with(lower({_DISPLAY}), 'nation') THEN 40 ELSE 10 END + CASE WHEN starts_with(lower({_DISPLAY}), 'nation') THEN 20 ELSE 0 END + CASE WHEN length({_DISPLAY}) < 30 THEN 5 ELSE 0 END AS score FROM symbols JOIN hit USING (symbol_id) ORDER BY score DESC, symbol_id LIMIT 21)
+  SELECT CASE WHEN count(*) = 0 THEN 'NOT_FOUND' WHEN count(*) = 1 THEN 'ok' ELSE 'AMBIGUOUS' END AS outcome, count(*) AS n, array_to_string(list(symbol_id ORDER BY score DESC, symbol_id)[1:5], ',') AS candidates FROM ranked
+  UNION ALL SELECT 'ok', count(*), min(symbol_id) FROM symbols WHERE contains(lower(fqname), 'europ') UNION ALL SELECT 'ok', 1, 'T:Any.Id'""")
+def q31_resolve_search(spark, d):
+    """The start of many names and of one, through ranked search, and an explicit id."""
+    symbols, index = _index(spark, d)
+    many, one, told = S.resolve(symbols, index, "nation"), S.resolve(symbols, index, "europ"), S.resolve(symbols, index, "nation", explicit="T:Any.Id")
+    return many.unionByName(one).unionByName(told).withColumn("candidates", F.array_join("candidates", ","))
+
+
+@register("q1_search_published", _hits("supplier order", "kind IN ('Method', 'Class')", 50, "supplier order"))
+def q1_search_published(spark, d):
+    """The same search, from the postings of a published snapshot, which its token prefixes prune."""
+    import uuid
+
+    from symgrid.plans.bridge import index as relations
+    from symgrid.session import shared_folder
+    from symgrid.sources import store
+
+    own = relations(spark, d)
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    typed = store.Index(own.files, own.symbols.withColumn("name_tokens", F.lit(None).cast("array<string>")), own.refs.limit(0), own.facts.limit(0), own.type_relations.limit(0))
+    store.publish(typed, root, "repo", "sln", "a" * 40)
+    back = store.read(spark, root, "repo", "sln", "a" * 40)
+    symbols = back.symbols.join(back.files.select("file_id", "path"), "file_id", "left")
+    return S.search(symbols, store.read_postings(spark, root, "repo", "sln", "a" * 40), "Supplier Order*", 50, kinds=["Method", "Class"]).select("symbol_id", "kind", "score")
+
+
 @register("q32_did_you_mean", """WITH asked AS (SELECT DISTINCT substr(n_name, 1, 7) || 'x' AS name FROM nation UNION SELECT lower(r_name) FROM region),
   known AS (SELECT n_name AS suggestion FROM nation UNION SELECT r_name FROM region),
   near AS (SELECT name, suggestion, CAST(levenshtein(name, suggestion) AS INTEGER) AS distance FROM asked, known WHERE levenshtein(name, suggestion) <= 3)
@@ -146,15 +175,17 @@ def q7_spans(spark, d):
     return P.read_spans(asked, files, 3, 5, 200).select("first", "path", F.col("start").cast("int"), F.col("stop").cast("int"), "code", "clamped")
 
 
-@register("q6_context", """WITH lines AS (SELECT path, file_id, string_split(content, chr(10)) AS l FROM files),
-  anchors AS (SELECT symbol_id FROM symbols WHERE kind = 'Property' AND starts_with(symbol_id, 'P:Parts.P1')),
-  called AS (SELECT DISTINCT from_symbol_id AS root, to_symbol_id AS symbol_id FROM calls JOIN anchors ON from_symbol_id = anchors.symbol_id WHERE ref_kind = 'Call'),
-  few AS (SELECT * FROM called QUALIFY row_number() OVER (PARTITION BY root ORDER BY symbol_id) <= 10),
-  every AS (SELECT symbol_id AS root, 'self' AS role, symbol_id FROM anchors UNION ALL SELECT root, 'callee', symbol_id FROM few)
-  SELECT root, role, symbol_id, path, array_to_string(l[least(span_start, len(l)):least(span_end, len(l))], chr(10)) AS code FROM every JOIN symbols USING (symbol_id) JOIN lines USING (file_id)""")
+@register("q6_context", """WITH RECURSIVE lines AS (SELECT path, file_id, string_split(content, chr(10)) AS l FROM files),
+  e AS (SELECT DISTINCT from_symbol_id AS a, to_symbol_id AS b FROM calls WHERE ref_kind = 'Call'),
+  reach AS (SELECT symbol_id AS root, symbol_id AS node, 0 AS depth FROM symbols WHERE kind = 'Property' UNION SELECT root, b, depth + 1 FROM reach JOIN e ON a = node WHERE depth < 2),
+  best AS (SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node),
+  few AS (SELECT * FROM best WHERE depth = 0 UNION ALL SELECT * FROM (SELECT * FROM best WHERE depth > 0 QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, node) <= 10) x)
+  SELECT root, CASE WHEN depth = 0 THEN 'self' ELSE 'callee' END AS role, CAST(depth AS INTEGER) AS depth, symbol_id, fqname, signature, path, array_to_string(l[least(span_start, len(l)):least(span_end, len(l))], chr(10)) AS code
+  FROM few JOIN symbols ON node = symbol_id JOIN lines USING (file_id)""")
 def q6_context(spark, d):
     symbols = frame(spark, d, "symbols")
-    return P.contexts(symbols.filter("startswith(symbol_id, 'P:Parts.P1')"), frame(spark, d, "calls"), symbols, frame(spark, d, "files")).select("root", "role", "symbol_id", "path", "code")
+    found = P.contexts(symbols.filter("kind = 'Property'"), frame(spark, d, "calls"), symbols, frame(spark, d, "files"), callee_depth=2)
+    return found.select("root", "role", "depth", "symbol_id", "fqname", "signature", "path", "code")
 
 
 @register("q8_search_text", """SELECT path, CAST(line AS INTEGER) AS line, CASE WHEN length(trim(t)) > 200 THEN substr(trim(t), 1, 197) || '...' ELSE trim(t) END AS excerpt
@@ -196,21 +227,33 @@ def q9_find_refs_filtered(spark, d):
     return R.find(anchors, frame(spark, d, "refs"), frame(spark, d, "files"), "Write", "Unresolved", 500, False).select("to_symbol_id", "from_symbol_id", "ref_kind", "path", "loc_start", "loc_end", "ord")
 
 
-@register("g11_adjacency", "SELECT from_symbol_id, to_symbol_id, ref_kind, count(*) AS n FROM refs WHERE starts_with(from_symbol_id, 'M:Shop.Customers.C9') GROUP BY ALL")
+@register("g11_adjacency", "SELECT from_symbol_id, to_symbol_id, ref_kind, count(*) AS n FROM refs GROUP BY ALL")
 def g11_adjacency(spark, d):
-    anchors = frame(spark, d, "symbols").filter("startswith(symbol_id, 'M:Shop.Customers.C9')")
+    anchors = frame(spark, d, "symbols").filter("kind = 'Method'")
     return R.outgoing(anchors, frame(spark, d, "refs")).groupBy("from_symbol_id", "to_symbol_id", "ref_kind").agg(F.count("*").alias("n"))
 
 
-@register("j15_resolve_refs", r"""WITH known AS (SELECT symbol_id, regexp_replace(regexp_replace(fqname, '^.:', ''), '[(`].*$', '') AS f, regexp_extract(symbol_id, '^.:(?:.*\.)?([^.(`]+)', 1) AS m FROM symbols),
-  asked AS (SELECT DISTINCT 'S' || CAST(CAST(right(to_name, 9) AS BIGINT) AS VARCHAR) AS to_name FROM refs WHERE resolution_state = 'Unresolved'),
-  one AS (SELECT to_name, min(symbol_id) AS bound FROM asked JOIN known ON to_name = m AND contains(f, 'Suppliers') GROUP BY to_name HAVING count(DISTINCT symbol_id) = 1)
+_OPEN = """(SELECT *, CASE loc_end % 5 WHEN 0 THEN 'this' WHEN 1 THEN 'SUPPLIERS' WHEN 2 THEN 'Nowhere' WHEN 3 THEN 'shop.vendors' ELSE 'SRC1/' END AS hint FROM refs)"""
+
+
+@register("j15_resolve_refs", f"""WITH known AS (SELECT symbol_id, fqname, lower(path) AS p FROM symbols LEFT JOIN files USING (file_id)
+    UNION ALL SELECT 'M:V' || CAST(s_suppkey AS VARCHAR), 'M:Shop.Vendors.Supplier' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '()', (SELECT lower(path) FROM files WHERE file_id = 'd' || CAST(s_suppkey % 10 AS VARCHAR)) FROM supplier WHERE s_suppkey % 3 = 0),
+  named AS (SELECT *, regexp_extract(split_part(fqname, '(', 1), '([^.:]*)$', 1) AS m FROM known),
+  asked AS (SELECT DISTINCT to_name, hint FROM {_OPEN} r WHERE resolution_state = 'Unresolved'),
+  hit AS (SELECT to_name, hint, symbol_id, hint NOT IN ('this', 'base') AND (contains(lower(fqname), lower(hint)) OR contains(p, lower(hint))) AS fit FROM asked JOIN named ON to_name = m),
+  one AS (SELECT to_name, hint, CASE WHEN count(DISTINCT symbol_id) = 1 THEN min(symbol_id) WHEN count(DISTINCT symbol_id) FILTER (WHERE fit) = 1 THEN min(symbol_id) FILTER (WHERE fit) END AS bound FROM hit GROUP BY ALL)
   SELECT CASE WHEN resolution_state = 'Unresolved' AND bound IS NOT NULL THEN bound ELSE to_symbol_id END AS to_symbol_id,
-         CASE WHEN resolution_state = 'Unresolved' AND bound IS NOT NULL THEN 'Resolved' ELSE resolution_state END AS resolution_state, count(*) AS n
-  FROM (SELECT *, 'S' || CAST(CAST(right(to_name, 9) AS BIGINT) AS VARCHAR) AS short FROM refs) r LEFT JOIN one ON short = one.to_name GROUP BY ALL""")
+         CASE WHEN resolution_state = 'Unresolved' AND bound IS NOT NULL THEN 'Resolved' ELSE resolution_state END AS resolution_state, r.hint, count(*) AS n
+  FROM {_OPEN} r LEFT JOIN one ON r.to_name = one.to_name AND r.hint = one.hint GROUP BY ALL""")
 def j15_resolve_refs(spark, d):
-    refs = frame(spark, d, "refs").withColumn("to_name", F.concat(F.lit("S"), F.expr("cast(cast(right(to_name, 9) as bigint) as string)")))
-    return R.resolve(refs, frame(spark, d, "symbols")).groupBy("to_symbol_id", "resolution_state").agg(F.count("*").alias("n"))
+    """Every third supplier's name is borne by a vendor too; hints that miss, exclude or name a container or path."""
+    k = F.col("loc_end") % 5
+    hint = F.when(k == 0, "this").when(k == 1, "SUPPLIERS").when(k == 2, "Nowhere").when(k == 3, "shop.vendors").otherwise("SRC1/")
+    refs = frame(spark, d, "refs").withColumn("to_container_hint", hint)
+    key = F.col("s_suppkey").cast("string")
+    vendors = frame(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("M:V"), key).alias("symbol_id"), F.concat(F.lit("M:Shop.Vendors.Supplier"), F.lpad(key, 9, "0"), F.lit("()")).alias("fqname"), F.concat(F.lit("d"), (F.col("s_suppkey") % 10).cast("string")).alias("file_id"))
+    known = frame(spark, d, "symbols").select("symbol_id", "fqname", "file_id").unionByName(vendors)
+    return R.resolve(refs, known, frame(spark, d, "files")).groupBy("to_symbol_id", "resolution_state", F.col("to_container_hint").alias("hint")).agg(F.count("*").alias("n"))
 
 
 @register("x_names", f"""SELECT symbol_id, {_DISPLAY} AS display, array_to_string(list_slice(string_split({_FULL}, '.'), -2, -1), '.') AS short,

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
 from symgrid.operators.search import postings
 from symgrid.schema import RELATIONS, Index
+from symgrid.session import durable
 
 
 def check(index: Index) -> Index:
@@ -33,38 +38,73 @@ def duplicate_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("symbol_id", F.lower(F.coalesce("project_name", F.lit(""))).alias("project")).count().filter("count > 1").drop("count")
 
 
+def _where(repo: str, solution: str, commit: str) -> str:
+    return f"repo_id={repo}/solution_id={solution}/commit_sha={commit}"
+
+
 def publish(index: Index, root: str, repo: str, solution: str, commit: str) -> None:
-    """Writes one snapshot: every relation as a partition of its table, in the order that its lookups
-    prune by, and the manifest last. A snapshot without a manifest is not there."""
+    """Writes one snapshot under a version of its own: every relation as a partition of its table, in the
+    order that its lookups prune by, and the manifest, which names the version, last. A snapshot without
+    a manifest is not there; one that is published again stays as it was until the new manifest is
+    written, whatever fails before."""
     spark = index.files.sparkSession
-    where = f"repo_id={repo}/solution_id={solution}/commit_sha={commit}"
+    where, version = _where(repo, solution, commit), f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     order = {"files": ["path"], "symbols": ["symbol_id"], "facts": ["fact_kind", "value"], "type_relations": ["type_symbol_id"]}
-    counts = {}
+    # Each relation is computed once; ranges are sampled and rows counted on the copy.
+    kept = {name: durable(getattr(index, name)) for name in (*order, "refs")}
     for name, keys in order.items():
-        df = getattr(index, name)
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{root}/{name}/{where}")
-        counts[name] = spark.read.parquet(f"{root}/{name}/{where}").count()
+        kept[name].repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{root}/{name}/{where}/version={version}")
     for side in ("to_symbol_id", "from_symbol_id"):  # both directions, each sorted by its lookup key
-        index.refs.repartitionByRange(side, "file_id", "loc_start").sortWithinPartitions(side).write.mode("overwrite").parquet(f"{root}/refs_by_{side.split('_')[0]}/{where}")
-    postings(index.symbols).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{root}/postings/{where}")
-    manifest = spark.range(1).select(F.lit(repo).alias("repo"), F.lit(solution).alias("solution"), F.lit(commit).alias("commit"), F.current_timestamp().alias("created_at"), *[F.lit(n).alias(f"n_{k}") for k, n in counts.items()])
-    manifest.write.mode("overwrite").parquet(f"{root}/manifest/{where}")
+        kept["refs"].repartitionByRange(side, "file_id", "loc_start").sortWithinPartitions(side).write.parquet(f"{root}/refs_by_{side.split('_')[0]}/{where}/version={version}")
+    postings(kept["symbols"]).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{root}/postings/{where}/version={version}")
+    counts = {name: df.count() for name, df in kept.items()}
+    manifest = spark.range(1).select(F.lit(repo).alias("repo"), F.lit(solution).alias("solution"), F.lit(commit).alias("commit"), F.lit(version).alias("version"), F.current_timestamp().alias("created_at"), *[F.lit(n).alias(f"n_{k}") for k, n in counts.items()])
+    manifest.coalesce(1).write.mode("append").parquet(f"{root}/manifest/{where}")
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/manifest")
+    """The manifests of all snapshots, of each the newest."""
+    found = spark.read.parquet(f"{root}/manifest").drop("repo_id", "solution_id", "commit_sha")
+    w = Window.partitionBy("repo", "solution", "commit").orderBy(F.desc("version"))
+    return found.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def current(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> str:
+    """The newest version of a snapshot; an unpublished one raises an error of a missing path."""
+    return spark.read.parquet(f"{root}/manifest/{_where(repo, solution, commit)}").agg(F.max("version")).first()[0]
+
+
+def open_table(spark: SparkSession, root: str, name: str, repo: str, solution: str, commit: str) -> DataFrame:
+    """One table of a published snapshot. refs_by_to answers who refers to a symbol, refs_by_from what a
+    symbol refers to, postings what a token's prefix finds; each prunes by its key."""
+    return spark.read.parquet(f"{root}/{name}/{_where(repo, solution, commit)}/version={current(spark, root, repo, solution, commit)}")
 
 
 def read(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> Index:
     """One snapshot; an unpublished one raises an error of a missing path."""
-    where = f"repo_id={repo}/solution_id={solution}/commit_sha={commit}"
-    spark.read.parquet(f"{root}/manifest/{where}").limit(1).collect()
-    one = lambda name: spark.read.parquet(f"{root}/{name}/{where}")
+    version = current(spark, root, repo, solution, commit)
+    one = lambda name: spark.read.parquet(f"{root}/{name}/{_where(repo, solution, commit)}/version={version}")
     return Index(one("files"), one("symbols"), one("refs_by_to"), one("facts"), one("type_relations"))
 
 
 def read_postings(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/postings/repo_id={repo}/solution_id={solution}/commit_sha={commit}")
+    return open_table(spark, root, "postings", repo, solution, commit)
+
+
+def read_outgoing(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> DataFrame:
+    """The references sorted by their source, for callees and outgoing lookups."""
+    return open_table(spark, root, "refs_by_from", repo, solution, commit)
+
+
+def prune(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> None:
+    """Deletes versions older than the current one, when no reader is left on them."""
+    now = current(spark, root, repo, solution, commit)
+    for name in TABLES[:-1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{_where(repo, solution, commit)}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.listStatus(path):
+            if found.getPath().getName() < f"version={now}":
+                fs.delete(found.getPath(), True)
 
 
 def empty(spark: SparkSession) -> Index:
@@ -103,9 +143,11 @@ def copy(spark: SparkSession, source: str, target: str, repo: str, solution: str
         return True
     if not exists(spark, source, repo, solution, commit):
         return False
-    where = f"repo_id={repo}/solution_id={solution}/commit_sha={commit}"
-    for name in TABLES:
-        spark.read.parquet(f"{source}/{name}/{where}").write.mode("overwrite").parquet(f"{target}/{name}/{where}")
+    where = _where(repo, solution, commit)
+    version = current(spark, source, repo, solution, commit)
+    for name in TABLES[:-1]:
+        spark.read.parquet(f"{source}/{name}/{where}/version={version}").write.mode("overwrite").parquet(f"{target}/{name}/{where}/version={version}")
+    spark.read.parquet(f"{source}/manifest/{where}").filter(F.col("version") == version).coalesce(1).write.mode("append").parquet(f"{target}/manifest/{where}")
     return True
 
 
@@ -124,7 +166,7 @@ def ensure(spark: SparkSession, root: str, cache: str | None, repo: str, solutio
 
 def remove(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> None:
     """Deletes a snapshot, its manifest first, so that readers never see a part."""
-    where = f"repo_id={repo}/solution_id={solution}/commit_sha={commit}"
+    where = _where(repo, solution, commit)
     for name in reversed(TABLES):
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{where}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -53,6 +53,16 @@ def needs_compaction(rows: DataFrame, n: int = 50_000, size: int = 16 << 20) ->
     return found["n"] > n or (found["b"] or 0) > size
 
 
+def compact(spark: SparkSession, log: str, state: str, version: int) -> bool:
+    """Folds a log folder that has outgrown its bounds into one file set of each key's last change,
+    written beside it as a new state; the caller moves readers to it. False if the log is small."""
+    rows = spark.read.schema(LOG).parquet(log)
+    if not needs_compaction(rows):
+        return False
+    folded(rows).repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{state}/v={version}")
+    return True
+
+
 def until_gap(rows: DataFrame) -> DataFrame:
     """Rows before the first one whose checksum (crc) does not fit its payload, by workspace."""
     bad = rows.filter(F.col("crc") != F.crc32(F.col("payload").cast("binary"))).groupBy("workspace_id").agg(F.min(F.struct("revision", "op_ord")).alias("bad"))

@@ -21,8 +21,6 @@ def test_ids_survive_a_rename_and_count_twins(spark):
 def test_exclusions(spark):
     df = spark.createDataFrame([("a/obj/x.cs", ""), ("x.Designer.cs", ""), ("y.cs", "// <auto-generated/>"), ("z.cs", None)], "p string, c string")
     assert [r["g"] for r in df.select(identity.is_generated(F.col("p"), F.col("c")).alias("g")).collect()] == [True, True, True, False]
-    df = spark.createDataFrame([("src/N.Tests/a.cs", "N.A"), ("src/a.cs", "N.<>c"), ("src/a.cs", "N.A")], "p string, f string")
-    assert [r["t"] for r in df.select(identity.is_test(F.col("p"), F.col("f")).alias("t")).collect()] == [True, True, False]
 
 
 def test_shown_names(spark):
