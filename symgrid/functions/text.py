@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Where names come apart, and what separates the words of a query.
 CAMEL = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
 SEPARATORS = r"[._\-/\\ \t]+"
 
@@ -189,9 +190,6 @@ def saved_by_search(hits: Column) -> Column:
     return F.greatest(F.lit(0), hits * (800 - 50))
 
 
-SAVED_BY_CARD = 1_650
-
-
 def saved_by_span(file_lines: Column, returned: Column) -> Column:
     return F.greatest(F.lit(0), (file_lines - returned) * 10)
 

@@ -73,28 +73,5 @@ def services(symbols: DataFrame) -> DataFrame:
     return symbols.filter(F.col("kind").isin(TYPE_KINDS) & ~is_test(path) & ~is_made(F.col("fqname")) & F.col("fqname").rlike("(?i)" + SERVICE))
 
 
-def within_budget(lines: DataFrame, budget: int, order: list[str], text: str = "line") -> DataFrame:
-    """Lines in order with the running token estimate, up to the line that exhausts the budget; has_room
-    while the estimate is below nine tenths of it. Sections are numbered first, so that the running
-    sum is per section plus the sections before it and no task orders all lines."""
-    own = lines.withColumn("tokens", X.token_estimate(F.col(text)).cast("long"))
-    sums = own.groupBy("section").agg(F.sum("tokens").alias("__s"))
-    before = sums.select("section", F.coalesce(F.sum("__s").over(Window.orderBy("section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    w = Window.partitionBy("section").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = own.withColumn("__r", F.sum("tokens").over(w)).join(before, "section").withColumn("running", F.col("__b") + F.col("__r")).drop("__b", "__r")
-    return run.filter(F.col("running") - F.col("tokens") < budget).withColumn("has_room", F.col("running") < 0.9 * budget)
-
-
-def render_markdown(sections: DataFrame, title: str) -> str:
-    """Driver-side text of an already cut report (columns section, line, in order)."""
-    out, last = [f"# {title}"], None
-    for r in sections.select("section", "line").collect():
-        if r["section"] != last:
-            out.append(f"\n## {r['section']}")
-            last = r["section"]
-        out.append(f"- {r['line']}")
-    return "\n".join(out)
-
-
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -115,10 +115,21 @@ def resolve(symbols: DataFrame, index: DataFrame, query: str, explicit: str | No
 
 
 def did_you_mean(asked: DataFrame, known: DataFrame, distance: int = 3) -> DataFrame:
-    """asked: name. The closest known name within the edit distance, ties by name. Candidates are
-    found by equal length classes: an edit distance of d changes the length by d at most."""
-    a = asked.select("name", F.explode(F.sequence(F.length("name") - distance, F.length("name") + distance)).alias("__len"))
-    k = known.select(F.col("name").alias("suggestion"), F.length("name").alias("__len"))
-    pairs = a.join(k, "__len").select("name", "suggestion", F.levenshtein("name", "suggestion").alias("distance")).filter(F.col("distance") <= distance)
-    best = pairs.groupBy("name").agg(F.min(F.struct("distance", "suggestion")).alias("b"))
+    """asked: name. The closest known name within the edit distance, ties by name.
+
+    A known name is cut into distance + 1 segments, of which so few edits leave one whole, moved by at
+    most `distance` places. So names meet by equality of length class, segment and its text."""
+    parts = distance + 1
+    n, i = F.col("__len"), F.col("__i")
+    # Segment i of a name of length n: from floor(n * i / parts) to floor(n * (i + 1) / parts).
+    first, size = F.expr(f"cast(__len * __i div {parts} as int)"), F.expr(f"cast(__len * (__i + 1) div {parts} - __len * __i div {parts} as int)")
+    pieces = F.explode(F.sequence(F.lit(0), F.lit(distance)))
+    k = known.select(F.col("name").alias("suggestion")).distinct().withColumn("__len", F.length("suggestion")).withColumn("__i", pieces)
+    k = k.select("suggestion", n, i, F.substring("suggestion", first + 1, size).alias("__text"))
+    a = asked.select("name").distinct().withColumn("__len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("name") - distance), F.length("name") + distance))).withColumn("__i", pieces)
+    a = a.withColumn("__at", F.explode(F.sequence(F.greatest(F.lit(0), first - distance), F.least(first + distance, F.greatest(F.lit(0), F.length("name"))))))
+    a = a.select("name", n, i, F.substring("name", F.col("__at") + 1, size).alias("__text")).distinct()
+    pairs = a.join(k, ["__len", "__i", "__text"]).select("name", "suggestion").distinct()
+    near = pairs.withColumn("distance", F.levenshtein("name", "suggestion")).filter(F.col("distance") <= distance)
+    best = near.groupBy("name").agg(F.min(F.struct("distance", "suggestion")).alias("b"))
     return best.select("name", "b.suggestion", "b.distance")

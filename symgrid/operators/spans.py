@@ -27,10 +27,10 @@ def read_spans(requests: DataFrame, files: DataFrame, context: int = 0, max_line
     return own.select(*requests.columns, "total_lines", "start", "stop", F.substring("__code", 1, max_chars).alias("code"), ((F.col("stop") < F.col("__stop")) | (F.length("__code") > max_chars)).alias("clamped"))
 
 
-def definitions(symbols: DataFrame, files: DataFrame, context: int = 2, max_lines: int = 120) -> DataFrame:
+def definitions(symbols: DataFrame, files: DataFrame, context: int = 2, max_lines: int = 120, max_chars: int = 40_000) -> DataFrame:
     """The code of symbols: symbol_id and the columns of read_spans."""
     asked = symbols.join(files.select("file_id", "path"), "file_id").select("symbol_id", "path", F.col("span_start").alias("first"), F.col("span_end").alias("last"))
-    return read_spans(asked, files, context, max_lines)
+    return read_spans(asked, files, context, max_lines, max_chars)
 
 
 def contexts(anchors: DataFrame, edges: DataFrame, symbols: DataFrame, files: DataFrame, facts: DataFrame | None = None, callee_depth: int = 1, max_callees: int = 10, own_lines: int = 200, callee_lines: int = 50) -> DataFrame:

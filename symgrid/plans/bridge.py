@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from symgrid.schema import Index
 
-_NAMES = "'' AS documentation"
-
 RELATIONS = {
     "files": "SELECT 'd' || CAST(doc_id AS STRING) AS file_id, source || '/' || lang || '/' || CAST(doc_id AS STRING) || '.txt' AS path, text AS content, source AS project_id FROM {documents}",
     "symbols": """

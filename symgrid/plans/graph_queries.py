@@ -160,3 +160,14 @@ def q11_follow_interface_deep(spark, d):
     refs = refs.select("from_symbol_id", "to_symbol_id", "ref_kind", "file_id", "loc_start").unionByName(back)
     nodes = G.callers(anchors.select(F.col("symbol_id").alias("root")), refs, relations, known, depth=2)[0]
     return nodes.filter("depth > 0").select("root", "node", "depth")
+
+
+@register("q16_types_only", """WITH own AS (SELECT symbol_id, kind FROM symbols WHERE kind <> 'Property'),
+  every AS (
+    SELECT type_symbol_id AS symbol_id, 'interface' AS role, related_symbol_id AS related_id FROM type_relations WHERE relation_kind = 'Interface'
+    UNION ALL SELECT related_symbol_id, 'derived', type_symbol_id FROM type_relations)
+  SELECT symbol_id, role, related_id FROM every SEMI JOIN (SELECT symbol_id FROM own WHERE kind <> 'Method') t USING (symbol_id) UNION ALL SELECT symbol_id, 'error', '' FROM own WHERE kind = 'Method'""")
+def q16_types_only(spark, d):
+    """Types have a hierarchy, methods an error."""
+    symbols = frame(spark, d, "symbols")
+    return H.hierarchy(symbols.filter("kind <> 'Property'"), frame(spark, d, "type_relations"), symbols, types_only=True).select("symbol_id", "role", "related_id")

@@ -110,14 +110,6 @@ def t7_members(spark, d):
     return R.members(symbols.filter("kind = 'Property'").unionByName(brand, allowMissingColumns=True))
 
 
-@register("q21_export_budget", """WITH l AS (SELECT kind AS section, fqname || ' ' || signature AS line, symbol_id, CAST(floor(length(fqname || ' ' || signature) / 4) AS BIGINT) AS tokens FROM symbols),
-  r AS (SELECT *, sum(tokens) OVER (ORDER BY section, symbol_id ROWS UNBOUNDED PRECEDING) AS running FROM l)
-  SELECT section, symbol_id, tokens, CAST(running AS BIGINT) AS running, running < 0.9 * 20000 AS has_room FROM r WHERE running - tokens < 20000""")
-def q21_export_budget(spark, d):
-    lines = frame(spark, d, "symbols").select(F.col("kind").alias("section"), F.concat_ws(" ", "fqname", "signature").alias("line"), "symbol_id")
-    return R.within_budget(lines, 20_000, ["symbol_id"]).select("section", "symbol_id", "tokens", "running", "has_room")
-
-
 @register("q21_services", r"""WITH s AS (SELECT symbol_id, kind, CASE WHEN regexp_matches(fqname, 'NATION_1|EUROPE') THEN fqname || 'Service' WHEN contains(fqname, 'NATION_2') THEN fqname || 'service' ELSE fqname END AS f, CASE CAST(substr(file_id, 2) AS BIGINT) % 4 WHEN 0 THEN 'src/Api.Benchmarks/a.cs' WHEN 1 THEN 'src/test/a.cs' WHEN 2 THEN 'src/api.tests/a.cs' ELSE 'src/a.cs' END AS path FROM symbols)
   SELECT symbol_id, kind FROM s WHERE kind IN ('Class', 'Struct', 'Interface', 'Enum', 'Delegate', 'Record') AND regexp_matches(lower(f), '(service|controller|handler|repository|manager|processor)$') AND NOT regexp_matches(path, '\.(Tests|Benchmarks|TestUtilities)[/\\]')""")
 def q21_services(spark, d):
@@ -328,9 +320,14 @@ def m20_visible(spark, d):
     return L.visible(e, pointers).select("event_id")
 
 
-@register("x21_ids", "SELECT page_id, substr(sha256(regexp_replace(lower(regexp_replace(url, '^[a-z]+://', '')), '(.git)?/*$', '')), 1, 16) AS id, CASE WHEN ends_with(url, '.cs') THEN 'csharp' ELSE 'other' END AS language FROM pages")
+_URL = "url || CASE page_id % 7 WHEN 0 THEN '/a.CS' WHEN 1 THEN '/b.vb' WHEN 2 THEN '/c.fs' WHEN 3 THEN '/d.fsi' WHEN 4 THEN '/e.Razor' WHEN 5 THEN '.git' ELSE '/' END"
+
+
+@register("x21_ids", f"""WITH u AS (SELECT page_id, {_URL} AS url FROM pages) SELECT page_id, substr(sha256(regexp_replace(lower(regexp_replace(url, '^[a-z]+://', '')), '(.git)?/*$', '')), 1, 16) AS id,
+  CASE page_id % 7 WHEN 0 THEN 'csharp' WHEN 1 THEN 'vb' WHEN 2 THEN 'fsharp' WHEN 3 THEN 'fsharp' WHEN 4 THEN 'razor' ELSE 'other' END AS language FROM u""")
 def x21_ids(spark, d):
-    return frame(spark, d, "pages").select("page_id", X.repo_id(F.col("url")).alias("id"), X.language(F.col("url")).alias("language"))
+    own = frame(spark, d, "pages").select("page_id", F.expr(_URL).alias("url"))
+    return own.select("page_id", X.repo_id(F.col("url")).alias("id"), X.language(F.col("url")).alias("language"))
 
 
 @register("s1_publish", """SELECT 'files' AS relation, count(*) AS n, count(DISTINCT path) AS keys, max(path) AS last FROM files UNION ALL SELECT 'symbols', count(*), count(DISTINCT fqname), max(signature) FROM symbols

@@ -25,14 +25,32 @@ def folded(rows: DataFrame) -> DataFrame:
     return last.select(*KEY, "r.*")
 
 
+PARTS = 64
+STATE = LOG
+
+
+def _paths(spark: SparkSession, state: str, version: int) -> dict[int, str]:
+    """The folder of each part of a published state."""
+    if not version:
+        return {}
+    return {r["part"]: f"{state}/v={r['v']}/part={r['part']}" for r in spark.read.schema("part int, v int").parquet(f"{state}/list/n={version}").collect()}
+
+
 def merge_into(spark: SparkSession, state: str, batch: DataFrame, batch_id: int) -> None:
-    """State batch_id + 1 is state batch_id with the batch folded in. A batch that runs again after a
-    failure writes the same snapshot again."""
-    before = f"{state}/v={batch_id}"
-    rows = batch.select("workspace_id", "key", "revision", "op_ord", "op", "payload")
-    if batch_id:
-        rows = spark.read.parquet(before).select(rows.columns).unionByName(rows)
-    folded(rows).write.mode("overwrite").parquet(f"{state}/v={batch_id + 1}")
+    """Folds a batch into the state, which is kept in PARTS parts by hash of the key. Version batch_id + 1
+    holds the parts that the batch touches, written again; a list of every part's version, written
+    last, publishes it. A batch that runs again after a failure writes the same version again."""
+    part = F.pmod(F.xxhash64(*KEY), F.lit(PARTS)).cast("int")
+    columns = ["workspace_id", "revision", "op_ord", "op", "key", "payload"]
+    rows = folded(batch.select(columns))
+    touched = {r["part"] for r in rows.select(part.alias("part")).distinct().collect()}
+    before = _paths(spark, state, batch_id)
+    old = [before[p] for p in sorted(touched & before.keys())]
+    if old:
+        rows = folded(rows.select(columns).unionByName(spark.read.schema(STATE).parquet(*old)))
+    rows.select(columns).withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{state}/v={batch_id + 1}")
+    now = {p: int(path.split("/v=")[-1].split("/")[0]) for p, path in before.items()} | dict.fromkeys(touched, batch_id + 1)
+    spark.createDataFrame(sorted(now.items()), "part int, v int").coalesce(1).write.mode("overwrite").parquet(f"{state}/list/n={batch_id + 1}")
 
 
 def start(log: DataFrame, state: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -44,7 +62,9 @@ def start(log: DataFrame, state: str, checkpoint: str, every: str | None = None)
 
 def snapshot(spark: SparkSession, state: str, version: int) -> DataFrame:
     """The live rows of a published state."""
-    return spark.read.parquet(f"{state}/v={version}").filter("op <> 'Tombstone'")
+    paths = sorted(_paths(spark, state, version).values())
+    rows = spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+    return rows.filter("op <> 'Tombstone'")
 
 
 def needs_compaction(rows: DataFrame, n: int = 50_000, size: int = 16 << 20) -> bool:
@@ -53,13 +73,13 @@ def needs_compaction(rows: DataFrame, n: int = 50_000, size: int = 16 << 20) ->
     return found["n"] > n or (found["b"] or 0) > size
 
 
-def compact(spark: SparkSession, log: str, state: str, version: int) -> bool:
-    """Folds a log folder that has outgrown its bounds into one file set of each key's last change,
-    written beside it as a new state; the caller moves readers to it. False if the log is small."""
+def compact(spark: SparkSession, log: str, state: str) -> bool:
+    """Folds a log folder that has outgrown its bounds into the first version of a new state; the caller
+    moves readers to it and drops the log. False, and nothing done, if the log is small."""
     rows = spark.read.schema(LOG).parquet(log)
     if not needs_compaction(rows):
         return False
-    folded(rows).repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{state}/v={version}")
+    merge_into(spark, state, rows, 0)
     return True
 
 
