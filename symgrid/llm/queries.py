@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.llm import embeddings, katz, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity
-from symgrid.llm.common import spread_table, table
+from symgrid.llm import bytepairs, embeddings, interactions, katz, licenses, mixing, periodic, pieces, pii, quality, sharding, simhash, toxicity
+from symgrid.llm.common import spread_table, table, words
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,42 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def _looped(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the checksum of its doc_id, with a part of its words repeated to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("w").cast("long")
+    a = g % F.greatest(n, F.lit(1))
+    own = docs.withColumn("w", F.when(h % 10 == 0, words(F.col("text")))).withColumn("a", a.cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    block = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil((F.size("w") - F.col("a")) / F.col("p")).cast("int"))), 1, F.size("w") - F.col("a"))
+    looped = F.array_join(F.concat(F.slice("w", 1, F.col("a")), tail), " ")
+    return own.select("doc_id", F.coalesce(F.when(F.size("w") > 0, looped).otherwise(F.col("text")), F.lit("")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(_looped(spread_table(spark, sf_dir, "documents", "doc_id", "text")))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda top, r: F.when(r["length"] * top["period"] > top["length"] * r["period"], r).otherwise(top))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    own = bytepairs.load(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    done = bytepairs.encode(docs, own, to=None, packed="ids", decoded="decoded")
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(spread_table(spark, sf_dir, "documents", "doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_licenses": op2_licenses,
@@ -80,6 +116,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
+    "op11_runs": op11_runs,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_interactions": op13_interactions,
 }
 
 _OP3 = r"""
@@ -148,4 +187,36 @@ c AS (SELECT n AS vec_id, min(m) AS component_id FROM r GROUP BY n)
 SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_embeddings": _OP10, "op2_licenses": _OP2, "op3_quality": _OP3}
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+known AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN known USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, fails),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letter a JOIN letter b ON b.f <> a.f JOIN letter c ON c.f NOT IN (a.f, b.f) JOIN letter d ON d.f NOT IN (a.f, b.f, c.f) JOIN letter e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, substr(filter_order, 1, step - 1) AS before FROM o, unnest(range(1, 6)) r(step)),
+r AS (
+  SELECT part, filter_order, step, f,
+         CAST(coalesce(sum(n) FILTER (NOT contains(fails, f) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, before, '') <> fails), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (contains(fails, f) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (contains(fails, f) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_embeddings": _OP10, "op13_interactions": _OP13, "op2_licenses": _OP2, "op3_quality": _OP3}
