@@ -28,6 +28,21 @@ WIDTHS = (4, 6, 8, 10, 12, 16, 24, 40, 80, 160)
 CELLS, MEMO, CHUNK_CHARS = 1 << 17, 200_000, 1_000_000
 
 
+# Letters and numbers that Unicode has had only since version 17. The public library, whose ids
+# are to be met, cuts texts by version 16, the installed pattern module by a later one.
+LATER = regex.compile(
+    "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3"
+    "\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191"
+    "\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    "\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    "\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
+#: A character that is neither letter, number nor space.
+PRIVATE = "\ue000"
+
+
 class Vocabulary:
     """Ranks (which are the ids) of byte strings, and the pattern that cuts texts into pieces."""
 
@@ -168,6 +183,11 @@ class Encoder:
         self.memo: dict[str, int] = {}
         self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _pieces(self, text: str) -> list[str]:
+        if text.isascii() or LATER.search(text) is None:
+            return self.cut.findall(text)
+        return [text[m.start() : m.end()] for m in self.cut.finditer(LATER.sub(PRIVATE, text))]
+
     def _tokens(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of pieces, one after another, and how many each has."""
         many, rows = np.ones(len(pieces), np.int64), {}
@@ -209,7 +229,7 @@ class Encoder:
         memo, known = self.memo, len(self.memo)
         coded, counts, fresh = [], [], []
         for text in texts:
-            pieces = self.cut.findall(text)
+            pieces = self._pieces(text)
             counts.append(len(pieces))
             for p in pieces:
                 k = memo.get(p)

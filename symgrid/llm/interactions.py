@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symgrid.llm.common import durable, quoted, tidied
 
@@ -125,12 +126,15 @@ def orders(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
         for step, f in enumerate(order):
             rows.append(("".join(filters[i] for i in order), step + 1, f, before, before | 1 << f))
             before |= 1 << f
-    steps = F.broadcast(counts.sparkSession.createDataFrame(rows, "filter_order string, step int, filter int, before int, after int"))  # k! * k rows
+    order, step, filter_, before, after = (F.lit(list(c)) for c in zip(*rows, strict=True))
+    i = F.col("__i")
     whole = counts.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("subset", F.struct("kept", "good", "toxic")))).alias("of"))
     at = lambda key, c: F.element_at("of", key).getField(c)
     all_, own = F.lit((1 << k) - 1), F.col("before").bitwiseXOR(F.col("after"))
+    placed = whole.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))))
+    steps = placed.select("part", "of", F.get(order, i).alias("filter_order"), F.get(step, i).alias("step"), F.get(filter_, i).alias("filter"), F.get(before, i).alias("before"), F.get(after, i).alias("after"))
     removed = at(F.col("before"), "kept") - at(F.col("after"), "kept")
-    out = whole.crossJoin(steps).select(
+    out = steps.select(
         "part", "filter_order", "step", "filter",
         at(F.col("after"), "kept").alias("kept"),
         removed.alias("removed"),
@@ -139,8 +143,7 @@ def orders(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
         (at(F.col("before"), "good") - at(F.col("after"), "good")).alias("good_lost"),
         (at(F.col("before"), "toxic") - at(F.col("after"), "toxic")).alias("toxic_lost"),
     )
-    total = out.groupBy("part", "filter").agg(F.sum("removed").alias("shapley"))
-    return out.join(total, ["part", "filter"]).drop("filter")
+    return out.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "filter"))).drop("filter")
 
 
 def failures(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
