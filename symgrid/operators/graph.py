@@ -1,34 +1,28 @@
 """Graph operators over references: bounded breadth-first search for a batch of roots, closures, traces.
 
-The frontier of all roots advances together, one join a level; what was visited is cut from its
-lineage by a checkpoint. Depth is at most six, so the driver's loop is short.
+The frontier of all roots advances together, one join a level, over edges that were summed up once
+(`adjacency`). Depth is at most six, so the driver's loop is short.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
+from symgrid.operators.adjacency import Adjacency, Front, among, front, of_refs
 from symgrid.schema import CAPS
 from symgrid.session import durable
 
-Expand = Callable[[DataFrame], DataFrame]
-
 
-def call_edges(refs: DataFrame, incoming: bool = False) -> DataFrame:
-    """node, next, ord: one edge per pair of symbols that call or instantiate, callers if incoming."""
-    a, b = ("to_symbol_id", "from_symbol_id") if incoming else ("from_symbol_id", "to_symbol_id")
-    own = refs.filter("ref_kind in ('Call', 'Instantiate') and to_symbol_id <> '' and from_symbol_id <> ''")
-    return own.groupBy(F.col(a).alias("node"), F.col(b).alias("next")).agg(F.min(F.struct("file_id", "loc_start", b)).alias("ord"))
+def adjacency(refs: DataFrame | Adjacency, incoming: bool = False) -> Adjacency:
+    return refs if isinstance(refs, Adjacency) else of_refs(refs, incoming)
 
 
-def bfs(roots: DataFrame, edges: DataFrame, depth: int = 3, per_level: int | None = None, first: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def bfs(roots: DataFrame, edges: Adjacency, depth: int = 3, per_level: int | None = None, first: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """roots: root, node (one row per start). Returns nodes (root, node, depth, truncated) and edges
-    (root, parent, child, depth of the parent). `first`: edges of the first level only.
+    (root, parent, child, depth of the parent). `first`: edges (node, next) of the first level only.
 
     Every edge of an expanded node is kept, also to visited ones. With per_level, a level takes its
     new nodes in the order of parents and edges and stops at that many; later ones are cut and the
@@ -37,12 +31,16 @@ def bfs(roots: DataFrame, edges: DataFrame, depth: int = 3, per_level: int | Non
     depth = clamped(depth)
     # place: a node's place in its level, which orders its children under a limit.
     place = F.lit(0) if per_level is None else F.row_number().over(Window.partitionBy("root").orderBy("node"))
-    visited = durable(roots.select("root", "node").distinct().select("root", "node", place.alias("place"), F.lit(0).alias("depth"), F.lit(False).alias("truncated")))
-    front = visited
+    now = front(roots.select("root", "node").distinct().select("root", "node", place.alias("place"), F.lit(0).alias("depth"), F.lit(False).alias("truncated")))
+    visited, walked = now.rows, []
     for level in range(1, depth + 1):
-        out = edges if level > 1 or first is None else edges.unionByName(first)
-        step = front.join(out, "node").select("root", F.col("next").alias("child"), "place", "ord")
-        fresh = step.join(visited.select("root", F.col("node").alias("child")), ["root", "child"], "left_anti")
+        step = edges.step(now)
+        if level == 1 and first is not None:
+            # Calls through interfaces come after a node's own.
+            last = F.struct(F.lit("~").alias("file_id"), F.lit(0).alias("loc_start"), F.col("next").alias("id"))
+            step = step.unionByName(now.rows.join(first, "node").select(*now.rows.columns, "next", last.alias("ord")))
+        walked.append(step.select("root", F.col("node").alias("parent"), F.col("next").alias("child"), "depth"))
+        fresh = step.select("root", F.col("next").alias("child"), "place", "ord").join(visited.select("root", F.col("node").alias("child")), ["root", "child"], "left_anti")
         if per_level is None:
             new = fresh.select("root", F.col("child").alias("node")).distinct().select("root", "node", F.lit(0).alias("place"), F.lit(level).alias("depth"), F.lit(False).alias("truncated"))
         else:
@@ -50,15 +48,14 @@ def bfs(roots: DataFrame, edges: DataFrame, depth: int = 3, per_level: int | Non
             at = at.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("at", "child")))
             more = F.count("*").over(Window.partitionBy("root")) > per_level
             new = at.select("root", F.col("child").alias("node"), "place", F.lit(level).alias("depth"), more.alias("truncated")).filter(F.col("place") <= per_level)
-        front = durable(new)
-        if front.isEmpty():
+        now = front(new, small=now.nodes is not None)
+        if now.empty:
             break
-        visited = visited.unionByName(front)
-    expanded = visited.filter(F.col("depth") < depth).select("root", "node", "depth")
-    walked = expanded.join(edges, "node")
-    if first is not None:
-        walked = walked.unionByName(expanded.filter("depth = 0").join(first, "node"))
-    return visited.drop("place"), walked.select("root", F.col("node").alias("parent"), F.col("next").alias("child"), "depth")
+        visited = visited.unionByName(now.rows)
+    out = walked[0]
+    for w in walked[1:]:
+        out = out.unionByName(w)
+    return visited.drop("place"), out.distinct()
 
 
 def clamped(depth: int) -> int:
@@ -91,47 +88,48 @@ def interface_members(anchors: DataFrame, type_relations: DataFrame, symbols: Da
     own = anchors.select("symbol_id").distinct()
     own = own.select("symbol_id", F.substring("symbol_id", 1, 2).alias("k"), F.regexp_extract("symbol_id", "^.:([^(]*)", 1).alias("path"), F.regexp_extract("symbol_id", "(\\(.*\\))$", 1).alias("args"))
     own = own.withColumn("container", F.regexp_replace("path", "\\.[^.]*$", "")).withColumn("name", F.element_at(F.split(F.regexp_replace("path", "#", "."), "\\."), -1))
-    iface = type_relations.filter("relation_kind = 'Interface'").select(F.regexp_replace("type_symbol_id", "^T:", "").alias("container"), F.regexp_replace("related_symbol_id", "^T:", "").alias("iface"))
+    types = own.select(F.explode(F.array("container", F.concat(F.lit("T:"), "container"))).alias("type")).distinct()
+    relations = among(type_relations, "type_symbol_id", types)
+    iface = relations.filter("relation_kind = 'Interface'").select(F.regexp_replace("type_symbol_id", "^T:", "").alias("container"), F.regexp_replace("related_symbol_id", "^T:", "").alias("iface"))
     made = own.join(iface, "container").select("symbol_id", F.concat("k", "iface", F.lit("."), "name", "args").alias("member"))
-    return made.join(symbols.select(F.col("symbol_id").alias("member")), "member", "left_semi").distinct()
+    known = among(symbols, "symbol_id", made.select("member").distinct()).select(F.col("symbol_id").alias("member"))
+    return made.join(known, "member", "left_semi").distinct()
 
 
-def callers_by_interface(anchors: DataFrame, type_relations: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
+def callers_by_interface(anchors: DataFrame, type_relations: DataFrame, symbols: DataFrame, refs: DataFrame | Adjacency) -> DataFrame:
     """symbol_id, caller: callers of the interface members that the anchors implement."""
-    members = interface_members(anchors, type_relations, symbols)
-    into = call_edges(refs, incoming=True).select(F.col("node").alias("member"), F.col("next").alias("caller"))
-    return members.join(into, "member").select("symbol_id", "caller").distinct()
+    members = interface_members(anchors, type_relations, symbols).select("symbol_id", F.col("member").alias("node"))
+    return adjacency(refs, incoming=True).step(front(members)).select("symbol_id", F.col("next").alias("caller")).distinct()
 
 
-def interface_hint(anchors: DataFrame, type_relations: DataFrame, symbols: DataFrame, refs: DataFrame, cap: int = 50) -> DataFrame:
+def interface_hint(anchors: DataFrame, type_relations: DataFrame, symbols: DataFrame, refs: DataFrame | Adjacency, cap: int = 50) -> DataFrame:
     """symbol_id, hint: how many distinct callers come through interfaces, counted up to the cap."""
     return callers_by_interface(anchors, type_relations, symbols, refs).groupBy("symbol_id").agg(F.least(F.count("*"), F.lit(cap)).alias("hint"))
 
 
-def callers(roots: DataFrame, refs: DataFrame, type_relations: DataFrame | None = None, symbols: DataFrame | None = None, depth: int = 2, per_level: int | None = None) -> tuple[DataFrame, DataFrame]:
+def callers(roots: DataFrame, refs: DataFrame | Adjacency, type_relations: DataFrame | None = None, symbols: DataFrame | None = None, depth: int = 2, per_level: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first callers of roots (root). With relations and symbols, the first level (no other) also
     takes the callers of the interface members that a root implements."""
-    edges, first = call_edges(refs, incoming=True), None
+    edges, first = adjacency(refs, incoming=True), None
     if type_relations is not None and symbols is not None:
-        more = callers_by_interface(roots.select(F.col("root").alias("symbol_id")), type_relations, symbols, refs)
-        first = more.select(F.col("symbol_id").alias("node"), F.col("caller").alias("next")).join(edges, ["node", "next"], "left_anti")
-        first = first.withColumn("ord", F.struct(F.lit("~").alias("file_id"), F.lit(0).alias("loc_start"), F.col("next").alias("from_symbol_id")))
+        more = callers_by_interface(roots.select(F.col("root").alias("symbol_id")), type_relations, symbols, edges)
+        first = more.select(F.col("symbol_id").alias("node"), F.col("caller").alias("next"))
     return bfs(roots.select("root", F.col("root").alias("node")), edges, depth, per_level, first)
 
 
-def callees(roots: DataFrame, refs: DataFrame, depth: int = 2, per_level: int | None = None) -> tuple[DataFrame, DataFrame]:
-    return bfs(roots.select("root", F.col("root").alias("node")), call_edges(refs), depth, per_level)
+def callees(roots: DataFrame, refs: DataFrame | Adjacency, depth: int = 2, per_level: int | None = None) -> tuple[DataFrame, DataFrame]:
+    return bfs(roots.select("root", F.col("root").alias("node")), adjacency(refs), depth, per_level)
 
 
-def trace(roots: DataFrame, refs: DataFrame, facts: DataFrame, depth: int = 3, per_level: int | None = None, symbols: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
+def trace(roots: DataFrame, refs: DataFrame | Adjacency, facts: DataFrame, depth: int = 3, per_level: int | None = None, symbols: DataFrame | None = None, max_rows: int | None = CAPS.max_references) -> DataFrame:
     """Paths from each root along the edges that the search walked, cycles unrolled to the depth (1 to 6):
     root, node, depth, path, and facts (kind:text before the first pipe, sorted, comma-joined). With
-    symbols, also name (the signature, else the id), stable_id and is_decompiled. With max_rows, a
-    level keeps the first so many paths of a root in their order, and `truncated` says that it had more.
+    symbols, also name (the signature, else the id), stable_id and is_decompiled. A level keeps the
+    first max_rows paths of a root in their order, and `truncated` says that it had more; None keeps all.
     """
     depth = clamped(depth)
     _, walked = callees(roots, refs, depth, per_level)
-    edge = walked.select("root", F.col("parent").alias("node"), "child").distinct()
+    edge = durable(walked.select("root", F.col("parent").alias("node"), "child").distinct())
     level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("truncated"))
     out = level
     for n in range(1, depth + 1):

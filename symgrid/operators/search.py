@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
+from symgrid.operators.adjacency import among
 
 
-def postings(symbols: DataFrame) -> DataFrame:
-    """token, symbol_id: the inverted index. Written sorted by token, prefix filters prune row groups."""
+def postings(symbols: DataFrame, *more: str) -> DataFrame:
+    """token, symbol_id (and more columns): the inverted index. Written sorted by token, prefix filters
+    prune row groups."""
     own = X.tokens(F.col("fqname"), X.display_name(F.col("fqname")), F.col("namespace"), F.col("signature"), F.col("documentation"))
-    return symbols.select(F.explode(own).alias("token"), "symbol_id")
+    return symbols.select(F.explode(own).alias("token"), "symbol_id", *more)
 
 
 def filtered(symbols: DataFrame, kinds: list[str] | None = None, namespace: str | None = None, path: str | None = None, project: str | None = None, decompiled: bool = True, tests: bool = True) -> DataFrame:
@@ -57,7 +59,7 @@ def search(symbols: DataFrame, index: DataFrame, query: str, limit: int = 20, **
     asked = X.query_tokens(query)
     if not asked:
         return browse(symbols, limit, **filters)
-    hits = filtered(symbols, **filters).join(matching(index, query), "symbol_id", "left_semi")
+    hits = among(filtered(symbols, **filters), "symbol_id", matching(index, query))
     display = X.display_name(F.col("fqname"))
     return hits.withColumn("score", X.relevance(display, F.col("fqname"), X.name_tokens(display), query, asked)).orderBy(F.desc("score"), "symbol_id").limit(limit)
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
 from symgrid.operators import graph, overlay, refs, search
+from symgrid.operators.adjacency import Adjacency, among, by_file, sides
 from symgrid.operators.hierarchy import derived_merged
 from symgrid.schema import LEVELS, Index
 
@@ -109,31 +110,46 @@ def merged_refs(baseline: DataFrame, own: Overlay) -> DataFrame:
     return out.select(baseline.columns)
 
 
-def callers(roots: DataFrame, baseline: Index, own: Overlay, depth: int = 2, per_level: int | None = None, follow_interface: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Breadth-first callers in the workspace. Deleted roots are not searched. Interface members are taken
-    from the baseline's relations, as the overlay's edits seldom change them."""
+def calls(edges: Adjacency, own: Overlay, incoming: bool) -> Adjacency:
+    """A snapshot's published edges as the workspace sees them: without those of files that the overlay
+    holds, with the overlay's, none from or to a deleted symbol. Only the edges that a search reads
+    are compared with the overlay."""
+    more = by_file(sides(own.refs, incoming))
+    return edges.without(files=own.files).with_edges(more).without(own.deleted.select(F.col("symbol_id").alias("node")))
+
+
+def callers(roots: DataFrame, baseline: Index, own: Overlay, depth: int = 2, per_level: int | None = None, follow_interface: bool = False, edges: Adjacency | None = None) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first callers in the workspace, along the snapshot's published edges if given. Deleted roots
+    are not searched. Interface members are taken from the baseline's relations, as the overlay's edits
+    seldom change them."""
     live = roots.join(own.deleted.select(F.col("symbol_id").alias("root")).distinct(), "root", "left_anti")
     more = (baseline.type_relations, baseline.symbols) if follow_interface else (None, None)
-    return graph.callers(live, merged_refs(baseline.refs, own), *more, depth=depth, per_level=per_level)
+    return graph.callers(live, merged_refs(baseline.refs, own) if edges is None else calls(edges, own, True), *more, depth=depth, per_level=per_level)
 
 
-def callees(roots: DataFrame, baseline: Index, own: Overlay, depth: int = 2, per_level: int | None = None) -> tuple[DataFrame, DataFrame]:
+def callees(roots: DataFrame, baseline: Index, own: Overlay, depth: int = 2, per_level: int | None = None, edges: Adjacency | None = None) -> tuple[DataFrame, DataFrame]:
     live = roots.join(own.deleted.select(F.col("symbol_id").alias("root")).distinct(), "root", "left_anti")
-    return graph.callees(live, merged_refs(baseline.refs, own), depth, per_level)
+    return graph.callees(live, merged_refs(baseline.refs, own) if edges is None else calls(edges, own, False), depth, per_level)
 
 
-def search_merged(baseline: Index, own: Overlay, query: str, limit: int = 20, **filters) -> DataFrame:
+def search_merged(baseline: Index, own: Overlay, query: str, limit: int = 20, index: DataFrame | None = None, **filters) -> DataFrame:
     """Ranked hits in the merged view with `score` and `origin`: the overlay's first, each side best first.
     Hits with one symbol_id, or one stable_id, in one project count once, before the limit; truncated
-    says whether there were more."""
-    view = merged(baseline, own)
-    paths = view.files.select("file_id", "path")
-    symbols = view.symbols.join(paths, "file_id", "left")
+    says whether there were more.
+
+    Two tiers answer: the snapshot's postings (`index`, published with file_id and stable_id; computed if
+    not given), read by the query's prefixes, less what the overlay hides, and the overlay's own."""
+    symbols = overlay.symbols(baseline.symbols, own.symbols.select(baseline.symbols.columns), own.deleted, own.files)
+    gone = baseline.files.join(own.files.select("file_id").distinct(), "file_id", "left_anti")
+    paths = gone.select("file_id", "path").unionByName(own.files.select("file_id", "path"))
     text = X.sanitize_query(query)
     asked = X.query_tokens(text)
-    hits = search.filtered(symbols, **filters)
     if asked:
-        hits = hits.join(search.matching(search.postings(view.symbols), text), "symbol_id", "left_semi")
+        index = search.postings(baseline.symbols, "file_id", "stable_id") if index is None else index
+        tokens = overlay.symbols(index, search.postings(own.symbols, "file_id", "stable_id"), own.deleted, own.files)
+        # Prefixes go into the scan of the first tier, below the comparison with the overlay.
+        symbols = among(symbols, "symbol_id", search.matching(tokens, text))
+    hits = search.filtered(symbols.join(paths, "file_id", "left"), **filters)
     display = X.display_name(F.col("fqname"))
     score = X.relevance(display, F.col("fqname"), X.name_tokens(display), text, asked) if asked else F.lit(0)
     hits = hits.withColumn("score", score).withColumn("src_rank", F.when(F.col("origin") == "overlay", 0).otherwise(1))

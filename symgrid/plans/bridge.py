@@ -38,9 +38,9 @@ RELATIONS = {
       FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "calls": """
       SELECT DISTINCT 'P:Parts.P' || CAST(l_partkey AS STRING) AS from_symbol_id, 'P:Parts.P' || CAST(nxt AS STRING) AS to_symbol_id,
-             CASE l_returnflag WHEN 'A' THEN 'Call' ELSE 'Read' END AS ref_kind, 'd' || CAST(l_partkey % 200 AS STRING) AS file_id, CAST(l_partkey % 97 AS INT) AS loc_start, CAST(nxt AS INT) AS loc_end, 'Resolved' AS resolution_state
-      FROM (SELECT l_partkey, l_returnflag, l_quantity, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nxt FROM {lineitem}) s
-      WHERE nxt IS NOT NULL AND l_quantity >= 30 AND l_returnflag IN ('A', 'R')""",
+             CASE l_returnflag WHEN 'A' THEN 'Call' WHEN 'R' THEN 'Read' ELSE 'Write' END AS ref_kind, 'd' || CAST(l_partkey % 200 AS STRING) AS file_id, CAST(l_partkey % 97 AS INT) AS loc_start, CAST(nxt AS INT) AS loc_end, 'Resolved' AS resolution_state
+      FROM (SELECT l_partkey, l_returnflag, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nxt FROM {lineitem}) s
+      WHERE nxt IS NOT NULL""",
     "type_relations": """
       SELECT 'T:Shop.Nations.' || n_name AS type_symbol_id, 'T:Shop.IRegion.' || r_name AS related_symbol_id, 'Interface' AS relation_kind, r_name AS display_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
       UNION ALL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from symgrid.operators import graph as G
@@ -22,19 +24,52 @@ def _roots(spark, d):
     return frame(spark, d, "calls").filter("ref_kind = 'Call'").select(F.col("from_symbol_id").alias("root")).distinct()
 
 
-@register("q13_callees", f"WITH RECURSIVE {_ROOTS}, {_EDGES}, {_REACH.format(next='b', this='a', depth=4)} SELECT root, node, CAST(depth AS INTEGER) AS depth FROM best")
+@register("q13_callees", f"WITH RECURSIVE {_ROOTS}, {_EDGES}, {_REACH.format(next='b', this='a', depth=2)} SELECT root, node, CAST(depth AS INTEGER) AS depth FROM best")
 def q13_callees(spark, d):
-    return G.callees(_roots(spark, d), frame(spark, d, "calls"), 4)[0].select("root", "node", "depth")
+    return G.callees(_roots(spark, d), frame(spark, d, "calls"), 2)[0].select("root", "node", "depth")
 
 
-@register("q10_callers", f"WITH RECURSIVE {_ROOTS}, {_EDGES}, {_REACH.format(next='a', this='b', depth=3)} SELECT root, node, CAST(depth AS INTEGER) AS depth FROM best")
+@register("q10_callers", f"WITH RECURSIVE {_ROOTS}, {_EDGES}, {_REACH.format(next='a', this='b', depth=2)} SELECT root, node, CAST(depth AS INTEGER) AS depth FROM best")
 def q10_callers(spark, d):
-    return G.callers(_roots(spark, d), frame(spark, d, "calls"), depth=3)[0].select("root", "node", "depth")
+    return G.callers(_roots(spark, d), frame(spark, d, "calls"), depth=2)[0].select("root", "node", "depth")
 
 
-@register("g1_edges", f"WITH RECURSIVE {_ROOTS}, {_EDGES}, {_REACH.format(next='b', this='a', depth=3)} SELECT root, node AS parent, b AS child, CAST(depth AS INTEGER) AS depth FROM best JOIN e ON a = node WHERE depth < 3")
+@register("g1_edges", f"WITH RECURSIVE {_ROOTS}, {_EDGES}, {_REACH.format(next='b', this='a', depth=2)} SELECT root, node AS parent, b AS child, CAST(depth AS INTEGER) AS depth FROM best JOIN e ON a = node WHERE depth < 2")
 def g1_edges(spark, d):
-    return G.callees(_roots(spark, d), frame(spark, d, "calls"), 3)[1].select("root", "parent", "child", "depth")
+    return G.callees(_roots(spark, d), frame(spark, d, "calls"), 2)[1].select("root", "parent", "child", "depth")
+
+
+_ROOT = "roots AS (SELECT to_symbol_id AS root FROM calls WHERE ref_kind = 'Call' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+@register("q10_callers_published", f"WITH RECURSIVE {_ROOT}, {_EDGES}, {_REACH.format(next='a', this='b', depth=6)} SELECT root, node, CAST(depth AS INTEGER) AS depth FROM best")
+def q10_callers_published(spark, d):
+    """All callers, six levels deep, of the part that is called most, from a published snapshot of all calls:
+    while the frontier is small, it prunes what a level reads; then it is shuffled to the edges."""
+    calls, own = published_calls(spark, d)
+    root = calls.filter("ref_kind = 'Call'").groupBy(F.col("to_symbol_id").alias("root")).count().orderBy(F.desc("count"), "root").limit(1).select("root")
+    return G.callers(root, own.calls(True), depth=6)[0].select("root", "node", "depth")
+
+
+def published_calls(spark, d):
+    """The calls, and a snapshot that holds them alone, published once per session and folder."""
+    from symgrid.schema import RELATIONS, Index
+    from symgrid.session import shared_folder
+    from symgrid.sources import store
+
+    calls = frame(spark, d, "calls")
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _PUBLISHED:
+        root = f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}"
+        none = store.empty(spark)
+        missing = [c.split()[0] for c in RELATIONS["refs"].split(", ") if c.split()[0] not in calls.columns]
+        refs = calls.select("*", *[F.lit(None).cast(none.refs.schema[c].dataType).alias(c) for c in missing]).select(none.refs.columns)
+        store.publish(Index(none.files, none.symbols, refs, none.facts, none.type_relations), root, "repo", "sln", "a" * 40)
+        _PUBLISHED[key] = store.at(spark, root, "repo", "sln", "a" * 40)
+    return calls, _PUBLISHED[key]
+
+
+_PUBLISHED: dict = {}
 
 
 # One level with a limit: the first two children of each root in the order of its edges.
@@ -76,7 +111,7 @@ def q14_hydrate(spark, d):
 def q15_trace(spark, d):
     """From every calling part; the customers' facts stand for the parts' of the same number."""
     facts = frame(spark, d, "facts").withColumn("symbol_id", F.replace("symbol_id", F.lit("M:Shop.Customers.C"), F.lit("P:Parts.P")))
-    found = G.trace(_roots(spark, d), frame(spark, d, "calls"), facts, 2, symbols=frame(spark, d, "symbols"))
+    found = G.trace(_roots(spark, d), frame(spark, d, "calls"), facts, 2, symbols=frame(spark, d, "symbols"), max_rows=None)
     return found.select("root", "node", "depth", F.array_join("path", ">").alias("path"), "facts", "name", "stable_id", "is_decompiled")
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
+from symgrid.operators.adjacency import EDGE, Adjacency, by_file, heavy_nodes, keyed, sides
 from symgrid.operators.search import postings
 from symgrid.schema import RELATIONS, Index
 from symgrid.session import durable
@@ -42,26 +47,95 @@ def _where(repo: str, solution: str, commit: str) -> str:
     return f"repo_id={repo}/solution_id={solution}/commit_sha={commit}"
 
 
+#: Rows of a bucket of call edges.
+BUCKET_ROWS = 2_000_000
+
+
 def publish(index: Index, root: str, repo: str, solution: str, commit: str) -> None:
     """Writes one snapshot under a version of its own: every relation as a partition of its table, in the
-    order that its lookups prune by, and the manifest, which names the version, last. A snapshot without
-    a manifest is not there; one that is published again stays as it was until the new manifest is
-    written, whatever fails before."""
+    order that its lookups prune by, call edges of both directions in buckets of their key, and the
+    manifest, which names the version, last. A snapshot without a manifest is not there; one that is
+    published again stays as it was until the new manifest is written, whatever fails before."""
     spark = index.files.sparkSession
     where, version = _where(repo, solution, commit), f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     order = {"files": ["path"], "symbols": ["symbol_id"], "facts": ["fact_kind", "value"], "type_relations": ["type_symbol_id"]}
     # Each relation is computed once; ranges are sampled and rows counted on the copy.
     kept = {name: durable(getattr(index, name)) for name in (*order, "refs")}
+    counts = {name: df.count() for name, df in kept.items()}
     for name, keys in order.items():
         kept[name].repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{root}/{name}/{where}/version={version}")
     for side in ("to_symbol_id", "from_symbol_id"):  # both directions, each sorted by its lookup key
         kept["refs"].repartitionByRange(side, "file_id", "loc_start").sortWithinPartitions(side).write.parquet(f"{root}/refs_by_{side.split('_')[0]}/{where}/version={version}")
-    postings(kept["symbols"]).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{root}/postings/{where}/version={version}")
-    counts = {name: df.count() for name, df in kept.items()}
-    manifest = spark.range(1).select(F.lit(repo).alias("repo"), F.lit(solution).alias("solution"), F.lit(commit).alias("commit"), F.lit(version).alias("version"), F.current_timestamp().alias("created_at"), *[F.lit(n).alias(f"n_{k}") for k, n in counts.items()])
+    tokens = durable(postings(kept["symbols"], "file_id", "stable_id"))
+    tokens.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{root}/postings/{where}/version={version}")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts["refs"] // BUCKET_ROWS))
+    hubs = {}
+    for name, incoming in SIDES.items():
+        own = sides(kept["refs"], incoming)
+        heavy = heavy_nodes(own)
+        hubs[name] = 0 if heavy is None else heavy.count()
+        if heavy is not None:
+            heavy.write.parquet(f"{root}/{name}_hubs/{where}/version={version}")
+        _write_buckets(keyed(by_file(own), heavy).select("key", "node", "next", "file_id", "loc_start"), f"{root}/{name}/{where}/version={version}", buckets)
+    stated = {f"n_{k}": n for k, n in counts.items()} | {"buckets": buckets} | {f"hubs_{k}": n for k, n in hubs.items()}
+    manifest = spark.range(1).select(F.lit(repo).alias("repo"), F.lit(solution).alias("solution"), F.lit(commit).alias("commit"), F.lit(version).alias("version"), F.current_timestamp().alias("created_at"), *[F.lit(n).cast("long").alias(k) for k, n in stated.items()])
     manifest.coalesce(1).write.mode("append").parquet(f"{root}/manifest/{where}")
 
 
+#: Tables of call edges, and whether they lead to callers.
+SIDES = {"calls_in": True, "calls_out": False}
+
+
+def _write_buckets(edges: DataFrame, path: str, n: int) -> None:
+    """Edges as files of n buckets of their key. Only a catalog's table can be written so; its entry goes
+    again, the files stay."""
+    name = f"edges_{uuid.uuid4().hex}"
+    edges.repartition(n, "key").write.bucketBy(n, "key").sortBy("key").format("parquet").option("path", path).saveAsTable(name)
+    edges.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def _read_buckets(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The files as a bucketed table: equality and lists of keys skip buckets, joins by key move no edges."""
+    name = f"edges_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({EDGE}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {n} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One version of a published snapshot. All that is read through it is of that version."""
+
+    spark: SparkSession
+    root: str
+    repo: str
+    solution: str
+    commit: str
+    version: str
+    buckets: int
+    hubs: dict[str, int]
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}/{_where(self.repo, self.solution, self.commit)}/version={self.version}"
+
+    def table(self, name: str) -> DataFrame:
+        """One table. refs_by_to answers who refers to a symbol, refs_by_from what a symbol refers to,
+        postings what a token's prefix finds; each prunes by its key."""
+        return self.spark.read.parquet(self.path(name))
+
+    def index(self, outgoing: bool = False) -> Index:
+        """The relations; references sorted by target, or by source if outgoing."""
+        return Index(self.table("files"), self.table("symbols"), self.table("refs_by_from" if outgoing else "refs_by_to"), self.table("facts"), self.table("type_relations"))
+
+    def calls(self, incoming: bool) -> Adjacency:
+        name = "calls_in" if incoming else "calls_out"
+        return Adjacency(_read_buckets(self.spark, self.path(name), self.buckets), self.table(f"{name}_hubs") if self.hubs[name] else None)
+
+
+def _of_manifest(spark: SparkSession, root: str, row) -> Snapshot:
+    return Snapshot(spark, root, row["repo"], row["solution"], row["commit"], row["version"], row["buckets"], {k: row[f"hubs_{k}"] for k in SIDES})
+
+
 def published(spark: SparkSession, root: str) -> DataFrame:
     """The manifests of all snapshots, of each the newest."""
     found = spark.read.parquet(f"{root}/manifest").drop("repo_id", "solution_id", "commit_sha")
@@ -69,22 +143,37 @@ def published(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def newest(spark: SparkSession, root: str, repo: str, solution: str | None = None, commit: str | None = None) -> Snapshot | None:
+    """The snapshot last published of a repository (of a solution, a commit); None if there is none."""
+    if not _files(spark, f"{root}/manifest").exists:
+        return None
+    found = published(spark, root).filter(F.col("repo") == repo)
+    for column, value in (("solution", solution), ("commit", commit)):
+        if value is not None:
+            found = found.filter(F.col(column) == value)
+    row = found.orderBy(F.desc("created_at"), "solution", "commit").first()
+    return None if row is None else _of_manifest(spark, root, row)
+
+
+def at(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> Snapshot:
+    """A snapshot's newest version; an unpublished one raises an error of a missing path."""
+    found = spark.read.parquet(f"{root}/manifest/{_where(repo, solution, commit)}")
+    return _of_manifest(spark, root, found.orderBy(F.desc("version")).first())
+
+
 def current(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> str:
-    """The newest version of a snapshot; an unpublished one raises an error of a missing path."""
-    return spark.read.parquet(f"{root}/manifest/{_where(repo, solution, commit)}").agg(F.max("version")).first()[0]
+    """The name of the newest version."""
+    return at(spark, root, repo, solution, commit).version
 
 
 def open_table(spark: SparkSession, root: str, name: str, repo: str, solution: str, commit: str) -> DataFrame:
-    """One table of a published snapshot. refs_by_to answers who refers to a symbol, refs_by_from what a
-    symbol refers to, postings what a token's prefix finds; each prunes by its key."""
-    return spark.read.parquet(f"{root}/{name}/{_where(repo, solution, commit)}/version={current(spark, root, repo, solution, commit)}")
+    """One table of a snapshot's newest version. Who reads several takes them from one Snapshot."""
+    return at(spark, root, repo, solution, commit).table(name)
 
 
 def read(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> Index:
     """One snapshot; an unpublished one raises an error of a missing path."""
-    version = current(spark, root, repo, solution, commit)
-    one = lambda name: spark.read.parquet(f"{root}/{name}/{_where(repo, solution, commit)}/version={version}")
-    return Index(one("files"), one("symbols"), one("refs_by_to"), one("facts"), one("type_relations"))
+    return at(spark, root, repo, solution, commit).index()
 
 
 def read_postings(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> DataFrame:
@@ -96,15 +185,75 @@ def read_outgoing(spark: SparkSession, root: str, repo: str, solution: str, comm
     return open_table(spark, root, "refs_by_from", repo, solution, commit)
 
 
-def prune(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> None:
-    """Deletes versions older than the current one, when no reader is left on them."""
-    now = current(spark, root, repo, solution, commit)
-    for name in TABLES[:-1]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{_where(repo, solution, commit)}")
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for found in fs.listStatus(path):
-            if found.getPath().getName() < f"version={now}":
-                fs.delete(found.getPath(), True)
+class _files:
+    """A path in whatever file system Spark finds for it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    @property
+    def exists(self) -> bool:
+        return self._fs.exists(self._path)
+
+    def names(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path)) if self.exists else []
+
+    def touch(self) -> None:
+        self._fs.create(self._path, True).close()
+
+    def delete(self) -> None:
+        self._fs.delete(self._path, True)
+
+
+def _leases(snapshot: Snapshot) -> list[str]:
+    """The unexpired leases of a version."""
+    found = _files(snapshot.spark, snapshot.path("leases")).names()
+    return [n for n in found if n != GOING and int(n.split("-")[0]) > time.time() * 1000]
+
+
+#: The mark of a version that is being deleted.
+GOING = "going"
+
+
+@contextmanager
+def pinned(spark: SparkSession, root: str, repo: str, solution: str, commit: str, seconds: float = 3600) -> Iterator[Snapshot]:
+    """A snapshot's newest version, which `prune` leaves alone until the block ends, or the lease (of so many
+    seconds) does if the reader died.
+
+    A reader leaves its lease before it looks for a deleter's mark, a deleter its mark before it looks for
+    leases: whatever the order, one of them sees the other; a reader then takes the version after."""
+    while True:
+        own = at(spark, root, repo, solution, commit)
+        lease = _files(spark, f"{own.path('leases')}/{int((time.time() + seconds) * 1000)}-{uuid.uuid4().hex}")
+        lease.touch()
+        if not _files(spark, f"{own.path('leases')}/{GOING}").exists:
+            break
+        lease.delete()
+        if current(spark, root, repo, solution, commit) == own.version:
+            time.sleep(0.05)  # a deleter that saw a lease takes its mark back
+    try:
+        yield own
+    finally:
+        lease.delete()
+
+
+def prune(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> list[str]:
+    """Deletes versions older than the current one on which no reader holds a lease, and says which."""
+    now, where, gone = at(spark, root, repo, solution, commit), _where(repo, solution, commit), []
+    found = {n.removeprefix("version=") for name in TABLES[:-1] for n in _files(spark, f"{root}/{name}/{where}").names()}
+    for version in sorted(v for v in found if v < now.version):
+        old = replace(now, version=version)
+        mark = _files(spark, f"{old.path('leases')}/{GOING}")
+        mark.touch()
+        if _leases(old):
+            mark.delete()
+            continue
+        for name in TABLES[:-1]:
+            _files(spark, old.path(name)).delete()
+        _files(spark, old.path("leases")).delete()
+        gone.append(version)
+    return gone
 
 
 def empty(spark: SparkSession) -> Index:
@@ -129,11 +278,10 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def exists(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> bool:
     """Whether a snapshot is published under a root, through Spark's own file systems."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/repo_id={repo}/solution_id={solution}/commit_sha={commit}/_SUCCESS")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return _files(spark, f"{root}/manifest/{_where(repo, solution, commit)}/_SUCCESS").exists
 
 
-TABLES = ["files", "symbols", "refs_by_to", "refs_by_from", "facts", "type_relations", "postings", "manifest"]
+TABLES = ["files", "symbols", "refs_by_to", "refs_by_from", "facts", "type_relations", "postings", "calls_in", "calls_out", "calls_in_hubs", "calls_out_hubs", "manifest"]
 
 
 def copy(spark: SparkSession, source: str, target: str, repo: str, solution: str, commit: str) -> bool:
@@ -143,11 +291,15 @@ def copy(spark: SparkSession, source: str, target: str, repo: str, solution: str
         return True
     if not exists(spark, source, repo, solution, commit):
         return False
-    where = _where(repo, solution, commit)
-    version = current(spark, source, repo, solution, commit)
-    for name in TABLES[:-1]:
-        spark.read.parquet(f"{source}/{name}/{where}/version={version}").write.mode("overwrite").parquet(f"{target}/{name}/{where}/version={version}")
-    spark.read.parquet(f"{source}/manifest/{where}").filter(F.col("version") == version).coalesce(1).write.mode("append").parquet(f"{target}/manifest/{where}")
+    with pinned(spark, source, repo, solution, commit) as own:
+        new = replace(own, root=target)
+        for name in TABLES[:-1]:
+            if name in SIDES:
+                _write_buckets(_read_buckets(spark, own.path(name), own.buckets), new.path(name), own.buckets)
+            elif own.hubs.get(name.removesuffix("_hubs"), 1):
+                own.table(name).write.mode("overwrite").parquet(new.path(name))
+        where = _where(repo, solution, commit)
+        spark.read.parquet(f"{source}/manifest/{where}").filter(F.col("version") == own.version).coalesce(1).write.mode("append").parquet(f"{target}/manifest/{where}")
     return True
 
 
@@ -167,6 +319,5 @@ def ensure(spark: SparkSession, root: str, cache: str | None, repo: str, solutio
 def remove(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> None:
     """Deletes a snapshot, its manifest first, so that readers never see a part."""
     where = _where(repo, solution, commit)
-    for name in reversed(TABLES):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{where}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for name in (*reversed(TABLES), "leases"):
+        _files(spark, f"{root}/{name}/{where}").delete()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from symgrid.operators import hierarchy, search, workspace
+from symgrid.operators import hierarchy, overlay, search, workspace
 from symgrid.operators.request import Engine
 from symgrid.schema import Budget, Scope
 from symgrid.sources import store
@@ -40,13 +40,70 @@ def test_committed_requests(engine):
 def test_workspaces_and_virtual_texts(engine):
     mine = Scope("r", workspace_id="w", consistency="Workspace")
     assert rows(engine.search(mine, "fresh")[0], "symbol_id") == [("M:N.A.Fresh",)]
-    assert rows(engine.callers(mine, "M:N.A.Go")[0], "node") == [("M:N.A.Go",)]
+    for asked in (engine.callers, engine.callees, engine.trace, engine.references, engine.definition, engine.context):
+        with pytest.raises(LookupError, match="NOT_FOUND: symbol M:N.A.Go .deleted in workspace w"):
+            asked(mine, "M:N.A.Go")
+        with pytest.raises(LookupError, match="NOT_FOUND: symbol M:N.Unknown"):
+            asked(Scope("r"), "M:N.Unknown")
+    assert rows(engine.callers(mine, "M:N.B.Run")[0], "node", "depth") == [("M:N.B.Run", 0), ("M:N.C.Use", 1)]
+    assert rows(engine.callees(mine, "M:N.B.Run")[0], "node") == [("M:N.B.Run",)]
     with pytest.raises(LookupError, match="NOT_FOUND"):
         engine.search(Scope("r", workspace_id="x", consistency="Workspace"), "a")
     typed = Scope("r", consistency="Ephemeral", virtual_files={"src/b.cs": "typed now"})
     assert engine.definition(typed, "M:N.B.Run", 0)[0].first()["code"] == "typed now"
 
 
+def test_one_version_per_request(spark, baseline, tmp_path, monkeypatch):  # noqa: F811
+    """A publication between the parts of a request does not reach it; the next one sees it."""
+    root = str(tmp_path / "i")
+    store.publish(baseline, root, "r", "s", "a" * 40)
+    engine, again = Engine(spark, root), []
+    index = store.Snapshot.index
+
+    def late(self, outgoing=False):
+        if not again:
+            again.append(1)
+            none = baseline.refs.limit(0)
+            store.publish(store.Index(baseline.files, baseline.symbols, none, baseline.facts, baseline.type_relations), root, "r", "s", "a" * 40)
+        return index(self, outgoing)
+
+    monkeypatch.setattr(store.Snapshot, "index", late)
+    assert rows(engine.callers(Scope("r"), "M:N.A.Go")[0], "node", "depth") == [("M:N.A.Go", 0), ("M:N.B.Run", 1), ("M:N.C.Use", 2)]
+    assert again and rows(engine.callers(Scope("r"), "M:N.A.Go")[0], "node") == [("M:N.A.Go",)]
+
+
+def test_pinned_versions_stay(spark, baseline, tmp_path):  # noqa: F811
+    """A version with a lease is not pruned; without, or with one that ran out, it is."""
+    root, key = str(tmp_path / "i"), ("r", "s", "a" * 40)
+    few = lambda n: store.Index(baseline.files.limit(n), baseline.symbols, baseline.refs.limit(0), baseline.facts, baseline.type_relations)
+    store.publish(few(1), root, *key)
+    with store.pinned(spark, root, *key) as old, store.pinned(spark, root, *key, seconds=-1):
+        store.publish(few(2), root, *key)
+        assert store.prune(spark, root, *key) == []
+        assert old.table("files").count() == 1 and store.read(spark, root, *key).files.count() == 2
+        with store.pinned(spark, root, *key) as new:
+            assert new.version > old.version
+    assert store.prune(spark, root, *key) == [old.version]
+    assert store.read(spark, root, *key).files.count() == 2 and not (tmp_path / "i" / "leases" / "repo_id=r" / "solution_id=s" / f"commit_sha={'a' * 40}" / f"version={old.version}").exists()
+    with store.pinned(spark, root, *key) as held:
+        store.publish(few(3), root, *key)
+        # A reader that comes while a version is being deleted takes the one after.
+        store._files(spark, f"{held.path('leases')}/{store.GOING}").touch()
+        with store.pinned(spark, root, *key) as later:
+            assert later.table("files").count() == 3
+
+
+def test_workspace_search_reads_published_prefixes(engine, spark):
+    """The first tier's scan gets the prefix; hits are those of a search that builds all postings."""
+    at, own = engine.snapshot(Scope("r")), engine.overlays["w"]
+    for query in ("run", "fresh", "n", "use c", "go"):
+        two = rows(workspace.search_merged(at.index(), own, query, 50, at.table("postings")), "symbol_id", "origin", "score", "truncated")
+        assert two == rows(workspace.search_merged(at.index(), own, query, 50), "symbol_id", "origin", "score", "truncated")
+    tokens = overlay.symbols(at.table("postings"), search.postings(own.symbols, "file_id", "stable_id"), own.deleted, own.files)
+    said = search.matching(tokens, "fresh")._jdf.queryExecution().toString()
+    assert "StringStartsWith(token,fresh)" in said
+
+
 def test_suggestions_are_exact(spark):
     import random
 
