@@ -14,16 +14,55 @@ from symgrid.schema import TYPE_KINDS
 MODIFIERS = "public private protected internal static virtual override abstract sealed async readonly partial extern new unsafe".split()
 
 
+#: Characters that mean something between brackets of a signature, and what stands for them inside of some.
+MARKS = " ,()[]<>{}=:"
+HIDDEN = "".join(chr(0xE000 + i) for i in range(len(MARKS)))
+#: Words before a parameter's type that are not part of it.
+PASSING = "this params ref out in scoped readonly".split()
+
+
+def masked(text: Column) -> Column:
+    """text with other characters for blanks, commas, brackets, equals signs and colons that lie inside of
+    brackets, so that what is left of them parts the text at depth 0. An arrow closes nothing."""
+
+    def step(acc: Column, c: Column) -> Column:
+        closes = c.isin(*")]>}") & (acc["depth"] > 0) & ~((c == ">") & (acc["last"] == "="))
+        depth = acc["depth"] - closes.cast("int")
+        shown = F.when(depth > 0, F.translate(c, MARKS, HIDDEN)).otherwise(c)
+        return F.struct((depth + c.isin(*"([<{").cast("int")).alias("depth"), c.alias("last"), F.concat(acc["out"], shown).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("last"), F.lit("").alias("out"))
+    return F.aggregate(F.split(text, ""), start, step, lambda acc: acc["out"])
+
+
+def shown(text: Column) -> Column:
+    return F.translate(text, HIDDEN, MARKS)
+
+
+def parameter_types(parameters: Column) -> Column:
+    """The types of a parameter list: without attributes, defaults, ways of passing and names."""
+
+    def one(p: Column) -> Column:
+        own = F.regexp_replace(F.regexp_replace(F.trim(p), "^(\\[[^\\]]*\\] *)+", ""), " *=.*$", "")
+        return shown(F.regexp_replace(F.regexp_replace(own, f"^(({'|'.join(PASSING)}) +)+", ""), " +[^ ]+$", ""))
+
+    return F.array_join(F.transform(F.split(masked(parameters), ","), one), ", ")
+
+
 def structure(symbols: DataFrame) -> Column:
     """A symbol's fingerprint without its name: kind, container, namespace, static or not, and of members
-    the type, arity and parameter types, of types the arity. All come from the signature's text: the
-    name is the last word before the parameters, a parameter's name the last of its words."""
+    the type, arity and parameter types, of types the arity. All come from the signature's text, read
+    by depth of brackets: parameters are the last brackets at depth 0, after a name; the name, with
+    its type parameters, is the last word before them; a parameter's name is the last of its words.
+    Constraints, bodies and initial values are left out."""
     has = lambda c: F.col(c) if c in symbols.columns else F.lit("")
-    said = F.coalesce("signature", F.lit(""))
-    head = F.substring_index(said, "(", 1)
+    said = masked(F.regexp_replace(F.coalesce("signature", F.lit("")), "\\boperator *(<<|>>|<=|>=|<|>)", "operator op"))
+    said = F.rtrim(F.regexp_replace(F.regexp_replace(said, " where .*$", ""), " *(=|\\{).*$", ""))
+    listed = "^(.*[^ ]) *[(\\[]([^()\\[\\]]*)[)\\]]$"
+    head = F.when(said.rlike(listed), F.regexp_extract(said, listed, 1)).otherwise(said)
     bare = F.regexp_replace(head, f"\\b({'|'.join(MODIFIERS)}) +", "")
-    type_ = F.regexp_replace(bare, " *[^ ]+ *$", "")
-    parameters = F.regexp_replace(F.regexp_extract(said, "\\((.*)\\)", 1), " +\\w+( *= *[^,]*)?(,|$)", "$2")
+    type_ = shown(F.regexp_replace(bare, " *[^ ]+ *$", ""))
+    parameters = parameter_types(shown(F.regexp_extract(said, listed, 2)))
     member = ~F.col("kind").isin(TYPE_KINDS)
     mode = F.when(head.rlike("\\bstatic\\b"), "static").otherwise("instance")
     return X.fingerprint(F.col("kind"), F.col("containing_type"), has("namespace"), mode, F.when(member, type_), F.regexp_extract("fqname", "`+([0-9]+)", 1), F.when(member, parameters))
@@ -104,9 +143,3 @@ def shown_name(doc_id: Column, language: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(doc_id, "^.:(?=.)", ""), "^(Global\\.|global::)", "")
     open_, close = F.when(language == "vb", "(Of ").otherwise("<"), F.when(language == "vb", ")").otherwise(">")
     return F.when(bare.rlike("`+[0-9]+$"), F.concat(F.regexp_replace(bare, "`+[0-9]+$", ""), open_, F.lit("T"), close)).otherwise(bare)
-
-
-def answer(kind: Column, name: Column, n: Column, truncated: Column) -> Column:
-    """One sentence on a result."""
-    many = F.when(n == 0, F.format_string("No %s found for %s.", kind, name)).when(n == 1, F.format_string("Found 1 %s for %s.", kind, name)).otherwise(F.format_string("Found %d %s entries for %s.", n, kind, name))
-    return F.when(truncated, F.concat(many, F.lit(" More exist beyond the limit."))).otherwise(many)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
 from symgrid.operators.graph import closure
+from symgrid.operators.history import merge_bases
 from symgrid.schema import RELATIONSHIPS
 
 
@@ -151,21 +152,6 @@ def select_seed(generations: DataFrame, inputs: DataFrame, target_inputs: DataFr
     return best_seed(scored, least).select("candidate", "similarity", F.lit(False).alias("exact"))
 
 
-def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
-    """start, node: each head (commit_sha) and all commits that it descends from. parents: commit_sha, parent."""
-    edges = parents.select(F.col("commit_sha").alias("node"), F.col("parent").alias("next"))
-    return closure(edges, heads.select(F.col("commit_sha").alias("node")))
-
-
-def merge_bases(parents: DataFrame, one: str, two: str) -> DataFrame:
-    """commit_sha: the common ancestors of two commits that are no ancestors of another common one."""
-    spark = parents.sparkSession
-    found = ancestors(parents, spark.createDataFrame([(one,), (two,)], "commit_sha string").distinct())
-    common = found.filter(F.col("start") == one).select("node").join(found.filter(F.col("start") == two).select("node"), "node", "left_semi")
-    above = parents.join(common.select(F.col("node").alias("commit_sha")), "commit_sha", "left_semi").select(F.col("parent").alias("node"))
-    return common.join(above, "node", "left_anti").select(F.col("node").alias("commit_sha"))
-
-
 def relationship(parents: DataFrame, candidate: str, head: str) -> str:
     """How a candidate commit lies to a head: Identical, Ancestor, MergeBase (they share one) or Divergent."""
     if candidate == head:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symgrid.functions import facts as V
+from symgrid.operators import answers as A
 from symgrid.operators import identity as I
 from symgrid.operators import lifecycle as L
 from symgrid.plans.bridge import frame
@@ -103,7 +104,74 @@ def v1_fact_values(spark, d):
     return frame(spark, d, "pages").select("page_id", value.alias("value"))
 
 
-@register("x27_answers", """SELECT to_symbol_id, CASE WHEN count(*) = 1 THEN 'Found 1 reference for ' || to_symbol_id || '.' ELSE 'Found ' || CAST(count(*) AS VARCHAR) || ' reference entries for ' || to_symbol_id || '.' END || CASE WHEN count(*) > 600 THEN ' More exist beyond the limit.' ELSE '' END AS answer FROM refs GROUP BY to_symbol_id""")
+_S = "CASE WHEN n = 1 THEN '' ELSE 's' END"
+
+
+@register("x27_answers", f"""WITH r AS (SELECT to_symbol_id AS id, count(*) AS n FROM refs GROUP BY 1), f AS (SELECT fact_kind, count(*) AS n FROM facts GROUP BY 1), t AS (SELECT related_symbol_id AS id, count(*) AS n FROM type_relations GROUP BY 1)
+  SELECT 'refs' AS form, id AS key, 'Found ' || n || ' reference' || {_S} || ' to ''' || id || '''' || CASE WHEN n > 600 THEN ' (showing first ' || n || ')' ELSE '' END || '.' AS answer FROM r
+  UNION ALL SELECT 'kind', id, 'No references found for ''' || id || ''' (kind: Override).' FROM r
+  UNION ALL SELECT 'graph', id, 'Found ' || n || ' callers of ''' || id || ''' (depth: 2)' || CASE WHEN n > 600 THEN ' (truncated)' ELSE '' END || '.' FROM r
+  UNION ALL SELECT 'search', id, 'Found ' || n || ' symbols matching ''' || id || '''. Use symbols.get_card for details.' FROM r
+  UNION ALL SELECT 'card', symbol_id, kind || ' ' || fqname || ' — ' || signature FROM symbols
+  UNION ALL SELECT 'definition', symbol_id, 'Definition of ' || kind || ' ' || fqname || ' — lines ' || span_start || '–' || span_end FROM symbols
+  UNION ALL SELECT 'hierarchy', id, 'Type ''' || id || ''' — ' || n || ' derived type' || {_S} || '.' FROM t
+  UNION ALL SELECT 'endpoints', fact_kind, 'Found ' || n || ' HTTP endpoint' || {_S} || ' (path: ''/u'', method: GET) (truncated).' FROM f
+  UNION ALL SELECT 'keys', fact_kind, 'Found ' || n || ' configuration key' || {_S} || ' (key prefix: ''A:'').' FROM f
+  UNION ALL SELECT 'tables', fact_kind, 'Found ' || n || ' database table' || {_S} || '.' FROM f
+  UNION ALL SELECT 'trace', fact_kind, 'Traced feature from ''' || fact_kind || ''' across ' || n || ' node' || {_S} || ' at depth 3.' FROM f
+  UNION ALL SELECT 'summary', fact_kind, 'Summary of ''' || fact_kind || ''': 1 section, ' || n || ' fact' || {_S} || ' indexed.' FROM f
+  UNION ALL SELECT 'context', id, 'Context for ''' || id || ''': card + code + ' || least(n, 10) || ' callee' || CASE WHEN least(n, 10) = 1 THEN '' ELSE 's' END || CASE WHEN n > 10 THEN ' (' || n || ' total found, showing 10)' ELSE '' END || '.' FROM r
+  UNION ALL SELECT 'text', id, CASE WHEN n > 600 THEN 'Found ' || n || '+ matches for `x` across 7 files (results capped — increase limit to see more).' ELSE 'Found ' || n || ' match' || CASE WHEN n = 1 THEN '' ELSE 'es' END || ' for `x` across 7 files.' END FROM r""")
 def x27_answers(spark, d):
-    own = frame(spark, d, "refs").groupBy("to_symbol_id").agg(F.count("*").alias("n"))
-    return own.select("to_symbol_id", I.answer(F.lit("reference"), F.col("to_symbol_id"), F.col("n"), F.col("n") > 600).alias("answer"))
+    """Every form of sentence, on the references, symbols, facts and relations of the tables."""
+    r = frame(spark, d, "refs").groupBy(F.col("to_symbol_id").alias("key")).agg(F.count("*").alias("n"))
+    f = frame(spark, d, "facts").groupBy(F.col("fact_kind").alias("key")).agg(F.count("*").alias("n"))
+    t = frame(spark, d, "type_relations").groupBy(F.col("related_symbol_id").alias("key")).agg(F.count("*").alias("n"))
+    s = frame(spark, d, "symbols").withColumnRenamed("symbol_id", "key")
+    key, n, no, many = F.col("key"), F.col("n"), F.lit(False), F.col("n") > 600
+    parts = [
+        (r, "refs", A.references(key, n, None, many)),
+        (r, "kind", A.references(key, F.lit(0), F.lit("Override"), no)),
+        (r, "graph", A.call_graph(key, F.lit("callers"), n, F.lit(2), many)),
+        (r, "search", A.search(n, key, no)),
+        (s, "card", A.card(F.col("kind"), F.col("fqname"), F.col("signature"))),
+        (s, "definition", A.definition(F.col("kind"), F.col("fqname"), F.col("span_start"), F.col("span_end"))),
+        (t, "hierarchy", A.hierarchy(key, F.lit(None).cast("string"), F.lit(0), n)),
+        (f, "endpoints", A.surface("HTTP endpoint", n, F.lit(True), path=F.lit("/u"), method=F.lit("GET"))),
+        (f, "keys", A.surface("configuration key", n, no, key_prefix=F.lit("A:"))),
+        (f, "tables", A.surface("database table", n, no, table_prefix=F.lit(None).cast("string"))),
+        (f, "trace", A.trace(key, n, F.lit(3), no)),
+        (f, "summary", A.summary(key, F.lit(1), n)),
+        (r, "context", A.context(key, F.least(n, F.lit(10)), n)),
+        (r, "text", A.text(F.lit("x"), n, F.lit(7), many)),
+    ]
+    out = None
+    for df, form, sentence in parts:
+        part = df.select(F.lit(form).alias("form"), "key", sentence.alias("answer"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("x10_nested", """SELECT 'P:Parts.P' || CAST(p_partkey AS VARCHAR) || '/' || CAST(form AS VARCHAR) AS id, true AS same, form <> 4 AS typed FROM part, (VALUES (0), (1), (2), (3), (4)) v(form)""")
+def x10_nested(spark, d):
+    """Members with tuples, nested generics, indexers, defaults, constraints and bodies: their ids stay under
+    other names of member and parameters, and change with a type of the parameters or the member."""
+    forms = [
+        "public (int, string{n}) {m}(int {p})",
+        "Dictionary<string, List<T{n}>> {m}<T, U>(Dictionary<int, (int a, string b)> {p} = null, params T{n}[] more) where T : new()",
+        "public int this[T{n} {p}, (int, int) q]",
+        'static T{n} {m}([In, Out] ref T{n} {p}, string s = "a, b") => Run(1, 2)',
+        "public int {m} = 5",
+    ]
+    part = frame(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("form"))
+
+    def ids(member, parameter, number):
+        text = F.get(F.lit(forms), F.col("form"))
+        for mark, value in (("{m}", F.lit(member)), ("{p}", F.lit(parameter)), ("{n}", number)):
+            text = F.replace(text, F.lit(mark), value)
+        own = part.select(F.concat(F.lit("P:Parts.P"), F.col("p_partkey").cast("string"), F.lit("/"), F.col("form").cast("string")).alias("id"), F.lit("Method").alias("kind"), F.concat(F.lit("T:C"), F.col("p_partkey").cast("string")).alias("containing_type"), F.lit("N").alias("namespace"), F.lit("M:N.C.M").alias("fqname"), text.alias("signature"))
+        return own.select("id", I.structure(own).alias("fp"))
+
+    n = F.col("p_partkey").cast("string")
+    a, b, c = ids("Go", "x", n), ids("Other", "yy", n).withColumnRenamed("fp", "b"), ids("Go", "x", F.concat(n, F.lit("0"))).withColumnRenamed("fp", "c")
+    return a.join(b, "id").join(c, "id").select("id", (F.col("fp") == F.col("b")).alias("same"), (F.col("fp") != F.col("c")).alias("typed"))

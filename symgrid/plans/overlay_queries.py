@@ -203,5 +203,16 @@ def r2_stream_fold(spark, d):
     log.repartitionByRange(3, "revision").write.parquet(f"{home}/log")
     query = feed.start(feed.read_log(spark, f"{home}/log", files_per_trigger=1), f"{home}/state", f"{home}/progress")
     query.awaitTermination()
-    versions = query.lastProgress["batchId"] + 1
-    return feed.snapshot(spark, f"{home}/state", versions).select("workspace_id", "key", "payload")
+    return feed.snapshot(spark, f"{home}/state").select("workspace_id", "key", "payload")
+
+
+@register("r3_compacted_fold", f"WITH {_LAST} SELECT workspace_id, key, payload FROM last WHERE op <> 'Tombstone'")
+def r3_compacted_fold(spark, d):
+    """The log as two feeds of one state, a part of one of them sent again, folded into parts in between."""
+    log = durable(frame(spark, d, "log"))
+    state = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    late = F.xxhash64("key", "revision") % 2 == 0
+    for name, batch in (("one", log.filter(late)), ("two", log.filter(~late)), ("one", log.filter(late))):
+        feed.merge_into(spark, state, batch, 0, name)
+        feed.compact(spark, state)
+    return feed.snapshot(spark, state).select("workspace_id", "key", "payload")

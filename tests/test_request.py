@@ -7,7 +7,6 @@ from symgrid.operators import hierarchy, overlay, search, workspace
 from symgrid.operators.request import Engine
 from symgrid.schema import Budget, Scope
 from symgrid.sources import store
-from symgrid.streaming import feed
 from tests.test_operators import rows, symbols
 from tests.test_workspace import baseline, reread, symbol  # noqa: F401
 
@@ -130,23 +129,3 @@ def test_only_types_have_a_hierarchy(spark):
     s = symbols(spark, "T:A").unionByName(symbols(spark, "M:A.Go", kind="Method"))
     got = hierarchy.hierarchy(s.select("symbol_id"), relations, s, types_only=True)
     assert rows(got, "symbol_id", "role", "name") == [("M:A.Go", "error", "INVALID_ARGUMENT"), ("T:A", "interface", "T:I")]
-
-
-def test_feed_writes_touched_parts_only(spark, tmp_path):
-    state = str(tmp_path / "state")
-    made = lambda *k, n=1: spark.createDataFrame([("w", n, 4, "Symbol", x, f"{x}{n}") for x in k], feed.LOG)
-    feed.merge_into(spark, state, made(*"abcdefgh"), 0)
-    feed.merge_into(spark, state, made("a", "z", n=2), 1)
-    feed.merge_into(spark, state, made("a", "z", n=2), 1)  # the batch runs again
-    assert rows(feed.snapshot(spark, state, 2), "key", "payload") == [("a", "a2"), *[(x, f"{x}1") for x in "bcdefgh"], ("z", "z2")]
-    assert rows(feed.snapshot(spark, state, 1), "key") == [(x,) for x in "abcdefgh"]
-    assert len(list((tmp_path / "state" / "v=2").glob("part=*"))) == 2
-    assert feed.snapshot(spark, state, 0).count() == 0
-
-
-def test_compaction(spark, tmp_path, monkeypatch):
-    spark.createDataFrame([("w", i, 4, "Symbol", f"k{i % 3}", str(i)) for i in range(9)], feed.LOG).write.parquet(str(tmp_path / "log"))
-    assert not feed.compact(spark, str(tmp_path / "log"), str(tmp_path / "state"))
-    monkeypatch.setattr(feed, "needs_compaction", lambda rows: True)
-    assert feed.compact(spark, str(tmp_path / "log"), str(tmp_path / "state"))
-    assert rows(feed.snapshot(spark, str(tmp_path / "state"), 1), "key", "payload") == [("k0", "6"), ("k1", "7"), ("k2", "8")]

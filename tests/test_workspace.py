@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from symgrid.operators import graph, identity, lifecycle, overlay, refs, report, search, spans, summary, surfaces, workspace
+from symgrid.operators import graph, history, identity, lifecycle, overlay, refs, report, search, spans, summary, surfaces, workspace
 from symgrid.schema import RELATIONS
 from symgrid.sources import store
 from tests.test_operators import edges, files, roots, rows, symbols
@@ -223,9 +223,9 @@ def test_the_crossing_section_is_cut(spark):
 
 def test_commits(spark):
     parents = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b"), ("m", "c"), ("m", "d"), ("e", "d"), ("z", "y")], "commit_sha string, parent string")
-    assert rows(lifecycle.merge_bases(parents, "m", "e"), "commit_sha") == [("d",)]
+    assert rows(history.merge_bases(parents, "m", "e"), "commit_sha") == [("d",)]
     assert [lifecycle.relationship(parents, *p) for p in (("b", "e"), ("c", "e"), ("e", "e"), ("z", "e"))] == ["Ancestor", "MergeBase", "Identical", "Divergent"]
-    assert rows(lifecycle.ancestors(parents, spark.createDataFrame([("c",)], "commit_sha string")), "node") == [("a",), ("b",), ("c",)]
+    assert rows(history.ancestors(parents, spark.createDataFrame([("c",)], "commit_sha string")), "node") == [("a",), ("b",), ("c",)]
 
 
 def test_seed_selection(spark):
