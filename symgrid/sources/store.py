@@ -189,7 +189,8 @@ class _files:
     """A path in whatever file system Spark finds for it."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path(path)
         self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     @property
@@ -199,6 +200,17 @@ class _files:
     def names(self) -> list[str]:
         return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path)) if self.exists else []
 
+    def times(self) -> dict[str, int]:
+        """Names and times (ms) of what a folder holds."""
+        return {f.getPath().getName(): f.getModificationTime() for f in self._fs.listStatus(self._path)} if self.exists else {}
+
+    def move(self, to: str) -> None:
+        """Moves a folder to a place; if there is one already, this one is left."""
+        target = self._jvm.org.apache.hadoop.fs.Path(to)
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.exists(target):
+            self._fs.rename(self._path, target)
+
     def touch(self) -> None:
         self._fs.create(self._path, True).close()
 
