@@ -143,3 +143,22 @@ def shown_name(doc_id: Column, language: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(doc_id, "^.:(?=.)", ""), "^(Global\\.|global::)", "")
     open_, close = F.when(language == "vb", "(Of ").otherwise("<"), F.when(language == "vb", ")").otherwise(">")
     return F.when(bare.rlike("`+[0-9]+$"), F.concat(F.regexp_replace(bare, "`+[0-9]+$", ""), open_, F.lit("T"), close)).otherwise(bare)
+
+
+def display_fqname(doc_id: Column, path: Column) -> Column:
+    """A documentation id as a full name: without the mark of its kind, under the language's name of the root
+    namespace. Null and empty ids stay."""
+    body = F.when((F.length(doc_id) > 2) & (F.substring(doc_id, 2, 1) == ":"), F.substring(doc_id, 3, 1 << 30)).otherwise(doc_id)
+    root = F.when(F.lower(F.coalesce(path, F.lit(""))).endswith(".vb"), "Global.").otherwise("global::")
+    return F.when(doc_id == "", doc_id).otherwise(F.concat(root, body))
+
+
+def projected(symbols: DataFrame, files: DataFrame, names: Column | None = None) -> DataFrame:
+    """Symbols as cards show them: symbol_id, display_fqname, path (unknown without a file), confidence (Low
+    without a file, as such symbols come from projects that did not compile; else High), and a signature of
+    visibility, kind and display name (`names`, or the end of the full name)."""
+    own = symbols.join(files.select("file_id", "path"), "file_id", "left")
+    shown_ = X.display_name(F.col("fqname")) if names is None else names
+    there = F.coalesce("path", F.lit("")) != ""
+    said = F.concat_ws(" ", F.lower(F.coalesce("visibility", F.lit("public"))), F.lower("kind"), shown_)
+    return own.select("symbol_id", display_fqname(F.col("symbol_id"), F.col("path")).alias("display_fqname"), F.when(there, F.col("path")).otherwise("unknown").alias("path"), F.when(there, "High").otherwise("Low").alias("confidence"), said.alias("signature"))

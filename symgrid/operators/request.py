@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgrid.operators import graph, refs, search, spans, workspace
-from symgrid.operators.adjacency import Adjacency
+from symgrid.operators import graph, refs, search, spans, trigrams, workspace
+from symgrid.operators.adjacency import Adjacency, among
 from symgrid.operators.workspace import Overlay
 from symgrid.schema import Budget, Index, Scope
 from symgrid.sources import store
@@ -63,6 +63,21 @@ class Engine:
         symbols = base.symbols.join(base.files.select("file_id", "path"), "file_id", "left")
         return search.search(symbols, at.table("postings"), query, own.max_results, **filters), applied
 
+    def search_text(self, scope: Scope, pattern: str, path_prefix: str | None = None, glob: str | None = None, ignore_case: bool = False, budget: Budget = Budget()) -> Answer:
+        """Lines that a pattern meets. With an index of texts, of the snapshot's files only those that hold the
+        pattern's trigrams are read; what the workspace or the request brings is always searched."""
+        own, applied = budget.clamp()
+        at, overlay = self.snapshot(scope), self.overlay(scope)
+        files, index, need = self.index(scope, at=at).files, at.trigrams(), trigrams.need(pattern)
+        if index is not None and need is not None:
+            paths = trigrams.candidates(index, need)
+            if overlay is not None:
+                paths = paths.unionByName(overlay.files.filter("path is not null").select("path"))
+            typed = [p.lower() for p in scope.virtual_files] if scope.consistency == "Ephemeral" else []
+            paths = paths.unionByName(files.filter(F.lower("path").isin(typed)).select("path")) if typed else paths
+            files = among(files, "path", paths)
+        return spans.search_text(files, pattern, path_prefix, glob, ignore_case, own.max_results), applied
+
     def references(self, scope: Scope, symbol_id: str, kind: str | None = None, state: str | None = None, budget: Budget = Budget()) -> Answer:
         own, applied = budget.clamp()
         view = self.index(scope)

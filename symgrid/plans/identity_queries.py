@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from symgrid.functions import facts as V
 from symgrid.operators import answers as A
 from symgrid.operators import identity as I
+from symgrid.operators import history, trees
 from symgrid.operators import lifecycle as L
 from symgrid.plans.bridge import frame
 from symgrid.plans.queries import register
@@ -175,3 +176,45 @@ def x10_nested(spark, d):
     n = F.col("p_partkey").cast("string")
     a, b, c = ids("Go", "x", n), ids("Other", "yy", n).withColumnRenamed("fp", "b"), ids("Go", "x", F.concat(n, F.lit("0"))).withColumnRenamed("fp", "c")
     return a.join(b, "id").join(c, "id").select("id", (F.col("fp") == F.col("b")).alias("same"), (F.col("fp") != F.col("c")).alias("typed"))
+
+
+@register("f14_projection", """WITH f AS (SELECT file_id, CASE WHEN CAST(substr(file_id, 2) AS BIGINT) % 3 = 0 THEN replace(path, '.txt', '.VB') ELSE path END AS path FROM files WHERE CAST(substr(file_id, 2) AS BIGINT) % 7 <> 3)
+  SELECT symbol_id, CASE WHEN ends_with(lower(coalesce(path, '')), '.vb') THEN 'Global.' ELSE 'global::' END || substr(symbol_id, 3) AS display_fqname, coalesce(path, 'unknown') AS path, CASE WHEN path IS NULL THEN 'Low' ELSE 'High' END AS confidence,
+         lower(visibility) || ' ' || lower(kind) || ' ' || signature AS signature FROM symbols LEFT JOIN f USING (file_id)""")
+def f14_projection(spark, d):
+    """All symbols as cards; every third file is of another language, every seventh is unknown."""
+    n = F.substring("file_id", 2, 20).cast("long")
+    files = frame(spark, d, "files").filter(n % 7 != 3).withColumn("path", F.when(n % 3 == 0, F.replace("path", F.lit(".txt"), F.lit(".VB"))).otherwise(F.col("path")))
+    return I.projected(frame(spark, d, "symbols"), files, F.col("signature"))
+
+
+_PARENTS = "p AS (SELECT c_custkey AS c, c_custkey - 1 AS up FROM customer UNION SELECT c_custkey, c_custkey // 2 FROM customer WHERE c_nationkey < 5 AND c_custkey > 1), heads AS (SELECT max(c_custkey) AS h FROM customer GROUP BY c_mktsegment)"
+
+
+def _commits(spark, d):
+    """A history of as many commits as there are customers; those of five nations are merges with an old one."""
+    c = frame(spark, d, "customer")
+    k = F.col("c_custkey")
+    name = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    parents = c.select(name(k).alias("commit_sha"), name(k - 1).alias("parent")).union(c.filter("c_nationkey < 5 and c_custkey > 1").select(name(k), name(F.floor(k / 2))))
+    return parents, c.groupBy("c_mktsegment").agg(name(F.max(k)).alias("commit_sha")).select("commit_sha")
+
+
+@register("s13_ancestors", f"""WITH RECURSIVE {_PARENTS}, r AS (SELECT h, h AS n FROM heads UNION SELECT h, up FROM r JOIN p ON c = n)
+  SELECT 'c' || CAST(h AS VARCHAR) AS start, 'c' || CAST(n AS VARCHAR) AS node FROM r""")
+def s13_ancestors(spark, d):
+    """What the newest commit of each segment descends from."""
+    return history.ancestors(*_commits(spark, d))
+
+
+@register("s13_tree_changes", """WITH a AS (SELECT path, sha256(coalesce(content, '')) AS h FROM files), b AS (SELECT path, sha256(coalesce(content, '') || CASE WHEN CAST(substr(file_id, 2) AS BIGINT) % 50 = 7 THEN '!' ELSE '' END) AS h FROM files WHERE CAST(substr(file_id, 2) AS BIGINT) % 40 <> 3)
+  SELECT path, CASE WHEN b.h IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a LEFT JOIN b USING (path) WHERE a.h IS DISTINCT FROM b.h
+  UNION ALL SELECT path || '/new.txt', 'added' FROM files WHERE CAST(substr(file_id, 2) AS BIGINT) % 40 = 3""")
+def s13_tree_changes(spark, d):
+    """All files as a hash tree, and a tree in which some have other texts and some made way for a directory."""
+    files, n = frame(spark, d, "files"), F.substring("file_id", 2, 20).cast("long")
+    text = F.coalesce("content", F.lit(""))
+    before = files.select("path", F.sha2(text, 256).alias("sha256"))
+    after = files.filter(n % 40 != 3).select("path", F.sha2(F.concat(text, F.when(n % 50 == 7, "!").otherwise("")), 256).alias("sha256"))
+    after = after.unionByName(files.filter(n % 40 == 3).select(F.concat("path", F.lit("/new.txt")).alias("path"), F.lit("x").alias("sha256")))
+    return trees.changed(trees.tree(before), trees.tree(after))

@@ -14,7 +14,7 @@ from symgrid.operators import workspace as W
 from symgrid.plans.bridge import frame, index
 from symgrid.plans.queries import register
 from symgrid.session import durable, shared_folder
-from symgrid.sources import store
+from symgrid.sources import parts, store
 from symgrid.streaming import feed
 
 _LAST = "last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY workspace_id, key ORDER BY revision DESC) = 1)"
@@ -216,3 +216,23 @@ def r3_compacted_fold(spark, d):
         feed.merge_into(spark, state, batch, 0, name)
         feed.compact(spark, state)
     return feed.snapshot(spark, state).select("workspace_id", "key", "payload")
+
+
+@register("s1_shared_parts", f"""WITH f AS (SELECT *, {_N} AS n FROM files), s AS (SELECT * REPLACE (CASE WHEN {_N} % 9 = 4 THEN signature || ' v2' ELSE signature END AS signature) FROM symbols WHERE {_N} % 9 <> 5),
+  r AS (SELECT * FROM refs WHERE {_N} % 9 <> 5), c AS (SELECT * FROM facts WHERE {_N} % 9 NOT IN (4, 5)), t AS (SELECT * FROM type_relations WHERE type_symbol_id NOT IN (SELECT symbol_id FROM symbols WHERE {_N} % 9 IN (4, 5)))
+  SELECT 'files' AS relation, count(*) AS n, count(DISTINCT path) AS keys, max(path) AS last FROM f WHERE n % 9 <> 5 UNION ALL SELECT 'symbols', count(*), count(DISTINCT fqname), max(signature) FROM s
+  UNION ALL SELECT 'refs', count(*), count(DISTINCT to_symbol_id), max(from_symbol_id) FROM r UNION ALL SELECT 'facts', count(*), count(DISTINCT value), max(symbol_id) FROM c UNION ALL SELECT 'type_relations', count(*), count(DISTINCT related_symbol_id), max(type_symbol_id) FROM t""")
+def s1_shared_parts(spark, d):
+    """A snapshot of everything, and one derived from it: every ninth file is read again, without facts and type
+    relations and with other signatures, and every ninth other one is removed."""
+    root, own = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}", index(spark, d)
+    parts.publish(own, root, "repo", "sln", "a" * 40, parts=16)
+    n = F.substring("file_id", 2, 20).cast("long")
+    again = lambda df: df.filter(n % 9 == 4)
+    fresh = store.Index(again(own.files), again(own.symbols).withColumn("signature", F.concat("signature", F.lit(" v2"))), again(own.refs), own.facts.limit(0), own.type_relations.limit(0))
+    parts.derive(spark, root, ("repo", "sln", "a" * 40), ("repo", "sln", "b" * 40), fresh, own.files.filter(n % 9 == 5).select("file_id"))
+    back, out = parts.read(spark, root, "repo", "sln", "b" * 40), None
+    for name, (key, last) in {"files": ("path", "path"), "symbols": ("fqname", "signature"), "refs": ("to_symbol_id", "from_symbol_id"), "facts": ("value", "symbol_id"), "type_relations": ("related_symbol_id", "type_symbol_id")}.items():
+        told = getattr(back, name).agg(F.lit(name).alias("relation"), F.count("*").alias("n"), F.count_distinct(key).alias("keys"), F.max(last).alias("last"))
+        out = told if out is None else out.unionByName(told)
+    return out

@@ -195,6 +195,17 @@ def q8_search_text(spark, d):
     return P.search_text(frame(spark, d, "files"), "licen[cs]ed? under|License", limit=500)
 
 
+@register("q8_search_indexed", """SELECT path, CAST(line AS INTEGER) AS line, CASE WHEN length(trim(t)) > 200 THEN substr(trim(t), 1, 197) || '...' ELSE trim(t) END AS excerpt
+  FROM (SELECT path, unnest(string_split(content, chr(10))) AS t, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM files) x
+  WHERE regexp_matches(t, 'licen[cs]ed? under|License') ORDER BY lower(path), path, line LIMIT 100""")
+def q8_search_indexed(spark, d):
+    """The same search over the candidates of a trigram index of all texts."""
+    from symgrid.operators import trigrams
+
+    files = frame(spark, d, "files")
+    return trigrams.search_indexed(files, trigrams.postings(files), "licen[cs]ed? under|License", limit=500)
+
+
 @register("q8_search_text_glob", """SELECT path, CAST(line AS INTEGER) AS line, CASE WHEN length(trim(t)) > 200 THEN substr(trim(t), 1, 197) || '...' ELSE trim(t) END AS excerpt
   FROM (SELECT path, unnest(string_split(content, chr(10))) AS t, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM files) x
   WHERE regexp_matches(lower(path), '^src[^/]/en/.*[.]txt$') AND starts_with(lower(path), 'src') AND regexp_matches(lower(t), 'th[aeiou]+n') ORDER BY lower(path), path, line LIMIT 50""")

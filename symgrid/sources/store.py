@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
+from symgrid.operators import trigrams
 from symgrid.operators.adjacency import EDGE, Adjacency, by_file, heavy_nodes, keyed, sides
 from symgrid.operators.search import postings
 from symgrid.schema import RELATIONS, Index
@@ -132,6 +133,16 @@ class Snapshot:
         return Adjacency(_read_buckets(self.spark, self.path(name), self.buckets), self.table(f"{name}_hubs") if self.hubs[name] else None)
 
 
+    def trigrams(self) -> DataFrame | None:
+        """The index of texts, if `add_trigrams` made it."""
+        return self.table("trigrams") if _files(self.spark, f"{self.path('trigrams')}/_SUCCESS").exists else None
+
+
+def add_trigrams(own: Snapshot) -> None:
+    """Adds the index of texts to a published version, sorted by trigram."""
+    trigrams.postings(own.table("files")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(own.path("trigrams"))
+
+
 def _of_manifest(spark: SparkSession, root: str, row) -> Snapshot:
     return Snapshot(spark, root, row["repo"], row["solution"], row["commit"], row["version"], row["buckets"], {k: row[f"hubs_{k}"] for k in SIDES})
 
@@ -293,7 +304,7 @@ def exists(spark: SparkSession, root: str, repo: str, solution: str, commit: str
     return _files(spark, f"{root}/manifest/{_where(repo, solution, commit)}/_SUCCESS").exists
 
 
-TABLES = ["files", "symbols", "refs_by_to", "refs_by_from", "facts", "type_relations", "postings", "calls_in", "calls_out", "calls_in_hubs", "calls_out_hubs", "manifest"]
+TABLES = ["files", "symbols", "refs_by_to", "refs_by_from", "facts", "type_relations", "postings", "calls_in", "calls_out", "calls_in_hubs", "calls_out_hubs", "trigrams", "manifest"]
 
 
 def copy(spark: SparkSession, source: str, target: str, repo: str, solution: str, commit: str) -> bool:
@@ -308,7 +319,7 @@ def copy(spark: SparkSession, source: str, target: str, repo: str, solution: str
         for name in TABLES[:-1]:
             if name in SIDES:
                 _write_buckets(_read_buckets(spark, own.path(name), own.buckets), new.path(name), own.buckets)
-            elif own.hubs.get(name.removesuffix("_hubs"), 1):
+            elif own.hubs.get(name.removesuffix("_hubs"), 1) and (name != "trigrams" or own.trigrams() is not None):
                 own.table(name).write.mode("overwrite").parquet(new.path(name))
         where = _where(repo, solution, commit)
         spark.read.parquet(f"{source}/manifest/{where}").filter(F.col("version") == own.version).coalesce(1).write.mode("append").parquet(f"{target}/manifest/{where}")

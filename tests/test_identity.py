@@ -53,3 +53,30 @@ def test_ensure_builds_pushes_and_pulls(spark, tmp_path):
     assert store.read(spark, there, "r", "s", commit).files.count() == 1
     store.remove(spark, there, "r", "s", commit)
     assert not store.exists(spark, there, "r", "s", commit) and not store.copy(spark, there, here, "r", "s", "d" * 40)
+
+
+def test_signatures_are_read_by_depth(spark):
+    """Types of a signature's parameters and of the member, whatever brackets they hold; the name is no part."""
+    def fp(signature, kind="Method"):
+        df = spark.createDataFrame([(kind, "T:C", "N", "M:N.C.M", signature)], "kind string, containing_type string, namespace string, fqname string, signature string")
+        return df.select(identity.structure(df)).first()[0]
+
+    same = [
+        ("(int, string) P(int a)", "(int, string) Q(int b)"), ("T Run<T, U>(T x)", "T Walk<T, U>(T y)"), ("int this[int i]", "int this[int key]"),
+        ("void A(Dictionary<string, (int a, int b)> x = null, int y = 3)", "void B(Dictionary<string, (int a, int b)> zz, int w)"),
+        ("bool operator <(A a, A b)", "bool operator >(A x, A y)"), ("int[] A(int[] x) where T : new()", "int[] B(int[] y)"), ("int A([In, Out] ref int x)", "int B(int y)"),
+        ("(int, string) Pair", "(int, string) Other"), ("Func<int, (int, int)> A { get; set; }", "Func<int, (int, int)> B"), ("int A() => Run(1, (2))", "int B()"),
+    ]
+    for a, b in same:
+        assert fp(a) == fp(b), (a, b)
+    other = [
+        ("(int, string) P(int a)", "(int, int) P(int a)"), ("(int, string) P(int a)", "(int, string) P(long a)"), ("int this[int i]", "int this[long i]"),
+        ("void A(Dictionary<string, int> x)", "void A(Dictionary<string, long> x)"), ("void A(int x, int y)", "void A(int x)"), ("static int A()", "int A()"),
+    ]
+    for a, b in other:
+        assert fp(a) != fp(b), (a, b)
+
+
+def test_display_names_of_both_languages(spark):
+    df = spark.createDataFrame([("T:N.A", "a.cs"), ("M:N.A.Go(System.Int32)", "b.VB"), ("N.A", None), ("T:", "a.cs"), ("", "a.vb"), (None, "a.vb")], "i string, p string")
+    assert [r[0] for r in df.select(identity.display_fqname(F.col("i"), F.col("p"))).collect()] == ["global::N.A", "Global.N.A.Go(System.Int32)", "global::N.A", "global::T:", "", None]

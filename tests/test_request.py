@@ -129,3 +129,15 @@ def test_only_types_have_a_hierarchy(spark):
     s = symbols(spark, "T:A").unionByName(symbols(spark, "M:A.Go", kind="Method"))
     got = hierarchy.hierarchy(s.select("symbol_id"), relations, s, types_only=True)
     assert rows(got, "symbol_id", "role", "name") == [("M:A.Go", "error", "INVALID_ARGUMENT"), ("T:A", "interface", "T:I")]
+
+
+def test_indexed_text_search_in_every_view(engine, spark):
+    """With an index of texts, committed, workspace and virtual texts give what the scan gives."""
+    here, mine = Scope("r"), Scope("r", workspace_id="w", consistency="Workspace")
+    typed = Scope("r", workspace_id="w", consistency="Ephemeral", virtual_files={"SRC/b.cs": "typed needle"})
+    asked = [(s, p) for s in (here, mine, typed) for p in ("one", "needle", "typed", "new", "a|b", "two$")]
+    scan = [rows(engine.search_text(s, p)[0], "path", "line", "excerpt") for s, p in asked]
+    assert any(scan)
+    store.add_trigrams(engine.snapshot(here))
+    assert engine.snapshot(here).trigrams() is not None
+    assert [rows(engine.search_text(s, p)[0], "path", "line", "excerpt") for s, p in asked] == scan
