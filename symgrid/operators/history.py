@@ -34,7 +34,8 @@ class Jumps:
 def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
     """start, node: each head (commit_sha) and all commits that it descends from. parents: commit_sha,
     parent, and position (0 for the first) if known; else the least parent counts as the first, which
-    changes no result. Null parents are none; unknown heads have themselves only."""
+    changes no result but may cost rounds (a path takes one more set of rounds for each parent on it that
+    is not the first and leads to commits not known yet). Null parents are none; unknown heads have themselves only."""
     own = parents.filter("parent is not null and commit_sha is not null").select(F.col("commit_sha").alias("node"), F.col("parent").alias("to"), *(["position"] if "position" in parents.columns else []))
     order = F.struct("position", "to") if "position" in own.columns else F.struct("to")
     jumps = Jumps(own.groupBy("node").agg(F.min(order).alias("o")).select("node", "o.to"))

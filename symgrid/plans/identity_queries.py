@@ -196,7 +196,7 @@ def _commits(spark, d):
     c = frame(spark, d, "customer")
     k = F.col("c_custkey")
     name = lambda n: F.concat(F.lit("c"), n.cast("string"))
-    parents = c.select(name(k).alias("commit_sha"), name(k - 1).alias("parent")).union(c.filter("c_nationkey < 5 and c_custkey > 1").select(name(k), name(F.floor(k / 2))))
+    parents = c.select(name(k).alias("commit_sha"), name(k - 1).alias("parent"), F.lit(0).alias("position")).union(c.filter("c_nationkey < 5 and c_custkey > 1").select(name(k), name(F.floor(k / 2)), F.lit(1)))
     return parents, c.groupBy("c_mktsegment").agg(name(F.max(k)).alias("commit_sha")).select("commit_sha")
 
 
@@ -218,3 +218,16 @@ def s13_tree_changes(spark, d):
     after = files.filter(n % 40 != 3).select("path", F.sha2(F.concat(text, F.when(n % 50 == 7, "!").otherwise("")), 256).alias("sha256"))
     after = after.unionByName(files.filter(n % 40 == 3).select(F.concat("path", F.lit("/new.txt")).alias("path"), F.lit("x").alias("sha256")))
     return trees.changed(trees.tree(before), trees.tree(after))
+
+
+@register("v2_fact_values", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'E' || CAST(page_id AS VARCHAR) || '|throw new' WHEN 1 THEN 'Took {Ms}' WHEN 2 THEN 'Retry(' || CAST(page_id AS VARCHAR) || ')|Polly' ELSE 'Nav: N.Manager' || CAST(page_id AS VARCHAR) END AS value FROM pages""")
+def v2_fact_values(spark, d):
+    """Exceptions, log templates (without a level), retry policies, injected properties."""
+    n, p = F.col("page_id"), F.col("page_id").cast("string")
+    value = (
+        F.when(n % 4 == 0, V.piped(F.concat(F.lit("E"), p), F.lit("throw new")))
+        .when(n % 4 == 1, V.piped(F.lit("Took {Ms}"), F.lit(None).cast("string")))
+        .when(n % 4 == 2, V.piped(F.concat(F.lit("Retry("), p, F.lit(")")), F.lit("Polly")))
+        .otherwise(V.razor(F.lit("Nav"), F.concat(F.lit("N.Manager"), p)))
+    )
+    return frame(spark, d, "pages").select("page_id", value.alias("value"))

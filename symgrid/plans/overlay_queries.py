@@ -236,3 +236,62 @@ def s1_shared_parts(spark, d):
         told = getattr(back, name).agg(F.lit(name).alias("relation"), F.count("*").alias("n"), F.count_distinct(key).alias("keys"), F.max(last).alias("last"))
         out = told if out is None else out.unionByName(told)
     return out
+
+
+def _refreshed(spark, d, level="SyntaxOnly", seed=None):
+    """Every ninth file is read again, half of them without symbols, references and facts; what it holds is new:
+    its references instantiate and have no target yet, its facts are of low confidence."""
+    own = index(spark, d)
+    symbols, fresh, _, files = _parts(spark, d)
+    half = F.substring("file_id", 2, 20).cast("long") % 18 == 4
+    refs = own.refs.filter(half).withColumns({"ref_kind": F.lit("Instantiate"), "to_symbol_id": F.lit(""), "resolution_state": F.lit("Unresolved")})
+    facts = own.facts.filter(half).withColumn("confidence", F.lit("Low"))
+    made = store.Index(own.files.join(files, "file_id", "left_semi"), own.symbols.filter(half), refs, facts, own.type_relations.limit(0))
+    return own, W.refresh(own, W.empty(own), made, seed=seed, level=level)
+
+
+_LOST = f"lost AS (SELECT symbol_id FROM symbols WHERE {_N} % 18 = 13)"
+
+
+@register("m19_resolved_refs", f"""WITH {_LOST} SELECT from_symbol_id, to_symbol_id, 'Instantiate' AS ref_kind, file_id, loc_start, 'Resolved' AS resolution_state FROM refs WHERE {_N} % 18 = 4""")
+def m19_resolved_refs(spark, d):
+    """References that were read again without targets are bound to the baseline's symbols by name."""
+    _, done = _refreshed(spark, d, level="Full")
+    return done.refs.select("from_symbol_id", "to_symbol_id", "ref_kind", "file_id", "loc_start", "resolution_state")
+
+
+@register("m11_merged_refs", f"""WITH {_LOST} SELECT from_symbol_id, to_symbol_id, ref_kind, file_id, loc_start FROM refs WHERE {_N} % 9 <> 4 AND from_symbol_id NOT IN (FROM lost) AND to_symbol_id NOT IN (FROM lost)
+  UNION ALL SELECT from_symbol_id, to_symbol_id, 'Instantiate', file_id, loc_start FROM refs WHERE {_N} % 18 = 4 AND from_symbol_id NOT IN (FROM lost) AND to_symbol_id NOT IN (FROM lost)""")
+def m11_merged_refs(spark, d):
+    """The references in view after a whole refresh: none from or to symbols that were lost."""
+    own, done = _refreshed(spark, d, level="Full")
+    return W.merged(own, done).refs.select("from_symbol_id", "to_symbol_id", "ref_kind", "file_id", "loc_start")
+
+
+@register("m11_merged_facts", f"""WITH {_LOST}, fresh AS (SELECT * FROM facts WHERE {_N} % 18 = 4), said AS (
+  SELECT symbol_id, fact_kind, value, loc_start, confidence FROM facts WHERE {_N} % 9 <> 4 AND symbol_id NOT IN (SELECT symbol_id FROM fresh) UNION ALL SELECT symbol_id, fact_kind, value, loc_start, 'Low' FROM fresh)
+  SELECT * FROM said WHERE symbol_id NOT IN (FROM lost)""")
+def m11_merged_facts(spark, d):
+    """The facts in view after a whole refresh."""
+    own, done = _refreshed(spark, d)
+    return W.merged(own, done).facts.select("symbol_id", "fact_kind", "value", "loc_start", "confidence")
+
+
+@register("a10_fact_count", f"SELECT count(*) AS n FROM facts WHERE {_N} % 18 = 4")
+def a10_fact_count(spark, d):
+    return spark.range(1).select(F.lit(W.fact_count(_refreshed(spark, d)[1])).cast("long").alias("n"))
+
+
+@register("m16_seeded_refresh", f"""SELECT symbol_id || '.Seed' AS symbol_id FROM symbols WHERE {_N} % 18 = 4""")
+def m16_seeded_refresh(spark, d):
+    """A workspace that starts from another's view: what that one had added to the files read again, and this one
+    does not find there, is deleted; what it had deleted already is not deleted again."""
+    own, other = _refreshed(spark, d)
+    more = other.symbols.withColumns({"symbol_id": F.concat("symbol_id", F.lit(".Seed")), "stable_id": F.concat("stable_id", F.lit(".seed"))})
+    seed = W.Overlay(other.files, other.symbols.unionByName(more), other.refs, other.facts, other.type_relations, other.deleted)
+    return _refreshed(spark, d, seed=seed)[1].deleted.select("symbol_id").distinct()
+
+
+@register("s7_contents", "SELECT path, sha256(content) AS hash FROM files WHERE content IS NOT NULL")
+def s7_contents(spark, d):
+    return P.contents(frame(spark, d, "files")).select("path", F.sha2("content", 256).alias("hash"))

@@ -11,11 +11,12 @@ from tests.test_operators import rows, symbols
 from tests.test_workspace import baseline, reread, symbol  # noqa: F401
 
 
-@pytest.fixture()
-def engine(spark, baseline, tmp_path):  # noqa: F811
-    store.publish(baseline, str(tmp_path / "i"), "r", "s", "a" * 40)
+@pytest.fixture(scope="module")
+def engine(spark, baseline, tmp_path_factory):  # noqa: F811
+    root = str(tmp_path_factory.mktemp("index"))
+    store.publish(baseline, root, "r", "s", "a" * 40)
     own = workspace.refresh(baseline, workspace.empty(baseline), reread(spark, "a", symbol("M:N.A.Fresh", "a", "sf")))
-    return Engine(spark, str(tmp_path / "i"), {"w": own})
+    return Engine(spark, root, {"w": own})
 
 
 def test_limits_are_reported(engine):
