@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,20 +39,40 @@ def outgoing(anchors: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.join(anchors.select(F.col("symbol_id").alias("from_symbol_id")).distinct(), "from_symbol_id", "left_semi")
 
 
+#: Length of the stretch of a hint by which it looks for symbols of a name.
+STRETCH = 4
+
+
 def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """refs with unresolved names bound: to the one symbol of that member name (the end of its full name
     before the parameters), or of several to the one whose full name or file's path holds the container
-    hint in any case; this and base are no hints. A name with none or several stays unresolved."""
-    open_ = refs.filter("resolution_state = 'Unresolved' and to_name is not null").select("to_name", F.coalesce("to_container_hint", F.lit("")).alias("hint")).distinct()
+    hint in any case; this and base are no hints. A name with none or several stays unresolved.
+
+    Symbols are counted per name first, so a name with one needs no hint. Of a name with several, hints and
+    symbols meet by a stretch of the hint, which a symbol that holds the hint holds too, and not by the name
+    alone: a name that very many symbols have does not pair all its hints with all of them."""
+    open_ = refs.filter("resolution_state = 'Unresolved' and to_name is not null").select("to_name", F.lower(F.coalesce("to_container_hint", F.lit(""))).alias("hint")).distinct()
     known = symbols if files is None else symbols.join(files.select("file_id", "path"), "file_id", "left")
     path = F.lower(F.coalesce("path", F.lit(""))) if "path" in known.columns else F.lit("")
     known = known.select("symbol_id", F.lower("fqname").alias("full"), path.alias("path"), F.regexp_extract(F.substring_index("fqname", "(", 1), "([^.:]*)$", 1).alias("to_name"))
-    hint = F.lower("hint")
-    fit = ~F.col("hint").isin("", "this", "base") & (F.contains("full", hint) | F.contains("path", hint))
-    hits = open_.join(known, "to_name").groupBy("to_name", "hint").agg(
-        F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("any"), F.count_distinct(F.when(fit, F.col("symbol_id"))).alias("n_fit"), F.min(F.when(fit, F.col("symbol_id"))).alias("fit")
-    )
-    one = hits.select("to_name", "hint", F.when(F.col("n") == 1, F.col("any")).when(F.col("n_fit") == 1, F.col("fit")).alias("bound")).filter("bound is not null")
-    out = refs.withColumn("hint", F.coalesce("to_container_hint", F.lit(""))).join(one, ["to_name", "hint"], "left")
+    # One row per name: the least and the greatest id are the same if there is one symbol.
+    names = open_.select("to_name").distinct()
+    several = known.join(names, "to_name", "left_semi").groupBy("to_name").agg(F.min("symbol_id").alias("any"), F.max("symbol_id").alias("last"))
+    asked = open_.join(several, "to_name")
+    alone = asked.filter(F.col("any") == F.col("last")).select("to_name", "hint", F.col("any").alias("bound"))
+    # Short hints are their own stretch, at every length that one has.
+    hinted = asked.filter((F.col("any") != F.col("last")) & ~F.col("hint").isin("", "this", "base")).select("to_name", "hint", F.substring("hint", 1, STRETCH).alias("stretch"))
+
+    def stretches(text: Column) -> Column:
+        # Overlapping matches: a look-ahead gives the stretch at every place, in one pass.
+        return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, STRETCH + 1)]))
+
+    many = several.filter(F.col("any") != F.col("last")).select("to_name")
+    placed = known.join(many, "to_name", "left_semi").select("*", F.explode(F.array_distinct(F.concat(stretches(F.col("full")), stretches(F.col("path"))))).alias("stretch"))
+    wanted = hinted.select("to_name", "stretch").distinct()
+    pairs = placed.join(wanted, ["to_name", "stretch"], "left_semi").join(hinted, ["to_name", "stretch"])
+    hits = pairs.filter(F.contains("full", F.col("hint")) | F.contains("path", F.col("hint"))).groupBy("to_name", "hint").agg(F.min("symbol_id").alias("bound"), F.max("symbol_id").alias("last"))
+    one = alone.unionByName(hits.filter(F.col("bound") == F.col("last")).select("to_name", "hint", "bound"))
+    out = refs.withColumn("hint", F.lower(F.coalesce("to_container_hint", F.lit("")))).join(one, ["to_name", "hint"], "left")
     late = (F.col("resolution_state") == "Unresolved") & F.col("bound").isNotNull()
     return out.withColumn("to_symbol_id", F.when(late, F.col("bound")).otherwise(F.col("to_symbol_id"))).withColumn("resolution_state", F.when(late, "Resolved").otherwise(F.col("resolution_state"))).select(refs.columns)

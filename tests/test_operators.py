@@ -229,3 +229,33 @@ def test_store_round_trip(spark, tmp_path):
     store.write_json(back.symbols.select("symbol_id"), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 1
     assert store.add_stubs(s, s.limit(1).withColumn("symbol_id", F.lit("T:Stub")), 1).filter("is_decompiled = 1").count() == 1
+
+
+def test_resolution_equals_all_pairs(spark):
+    """Random names, hints and paths, short hints too, against every hint with every symbol of its name."""
+    import random
+
+    from symgrid.operators import refs
+    from symgrid.sources import store
+
+    r = random.Random(6)
+    made = [(f"s{i}", f"M:{r.choice(['Ab', 'Xy.Q', 'Abc', 'Z'])}.{r.choice(['Foo', 'Bar', 'One'])}{r.choice(['', '(int)'])}" if i else "M:Lone.Single", f"src/{r.choice(['ab', 'q', 'Xyz'])}{i % 3}.cs") for i in range(25)]
+    known = spark.createDataFrame(made, "symbol_id string, fqname string, path string")
+    asked = [(f"f{i}", r.choice(["Foo", "Bar", "One", "Single", "None"]), r.choice([None, "", "this", "A", "ab", "XY", "xyz1", "bc.", "src/q2", "Q", "Ab.F", "lone"]), r.choice(["Unresolved", "Unresolved", "Resolved"])) for i in range(120)]
+    schema = store.RELATIONS["refs"]
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows_ = [tuple({"from_symbol_id": a, "to_name": b, "to_container_hint": c, "resolution_state": d, "to_symbol_id": ""}.get(n) for n in names) for a, b, c, d in asked]
+
+    def plain(name, hint, state):
+        of = [(i, f.lower(), p.lower()) for i, f, p in made if f.split("(")[0].rsplit(".", 1)[-1].rsplit(":", 1)[-1] == name]
+        if state != "Unresolved" or not of:
+            return ""
+        if len({i for i, _, _ in of}) == 1:
+            return of[0][0]
+        h = (hint or "").lower()
+        fit = {i for i, f, p in of if h not in ("", "this", "base") and (h in f or h in p)}
+        return fit.pop() if len(fit) == 1 else ""
+
+    got = {x["from_symbol_id"]: x["to_symbol_id"] for x in refs.resolve(spark.createDataFrame(rows_, schema), known).collect()}
+    want = {a: plain(b, c, d) for a, b, c, d in asked}
+    assert got == want and sum(v != "" for v in want.values()) > 15
