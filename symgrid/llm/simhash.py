@@ -78,11 +78,28 @@ def linked(values: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
 
 #: Buckets that are joined by broadcast, at most (8 bytes each).
 BROADCAST_BUCKETS = 500_000
+#: Rows with one key and text that may meet in a task.
+REPEATED = 10_000
 
 
-def _large(keyed: DataFrame, hot: int) -> tuple[DataFrame, int]:
-    """Columns k, parts: the buckets of more than `hot` rows, and the halves of `hot` that they fill; their number."""
-    found = durable(keyed.groupBy("k").agg(F.count("*").alias("rows")).filter(F.col("rows") > hot).select("k", F.ceil(F.col("rows") * 2 / hot).cast("int").alias("parts")))
+#: Slots in which buckets are counted together, at least.
+SLOTS = 1 << 12
+
+
+def _large(keyed: DataFrame, hot: int, rows: int) -> tuple[DataFrame, int]:
+    """Columns k, parts: the buckets of more than `hot` rows, and the halves of `hot` that they fill; their
+    number. rows: how many there are in all.
+
+    Buckets are counted in slots first, whose sums combine before the shuffle; only buckets in slots of more
+    than `hot` rows, few as slots hold a quarter of that on average, are counted one by one."""
+    slots = SLOTS
+    while slots * hot < 4 * rows:
+        slots *= 2
+    slot = F.pmod("k", F.lit(slots)).alias("slot")
+    full = durable(keyed.groupBy(slot).agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("slot"))
+    n = full.count()
+    some = keyed.limit(0) if n == 0 else keyed.withColumn("slot", slot).join(F.broadcast(full) if n <= BROADCAST_BUCKETS else full, "slot", "left_semi")
+    found = durable(some.groupBy("k").agg(F.count("*").alias("rows")).filter(F.col("rows") > hot).select("k", F.ceil(F.col("rows") * 2 / hot).cast("int").alias("parts")))
     n = found.count()
     return (F.broadcast(found) if n <= BROADCAST_BUCKETS else found), n
 
@@ -92,10 +109,10 @@ def bucketed(fps: DataFrame, radius: int, hot: int) -> DataFrame:
     fingerprints is dealt once more: its bits outside the mask fall into radius + 1 parts, of which
     such a pair agrees on one at least. A bucket that is still larger (one of many near copies) is cut
     into blocks of some hot / 2, and every two blocks meet, so that no task holds a larger one."""
-    found = masks(radius)
+    found, count = masks(radius), fps.count()
     tables = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in found])).alias("t", "part"))
     keyed = tables.select("fp", "t", F.xxhash64("t", "part").alias("k"))
-    large, n = _large(keyed, hot)
+    large, n = _large(keyed, hot, count * len(found))
     if not n:
         return keyed.select("fp", "k")
     parts = []
@@ -107,7 +124,7 @@ def bucketed(fps: DataFrame, radius: int, hot: int) -> DataFrame:
     finer = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.xxhash64("k", j, F.col("fp").bitwiseAND(F.get(F.lit(parts), F.col("t") * (radius + 1) + j))))
     split = keyed.join(large, "k", "left_semi").select("fp", F.explode(finer).alias("k"))
     out = keyed.join(large, "k", "left_anti").select("fp", "k")
-    larger, n = _large(split, hot)
+    larger, n = _large(split, hot, count * len(found) * (radius + 1))
     if not n:
         return out.unionByName(split)
     block = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("parts")).cast("int")
@@ -177,5 +194,14 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     first = hot_join(prints, named, "fp", "rows", n).groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("first"))
     first = first.select(F.col("first.key").alias("__key"), F.col("first.h").alias("__h"), F.col("root").alias("__root"))
     rows = df.select(F.struct("*").alias("row"), quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("h"))
-    rows = rows.join(first, F.col("key").eqNullSafe(F.col("__key")) & (F.col("h") == F.col("__h")))
-    return rows.groupBy("__root").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    same = lambda a, b: a["key"].eqNullSafe(b["__key"]) & (a["h"] == b["__h"])
+    # Rows with one key and text: those with many come by broadcast, fewer than n / REPEATED.
+    often = durable(prints.groupBy(F.col("key").alias("__key"), F.col("h").alias("__h")).agg(F.count("*").alias("rows")).filter(F.col("rows") > max(REPEATED, -(-n // BROADCAST_BUCKETS))).drop("rows"))
+    if often.isEmpty():
+        found = rows.join(first, same(rows, first))
+    else:
+        often = F.broadcast(often)
+        hot = F.broadcast(first.alias("f").join(often.alias("o"), F.expr("f.__key <=> o.__key and f.__h = o.__h"), "left_semi"))
+        rare = rows.join(often, same(rows, often), "left_anti")
+        found = rare.join(first, same(rare, first)).unionByName(rows.join(hot, same(rows, hot)))
+    return found.groupBy("__root").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
