@@ -17,6 +17,8 @@ from symgrid.llm.common import WORD, durable, quoted, running_total
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 CHUNK_ROWS = 20_000
+#: Equal rows that may meet in a task.
+REPEATED, BROADCAST_ROWS = 100_000, 20_000
 
 
 def fill_targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -82,10 +84,13 @@ def mix(df: DataFrame, key: list[str], source: str = "source", text: str = "text
     named = spark.createDataFrame([(i, r["src"], s, t) for i, (r, s, t) in enumerate(zip(found, sizes, targets, strict=True))], "idx int, src string, source_size long, target double")
     chunks = max(64, -(-sum(r["n"] for r in found) // CHUNK_ROWS))
     keys = [f"k{i}" for i in range(len(key))]
-    rows = base.withColumn("h", F.xxhash64(F.lit(seed), *keys)).withColumn("chunk", F.pmod("h", F.lit(chunks)).cast("int"))
+    # Equal rows are one with their number until the stream is laid out, so no window holds them all.
+    base = base.groupBy(*keys, "src", "size").agg(F.count("*").alias("times"))
+    rows = base.withColumn("total", F.col("size") * F.col("times")).withColumn("h", F.xxhash64(F.lit(seed), *keys)).withColumn("chunk", F.pmod("h", F.lit(chunks)).cast("int"))
     rows = rows.alias("r").join(F.broadcast(named).alias("n") if len(found) <= 100_000 else named.alias("n"), F.expr("r.src <=> n.src")).select("r.*", "idx", "source_size", "target").drop("src")
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("idx", "chunk").orderBy("h", *keys, "size")))
-    rows = running_total(rows, ["idx"], "chunk", ["row"], "size", "start")
+    rows = running_total(rows, ["idx"], "chunk", ["row"], "total", "first")
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("start", F.col("first") + F.col("nth") * F.col("size"))
     # The stream holds the source twice; a piece is what a block holds of a row.
     spans = rows.select("*", F.explode_outer(F.when(F.col("size") > 0, F.array(F.lit(0), F.lit(1)))).alias("epoch"))
     spans = spans.withColumn("lo", F.col("start") + F.col("epoch") * F.col("source_size")).withColumn("hi", F.col("lo") + F.col("size"))
@@ -93,7 +98,7 @@ def mix(df: DataFrame, key: list[str], source: str = "source", text: str = "text
     slots = schedule(spark, targets, block)
     joined = pieces.join(slots, ["idx", "rank"], "left")
     overlap = F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block)
-    out = joined.groupBy("idx", "chunk", "row").agg(
+    out = joined.groupBy("idx", "chunk", "row", "nth").agg(
         *[F.first(c).alias(c) for c in (*keys, "size", "source_size", "target")],
         F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), overlap)), F.lit(0)).alias("taken"),
         F.sort_array(F.collect_list("slot")).alias("slots"),
@@ -109,7 +114,15 @@ def remix(df: DataFrame, source: str = "source", text: str = "text", **options)
     columns = [quoted(c) for c in df.columns]
     name = ["__row", "__half"]
     named = df.withColumns({"__row": F.xxhash64(*columns), "__half": F.xxhash64(F.lit(1), *columns)})
-    taken = mix(named, name, source, text, **options).groupBy(*name).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
+    taken = mix(named, name, source, text, **options).groupBy(*name).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"), F.count("*").alias("__rows"))
     times = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
-    taken = taken.select(*name, times.alias("__times")).filter("__times > 0")
-    return named.join(taken, name).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
+    taken = durable(taken.select(*name, times.alias("__times"), "__rows").filter("__times > 0"))
+    # Rows with many repeats come by broadcast: fewer than BROADCAST_ROWS, as repeats add up to the input.
+    most = max(REPEATED, -(-(taken.agg(F.sum("__rows")).first()[0] or 0) // BROADCAST_ROWS))
+    often = taken.filter(F.col("__rows") > most)
+    if often.isEmpty():
+        found = named.join(taken.drop("__rows"), name)
+    else:
+        rare = named.join(F.broadcast(often.select(*name)), name, "left_anti").join(taken.filter(F.col("__rows") <= most).drop("__rows"), name)
+        found = rare.unionByName(named.join(F.broadcast(often.drop("__rows")), name))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
