@@ -11,8 +11,8 @@ from symgrid.llm.common import BLANK, WORD, durable, quoted, words
 #: A larger table of frequent lines is joined by a shuffle, not broadcast (about 16 bytes a row).
 BROADCAST_LINES = 200_000
 WINDOW = 8
-#: Parts over which the copies of a text are dealt.
-PARTS = 16
+#: Copies of a text at one host that may meet in a task; texts with more come by broadcast.
+COPIES, BROADCAST_TEXTS = 10_000, 20_000
 
 
 def _lines(text: Column) -> Column:
@@ -81,12 +81,21 @@ def rules(df: DataFrame, key: str = "doc_id", host: str = "source", text: str =
     f = (F.broadcast(frequent) if n <= BROADCAST_LINES else frequent).select(F.col("host").alias("fhost"), F.col("line").alias("fline"))
     hit = lines.join(f, lines.host.eqNullSafe(f.fhost) & (lines.line == f.fline), "left_semi")
     # Copies hold the same lines at the same places, so these are looked at once for all of them.
-    removed = hit.groupBy("host", "doc", "pos").agg(F.max("n").alias("n")).groupBy("host", "doc").agg(F.sum("n").alias("removed"))
+    removed = hit.groupBy("host", "doc", "pos").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    removed = durable(removed.groupBy("host", "doc").agg(F.sum("n").alias("removed"), F.max("copies").alias("copies")))
     own = features(df, quoted(text), [quoted(key).alias("k"), quoted(host).alias("host"), F.xxhash64(quoted(text)).alias("doc")])
-    # Copies are dealt over parts, in each of which their text has a row.
-    own = own.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(PARTS)).cast("int"))
-    r = removed.select(F.col("host").alias("rhost"), F.col("doc").alias("rdoc"), "removed", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("rpart"))
-    out = own.join(r, own.host.eqNullSafe(r.rhost) & (own.doc == r.rdoc) & (own.part == r.rpart), "left")
+    r = removed.select(F.col("host").alias("rhost"), F.col("doc").alias("rdoc"), "removed", "copies")
+    most = max(COPIES, -(-(removed.agg(F.sum("copies")).first()[0] or 0) // BROADCAST_TEXTS))
+    often = r.filter(F.col("copies") > most).select("rhost", "rdoc", F.col("removed").alias("at_once"))
+    known = F.lit(None).cast("long")
+    if not often.isEmpty():
+        # Their copies add up to the rows, so they are fewer than BROADCAST_TEXTS.
+        own = own.join(F.broadcast(often), own.host.eqNullSafe(often.rhost) & (own.doc == often.rdoc), "left").drop("rhost", "rdoc")
+        known = F.col("at_once")
+    # Rows that need no partner (their text was looked up, or has no words) are dealt out.
+    own = own.withColumn("known", known).withColumn("part", F.when(F.col("known").isNotNull() | (F.col("n_words") == 0), F.monotonically_increasing_id() + 1).otherwise(0))
+    rare = r.filter(F.col("copies") <= most).withColumn("rpart", F.lit(0).cast("long")).drop("copies")
+    out = own.join(rare, own.host.eqNullSafe(rare.rhost) & (own.doc == rare.rdoc) & (own.part == rare.rpart), "left").withColumn("removed", F.coalesce("known", "removed"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     ok = F.col("removed").isNull() | ((left >= min_words) & (left >= min_left * F.col("n_words")))
