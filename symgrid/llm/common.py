@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from symgrid.session import durable, shared_folder
 
-__all__ = ["BLANK", "WORD", "durable", "hot_join", "quoted", "running_total", "spread_table", "stored", "table", "tidied", "words"]
+__all__ = ["BLANK", "WORD", "discard", "durable", "hot_join", "quoted", "running_total", "spread_table", "stored", "table", "tidied", "words"]
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -43,6 +43,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what `stored` wrote, which nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, n: int, least: int = 1_000, most: int = 20_000) -> DataFrame:
     """left joined with right by the column key, of which right has one row per value, with left's
     number of rows for it, at most, in the column rows (which goes); n: left's rows, at most.

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import corpus_pipeline as p
 
 
@@ -9,3 +11,5 @@ def test_stages_are_handed_on_as_parquet(spark, small, monkeypatch):
     before = spark.read.parquet(files[0].rsplit("/", 1)[0])
     assert before.columns == small.columns and before.count() == 50
     assert sorted(r["doc_id"] for r in done.collect()) == sorted(r["doc_id"] for r in before.collect())
+    # What the second stage has read is deleted.
+    assert not list(Path(files[0].split(":", 1)[1].replace("//", "")).parents[2].rglob("one.parquet"))
