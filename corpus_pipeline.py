@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgrid.llm import mixing, pieces, pii, simhash, toxicity
-from symgrid.llm.common import quoted, stored, table
+from symgrid.llm.common import discard, quoted, stored, table
 from symgrid.llm.queries import PIECE_MODEL
 
 
@@ -54,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another over all documents. A stage's rows are deleted once the next stage's are
+    written; those before the last stay, as the result is read from them."""
+    docs, spent = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, name)
+            if spent is not None:
+                discard(spent)
+            spent = docs
     return docs
