@@ -120,14 +120,33 @@ def one_target(projects: DataFrame) -> DataFrame:
     return projects.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def status(heads: DataFrame, manifests: DataFrame, registry: DataFrame) -> DataFrame:
-    """repo_id, head, indexed (is the head published), n_snapshots, n_workspaces, n_stale."""
+# The states of a rolling index whose last generation can be read.
+ROLLING_READABLE = ["UpToDate", "Checking", "Updating", "Stale", "Failed"]
+
+
+def status(heads: DataFrame, manifests: DataFrame, registry: DataFrame, rolling: DataFrame | None = None) -> DataFrame:
+    """repo_id, head, indexed (is the head published), n_snapshots, n_workspaces, n_stale. With rolling indexes
+    (repo_id, solution_id, index_state, possibly_stale, updated_at), of a solution the last state counts,
+    and there are also n_rolling, the solutions with one; possibly_stale, if any is; and indexed holds
+    for a repository with a readable one too. heads may name a solution_id, whose index is then asked for."""
     have = manifests.groupBy("repo_id").agg(F.count_distinct("commit_sha").alias("n_snapshots"))
-    at_head = heads.join(manifests.select("repo_id", F.col("commit_sha").alias("head")).distinct(), ["repo_id", "head"], "left_semi").select("repo_id", F.lit(True).alias("indexed"))
-    spaces = workspaces(registry, heads).groupBy("repo_id").agg(F.count("*").alias("n_workspaces"), F.count_if("is_stale").alias("n_stale"))
+    at_head = heads.join(manifests.select("repo_id", F.col("commit_sha").alias("head")).distinct(), ["repo_id", "head"], "left_semi").select("repo_id", F.lit(True).alias("indexed")).distinct()
+    spaces = workspaces(registry, heads.select("repo_id", "head").distinct()).groupBy("repo_id").agg(F.count("*").alias("n_workspaces"), F.count_if("is_stale").alias("n_stale"))
     out = heads.join(have, "repo_id", "left").join(at_head, "repo_id", "left").join(spaces, "repo_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("repo_id", "head", F.coalesce("indexed", F.lit(False)).alias("indexed"), zero("n_snapshots"), zero("n_workspaces"), zero("n_stale"))
+    columns = ["repo_id", "head", F.coalesce("indexed", F.lit(False)).alias("indexed"), zero("n_snapshots"), zero("n_workspaces"), zero("n_stale")]
+    if rolling is None:
+        return out.select(*columns)
+    last = rolling.groupBy("repo_id", "solution_id").agg(F.max_by(F.struct("index_state", "possibly_stale"), F.struct("updated_at", "index_state")).alias("s"))
+    asked = ["repo_id"]
+    readable = last.filter(F.col("s.index_state").isin(ROLLING_READABLE))
+    if "solution_id" in heads.columns:
+        asked, columns = ["repo_id", "solution_id"], [*columns[:1], "solution_id", *columns[1:]]
+    readable = readable.select(*asked).distinct().withColumn("readable", F.lit(True))
+    said = last.groupBy("repo_id").agg(F.count("*").alias("n_rolling"), F.bool_or("s.possibly_stale").alias("possibly_stale"))
+    out = out.join(said, "repo_id", "left").join(readable, asked, "left")
+    out = out.withColumn("indexed", F.coalesce("indexed", "readable"))
+    return out.select(*columns, zero("n_rolling"), F.coalesce("possibly_stale", F.lit(False)).alias("possibly_stale"))
 
 
 def seed_candidates(generations: DataFrame, target_compatibility: str, newest: int = 10) -> DataFrame:

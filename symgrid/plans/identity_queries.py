@@ -231,3 +231,21 @@ def v2_fact_values(spark, d):
         .otherwise(V.razor(F.lit("Nav"), F.concat(F.lit("N.Manager"), p)))
     )
     return frame(spark, d, "pages").select("page_id", value.alias("value"))
+
+
+@register("q29_rolling", """WITH h AS (SELECT DISTINCT 'r' || CAST(c_nationkey AS VARCHAR) AS repo_id, 'c' || CAST(c_nationkey % 7 AS VARCHAR) AS head FROM customer),
+  m AS (SELECT DISTINCT 'r' || CAST(c_nationkey AS VARCHAR) AS repo_id, 'c' || CAST(c_custkey % 4 AS VARCHAR) AS commit_sha FROM customer),
+  l AS (SELECT 'r' || CAST(c_nationkey AS VARCHAR) AS repo_id, c_mktsegment AS s, c_custkey AS k FROM customer WHERE c_nationkey % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey DESC) = 1),
+  g AS (SELECT repo_id, count(*) AS n, bool_or(k % 5 = 0) AS stale, bool_or(k % 3 <> 0) AS readable FROM l GROUP BY repo_id)
+  SELECT h.repo_id, head, EXISTS (SELECT 1 FROM m WHERE m.repo_id = h.repo_id AND commit_sha = head) OR coalesce(readable, false) AS indexed, coalesce(n, 0) AS n_rolling, coalesce(stale, false) AS possibly_stale FROM h LEFT JOIN g USING (repo_id)""")
+def q29_rolling(spark, d):
+    """The status of repositories with rolling indexes, of each solution the last of its states."""
+    c = frame(spark, d, "customer").withColumn("repo_id", F.concat(F.lit("r"), F.col("c_nationkey").cast("string")))
+    made = lambda e: F.concat(F.lit("c"), F.expr(e).cast("string"))
+    heads = c.select("repo_id", made("c_nationkey % 7").alias("head")).distinct()
+    manifests = c.select("repo_id", made("c_custkey % 4").alias("commit_sha")).distinct()
+    k = F.col("c_custkey")
+    state = F.when(k % 3 == 0, "FullRebuildRequired").when(k % 3 == 1, "UpToDate").otherwise("Failed")
+    rolling = c.filter("c_nationkey % 4 <> 1").select("repo_id", F.col("c_mktsegment").alias("solution_id"), state.alias("index_state"), (k % 5 == 0).alias("possibly_stale"), k.alias("updated_at"))
+    none = c.limit(0).select("repo_id", F.lit("w").alias("workspace_id"), F.lit("b").alias("base_commit"), F.lit(0).alias("revision"))
+    return L.status(heads, manifests, none, rolling).select("repo_id", "head", "indexed", "n_rolling", "possibly_stale")
