@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
+from symgrid.session import durable
 
 
 def selected(refs: DataFrame, kind: str | None = None, state: str | None = None) -> DataFrame:
@@ -57,7 +58,7 @@ def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame | None = None)
     known = known.select("symbol_id", F.lower("fqname").alias("full"), path.alias("path"), F.regexp_extract(F.substring_index("fqname", "(", 1), "([^.:]*)$", 1).alias("to_name"))
     # One row per name: the least and the greatest id are the same if there is one symbol.
     names = open_.select("to_name").distinct()
-    several = known.join(names, "to_name", "left_semi").groupBy("to_name").agg(F.min("symbol_id").alias("any"), F.max("symbol_id").alias("last"))
+    several = durable(known.join(names, "to_name", "left_semi").groupBy("to_name").agg(F.min("symbol_id").alias("any"), F.max("symbol_id").alias("last")))
     asked = open_.join(several, "to_name")
     alone = asked.filter(F.col("any") == F.col("last")).select("to_name", "hint", F.col("any").alias("bound"))
     # Short hints are their own stretch, at every length that one has.
@@ -72,7 +73,8 @@ def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame | None = None)
     wanted = hinted.select("to_name", "stretch").distinct()
     pairs = placed.join(wanted, ["to_name", "stretch"], "left_semi").join(hinted, ["to_name", "stretch"])
     hits = pairs.filter(F.contains("full", F.col("hint")) | F.contains("path", F.col("hint"))).groupBy("to_name", "hint").agg(F.min("symbol_id").alias("bound"), F.max("symbol_id").alias("last"))
-    one = alone.unionByName(hits.filter(F.col("bound") == F.col("last")).select("to_name", "hint", "bound"))
+    # Computed once: a view of a workspace is read many times.
+    one = durable(alone.unionByName(hits.filter(F.col("bound") == F.col("last")).select("to_name", "hint", "bound")))
     out = refs.withColumn("hint", F.lower(F.coalesce("to_container_hint", F.lit("")))).join(one, ["to_name", "hint"], "left")
     late = (F.col("resolution_state") == "Unresolved") & F.col("bound").isNotNull()
     return out.withColumn("to_symbol_id", F.when(late, F.col("bound")).otherwise(F.col("to_symbol_id"))).withColumn("resolution_state", F.when(late, "Resolved").otherwise(F.col("resolution_state"))).select(refs.columns)
