@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from symgrid.functions import docids
 from symgrid.functions import facts as V
 from symgrid.operators import answers as A
 from symgrid.operators import identity as I
@@ -188,6 +189,34 @@ def f14_projection(spark, d):
     return I.projected(frame(spark, d, "symbols"), files, F.col("signature"))
 
 
+_GIVEN = {
+    "G.Dictionary{System.String,G.List{System.Int32}}@": ("ref G.Dictionary<string, G.List<int>>", "ByRef G.Dictionary(Of String, G.List(Of Integer))"),
+    "System.Int64[0:,0:][]": ("long[][,]", "Long()(,)"),
+    "`0": ("T1", "T1"),
+    "G.List{`1[]}": ("G.List<T2[]>", "G.List(Of T2())"),
+    "N.Part*": ("N.Part*", "N.Part*"),
+}
+
+
+def _by_part(i: int) -> str:
+    return "CASE " + " ".join(f"WHEN l_partkey % 5 = {n} THEN '{x}'" for n, x in enumerate(v[i] for v in _GIVEN.values())) + " END"
+
+
+@register("f14_declarations", f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_linestatus = 'O' AS vb, l_returnflag AS r, CAST(l_suppkey AS VARCHAR) AS s, CASE WHEN l_linestatus = 'O' THEN {_by_part(1)} ELSE {_by_part(0)} END AS p FROM lineitem)
+  SELECT l_orderkey, l_linenumber, CASE WHEN vb THEN 'Global.Shop.Box(Of T1).Slot' || s || '(Of T2).' || CASE r WHEN 'A' THEN 'Pack(Of U)(' || p || ', U)' WHEN 'R' THEN 'New(' || p || ')' ELSE 'Item(' || p || ', Boolean)' END
+         ELSE 'global::Shop.Box<T1>.Slot' || s || '<T2>.' || CASE r WHEN 'A' THEN 'Pack<U>(' || p || ', U)' WHEN 'R' THEN 'Slot' || s || '(' || p || ')' ELSE 'this[' || p || ', bool]' END END AS declaration FROM l""")
+def f14_declarations(spark, d):
+    """Every line as a documentation id: members of nested generic types with all forms of parameters, in
+    two languages; each is shown as a declaration."""
+    given = F.element_at(F.array(*[F.lit(k) for k in _GIVEN]), (F.col("l_partkey") % len(_GIVEN) + 1).cast("int"))
+    kind = F.when(F.col("l_returnflag") == "N", "P").otherwise("M")
+    member = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Pack``1("), given, F.lit(",``0)")))
+    member = member.when(F.col("l_returnflag") == "R", F.concat(F.lit("#ctor("), given, F.lit(")"))).otherwise(F.concat(F.lit("Item("), given, F.lit(",System.Boolean)")))
+    doc_id = F.concat(kind, F.lit(":Shop.Box`1.Slot"), F.col("l_suppkey").cast("string"), F.lit("`1."), member)
+    language = F.when(F.col("l_linestatus") == "O", "vb").otherwise("csharp")
+    return frame(spark, d, "lineitem").select("l_orderkey", "l_linenumber", docids.readable(doc_id, language, root=True).alias("declaration"))
+
+
 _PARENTS = "p AS (SELECT c_custkey AS c, c_custkey - 1 AS up FROM customer UNION SELECT c_custkey, c_custkey // 2 FROM customer WHERE c_nationkey < 5 AND c_custkey > 1), heads AS (SELECT max(c_custkey) AS h FROM customer GROUP BY c_mktsegment)"
 
 
