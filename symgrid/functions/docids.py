@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from symgrid.functions.text import once as _let
+
 # Types that have a word of their own, in C# and in Visual Basic.
 KEYWORDS = {
     "System.Boolean": ("bool", "Boolean"),
@@ -34,11 +36,6 @@ KEYWORDS = {
 GRAMMAR = r"^(?:([A-Z!]):(?=.))?([^(~]*)(?:\((.*)\))?(?:~(.*))?$"
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value computed once per row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _parted(text: Column) -> Column:
     """The parameters of a list: commas inside of braces and brackets part nothing."""
 

@@ -12,6 +12,11 @@ CAMEL = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<
 SEPARATORS = r"[._\-/\\ \t]+"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once per row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def camel_parts(c: Column) -> Column:
     return F.split(c, CAMEL)
 

@@ -25,14 +25,16 @@ def masked(text: Column) -> Column:
     """text with other characters for blanks, commas, brackets, equals signs and colons that lie inside of
     brackets, so that what is left of them parts the text at depth 0. An arrow closes nothing."""
 
-    def step(acc: Column, c: Column) -> Column:
-        closes = c.isin(*")]>}") & (acc["depth"] > 0) & ~((c == ">") & (acc["last"] == "="))
+    def step(acc: Column, t: Column) -> Column:
+        closes = t.isin(*")]>}") & (acc["depth"] > 0) & ~((t == ">") & (acc["last"] == "="))
         depth = acc["depth"] - closes.cast("int")
-        shown = F.when(depth > 0, F.translate(c, MARKS, HIDDEN)).otherwise(c)
-        return F.struct((depth + c.isin(*"([<{").cast("int")).alias("depth"), c.alias("last"), F.concat(acc["out"], shown).alias("out"))
+        shown = F.when(depth > 0, F.translate(t, MARKS, HIDDEN)).otherwise(t)
+        return F.struct((depth + t.isin(*"([<{").cast("int")).alias("depth"), F.substring(t, -1, 1).alias("last"), F.concat(acc["out"], shown).alias("out"))
 
+    # A step takes a bracket, or all that lies before the next one.
+    tokens = F.regexp_extract_all(text, F.lit("[^()\\[\\]<>{}]+|[()\\[\\]<>{}]"), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("last"), F.lit("").alias("out"))
-    return F.aggregate(F.split(text, ""), start, step, lambda acc: acc["out"])
+    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
 
 
 def shown(text: Column) -> Column:
@@ -56,16 +58,20 @@ def structure(symbols: DataFrame) -> Column:
     its type parameters, is the last word before them; a parameter's name is the last of its words.
     Constraints, bodies and initial values are left out."""
     has = lambda c: F.col(c) if c in symbols.columns else F.lit("")
-    said = masked(F.regexp_replace(F.coalesce("signature", F.lit("")), "\\boperator *(<<|>>|<=|>=|<|>)", "operator op"))
-    said = F.rtrim(F.regexp_replace(F.regexp_replace(said, " where .*$", ""), " *(=|\\{).*$", ""))
+    text = masked(F.regexp_replace(F.coalesce("signature", F.lit("")), "\\boperator *(<<|>>|<=|>=|<|>)", "operator op"))
+    text = F.rtrim(F.regexp_replace(F.regexp_replace(text, " where .*$", ""), " *(=|\\{).*$", ""))
     listed = "^(.*[^ ]) *[(\\[]([^()\\[\\]]*)[)\\]]$"
-    head = F.when(said.rlike(listed), F.regexp_extract(said, listed, 1)).otherwise(said)
-    bare = F.regexp_replace(head, f"\\b({'|'.join(MODIFIERS)}) +", "")
-    type_ = shown(F.regexp_replace(bare, " *[^ ]+ *$", ""))
-    parameters = parameter_types(shown(F.regexp_extract(said, listed, 2)))
     member = ~F.col("kind").isin(TYPE_KINDS)
-    mode = F.when(head.rlike("\\bstatic\\b"), "static").otherwise("instance")
-    return X.fingerprint(F.col("kind"), F.col("containing_type"), has("namespace"), mode, F.when(member, type_), F.regexp_extract("fqname", "`+([0-9]+)", 1), F.when(member, parameters))
+
+    def digest(said: Column, head: Column) -> Column:
+        bare = F.regexp_replace(head, f"\\b({'|'.join(MODIFIERS)}) +", "")
+        type_ = shown(F.regexp_replace(bare, " *[^ ]+ *$", ""))
+        parameters = parameter_types(shown(F.regexp_extract(said, listed, 2)))
+        mode = F.when(head.rlike("\\bstatic\\b"), "static").otherwise("instance")
+        return X.fingerprint(F.col("kind"), F.col("containing_type"), has("namespace"), mode, F.when(member, type_), F.regexp_extract("fqname", "`+([0-9]+)", 1), F.when(member, parameters))
+
+    headed = lambda said: F.when(said.rlike(listed), F.regexp_extract(said, listed, 1)).otherwise(said)
+    return X.once(text, lambda said: X.once(headed(said), lambda head: digest(said, head)))
 
 
 def versioned_id(kind: Column, name: Column, container: Column, namespace: Column, project: Column, static: Column, type_: Column, arity: Column, parameters: Column) -> Column:

@@ -80,3 +80,15 @@ def test_signatures_are_read_by_depth(spark):
 def test_display_names_of_both_languages(spark):
     df = spark.createDataFrame([("T:N.A", "a.cs"), ("M:N.A.Go(System.Int32)", "b.VB"), ("N.A", None), ("T:", "a.cs"), ("", "a.vb"), (None, "a.vb")], "i string, p string")
     assert [r[0] for r in df.select(identity.display_fqname(F.col("i"), F.col("p"))).collect()] == ["global::N.A", "Global.N.A.Go(System.Int32)", "global::N.A", "global::T:", "", None]
+
+
+def test_nested_ids_join_nothing(spark, tmp_path):
+    """A part's readings stand in one row, dealt over tasks: a join's small estimate would broadcast them all."""
+    from symgrid.plans import queries
+
+    queries.load()
+    spark.range(50_000).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = queries.QUERIES["x10_nested"](spark, str(tmp_path))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.rdd.getNumPartitions() >= 8
+    assert df.filter("id like '%1234/_' and not same").isEmpty()
