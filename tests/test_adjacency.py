@@ -128,3 +128,22 @@ def test_among(spark, monkeypatch):
     assert rows(adjacency.among(df, "k", keys), "k") == [("5",), ("7",)]
     monkeypatch.setattr(adjacency, "FEW", 1)
     assert rows(adjacency.among(df, "k", keys), "k") == [("5",), ("7",)]
+
+
+def test_callees_go_four_levels(spark):
+    """The whole search: on a chain of calls, callees are found four levels down, by Spark and by its SQL."""
+    from symgrid.plans import queries
+
+    queries.load()
+    assert "depth < 4" in queries.ORACLE_SQL["q13_callees"]
+    found = queries.QUERIES["q13_callees"](spark, "/root/testdata/sf0.001")
+    assert found.agg({"depth": "max"}).first()[0] == 4
+
+
+def test_a_growing_frontier_gets_more_tasks(spark, monkeypatch):
+    from symgrid.operators import graph
+
+    monkeypatch.setattr(graph, "REACHED", 1_000)
+    rows = spark.range(10).selectExpr("id as root", "id as child")
+    assert graph.dealt_by(rows, 50_000).rdd.getNumPartitions() == 50
+    assert graph.dealt_by(rows, 5_000) is rows
