@@ -18,7 +18,7 @@ from symgrid.operators import trigrams
 from symgrid.operators.adjacency import EDGE, Adjacency, by_file, heavy_nodes, keyed, sides
 from symgrid.operators.search import postings
 from symgrid.schema import RELATIONS, Index
-from symgrid.session import durable
+from symgrid.session import PARTITIONS, durable
 
 
 def check(index: Index) -> Index:
@@ -26,19 +26,33 @@ def check(index: Index) -> Index:
     facts a known file and an owner; type relations a known type. A target that is no symbol keeps
     its name only. Missing stable ids get the fallback, missing tokens are computed."""
     files = index.files.select("file_id").distinct()
-    symbols = index.symbols.join(files, "file_id", "left_semi")
+    symbols = of_files(index.symbols, files, "symbol_id")
     display = X.display_name(F.col("fqname"))
     symbols = symbols.withColumn("stable_id", F.coalesce("stable_id", X.stable_id(F.col("kind"), F.col("fqname"), F.col("project_name")))).withColumn("name_tokens", F.coalesce("name_tokens", X.name_tokens(display)))
     ids = symbols.select("symbol_id").distinct()
-    refs = index.refs.join(files, "file_id", "left_semi").join(ids.withColumnRenamed("symbol_id", "from_symbol_id"), "from_symbol_id", "left_semi")
+    refs = of_files(index.refs, files, "from_symbol_id").join(ids.withColumnRenamed("symbol_id", "from_symbol_id"), "from_symbol_id", "left_semi")
     known = ids.select(F.col("symbol_id").alias("to_symbol_id"), F.lit(True).alias("__known"))
     refs = refs.join(known, "to_symbol_id", "left")
     refs = refs.withColumn("to_name", F.when(F.col("__known").isNull(), F.coalesce("to_name", X.display_name(F.col("to_symbol_id")))).otherwise(F.col("to_name"))).withColumn("to_symbol_id", F.when(F.col("__known").isNull(), "").otherwise(F.col("to_symbol_id"))).drop("__known")
-    facts = index.facts.join(files, "file_id", "left_semi").filter("symbol_id <> ''")
+    facts = of_files(index.facts, files, "symbol_id").filter("symbol_id <> ''")
     relations = index.type_relations.join(ids.withColumnRenamed("symbol_id", "type_symbol_id"), "type_symbol_id", "left_semi")
     return Index(index.files, symbols, refs.select(index.refs.columns), facts.select(index.facts.columns), relations.select(index.type_relations.columns), index.projects)
 
 
+#: Shuffle tasks for which a file's rows are dealt over one place more.
+SHARE = 8
+
+
+def of_files(rows: DataFrame, files: DataFrame, by: str) -> DataFrame:
+    """The rows of known files (file_id). A file's rows are dealt over several places by a column, the more the
+    more tasks there are: few files may hold them all, and no task is to take all rows of some."""
+    places = int(rows.sparkSession.conf.get(PARTITIONS)) // SHARE
+    if places <= 1:
+        return rows.join(files, "file_id", "left_semi")
+    everywhere = files.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    return rows.withColumn("__place", F.pmod(F.xxhash64(by), F.lit(places)).cast("int")).join(everywhere, ["file_id", "__place"], "left_semi").select(rows.columns)
+
+
 def duplicate_symbols(symbols: DataFrame) -> DataFrame:
     """Ids that occur more than once in a project, which ingest rejects."""
     return symbols.groupBy("symbol_id", F.lower(F.coalesce("project_name", F.lit(""))).alias("project")).count().filter("count > 1").drop("count")
