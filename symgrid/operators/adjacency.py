@@ -48,15 +48,17 @@ def front(rows: DataFrame, small: bool = True) -> Front:
 @dataclass(frozen=True)
 class Adjacency:
     """edges: key, node, next, file_id, loc_start (the first place, or that of each file); heavy: node,
-    parts of the nodes that have several keys, None if there are none."""
+    parts of the nodes that have several keys, None if there are none; pairs: whether each pair is there once."""
 
     edges: DataFrame
     heavy: DataFrame | None = None
+    pairs: bool = False
 
-    def step(self, of: Front) -> DataFrame:
-        """The front's rows with next and ord (file_id, loc_start, next) of every edge of their nodes."""
+    def step(self, of: Front, *more: str) -> DataFrame:
+        """The front's rows with next and ord (file_id, loc_start, next) of every edge of their nodes, and more
+        of the edges' columns."""
         ord_ = F.struct("file_id", "loc_start", F.col("next").alias("id")).alias("ord")
-        columns = [*of.rows.columns, "next", ord_]
+        columns = [*of.rows.columns, "next", ord_, *more]
         if of.nodes is not None:
             keys = list(of.nodes)
             if self.heavy is not None:
@@ -77,7 +79,14 @@ class Adjacency:
             out = out.join(files.select("file_id").distinct(), "file_id", "left_anti")
         for c in ("node", "next") if nodes is not None else ():
             out = out.join(nodes.select(F.col("node").alias(c)).distinct(), c, "left_anti")
-        return Adjacency(out.select(self.edges.columns), self.heavy)
+        return Adjacency(out.select(self.edges.columns), self.heavy, self.pairs)
+
+    def told(self, of: DataFrame) -> Adjacency:
+        """Each pair once, with what `of` (node, and other columns) says of the node that it leads to."""
+        own = self.edges
+        if not self.pairs:
+            own = own.groupBy("key", "node", "next").agg(F.min(F.struct("file_id", "loc_start")).alias("at")).select("key", "node", "next", "at.*")
+        return Adjacency(own.join(of.withColumnRenamed("node", "next"), "next", "left"), self.heavy, True)
 
     def with_edges(self, more: DataFrame) -> Adjacency:
         """With other edges (node, next, file_id, loc_start), few beside these, under the same keys."""
@@ -126,7 +135,7 @@ def of_refs(refs: DataFrame, incoming: bool = False) -> Adjacency:
     own = durable(own.select("node", "next", "at.file_id", "at.loc_start"))
     heavy = heavy_nodes(own)
     n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Adjacency(durable(keyed(own, heavy).select("key", "node", "next", "file_id", "loc_start").repartition(n, "key")), heavy)
+    return Adjacency(durable(keyed(own, heavy).select("key", "node", "next", "file_id", "loc_start").repartition(n, "key")), heavy, True)
 
 
 def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:

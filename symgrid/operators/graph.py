@@ -6,6 +6,8 @@ The frontier of all roots advances together, one join a level, over edges that w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,27 +143,47 @@ def trace(roots: DataFrame, refs: DataFrame | Adjacency, facts: DataFrame, depth
     root, node, depth, path, and facts (kind:text before the first pipe, sorted, comma-joined). With
     symbols, also name (the signature, else the id), stable_id and is_decompiled. A level keeps the
     first max_rows paths of a root in their order, and `truncated` says that it had more; None keeps all.
+
+    A search without a limit per level walks every edge of what it reaches, so paths then go along the edges
+    themselves. All paths of many roots are far more than the edges: what facts and symbols say comes with the
+    edges that lead to a node, and the last level, which has most of the rows, isn't moved again.
     """
-    depth = clamped(depth)
-    _, walked = callees(roots, refs, depth, per_level)
-    edge = durable(walked.select("root", F.col("parent").alias("node"), "child").distinct())
+    depth, edges, walked = clamped(depth), adjacency(refs), None
+    said = facts.select(F.col("symbol_id").alias("node"), F.concat_ws(":", "fact_kind", F.trim(X.before_pipe(F.col("value")))).alias("f")).distinct()
+    cards = said.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("f")), ",").alias("facts"))
+    columns = ["root", "node", "depth", "path", F.coalesce("card.facts", F.lit("")).alias("facts"), "truncated"]
+    if symbols is not None:
+        cards = cards.join(symbols.select(F.col("symbol_id").alias("node"), "signature", "stable_id", "is_decompiled"), "node", "full_outer")
+        columns += [F.coalesce("card.signature", "node").alias("name"), "card.stable_id", (F.coalesce("card.is_decompiled", F.lit(1)) != 0).alias("is_decompiled")]
+    cards = cards.select("node", F.struct(*cards.columns[1:]).alias("card"))
+    if per_level is not None:
+        walked = durable(callees(roots, edges, depth, per_level)[1].select("root", F.col("parent").alias("node"), F.col("child").alias("next")).distinct())
+
+    def longer(step: DataFrame, n: int, *more: str) -> DataFrame:
+        return step.select("root", F.col("next").alias("node"), F.lit(n).alias("depth"), F.concat("path", F.array("next")).alias("path"), F.lit(False).alias("truncated"), *more)
+
     level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("truncated"))
-    out = level
+    # plain: levels that get their cards at the end; carded: those that bring them.
+    plain, carded, told = [level], [], None
     for n in range(1, depth + 1):
-        level = level.join(edge, ["root", "node"]).select("root", F.col("child").alias("node"), F.lit(n).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.lit(False).alias("truncated"))
+        if walked is None:
+            now = front(level)
+            if plain[-1] is level:
+                plain[-1] = now.rows
+            if max_rows is None and now.nodes is None:
+                told = told or edges.told(cards)
+                carded.append(longer(told.step(now, "card"), n, "card"))
+                level = longer(edges.step(now), n) if edges.pairs else longer(edges.step(now), n).distinct()
+                continue
+            level = longer(edges.step(now), n) if edges.pairs else longer(edges.step(now), n).distinct()
+        else:
+            level = longer(level.join(walked, ["root", "node"]), n)
         if max_rows is not None:
             w = Window.partitionBy("root")
             level = level.withColumn("truncated", F.count("*").over(w) > max_rows).withColumn("__n", F.row_number().over(w.orderBy("path"))).filter(F.col("__n") <= max_rows).drop("__n")
-        out = out.unionByName(level)
-    said = facts.select(F.col("symbol_id").alias("node"), F.concat_ws(":", "fact_kind", F.trim(X.before_pipe(F.col("value")))).alias("f")).distinct()
-    said = said.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("f")), ",").alias("facts"))
-    columns = ["root", "node", "depth", "path", F.coalesce("facts", F.lit("")).alias("facts"), "truncated"]
-    out = out.join(said, "node", "left")
-    if symbols is not None:
-        card = symbols.select(F.col("symbol_id").alias("node"), "signature", "stable_id", "is_decompiled")
-        out = out.join(card, "node", "left")
-        columns += [F.coalesce("signature", "node").alias("name"), "stable_id", (F.coalesce("is_decompiled", F.lit(1)) != 0).alias("is_decompiled")]
-    return out.select(*columns)
+        plain.append(level)
+    out = reduce(DataFrame.unionByName, plain).join(cards, "node", "left").select(columns)
+    return reduce(DataFrame.unionByName, [c.select(columns) for c in carded], out)
 
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
