@@ -28,7 +28,8 @@ def bfs(roots: DataFrame, edges: Adjacency, depth: int = 3, per_level: int | Non
 
     Every edge of an expanded node is kept, also to visited ones. With per_level, a level takes its
     new nodes in the order of parents and edges and stops at that many; later ones are cut and the
-    level says so (truncated on its nodes' rows).
+    level says so (truncated on its nodes' rows). The last level of a large search has most of the rows: it is
+    left to whoever reads the nodes, and not stored.
     """
     depth = clamped(depth)
     # place: a node's place in its level, which orders its children under a limit.
@@ -52,15 +53,17 @@ def bfs(roots: DataFrame, edges: Adjacency, depth: int = 3, per_level: int | Non
             at = at.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("at", "child")))
             more = F.count("*").over(Window.partitionBy("root")) > per_level
             new = at.select("root", F.col("child").alias("node"), "place", F.lit(level).alias("depth"), more.alias("truncated")).filter(F.col("place") <= per_level)
+        if level == depth and now.nodes is None:
+            visited = visited.unionByName(new)
+            break
         before, now = now.count, front(new, small=now.nodes is not None)
         if not now.count:
             break
         growth = max(1.0, now.count / before)
         visited = visited.unionByName(now.rows)
-    out = walked[0]
-    for w in walked[1:]:
-        out = out.unionByName(w)
-    return visited.drop("place"), out.distinct()
+    out = reduce(DataFrame.unionByName, walked)
+    # A root reaches a node once, so pairs that are there once are walked once.
+    return visited.drop("place"), out if edges.pairs and first is None else out.distinct()
 
 
 #: Reached rows of a task.
