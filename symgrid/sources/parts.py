@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgrid.schema import Index
-from symgrid.session import durable
+from symgrid.session import PARTITIONS, durable
 from symgrid.sources.store import _files, _where
 
 #: What deals a relation's rows over parts.
@@ -60,19 +60,37 @@ def _there(spark: SparkSession, root: str, relation: str) -> set[str]:
     return set(_files(spark, f"{root}/parts/{relation}").names())
 
 
-def _write(spark: SparkSession, root: str, relation: str, rows: DataFrame, digests: dict[int, str], parts: int) -> int:
-    """Writes the parts that are not there, and says how many. A part is moved to its place when it is whole;
-    another writer's of the same name has the same content."""
+def _draft(spark: SparkSession, root: str, relation: str, rows: DataFrame, parts: int, only: list[int] | None = None) -> str:
+    """The rows (of some parts) in a folder of their own, dealt by part; says where. A part's rows go through several
+    tasks if there are more tasks than parts, so that none takes more the larger the tables."""
+    draft, tasks = f"{root}/drafts/{uuid.uuid4().hex}", int(spark.conf.get(PARTITIONS))
+    own = rows.select(*sorted(rows.columns)).withColumn("part", _part(relation, parts))
+    if only is not None:
+        own = own.filter(F.col("part").isin(only))
+    keys = [c for c in ("symbol_id", "from_symbol_id") if c in rows.columns]
+    place = F.pmod(F.xxhash64(*(keys or [KEYS[relation]]), *(c for c in ("loc_start",) if c in rows.columns)), F.lit(max(1, tasks // parts)))
+    own.repartition(tasks, "part", place).sortWithinPartitions("part", *keys).write.partitionBy("part").parquet(draft)
+    return draft
+
+
+def _drafted(spark: SparkSession, draft: str, rows: DataFrame) -> DataFrame:
+    """A draft's rows."""
+    return spark.read.schema(_ddl(rows) + ", part int").parquet(draft).drop("part")
+
+
+def _write(spark: SparkSession, root: str, relation: str, rows: DataFrame, draft: str, digests: dict[int, str], parts: int) -> int:
+    """Moves the parts that are not there from a draft to their places, and says how many; another writer's of the
+    same name has the same content. A part that was moved before and deleted since is written again."""
     missing = sorted(set(digests.values()) - _there(spark, root, relation))
     wanted = [p for p, d in digests.items() if d in missing]
-    if not wanted:
-        return 0
-    draft = f"{root}/drafts/{uuid.uuid4().hex}"
-    own = rows.select(*sorted(rows.columns)).withColumn("part", _part(relation, parts)).filter(F.col("part").isin(wanted))
-    own.repartition("part").sortWithinPartitions("part", *(c for c in ("symbol_id", "from_symbol_id") if c in rows.columns)).write.partitionBy("part").parquet(draft)
+    gone = [p for p in wanted if not _files(spark, f"{draft}/part={p}").exists]
+    again = _draft(spark, root, relation, rows, parts, gone) if gone else None
+    if gone and _digests(_drafted(spark, again, rows), relation, parts) != {p: digests[p] for p in gone}:
+        raise RuntimeError(f"CONFLICT: {relation} changed while it was published")
     for p in wanted:
-        _files(spark, f"{draft}/part={p}").move(_folder(root, relation, digests[p]))
-    _files(spark, draft).delete()
+        _files(spark, f"{again if p in gone else draft}/part={p}").move(_folder(root, relation, digests[p]))
+    if again is not None:
+        _files(spark, again).delete()
     return len(wanted)
 
 
@@ -84,24 +102,28 @@ def _commit(spark: SparkSession, root: str, repo: str, solution: str, commit: st
     made.coalesce(1).write.parquet(f"{root}/shared/{_where(repo, solution, commit)}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
 
 
-def _publish(spark: SparkSession, root: str, repo: str, solution: str, commit: str, relations: dict[str, DataFrame], new: Manifest, changed: dict[str, dict[int, str]]) -> int:
+def _publish(spark: SparkSession, root: str, repo: str, solution: str, commit: str, relations: dict[str, DataFrame], drafts: dict[str, str], new: Manifest, changed: dict[str, dict[int, str]]) -> int:
     """Parts, then the manifest; then, as parts that no manifest named may have been deleted until it was
     there, those that are missing again. Says how many parts were written."""
-    put = lambda: sum(_write(spark, root, name, relations[name], changed[name], new.parts) for name in relations)
+    put = lambda: sum(_write(spark, root, name, relations[name], drafts[name], changed[name], new.parts) for name in relations)
     n = put()
     _commit(spark, root, repo, solution, commit, new)
     while put():
         pass
+    for draft in drafts.values():
+        _files(spark, draft).delete()
     return n
 
 
 def publish(index: Index, root: str, repo: str, solution: str, commit: str, parts: int = PARTS) -> int:
-    """Publishes a whole snapshot; parts whose content is known already are not written. Says how many were."""
+    """Publishes a whole snapshot; parts whose content is known already are left out. Says how many were written.
+    Rows are written once, as parts, and their content is named as it was written."""
     spark = index.files.sparkSession
-    relations = {name: durable(getattr(index, name)) for name in KEYS}
-    digests = {name: _digests(rows, name, parts) for name, rows in relations.items()}
+    relations = {name: getattr(index, name) for name in KEYS}
+    drafts = {name: _draft(spark, root, name, rows, parts) for name, rows in relations.items()}
+    digests = {name: _digests(_drafted(spark, drafts[name], rows), name, parts) for name, rows in relations.items()}
     new = Manifest(parts, digests, {name: _ddl(rows) for name, rows in relations.items()})
-    return _publish(spark, root, repo, solution, commit, relations, new, digests)
+    return _publish(spark, root, repo, solution, commit, relations, drafts, new, digests)
 
 
 def manifest(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> Manifest:
@@ -150,7 +172,7 @@ def derive(spark: SparkSession, root: str, seed: tuple[str, str, str], target: t
     touched = _touched(files, "files", own.parts)
     old = _read(spark, root, own, "symbols", touched).join(files, "file_id", "left_semi")
     types = durable(old.select(F.col("symbol_id").alias("type_symbol_id")).unionByName(fresh.type_relations.select("type_symbol_id")).distinct())
-    relations, changed, digests = {}, {}, {}
+    relations, drafts, changed, digests = {}, {}, {}, {}
     for name, key in KEYS.items():
         gone, only = (files, touched) if key == "file_id" else (types, _touched(types, name, own.parts))
         kept = _read(spark, root, own, name, only).join(gone, key, "left_anti")
@@ -161,10 +183,11 @@ def derive(spark: SparkSession, root: str, seed: tuple[str, str, str], target: t
         if key == "file_id":
             made = made.join(files, "file_id", "left_semi")
         cast = [F.col(f.name).cast(f.dataType).alias(f.name) for f in kept.schema.fields]
-        relations[name] = durable(kept.select(*sorted(kept.columns)).unionByName(made.select(cast)))
-        changed[name] = _digests(relations[name], name, own.parts)
+        relations[name] = kept.select(*sorted(kept.columns)).unionByName(made.select(cast))
+        drafts[name] = _draft(spark, root, name, relations[name], own.parts)
+        changed[name] = _digests(_drafted(spark, drafts[name], relations[name]), name, own.parts)
         digests[name] = {p: d for p, d in own.digests[name].items() if p not in only} | changed[name]
-    return _publish(spark, root, *target, relations, replace(own, digests=digests), changed)
+    return _publish(spark, root, *target, relations, drafts, replace(own, digests=digests), changed)
 
 
 def remove(spark: SparkSession, root: str, repo: str, solution: str, commit: str) -> None:
