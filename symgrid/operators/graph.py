@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
-from symgrid.operators.adjacency import Adjacency, Front, among, front, of_refs
+from symgrid.operators.adjacency import Adjacency, Front, among, front, of_refs, sides
 from symgrid.schema import CAPS
 from symgrid.session import PARTITIONS, durable
 
@@ -141,6 +141,31 @@ def callees(roots: DataFrame, refs: DataFrame | Adjacency, depth: int = 2, per_l
     return bfs(roots.select("root", F.col("root").alias("node")), adjacency(refs), depth, per_level)
 
 
+def first_callees(roots: DataFrame, refs: DataFrame | Adjacency, depth: int, most: int) -> DataFrame:
+    """root, node, depth (1 or 2): the first `most` callees of each root (root, distinct) by depth and id.
+
+    Of a node's callees the first most + 1 by id suffice: if the root and its k < most callees are left out, which
+    are all known, the first most - k of the second level have at most k + 1 and most - k - 1 before them in any
+    list. So a node is one row with a short list, and the second level moves lists, not all that it reaches.
+    A published search goes from its roots, and reads only what they reach."""
+    if isinstance(refs, Adjacency):
+        found = callees(roots, refs, depth)[0].filter("depth > 0").withColumn("__n", F.row_number().over(Window.partitionBy("root").orderBy("depth", "node")))
+        return found.filter(F.col("__n") <= most).select("root", "node", "depth")
+    few = sides(refs, False).select("node", "next").distinct().withColumn("__n", F.row_number().over(Window.partitionBy("node").orderBy("next"))).filter(F.col("__n") <= most + 1)
+    lists = durable(few.groupBy("node").agg(F.array_sort(F.collect_list("next")).alias("next")))
+    start = roots.join(lists.withColumnRenamed("node", "root"), "root").select("root", F.slice(F.array_remove("next", F.col("root")), 1, most).alias("one"))
+    placed = lambda nodes, n: F.transform(nodes, lambda x: F.struct(x.alias("node"), F.lit(n).alias("depth")))
+    if depth == 1:
+        return start.select("root", F.inline(placed(F.col("one"), 1)))
+    start = durable(start)
+    steps = start.filter(F.size("one") < most).select("root", F.explode("one").alias("node")).join(lists, "node", "left")
+    both = steps.groupBy("root").agg(F.collect_set("node").alias("one"), F.flatten(F.collect_list("next")).alias("two"))
+    two = F.slice(F.array_sort(F.array_except("two", F.concat("one", F.array("root")))), F.lit(1), F.lit(most) - F.size("one"))
+    full = start.filter(F.size("one") >= most).select("root", placed(F.col("one"), 1).alias("found"))
+    found = durable(full.unionByName(both.select("root", F.concat(placed(F.col("one"), 1), placed(two, 2)).alias("found"))))
+    return found.select("root", F.inline("found"))
+
+
 def trace(roots: DataFrame, refs: DataFrame | Adjacency, facts: DataFrame, depth: int = 3, per_level: int | None = None, symbols: DataFrame | None = None, max_rows: int | None = CAPS.max_references) -> DataFrame:
     """Paths from each root along the edges that the search walked, cycles unrolled to the depth (1 to 6):
     root, node, depth, path, and facts (kind:text before the first pipe, sorted, comma-joined). With

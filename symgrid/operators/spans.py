@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgrid.functions import text as X
@@ -14,17 +14,21 @@ def read_spans(requests: DataFrame, files: DataFrame, context: int = 0, max_line
     """requests: path, first, last (1-based). Adds total_lines, start, stop, code, clamped: the span with
     its context lines, cut to the file, to max_lines and to max_chars."""
     own = requests.join(files.select("path", X.lines_of(F.col("content")).alias("__lines")), "path")
-    total = F.size("__lines")
-    start = F.greatest(F.lit(1), F.least(F.col("first"), total) - context)
-    stop = F.least(total, F.greatest(F.col("last"), F.col("first")) + context)
-    own = own.select("*", total.alias("total_lines"), start.alias("start"), stop.alias("__stop"))
-    own = own.withColumn("stop", F.least("__stop", F.col("start") + (max_lines - 1)))
-    some = F.slice("__lines", F.col("start"), F.greatest(F.lit(0), F.col("stop") - F.col("start") + 1))
+    cut = _cut(F.col("__lines"), F.col("first"), F.col("last"), context, max_lines, max_chars, gutter)
+    return own.select(*requests.columns, cut.alias("__cut")).select(*requests.columns, "__cut.*")
+
+
+def _cut(lines: Column, first: Column, last: Column, context: int, max_lines: int, max_chars: int, gutter: bool = False) -> Column:
+    """total_lines, start, stop, code, clamped of a span."""
+    total = F.size(lines)
+    start = F.greatest(F.lit(1), F.least(first, total) - context)
+    whole = F.least(total, F.greatest(last, first) + context)
+    stop = F.least(whole, start + (max_lines - 1))
+    some = F.slice(lines, start, F.greatest(F.lit(0), stop - start + 1))
     if gutter:
-        some = F.transform(some, lambda x, i: F.concat(F.lpad((i + F.col("start")).cast("string"), 5, " "), F.lit(" | "), x))
-    code = F.array_join(some, "\n")
-    own = own.withColumn("__code", code)
-    return own.select(*requests.columns, "total_lines", "start", "stop", F.substring("__code", 1, max_chars).alias("code"), ((F.col("stop") < F.col("__stop")) | (F.length("__code") > max_chars)).alias("clamped"))
+        some = F.transform(some, lambda x, i: F.concat(F.lpad((i + start).cast("string"), 5, " "), F.lit(" | "), x))
+    said = lambda code: F.struct(total.alias("total_lines"), start.alias("start"), stop.alias("stop"), F.substring(code, 1, max_chars).alias("code"), ((stop < whole) | (F.length(code) > max_chars)).alias("clamped"))
+    return X.once(F.array_join(some, "\n"), said)
 
 
 def definitions(symbols: DataFrame, files: DataFrame, context: int = 2, max_lines: int = 120, max_chars: int = 40_000) -> DataFrame:
@@ -37,21 +41,22 @@ def contexts(anchors: DataFrame, edges: DataFrame, symbols: DataFrame, files: Da
     """For each anchor symbol one row of its own card and code (role self) and one per callee, the first
     max_callees (25 at most) by depth (callee_depth, 0 to 2) and id. Callees without a symbol are left
     out; a symbol without a span has no code. With facts, a card holds its symbol's, sorted."""
-    from pyspark.sql.window import Window
-
-    from symgrid.operators.graph import callees
+    from symgrid.operators.graph import first_callees
 
     depth, most = min(max(callee_depth, 0), 2), min(max(max_callees, 0), 25)
     asked = anchors.select(F.col("symbol_id").alias("root")).distinct()
     chosen = asked.select("root", F.col("root").alias("symbol_id"), F.lit(0).alias("depth"))
     if depth and most:
-        found = callees(asked, edges, depth)[0].filter("depth > 0").withColumn("__n", F.row_number().over(Window.partitionBy("root").orderBy("depth", "node")))
-        chosen = chosen.unionByName(found.filter(F.col("__n") <= most).select("root", F.col("node").alias("symbol_id"), "depth"))
-    card = symbols.join(chosen.select("symbol_id").distinct(), "symbol_id", "left_semi")
-    spans = card.filter("span_start > 0 and span_end > 0")
-    code = definitions(spans, files, 0, own_lines).withColumn("lines", F.lit(own_lines)).unionByName(definitions(spans, files, 0, callee_lines).withColumn("lines", F.lit(callee_lines)))
-    out = chosen.withColumn("role", F.when(F.col("depth") == 0, "self").otherwise("callee")).withColumn("lines", F.when(F.col("depth") == 0, own_lines).otherwise(callee_lines))
-    out = out.join(card.select("symbol_id", "fqname", "kind", "signature", "visibility"), "symbol_id").join(code, ["symbol_id", "lines"], "left")
+        chosen = chosen.unionByName(first_callees(asked, edges, depth, most).select("root", F.col("node").alias("symbol_id"), "depth"))
+    card = symbols.join(chosen.select("symbol_id").distinct(), "symbol_id", "left_semi").select("symbol_id", "fqname", "kind", "signature", "visibility", "file_id", "span_start", "span_end")
+    # Only texts of files that hold a symbol move; each is cut into lines once, and a symbol's code once for both roles.
+    spans = card.filter("span_start > 0 and span_end > 0").select("symbol_id", "file_id", "span_start", "span_end")
+    held = files.join(spans.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "path", X.lines_of(F.col("content")).alias("__lines"))
+    code = lambda most: _cut(F.col("__lines"), F.col("span_start"), F.col("span_end"), 0, most, 40_000)
+    cut = spans.join(held, "file_id").select("symbol_id", "path", code(own_lines).alias("self"), code(callee_lines).alias("callee"))
+    card = card.drop("file_id", "span_start", "span_end").join(cut, "symbol_id", "left")
+    out = chosen.withColumn("role", F.when(F.col("depth") == 0, "self").otherwise("callee")).join(card, "symbol_id")
+    out = out.withColumn("__cut", F.when(F.col("depth") == 0, F.col("self")).otherwise(F.col("callee"))).select("root", "role", "depth", "symbol_id", "fqname", "kind", "signature", "visibility", "path", "__cut.start", "__cut.stop", "__cut.code", "__cut.clamped")
     columns = ["root", "role", "depth", "symbol_id", "fqname", "kind", "signature", "visibility", "path", "start", "stop", "code", "clamped"]
     if facts is not None:
         said = facts.groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("fact_kind", "value"))).alias("facts"))
