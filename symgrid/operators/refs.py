@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
+from symgrid.operators.adjacency import among
 from symgrid.session import durable
 
 
@@ -52,7 +53,8 @@ def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame | None = None)
     Symbols are counted per name first, so a name with one needs no hint. Of a name with several, hints and
     symbols meet by a stretch of the hint, which a symbol that holds the hint holds too, and not by the name
     alone: a name that very many symbols have does not pair all its hints with all of them."""
-    open_ = refs.filter("resolution_state = 'Unresolved' and to_name is not null").select("to_name", F.lower(F.coalesce("to_container_hint", F.lit(""))).alias("hint")).distinct()
+    # Computed once, as few beside the references: these may be a view of joins.
+    open_ = durable(refs.filter("resolution_state = 'Unresolved' and to_name is not null").select("to_name", F.lower(F.coalesce("to_container_hint", F.lit(""))).alias("hint")).distinct())
     known = symbols if files is None else symbols.join(files.select("file_id", "path"), "file_id", "left")
     path = F.lower(F.coalesce("path", F.lit(""))) if "path" in known.columns else F.lit("")
     known = known.select("symbol_id", F.lower("fqname").alias("full"), path.alias("path"), F.regexp_extract(F.substring_index("fqname", "(", 1), "([^.:]*)$", 1).alias("to_name"))
@@ -70,8 +72,8 @@ def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame | None = None)
 
     many = several.filter(F.col("any") != F.col("last")).select("to_name")
     placed = known.join(many, "to_name", "left_semi").select("*", F.explode(F.array_distinct(F.concat(stretches(F.col("full")), stretches(F.col("path"))))).alias("stretch"))
-    wanted = hinted.select("to_name", "stretch").distinct()
-    pairs = placed.join(wanted, ["to_name", "stretch"], "left_semi").join(hinted, ["to_name", "stretch"])
+    # Stretches that no hint has go before the rows move, as most hints begin with few.
+    pairs = among(placed, "stretch", hinted.select("stretch").distinct()).join(hinted, ["to_name", "stretch"])
     hits = pairs.filter(F.contains("full", F.col("hint")) | F.contains("path", F.col("hint"))).groupBy("to_name", "hint").agg(F.min("symbol_id").alias("bound"), F.max("symbol_id").alias("last"))
     # Computed once: a view of a workspace is read many times.
     one = durable(alone.unionByName(hits.filter(F.col("bound") == F.col("last")).select("to_name", "hint", "bound")))

@@ -12,6 +12,7 @@ from symgrid.operators import search as S
 from symgrid.operators import spans as P
 from symgrid.plans.bridge import frame
 from symgrid.plans.queries import register
+from symgrid.session import durable
 
 # Camel parts without look-around: marks are put between, digit boundaries twice as matches overlap.
 _CAMEL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')"""
@@ -263,14 +264,16 @@ _OPEN = """(SELECT *, CASE loc_end % 5 WHEN 0 THEN 'this' WHEN 1 THEN 'SUPPLIERS
          CASE WHEN resolution_state = 'Unresolved' AND bound IS NOT NULL THEN 'Resolved' ELSE resolution_state END AS resolution_state, r.hint, count(*) AS n
   FROM {_OPEN} r LEFT JOIN one ON r.to_name = one.to_name AND r.hint = one.hint GROUP BY ALL""")
 def j15_resolve_refs(spark, d):
-    """Every third supplier's name is borne by a vendor too; hints that miss, exclude or name a container or path."""
+    """Every third supplier's name is borne by a vendor too; hints that miss, exclude or name a container or path.
+    References alike in all that is asked of them are counted first, and bound as one."""
     k = F.col("loc_end") % 5
     hint = F.when(k == 0, "this").when(k == 1, "SUPPLIERS").when(k == 2, "Nowhere").when(k == 3, "shop.vendors").otherwise("SRC1/")
     refs = frame(spark, d, "refs").withColumn("to_container_hint", hint)
     key = F.col("s_suppkey").cast("string")
     vendors = frame(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("M:V"), key).alias("symbol_id"), F.concat(F.lit("M:Shop.Vendors.Supplier"), F.lpad(key, 9, "0"), F.lit("()")).alias("fqname"), F.concat(F.lit("d"), (F.col("s_suppkey") % 10).cast("string")).alias("file_id"))
     known = frame(spark, d, "symbols").select("symbol_id", "fqname", "file_id").unionByName(vendors)
-    return R.resolve(refs, known, frame(spark, d, "files")).groupBy("to_symbol_id", "resolution_state", F.col("to_container_hint").alias("hint")).agg(F.count("*").alias("n"))
+    alike = durable(refs.groupBy("to_symbol_id", "resolution_state", "to_name", "to_container_hint").agg(F.count("*").alias("n")))
+    return R.resolve(alike, known, frame(spark, d, "files")).groupBy("to_symbol_id", "resolution_state", F.col("to_container_hint").alias("hint")).agg(F.sum("n").alias("n"))
 
 
 @register("x_names", f"""SELECT symbol_id, {_DISPLAY} AS display, array_to_string(list_slice(string_split({_FULL}, '.'), -2, -1), '.') AS short,
