@@ -116,9 +116,9 @@ def sides(refs: DataFrame, incoming: bool) -> DataFrame:
     return own.select(F.col(a).alias("node"), F.col(b).alias("next"), "file_id", "loc_start")
 
 
-def by_file(own: DataFrame) -> DataFrame:
-    """One edge per pair and file, at its first place."""
-    return own.groupBy("node", "next", "file_id").agg(F.min("loc_start").alias("loc_start"))
+def by_file(own: DataFrame, *more: str) -> DataFrame:
+    """One edge per pair and file (and more columns, the same for a pair), at its first place."""
+    return own.groupBy(*more, "node", "next", "file_id").agg(F.min("loc_start").alias("loc_start"))
 
 
 def heavy_nodes(own: DataFrame) -> DataFrame | None:

@@ -79,19 +79,23 @@ def publish(index: Index, root: str, repo: str, solution: str, commit: str) -> N
     counts = {name: df.count() for name, df in kept.items()}
     for name, keys in order.items():
         kept[name].repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{root}/{name}/{where}/version={version}")
+    refs = kept["refs"]
     for side in ("to_symbol_id", "from_symbol_id"):  # both directions, each sorted by its lookup key
-        kept["refs"].repartitionByRange(side, "file_id", "loc_start").sortWithinPartitions(side).write.parquet(f"{root}/refs_by_{side.split('_')[0]}/{where}/version={version}")
+        place = f"{root}/refs_by_{side.split('_')[0]}/{where}/version={version}"
+        refs.repartitionByRange(side, "file_id", "loc_start").sortWithinPartitions(side).write.parquet(place)
+        refs = spark.read.schema(kept["refs"].schema).parquet(place)
     tokens = durable(postings(kept["symbols"], "file_id", "stable_id"))
     tokens.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{root}/postings/{where}/version={version}")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts["refs"] // BUCKET_ROWS))
     hubs = {}
     for name, incoming in SIDES.items():
-        own = sides(kept["refs"], incoming)
+        # Read as they were written: columns apart, and a node's references together.
+        own = sides(spark.read.schema(kept["refs"].schema).parquet(f"{root}/refs_by_{'to' if incoming else 'from'}/{where}/version={version}"), incoming)
         heavy = heavy_nodes(own)
         hubs[name] = 0 if heavy is None else heavy.count()
         if heavy is not None:
             heavy.write.parquet(f"{root}/{name}_hubs/{where}/version={version}")
-        _write_buckets(keyed(by_file(own), heavy).select("key", "node", "next", "file_id", "loc_start"), f"{root}/{name}/{where}/version={version}", buckets)
+        _write_buckets(keyed(own, heavy), f"{root}/{name}/{where}/version={version}", buckets)
     stated = {f"n_{k}": n for k, n in counts.items()} | {"buckets": buckets} | {f"hubs_{k}": n for k, n in hubs.items()}
     manifest = spark.range(1).select(F.lit(repo).alias("repo"), F.lit(solution).alias("solution"), F.lit(commit).alias("commit"), F.lit(version).alias("version"), F.current_timestamp().alias("created_at"), *[F.lit(n).cast("long").alias(k) for k, n in stated.items()])
     manifest.coalesce(1).write.mode("append").parquet(f"{root}/manifest/{where}")
@@ -101,12 +105,14 @@ def publish(index: Index, root: str, repo: str, solution: str, commit: str) -> N
 SIDES = {"calls_in": True, "calls_out": False}
 
 
-def _write_buckets(edges: DataFrame, path: str, n: int) -> None:
-    """Edges as files of n buckets of their key. Only a catalog's table can be written so; its entry goes
-    again, the files stay."""
+def _write_buckets(own: DataFrame, path: str, n: int) -> None:
+    """Edges (key, node, next, file_id, loc_start), one per pair and file, as files of n buckets of their key: they
+    move once, to the bucket in which those of one pair and file meet. Only a catalog's table can be written so; its
+    entry goes again, the files stay."""
     name = f"edges_{uuid.uuid4().hex}"
-    edges.repartition(n, "key").write.bucketBy(n, "key").sortBy("key").format("parquet").option("path", path).saveAsTable(name)
-    edges.sparkSession.sql(f"DROP TABLE {name}")
+    edges = by_file(own.repartition(n, "key"), "key").select("key", "node", "next", "file_id", "loc_start")
+    edges.write.bucketBy(n, "key").sortBy("key").format("parquet").option("path", path).saveAsTable(name)
+    own.sparkSession.sql(f"DROP TABLE {name}")
 
 
 def _read_buckets(spark: SparkSession, path: str, n: int) -> DataFrame:
