@@ -6,10 +6,11 @@ M:N.Box`1.Put``1(`0,System.Collections.Generic.List{``0}@,System.Int32[0:,0:][])
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgrid.functions.text import once as _let
+from symgrid.session import dealt, durable
 
 # Types that have a word of their own, in C# and in Visual Basic.
 KEYWORDS = {
@@ -133,3 +134,11 @@ def readable(doc_id: Column, language: Column, root: bool = False) -> Column:
     told = _let(read, lambda id_: _let(form(F.split(id_["path"], "\\.")), lambda to: _let(_path(to["parts"], to), lambda full: said(id_, to, full))))
     head = F.when(vb, "Global.").otherwise("global::") if root else F.lit("")
     return F.when(doc_id == "", "").when(doc_id.startswith("!:"), F.substring(doc_id, 3, 1 << 30)).when(~doc_id.rlike(GRAMMAR), doc_id).otherwise(F.concat(head, told))
+
+
+def declared(rows: DataFrame, root: bool = False) -> DataFrame:
+    """rows (doc_id, language, and more) with their declaration. Reading an id costs far more than moving it, and
+    many rows have few ids: each is read once, dealt out by the number of them, and goes to its rows."""
+    ids = dealt(durable(rows.select("doc_id", "language").distinct()))
+    told = ids.select("doc_id", "language", readable(F.col("doc_id"), F.col("language"), root).alias("declaration"))
+    return rows.join(told.hint("shuffle_hash"), ["doc_id", "language"], "left")

@@ -216,7 +216,8 @@ def f14_declarations(spark, d):
     member = member.when(F.col("l_returnflag") == "R", F.concat(F.lit("#ctor("), given, F.lit(")"))).otherwise(F.concat(F.lit("Item("), given, F.lit(",System.Boolean)")))
     doc_id = F.concat(kind, F.lit(":Shop.Box`1.Slot"), F.col("l_suppkey").cast("string"), F.lit("`1."), member)
     language = F.when(F.col("l_linestatus") == "O", "vb").otherwise("csharp")
-    return frame(spark, d, "lineitem").select("l_orderkey", "l_linenumber", docids.readable(doc_id, language, root=True).alias("declaration"))
+    rows = frame(spark, d, "lineitem").select("l_orderkey", "l_linenumber", doc_id.alias("doc_id"), language.alias("language"))
+    return docids.declared(rows, root=True).select("l_orderkey", "l_linenumber", "declaration")
 
 
 _PARENTS = "p AS (SELECT c_custkey AS c, c_custkey - 1 AS up FROM customer UNION SELECT c_custkey, c_custkey // 2 FROM customer WHERE c_nationkey < 5 AND c_custkey > 1), heads AS (SELECT max(c_custkey) AS h FROM customer GROUP BY c_mktsegment)"
