@@ -118,7 +118,8 @@ def _detail_lines(index: Index, detail: str) -> DataFrame:
     api = _lines(types, "Public API Surface", (key, 0, 0), F.concat(F.lit("### "), F.col("kind"), F.lit(" `"), F.col("full"), F.lit("`")))
     contracts = types.filter("kind = 'Interface'")
     services = _first(report.services(types), 20, *order)
-    out = index.refs.join(paths, "file_id", "left").filter("ref_kind = 'Call'").join(services.select(F.col("symbol_id").alias("from_symbol_id"), F.col("full").alias("service")), "from_symbol_id")
+    # Few symbols are told of: their references are found where they lie, and paths are asked for these alone.
+    out = index.refs.filter("ref_kind = 'Call'").join(F.broadcast(services.select(F.col("symbol_id").alias("from_symbol_id"), F.col("full").alias("service"))), "from_symbol_id").join(paths, "file_id", "left")  # 20 rows
     by = Window.partitionBy("from_symbol_id").orderBy("path", "loc_start", "loc_end", "to_symbol_id")
     calls = out.withColumn("n", F.row_number().over(by)).filter("n <= 10 and resolution_state = 'Resolved' and to_symbol_id <> ''").groupBy("service", "to_symbol_id").agg(F.min("n").alias("n"))
     calls = calls.withColumn("k", F.row_number().over(Window.partitionBy("service").orderBy("n"))).filter("k <= 5")
@@ -134,7 +135,7 @@ def _detail_lines(index: Index, detail: str) -> DataFrame:
         few = _first(symbols, 500, *order)
         parts.append(_lines(few, "All Symbols", (F.concat_ws("\0", *order), 0, 0), _row(F.col("kind"), F.concat(F.lit("`"), X.short_name(F.col("fqname")), F.lit("`")), F.col("path"), F.col("span_start").cast("string"))))
         some = _first(types, 30, *order)
-        out = index.refs.join(paths, "file_id", "left").join(some.select(F.col("symbol_id").alias("from_symbol_id"), "fqname"), "from_symbol_id")
+        out = index.refs.join(F.broadcast(some.select(F.col("symbol_id").alias("from_symbol_id"), "fqname")), "from_symbol_id").join(paths, "file_id", "left")  # 30 rows
         out = out.withColumn("n", F.row_number().over(by)).filter("n <= 10 and resolution_state = 'Resolved' and to_symbol_id <> ''")
         parts.append(_lines(out, "Reference Matrix", (F.concat_ws("\0", "fqname", "from_symbol_id"), 0, F.col("n")), _row(X.short_name(F.col("fqname")), F.col("ref_kind"), X.short_name(F.col("to_symbol_id"))), 0))
     return reduce(DataFrame.unionByName, parts)
