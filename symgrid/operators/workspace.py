@@ -13,6 +13,7 @@ from symgrid.operators import graph, overlay, refs, search
 from symgrid.operators.adjacency import Adjacency, among, by_file, sides
 from symgrid.operators.hierarchy import derived_merged
 from symgrid.schema import LEVELS, Index
+from symgrid.session import dealt, durable
 
 
 @dataclass(frozen=True)
@@ -145,10 +146,12 @@ def search_merged(baseline: Index, own: Overlay, query: str, limit: int = 20, in
     text = X.sanitize_query(query)
     asked = X.query_tokens(text)
     if asked:
-        index = search.postings(baseline.symbols, "file_id", "stable_id") if index is None else index
-        tokens = overlay.symbols(index, search.postings(own.symbols, "file_id", "stable_id"), own.deleted, own.files)
+        # Tokens cost far more than their symbols' bytes let expect: if not published, they are made once, dealt out by rows.
+        tiers = [search.postings(dealt(s) if index is None else s, "file_id", "stable_id") for s in (baseline.symbols, own.symbols)]
+        tokens = overlay.symbols(tiers[0] if index is None else index, tiers[1], own.deleted, own.files)
         # Prefixes go into the scan of the first tier, below the comparison with the overlay.
-        symbols = among(symbols, "symbol_id", search.matching(tokens, text))
+        found = search.matching(tokens, text)
+        symbols = among(symbols, "symbol_id", durable(found) if index is None else found)
     hits = search.filtered(symbols.join(paths, "file_id", "left"), **filters)
     display = X.display_name(F.col("fqname"))
     score = X.relevance(display, F.col("fqname"), X.name_tokens(display), text, asked) if asked else F.lit(0)
