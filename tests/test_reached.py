@@ -28,3 +28,17 @@ def test_reached_rows_meet_those_seen_in_tasks_by_their_number(spark, monkeypatc
         assert sorted((x["root"], x["node"], x["depth"]) for x in nodes.collect()) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_frontier_gets_tasks_by_what_it_reaches(spark, monkeypatch):
+    """Twenty rows that lead to some four thousand, which wait in memory to be shuffled."""
+    monkeypatch.setattr(adjacency, "FEW", 0)
+    monkeypatch.setattr(adjacency, "REACHED", 100)
+    edges = [(f"a{i}", f"b{j}") for i in range(20) for j in range(200)]
+    kept, now = adjacency.of_refs(refs_of(spark, edges)), adjacency.front(one(spark, *{a for a, _ in edges}).withColumnRenamed("root", "node"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "hashpartitioning(key" in (said := plan(kept.step(now, reached=4_000))) and said.count(", 20)") == 2  # frontier and edges
+        assert sorted((r["node"], r["next"]) for r in kept.step(now, reached=4_000).collect()) == sorted(edges)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
