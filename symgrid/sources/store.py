@@ -15,10 +15,10 @@ from pyspark.sql.window import Window
 
 from symgrid.functions import text as X
 from symgrid.operators import trigrams
-from symgrid.operators.adjacency import EDGE, Adjacency, by_file, heavy_nodes, keyed, sides
+from symgrid.operators.adjacency import EDGE, FEW, Adjacency, by_file, heavy_nodes, keyed, sides
 from symgrid.operators.search import postings
 from symgrid.schema import RELATIONS, Index
-from symgrid.session import PARTITIONS, durable
+from symgrid.session import PARTITIONS, durable, stored
 
 
 def check(index: Index) -> Index:
@@ -30,22 +30,50 @@ def check(index: Index) -> Index:
     display = X.display_name(F.col("fqname"))
     symbols = symbols.withColumn("stable_id", F.coalesce("stable_id", X.stable_id(F.col("kind"), F.col("fqname"), F.col("project_name")))).withColumn("name_tokens", F.coalesce("name_tokens", X.name_tokens(display)))
     ids = symbols.select("symbol_id").distinct()
-    refs = of_files(index.refs, files, "from_symbol_id").join(ids.withColumnRenamed("symbol_id", "from_symbol_id"), "from_symbol_id", "left_semi")
-    known = ids.select(F.col("symbol_id").alias("to_symbol_id"), F.lit(True).alias("__known"))
-    refs = refs.join(known, "to_symbol_id", "left")
-    refs = refs.withColumn("to_name", F.when(F.col("__known").isNull(), F.coalesce("to_name", X.display_name(F.col("to_symbol_id")))).otherwise(F.col("to_name"))).withColumn("to_symbol_id", F.when(F.col("__known").isNull(), "").otherwise(F.col("to_symbol_id"))).drop("__known")
+    # References are asked for columns apart, so they are computed once.
+    refs = of_ids(of_files(stored(index.refs, "refs"), files, "from_symbol_id"), "from_symbol_id", ids)
+    unknown = F.col("to_symbol_id").isNull()
+    strangers = missing(refs, "to_symbol_id", ids)
+    if strangers is None:
+        known = ids.select(F.col("symbol_id").alias("to_symbol_id"), F.lit(True).alias("__known"))
+        refs, unknown = refs.join(known, "to_symbol_id", "left"), F.col("__known").isNull()
+    elif strangers:
+        unknown = unknown | F.col("to_symbol_id").isin(strangers)
+    refs = refs.withColumn("to_name", F.when(unknown, F.coalesce("to_name", X.display_name(F.col("to_symbol_id")))).otherwise(F.col("to_name"))).withColumn("to_symbol_id", F.when(unknown, "").otherwise(F.col("to_symbol_id")))
     facts = of_files(index.facts, files, "symbol_id").filter("symbol_id <> ''")
-    relations = index.type_relations.join(ids.withColumnRenamed("symbol_id", "type_symbol_id"), "type_symbol_id", "left_semi")
+    relations = of_ids(index.type_relations, "type_symbol_id", ids)
     return Index(index.files, symbols, refs.select(index.refs.columns), facts.select(index.facts.columns), relations.select(index.type_relations.columns), index.projects)
 
 
+def missing(rows: DataFrame, column: str, keys: DataFrame) -> list[str] | None:
+    """The column's values that are no key (keys: one column), if they are FEW at most; None if they are more."""
+    asked = rows.select(F.col(column).alias("__key")).filter("__key is not null").distinct()
+    found = asked.join(keys.select(F.col(keys.columns[0]).alias("__key")), "__key", "left_anti").limit(FEW + 1).collect()
+    return None if len(found) > FEW else sorted(r[0] for r in found)
+
+
+def of_ids(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column is a key (keys: one column). Rows stay where they are if few values are no keys."""
+    others = missing(rows, column, keys)
+    return rows.join(keys.select(F.col(keys.columns[0]).alias(column)), column, "left_semi") if others is None else without(rows, column, others)
+
+
+def without(rows: DataFrame, column: str, others: list[str]) -> DataFrame:
+    """The rows whose column is neither null nor among others."""
+    own = rows.filter(F.col(column).isNotNull())
+    return own.filter(~F.col(column).isin(others)) if others else own
+
+
 #: Shuffle tasks for which a file's rows are dealt over one place more.
 SHARE = 8
 
 
 def of_files(rows: DataFrame, files: DataFrame, by: str) -> DataFrame:
-    """The rows of known files (file_id). A file's rows are dealt over several places by a column, the more the
+    """The rows of known files (file_id). They stay where they are if few file ids are unknown; else a file's rows are dealt over several places by a column, the more the
     more tasks there are: few files may hold them all, and no task is to take all rows of some."""
+    others = missing(rows, "file_id", files)
+    if others is not None:
+        return without(rows, "file_id", others)
     places = int(rows.sparkSession.conf.get(PARTITIONS)) // SHARE
     if places <= 1:
         return rows.join(files, "file_id", "left_semi")
@@ -74,23 +102,26 @@ def publish(index: Index, root: str, repo: str, solution: str, commit: str) -> N
     spark = index.files.sparkSession
     where, version = _where(repo, solution, commit), f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     order = {"files": ["path"], "symbols": ["symbol_id"], "facts": ["fact_kind", "value"], "type_relations": ["type_symbol_id"]}
-    # Each relation is computed once; ranges are sampled and rows counted on the copy.
-    kept = {name: durable(getattr(index, name)) for name in (*order, "refs")}
-    counts = {name: df.count() for name, df in kept.items()}
+    # Relations are written once, and not stored before: what they are shuffled for is there when their ranges are sampled.
+    back = lambda name, df: spark.read.schema(df.schema).parquet(f"{root}/{name}/{where}/version={version}")
+    counts = {}
     for name, keys in order.items():
-        kept[name].repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{root}/{name}/{where}/version={version}")
-    refs = kept["refs"]
+        df = getattr(index, name)
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{root}/{name}/{where}/version={version}")
+        counts[name] = back(name, df).count()
+    refs = index.refs
     for side in ("to_symbol_id", "from_symbol_id"):  # both directions, each sorted by its lookup key
-        place = f"{root}/refs_by_{side.split('_')[0]}/{where}/version={version}"
-        refs.repartitionByRange(side, "file_id", "loc_start").sortWithinPartitions(side).write.parquet(place)
-        refs = spark.read.schema(kept["refs"].schema).parquet(place)
-    tokens = durable(postings(kept["symbols"], "file_id", "stable_id"))
+        name = f"refs_by_{side.split('_')[0]}"
+        refs.repartitionByRange(side, "file_id", "loc_start").sortWithinPartitions(side).write.parquet(f"{root}/{name}/{where}/version={version}")
+        refs = back(name, refs)
+    counts["refs"] = refs.count()
+    tokens = durable(postings(back("symbols", index.symbols), "file_id", "stable_id"))
     tokens.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{root}/postings/{where}/version={version}")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts["refs"] // BUCKET_ROWS))
     hubs = {}
     for name, incoming in SIDES.items():
         # Read as they were written: columns apart, and a node's references together.
-        own = sides(spark.read.schema(kept["refs"].schema).parquet(f"{root}/refs_by_{'to' if incoming else 'from'}/{where}/version={version}"), incoming)
+        own = sides(back(f"refs_by_{'to' if incoming else 'from'}", refs), incoming)
         heavy = heavy_nodes(own)
         hubs[name] = 0 if heavy is None else heavy.count()
         if heavy is not None:
